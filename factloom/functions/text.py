@@ -20,6 +20,7 @@ CHART_TYPES = [
 # end of fixed values
 
 _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_LONGEST_TIME = 40
 _ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
 # pattern of the text -> Spark datetime pattern, month before day
 _OTHER_TIMES = [
@@ -33,7 +34,7 @@ _OTHER_TIMES = [
 
 def norm_text(c: Column) -> Column:
     """Runs of any white space (Unicode too) become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def is_null_token(c: Column) -> Column:
@@ -54,9 +55,10 @@ def to_number(c: Column) -> Column:
 
 def to_timestamp(c: Column) -> Column:
     """Dates in a fixed set of layouts; a bare year is not a date."""
-    out = F.when(c.rlike(_ISO_TIME), c.try_cast("timestamp"))
+    short = F.when(F.length(c) <= _LONGEST_TIME, c)
+    out = F.when(short.rlike(_ISO_TIME), c.try_cast("timestamp"))
     for shape, pattern in _OTHER_TIMES:
-        out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
+        out = out.when(short.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from .profile import date_rates, profile
+from .profile import profile
 from .stats import col, nan_to_null
 
 # Case variants are merged only in columns with few labels.
@@ -46,25 +46,30 @@ def normalised_text(df: DataFrame) -> DataFrame:
 
 
 def _first_pass(df: DataFrame):
-    """Token hits, parse rates, ranges and a label-count sketch of every column."""
+    """Token hits, parse rates, ranges and a label-count sketch of every column. Each
+    cell is normalised once and parsed once; the aggregates share the results."""
+    texts = {i for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)}
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+    normal = df.select(*[(text.norm_text(col(c)) if i in texts else col(c)).alias(f"c{i}")
+                         for i, c in enumerate(df.columns)])
+    cells = normal.select("*", *[text.null_tokens(F.col(f"c{i}")).alias(f"v{i}") for i in texts])
+    parsed = cells.select("*", *[p for i in texts for p in (
+        text.to_number(F.col(f"v{i}")).alias(f"x{i}"), text.to_timestamp(F.col(f"v{i}")).alias(f"t{i}"))])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(df.schema):
-        c = col(f.name)
-        if isinstance(f.dataType, T.StringType):
-            normal = text.norm_text(c)
-            v = text.null_tokens(normal)
-            number, moment = text.to_number(v), text.to_timestamp(v)
-            aggs += [F.count_if(text.is_null_token(normal)).alias(f"tok{i}"),
-                     F.count(v).alias(f"n{i}"), F.count(number).alias(f"num{i}"), *date_rates(v, i),
-                     (F.min(v) == F.max(v)).alias(f"one{i}"),
+        c = F.col(f"c{i}")
+        if i in texts:
+            v, number, moment = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"t{i}")
+            aggs += [(F.count(c) - F.count(v)).alias(f"tok{i}"), F.count(v).alias(f"n{i}"),
+                     F.count(number).alias(f"num{i}"), F.count_if(text.has_digit(v)).alias(f"dig{i}"),
+                     F.count(moment).alias(f"ts{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
                      (F.min(number) == F.max(number)).alias(f"onum{i}"),
                      (F.min(moment) == F.max(moment)).alias(f"ots{i}"),
                      F.approx_count_distinct(v, 0.05).alias(f"apx{i}")]
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
-            aggs += [F.count(c).alias(f"n{i}"), F.lit(False).alias(f"one{i}")]
         else:
-            aggs += [F.count(c).alias(f"n{i}"), (F.min(c) == F.max(c)).alias(f"one{i}")]
-    return df.agg(*aggs).first().asDict()
+            one = F.lit(False) if isinstance(f.dataType, nested) else F.min(c) == F.max(c)
+            aggs += [F.count(c).alias(f"n{i}"), one.alias(f"one{i}")]
+    return parsed.agg(*aggs).first().asDict()
 
 
 def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:

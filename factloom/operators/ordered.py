@@ -10,6 +10,7 @@ pre-aggregated row per (key, range).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -41,11 +42,13 @@ def numeric_key(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def range_bounds(df: DataFrame, column: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+def range_bounds(df: DataFrame, column: str, rows_per_range: int = ROWS_PER_RANGE,
+                 at_most: int | None = None) -> list[float]:
     """At most MAX_RANGES-1 cut points; a value that fills several ranges is cut
-    out on its own so that its neighbours do not share a task with it."""
-    import math
-
+    out on its own so that its neighbours do not share a task with it. A caller who
+    knows a bound on the row count passes it and saves the count."""
+    if at_most is not None and at_most <= rows_per_range:
+        return []
     key = numeric_key(df, column)
     n = df.agg(F.count(key).alias("n")).first()["n"]
     parts = min(MAX_RANGES, -(-n // rows_per_range))
@@ -90,10 +93,10 @@ def _merge(item: Running, carried: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], items: list[Running],
-            rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+            rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
     """``df`` plus one running value per item. Keys must not be null; ``order[0]``
     is a number, date or timestamp and ``order`` as a whole is unique per key."""
-    bounds = range_bounds(df, order[0], rows_per_range)
+    bounds = range_bounds(df, order[0], rows_per_range, at_most)
     sort = [F.col(c).asc_nulls_first() for c in order]
     if not bounds:
         window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*sort)
@@ -122,17 +125,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], items: list[Runnin
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
-             rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+             rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
     """row_number() per key."""
-    return running(df, keys, order, [Running(name, "sum", F.lit(1).cast("bigint"))], rows_per_range)
+    return running(df, keys, order, [Running(name, "sum", F.lit(1).cast("bigint"))], rows_per_range, at_most)
 
 
 def value_ranks(df: DataFrame, column: str, weight: Column | None = None,
-                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
     """One row per distinct non-null value: ``value, n, before, dense`` where
     ``before`` counts the rows with a smaller value."""
     counts = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
               .agg(F.sum(weight if weight is not None else F.lit(1)).cast("bigint").alias("n")))
     return running(counts, [], ["value"], [
         Running("_upto", "sum", F.col("n")), Running("dense", "sum", F.lit(1).cast("bigint")),
-    ], rows_per_range).select("value", "n", (F.col("_upto") - F.col("n")).alias("before"), "dense")
+    ], rows_per_range, at_most).select("value", "n", (F.col("_upto") - F.col("n")).alias("before"), "dense")

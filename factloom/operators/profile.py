@@ -73,6 +73,8 @@ def profile(df: DataFrame, ordered_by: str | None = None) -> DataFrame:
     first five by ``ordered_by``."""
     df = stats.nan_to_null(df)
     aggs, shape = [F.count(F.lit(1)).alias("rows")], []
+    texts = {i: f.name for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)}
+    staged = df.select("*", *[text.to_timestamp(col(c)).alias(f"_ts{i}") for i, c in texts.items()])
     for i, f in enumerate(df.schema):
         c, kind = col(f.name), plain_dtype(f)
         aggs.append(F.count(c).alias(f"n{i}"))
@@ -82,8 +84,8 @@ def profile(df: DataFrame, ordered_by: str | None = None) -> DataFrame:
             aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
             lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         elif isinstance(f.dataType, T.StringType):
-            parsed = text.to_timestamp(c)
-            aggs += [*date_rates(c, i), F.min(parsed).cast("string").alias(f"lo{i}"),
+            parsed = F.col(f"_ts{i}")
+            aggs += [F.count_if(text.has_digit(c)).alias(f"dig{i}"), F.count(parsed).alias(f"ts{i}"), F.min(parsed).cast("string").alias(f"lo{i}"),
                      F.max(parsed).cast("string").alias(f"hi{i}")]
             date_like = is_date_like(F.col(f"n{i}"), F.col(f"dig{i}"), F.col(f"ts{i}"))
             lo, hi = F.when(date_like, F.col(f"lo{i}")), F.when(date_like, F.col(f"hi{i}"))
@@ -92,7 +94,7 @@ def profile(df: DataFrame, ordered_by: str | None = None) -> DataFrame:
             date_like.alias("date_like"), F.col(f"n{i}").alias("n"),
             (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
             F.substring(lo, 1, 255).alias("min_value"), F.substring(hi, 1, 255).alias("max_value")))
-    flat = df.agg(*aggs).select(F.inline(F.array(*shape)))
+    flat = staged.agg(*aggs).select(F.inline(F.array(*shape)))
     joined = flat.join(_values(df, ordered_by), "name")
     dtype = (F.when(F.col("plain").isNotNull(), F.col("plain"))
              .when(F.col("n") == 0, "text").when(F.col("date_like"), "datetime")

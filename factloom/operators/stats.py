@@ -6,11 +6,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import QueryError
+from ..session import cut_lineage
 from . import ordered
 
 SMALL_QUANTILE_ROWS = 1_000_000
@@ -181,23 +182,26 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
                  F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
-def _contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    return (df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
+def _contingency(df: DataFrame, a: str, b: str) -> tuple[DataFrame, int, int]:
+    """Distinct complete pairs with their counts, stored once because ranks read them
+    several times. Returns (cells, number of cells, number of rows)."""
+    cells = cut_lineage(df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
             .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "pairs")
+    size, n = cells.agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return cells, size, n
 
 
 def spearman_pair(df: DataFrame, a: str, b: str,
                   rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
     """Rank correlation over the rows where both sides are present. Equal pairs are
     counted first; ranks come from distinct values, never from a one-task sort."""
-    cells = _contingency(df, a, b)
+    cells, size, n = _contingency(df, a, b)
     for side in ("a", "b"):
-        ranks = ordered.value_ranks(cells, side, F.col("w"), rows_per_range).select(
+        ranks = ordered.value_ranks(cells.select(side, "w"), side, F.col("w"), rows_per_range, size).select(
             F.col("value").alias(side), (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{side}"))
         cells = cells.join(ranks, side)
     # The mean rank is known, (n+1)/2, so the moments are centred up front.
-    n = cells.agg(F.sum("w")).first()[0] or 0
     mid = F.lit((n + 1) / 2.0)
     x, y, w = F.col("ra") - mid, F.col("rb") - mid, F.col("w")
     return cells.agg(F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
@@ -205,23 +209,20 @@ def spearman_pair(df: DataFrame, a: str, b: str,
 
 
 def kendall_pair(df: DataFrame, a: str, b: str,
-                 rows_per_range: int = ordered.ROWS_PER_RANGE, digit_bits: int = 4) -> DataFrame:
+                 rows_per_range: int = ordered.ROWS_PER_RANGE, digit_bits: int = 3) -> DataFrame:
     """Kendall tau-b without comparing pairs of rows.
 
-    Values of ``a`` get dense ranks, read as digits in base 16. Two values first
+    Values of ``a`` get dense ranks, read as digits in base 8. Two values first
     differ at exactly one digit, so the concordant pairs are the sum over digit
     positions of: within rows sharing the higher digits, in ``b`` order, how much
     weight came earlier with a smaller digit. That is a running total per digit.
     """
-    cells = _contingency(df, a, b)
-    ranks = ordered.value_ranks(cells, "a", F.col("w"), rows_per_range)
+    cells, size, n = _contingency(df, a, b)
+    ranks = ordered.value_ranks(cells.select("a", "w"), "a", F.col("w"), rows_per_range, size)
     cells = cells.join(ranks.select(F.col("value").alias("a"), (F.col("dense") - 1).alias("code")), "a")
     cells = cells.select("b", "w", "code")
-    top = cells.agg(F.max("code"), F.sum("w")).first()
-    if top[1] is None:
-        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("r"))
-    n, base = top[1], 1 << digit_bits
-    levels = max(1, -(-int(top[0]).bit_length() // digit_bits))
+    base = 1 << digit_bits
+    levels = max(1, -(-(cells.agg(F.max("code")).first()[0] or 0).bit_length() // digit_bits))
     parts = []
     for level in range(levels):
         shift = level * digit_bits
@@ -233,7 +234,7 @@ def kendall_pair(df: DataFrame, a: str, b: str,
             *[F.sum(F.when(digit == d, F.col("w")).otherwise(0)).alias(f"w{d}") for d in range(base)]))
         run = ordered.running(per, ["g"], ["b"], [
             ordered.Running(f"s{d}", "sum", F.col(f"w{d}"), inclusive=False) for d in range(base)],
-            rows_per_range)
+            rows_per_range, size)
         agree, differ = F.lit(0.0), F.lit(0.0)
         for d in range(base):
             less = [F.coalesce(F.col(f"s{e}"), F.lit(0)) for e in range(d)]
