@@ -64,9 +64,41 @@ def is_unique(df: DataFrame, keys: list[str]) -> bool:
     return not (df.groupBy(*keys).count().where("count > 1").take(1))
 
 
+def join_order(tables: dict[str, DataFrame]) -> tuple[str, list[tuple[str, list[str]]]]:
+    """Start table and the (table, keys) joined to it in turn. A side is joined only on
+    a key that is unique there, as rows would multiply otherwise. The start is the table
+    from which most others can be reached; ties go to more shared columns."""
+    names = list(tables)
+    cols = {n: tables[n].columns for n in names}
+    checked: dict[tuple, bool] = {}
+
+    def unique(n, keys):
+        if (n, *keys) not in checked:
+            checked[(n, *keys)] = is_unique(tables[n], keys)
+        return checked[(n, *keys)]
+
+    def reach(start):
+        have, left, steps = list(cols[start]), [n for n in names if n != start], []
+        progress = True
+        while left and progress:
+            progress = False
+            for n in list(left):
+                keys = [c for c in have if c in cols[n]]
+                if keys and unique(n, keys):
+                    steps.append((n, keys))
+                    have += [c for c in cols[n] if c not in have]
+                    left.remove(n)
+                    progress = True
+        return steps
+
+    shared = {n: sum(len(set(cols[n]) & set(cols[m])) for m in names if m != n) for n in names}
+    plans = {n: reach(n) for n in names}
+    start = max(names, key=lambda n: (len(plans[n]), shared[n], -names.index(n)))
+    return start, plans[start]
+
+
 def assemble_tables(tables: dict[str, DataFrame], links: dict[str, tuple[str, str]] | None = None):
-    """Row-level view over several tables: LEFT JOINs from the table that shares most
-    columns. A side whose key repeats is left out, as joining it would multiply rows.
+    """Row-level view over several tables by LEFT JOINs on shared columns.
 
     ``links`` names equal keys with different names: {"c_custkey": ("orders", "o_custkey")}
     adds a copy of orders.o_custkey called c_custkey. Returns (view, note).
@@ -75,21 +107,12 @@ def assemble_tables(tables: dict[str, DataFrame], links: dict[str, tuple[str, st
     for target, (owner, source) in (links or {}).items():
         if target not in tables[owner].columns:
             tables[owner] = tables[owner].withColumn(target, col(source))
-    names = list(tables)
-    shared = {n: sum(len(set(tables[n].columns) & set(tables[m].columns)) for m in names if m != n)
-              for n in names}
-    centre = max(names, key=lambda n: (shared[n], -names.index(n)))
-    view, left, used = tables[centre], [n for n in names if n != centre], [centre]
-    progress = True
-    while left and progress:
-        progress = False
-        for n in list(left):
-            keys = [c for c in view.columns if c in tables[n].columns]
-            if keys and is_unique(tables[n], keys):
-                view = view.join(tables[n], keys, "left")
-                left.remove(n)
-                used.append(n)
-                progress = True
+    start, steps = join_order(tables)
+    view = tables[start]
+    for n, keys in steps:
+        view = view.join(tables[n], keys, "left")
+    used = [start] + [n for n, _ in steps]
+    left = [n for n in tables if n not in used]
     note = f"This view combines {', '.join(used)}." + (f" Left out: {', '.join(left)}." if left else "")
     return drop_duplicate_names(view), note
 
