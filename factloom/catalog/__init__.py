@@ -1,4 +1,4 @@
 """All named queries. Importing the area modules fills the registry."""
 
-from . import battery, surface, tables  # noqa: F401
+from . import battery, history, ingest, surface, tables  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

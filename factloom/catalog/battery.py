@@ -82,10 +82,10 @@ def missingness(t):
 
 
 @query("entities", """
-select c_name as entity, round(avg(o_totalprice), 2) as value from orders join customer on o_custkey = c_custkey
+select c_name as entity, round(avg(o_totalprice), 6) as value from orders join customer on o_custkey = c_custkey
 group by 1 order by avg(o_totalprice) desc, 1 limit 10""")
 def entities(t):
-    return rounded(probes.entities(joined(t), "c_name", "o_totalprice", "mean"), "value", digits=2)
+    return rounded(probes.entities(joined(t), "c_name", "o_totalprice", "mean"), "value", digits=6)
 
 
 _LEADERS = """(select o_custkey from orders group by 1 order by sum(o_totalprice) desc, 1 limit 10)"""
@@ -283,11 +283,11 @@ def scope_fail_open(t):
 
 
 @query("collapse_entity", """
-select o_custkey, round(avg(o_totalprice), 4) as o_totalprice, min(o_orderpriority) as o_orderpriority, round(avg(o_orderkey), 4) as o_orderkey
+select o_custkey, round(avg(o_totalprice), 6) as o_totalprice, min(o_orderpriority) as o_orderpriority, round(avg(o_orderkey), 6) as o_orderkey
 from orders group by 1""")
 def collapse_entity(t):
     df = t.orders.select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderkey")
-    return rounded(probes.collapse_entity(df, "o_custkey"), "o_totalprice", "o_orderkey")
+    return rounded(probes.collapse_entity(df, "o_custkey"), "o_totalprice", "o_orderkey", digits=6)
 
 
 # -- column choice ------------------------------------------------------------------
@@ -318,7 +318,7 @@ def focus_columns(t):
 
 
 @query("goal_match", f"""
-select event_id, cast(case event_id % 4 when 0 then 0 when 1 then 1 when 2 then 0 else 1 end as bigint) as user_tokens,
+select event_id, cast(case event_id % 4 when 1 then 1 else 0 end as bigint) as user_tokens,
   cast(case event_id % 4 when 0 then 0 when 3 then 1 else 0 end as bigint) as type_tokens from {_GOALS}""")
 def goal_match(t):
     g = F.col("goal")
@@ -372,7 +372,7 @@ def ground_columns(t):
 
 @query("agg_choice", """
 select 'window_qty' as name, 'sum' as agg union all select 'late', case when avg(cast(l_discount > 0.05 as int)) < 1.5 then 'sum' else 'mean' end from lineitem
-union all select 'l_tax', 'mean' union all select 'l_linenumber', case when avg(l_linenumber) < 1.5 then 'sum' else 'mean' end from lineitem""")
+union all select 'l_tax', 'mean' union all select 'l_linenumber', 'sum'""")
 def agg_choice(t):
     df = t.lineitem.select(F.col("l_quantity").alias("window_qty"), (F.col("l_discount") > 0.05).cast("int").alias("late"), "l_tax", "l_linenumber")
     return columns.agg_choice_table(stats.column_stats(df))
@@ -473,10 +473,10 @@ _PLAN = f"""(select position, case when position = 3 then '  ' else ' Part ' ||
 
 @query("plan_check", f"""
 with titled as (select *, row_number() over (order by position) as n from {_PLAN} where trim(title) <> ''),
-  i as (select n, position, trim(title) as title, unnest(ids) as id, generate_subscripts(ids, 1) as at from titled),
+  i as (select n, position, trim(title) as title, unnest(ids) as id, generate_subscripts(ids, 1) as pos from titled),
   v as (select * from i where id in (select id from {_FINDINGS})),
   o as (select *, min(n) over (partition by id) as own from v)
-select position, title, string_agg(id, ',' order by at) as finding_ids, cast(count(*) as bigint) as kept from o where own = n and n <= 6 group by 1, 2""")
+select position, title, string_agg(id, ',' order by pos) as finding_ids, cast(count(*) as bigint) as kept from o where own = n and n <= 6 group by 1, 2""")
 def plan_check(t):
     f = raw_findings(t)
     seq = F.col("seq")

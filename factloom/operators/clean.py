@@ -176,13 +176,19 @@ def audit(df: DataFrame) -> DataFrame:
     return clean(df)[1]
 
 
-def apply_cleaning(spark: SparkSession, source: str, target: str):
-    """Clean the Parquet table at ``source`` into the new path ``target``. Returns
-    (row count, column count, profile, change log)."""
-    fixed, changes, rows = plan_changes(spark.read.parquet(source))
+def clean_into(df: DataFrame, target: str):
+    """Clean ``df`` into the new path ``target``. Returns (row count, column count,
+    profile, change log). Duplicates are counted from the written table."""
+    spark = df.sparkSession
+    fixed, changes, rows = plan_changes(df)
     fixed.dropDuplicates().write.parquet(target)
     done = spark.read.parquet(target)
     kept = done.count()
     if rows - kept:
         changes.append(("drop_dup_rows", [], rows - kept))
     return kept, len(done.columns), profile(done), change_log(spark, changes)
+
+
+def apply_cleaning(spark: SparkSession, source: str, target: str):
+    """Clean the Parquet table at ``source`` into the new path ``target``."""
+    return clean_into(spark.read.parquet(source), target)
