@@ -19,7 +19,10 @@ CHART_TYPES = [
 ]
 # end of fixed values
 
-_PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_DIGITS = r"(?:,*\d[\d,]*(?:\.[\d,]*)?|,*\.,*\d[\d,]*)(?:[eE][+-]?\d+)?"
+_MONEY = rf"^\s*[{CURRENCY}]*\s*[+-]?{_DIGITS}\s*%*\s*$"
+# Shape that every date layout below shares; one test rules out ordinary text.
+_MAYBE_TIME = r"^\d{1,4}[-/ ]|^[A-Za-z]{3} \d"
 _LONGEST_TIME = 40
 _ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
 # pattern of the text -> Spark datetime pattern, month before day
@@ -46,17 +49,15 @@ def null_tokens(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """'$1,234' -> 1234.0, '45%' -> 45.0; anything else that is not a number -> null."""
-    bare = F.regexp_replace(F.trim(c), f"^[{CURRENCY}]+", "")
-    bare = F.regexp_replace(F.regexp_replace(F.trim(bare), "%+$", ""), ",", "")
-    bare = F.trim(bare)
-    return F.when(bare.rlike(_PLAIN_NUMBER), bare.try_cast("double"))
+    """'$1,234' -> 1234.0, '45%' -> 45.0; anything else that is not a number -> null.
+    One pattern checks the shape, then signs and separators are dropped."""
+    return F.when(c.rlike(_MONEY), F.translate(c, f"{CURRENCY}%, \t", "").try_cast("double"))
 
 
 def to_timestamp(c: Column) -> Column:
     """Dates in a fixed set of layouts; a bare year is not a date."""
-    short = F.when(F.length(c) <= _LONGEST_TIME, c)
-    out = F.when(short.rlike(_ISO_TIME), c.try_cast("timestamp"))
+    short = F.when((F.length(c) <= _LONGEST_TIME) & c.rlike(_MAYBE_TIME), c)
+    out = F.when(short.rlike(_ISO_TIME), short.try_cast("timestamp"))
     for shape, pattern in _OTHER_TIMES:
         out = out.when(short.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
     return out

@@ -121,15 +121,16 @@ def bin_edges(lo: float, hi: float, bins: int) -> list[float]:
     return [lo - 0.001 * (hi - lo), *edges[1:-1], hi]
 
 
-def histogram(df: DataFrame, column: str) -> DataFrame:
-    """(position, lo, hi, bin, count) with empty bins kept; every row is counted."""
+def histogram(df: DataFrame, column: str, known: tuple[float, float, int] | None = None) -> DataFrame:
+    """(position, lo, hi, bin, count) with empty bins kept; every row is counted.
+    ``known`` is (min, max, bins) when the caller has them already."""
     spark, field_ = df.sparkSession, df.schema[column]
     if not is_numeric(field_):
         if not isinstance(field_.dataType, T.StringType):
             raise QueryError(f"Histogram needs a numeric column, not '{column}'.")
         df = df.select(col(column).try_cast("double").alias(column))
     df = nan_to_null(df.select(col(column)))
-    found = bin_count(df, column)
+    found = known or bin_count(df, column)
     if found is None:
         raise QueryError(f"Histogram needs a numeric column, but '{column}' has no numeric values.")
     edges = bin_edges(*found)
@@ -176,13 +177,15 @@ def iso_share(c: Column) -> Column:
 
 def build_chart(chart_type: str, df: DataFrame, x: str, y: str | None = None, y2: str | None = None,
                 series: str | None = None, aggregate: str | None = None, title: str | None = None,
-                x_label: str | None = None, y_label: str | None = None, name_key: str | None = None) -> Chart:
-    """Encoding and rows for one chart, or QueryError when the request cannot be drawn."""
+                x_label: str | None = None, y_label: str | None = None, name_key: str | None = None,
+                x_kind: str | None = None, bins: tuple[float, float, int] | None = None) -> Chart:
+    """Encoding and rows for one chart, or QueryError when the request cannot be drawn.
+    ``x_kind`` and ``bins`` spare the jobs that would find them out."""
     if chart_type not in DRAWN_AS:
         raise QueryError(f"Unknown chart_type '{chart_type}'. Choose one of {CHART_TYPES}.")
     render, mark, stacked = DRAWN_AS[chart_type]
     if chart_type == "histogram":
-        data = histogram(df, x).orderBy("position").select("bin", "count")
+        data = histogram(df, x, bins).orderBy("position").select("bin", "count")
         return Chart("histogram", render, title, data, "bin", "category", [Series("count", "Count", "bar")],
                      xLabel=x_label or x, yLabel="Count")
     if not y:
@@ -191,7 +194,7 @@ def build_chart(chart_type: str, df: DataFrame, x: str, y: str | None = None, y2
         df = chart_agg(df, [x] + ([series] if series else []), [m for m in (y, y2) if m], aggregate)
     labels = dict(xLabel=x_label or x, yLabel=y_label or y)
     if render == "scatter":
-        return Chart(chart_type, render, title, df, x, x_type(df, x), seriesField=series, yKey=y,
+        return Chart(chart_type, render, title, df, x, x_kind or x_type(df, x), seriesField=series, yKey=y,
                      labelKey=name_key if name_key in df.columns else None, **labels)
     if render == "pie":
         return Chart(chart_type, render, title, df.select(col(x), col(y)), x, "category",
@@ -208,7 +211,7 @@ def build_chart(chart_type: str, df: DataFrame, x: str, y: str | None = None, y2
     else:
         data = df.select(col(x), col(y))
         drawn = [Series(y, y_label or y, mark, stackId=stack)]
-    return Chart(chart_type, render, title, data, x, x_type(data, x), drawn, **labels)
+    return Chart(chart_type, render, title, data, x, x_kind or x_type(data, x), drawn, **labels)
 
 
 def chart_from_sql(df: DataFrame, sql: str, chart_type: str, x: str, y: str | None = None, **kw) -> Chart:

@@ -3,15 +3,13 @@ themselves are one projection followed by one de-duplication."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
 from .profile import profile
-from .stats import col, nan_to_null
+from .stats import COLUMNS_PER_PASS, chunks, col, nan_to_null, union_all
 
 # Case variants are merged only in columns with few labels.
 CASE_MAX_LABELS = 60
@@ -45,18 +43,24 @@ def normalised_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: text.null_tokens(text.norm_text(col(c))) for c in names})
 
 
-def _first_pass(df: DataFrame):
-    """Token hits, parse rates, ranges and a label-count sketch of every column. Each
-    cell is normalised once and parsed once; the aggregates share the results."""
-    texts = {i for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)}
+def _first_pass(df: DataFrame) -> dict:
+    """Token hits, parse rates and ranges of every column. Each cell is normalised once
+    and parsed once; a few columns share an aggregate, so that Spark compiles it."""
+    out: dict = {}
+    for chunk in chunks(list(enumerate(df.schema)), COLUMNS_PER_PASS):
+        out.update(_rates(df, chunk).first().asDict())
+    return out
+
+
+def _rates(df: DataFrame, fields: list) -> DataFrame:
+    texts = {i for i, f in fields if isinstance(f.dataType, T.StringType)}
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-    normal = df.select(*[(text.norm_text(col(c)) if i in texts else col(c)).alias(f"c{i}")
-                         for i, c in enumerate(df.columns)])
+    normal = df.select(*[(text.norm_text(col(f.name)) if i in texts else col(f.name)).alias(f"c{i}") for i, f in fields])
     cells = normal.select("*", *[text.null_tokens(F.col(f"c{i}")).alias(f"v{i}") for i in texts])
     parsed = cells.select("*", *[p for i in texts for p in (
         text.to_number(F.col(f"v{i}")).alias(f"x{i}"), text.to_timestamp(F.col(f"v{i}")).alias(f"t{i}"))])
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema):
+    for i, f in fields:
         c = F.col(f"c{i}")
         if i in texts:
             v, number, moment = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"t{i}")
@@ -64,17 +68,24 @@ def _first_pass(df: DataFrame):
                      F.count(number).alias(f"num{i}"), F.count_if(text.has_digit(v)).alias(f"dig{i}"),
                      F.count(moment).alias(f"ts{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
                      (F.min(number) == F.max(number)).alias(f"onum{i}"),
-                     (F.min(moment) == F.max(moment)).alias(f"ots{i}"),
-                     F.approx_count_distinct(v, 0.05).alias(f"apx{i}")]
+                     (F.min(moment) == F.max(moment)).alias(f"ots{i}")]
         else:
             one = F.lit(False) if isinstance(f.dataType, nested) else F.min(c) == F.max(c)
             aggs += [F.count(c).alias(f"n{i}"), one.alias(f"one{i}")]
-    return parsed.agg(*aggs).first().asDict()
+    return parsed.agg(*aggs)
+
+
+def few_labels(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that may have at most CASE_MAX_LABELS values, by a sketch of fixed size."""
+    if not columns:
+        return []
+    about = df.agg(*[F.approx_count_distinct(col(c), 0.05) for c in columns]).first()
+    return [c for c, n in zip(columns, about) if n <= _CASE_PREFILTER]
 
 
 def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, value, lower, n) of low-cardinality text columns, in one job."""
-    return reduce(DataFrame.unionByName, [
+    return union_all([
         df.where(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit(c).alias("name"), "value", F.lower("value").alias("lower"), "n") for c in columns])
 
@@ -109,7 +120,7 @@ def plan_changes(df: DataFrame):
         elif n >= COERCE_MIN_VALUES and date_like and s[f"ts{i}"] >= COERCE_SHARE * rows:
             moments.append(c)
             s[f"one{i}"] = s[f"ots{i}"]
-        elif n and s[f"apx{i}"] <= _CASE_PREFILTER:
+        elif n:
             labels.append(c)
     if numbers:
         changes.append(("coerce_numeric", numbers, len(numbers)))
@@ -118,6 +129,7 @@ def plan_changes(df: DataFrame):
 
     ready = normalised_text(df)
     merged: dict[str, dict[str, str]] = {}
+    labels = few_labels(ready, labels)
     if labels:
         # At most about 130 labels per column reach the driver.
         found: dict[str, list] = {}

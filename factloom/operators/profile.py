@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,18 +62,16 @@ def _values(df: DataFrame, ordered_by: str | None) -> DataFrame:
                      .unionByName(sample.select(F.lit(f.name).alias("name"),
                                                 F.lit(None).cast("bigint").alias("distinct_count"),
                                                 "sample_values")))
-    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(
+    return stats.union_all(parts).groupBy("name").agg(
         F.max("distinct_count").alias("distinct_count"), F.max("sample_values").alias("sample_values"))
 
 
-def profile(df: DataFrame, ordered_by: str | None = None) -> DataFrame:
-    """One row per column. Samples are the five smallest distinct values, or the
-    first five by ``ordered_by``."""
-    df = stats.nan_to_null(df)
+def _flat(df: DataFrame, fields: list, with_stats: bool) -> DataFrame:
+    """Counts, ranges and date rates of a few columns from one aggregate."""
     aggs, shape = [F.count(F.lit(1)).alias("rows")], []
-    texts = {i: f.name for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)}
-    staged = df.select("*", *[text.to_timestamp(col(c)).alias(f"_ts{i}") for i, c in texts.items()])
-    for i, f in enumerate(df.schema):
+    texts = {i: f.name for i, f in fields if isinstance(f.dataType, T.StringType)}
+    staged = df.select(*[col(f.name) for _, f in fields], *[text.to_timestamp(col(c)).alias(f"_ts{i}") for i, c in texts.items()])
+    for i, f in fields:
         c, kind = col(f.name), plain_dtype(f)
         aggs.append(F.count(c).alias(f"n{i}"))
         lo = hi = F.lit(None).cast("string")
@@ -83,30 +79,51 @@ def profile(df: DataFrame, ordered_by: str | None = None) -> DataFrame:
         if kind in ("integer", "float", "datetime"):
             aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
             lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        elif isinstance(f.dataType, T.StringType):
+        elif i in texts:
             parsed = F.col(f"_ts{i}")
-            aggs += [F.count_if(text.has_digit(c)).alias(f"dig{i}"), F.count(parsed).alias(f"ts{i}"), F.min(parsed).cast("string").alias(f"lo{i}"),
-                     F.max(parsed).cast("string").alias(f"hi{i}")]
+            aggs += [F.count_if(text.has_digit(c)).alias(f"dig{i}"), F.count(parsed).alias(f"ts{i}"),
+                     F.min(parsed).cast("string").alias(f"lo{i}"), F.max(parsed).cast("string").alias(f"hi{i}")]
             date_like = is_date_like(F.col(f"n{i}"), F.col(f"dig{i}"), F.col(f"ts{i}"))
             lo, hi = F.when(date_like, F.col(f"lo{i}")), F.when(date_like, F.col(f"hi{i}"))
+        moments = []
+        if with_stats:
+            d = c.cast("double") if is_numeric(f) else None
+            made = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": stats.adjusted_skewness}
+            aggs += [fn(d).alias(f"{k}{i}") for k, fn in made.items() if d is not None]
+            moments = [(F.col(f"{k}{i}") if d is not None else F.lit(None).cast("double")).alias(k) for k in made]
         shape.append(F.struct(
+            F.lit(f.dataType.simpleString()).alias("type"), *moments,
             F.lit(f.name).alias("name"), F.lit(i).alias("position"), F.lit(kind).alias("plain"),
             date_like.alias("date_like"), F.col(f"n{i}").alias("n"),
             (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
             F.substring(lo, 1, 255).alias("min_value"), F.substring(hi, 1, 255).alias("max_value")))
-    flat = staged.agg(*aggs).select(F.inline(F.array(*shape)))
-    joined = flat.join(_values(df, ordered_by), "name")
+    return staged.agg(*aggs).select(F.inline(F.array(*shape)))
+
+
+def profile(df: DataFrame, ordered_by: str | None = None, with_stats: bool = False,
+            samples: bool = True) -> DataFrame:
+    """One row per column. Samples are the five smallest distinct values, or the
+    first five by ``ordered_by``. ``with_stats`` adds type, n, mean, std, min, max, skew
+    and spread from the same pass; without ``samples`` that column is null."""
+    df = stats.nan_to_null(df)
+    flat = stats.union_all([_flat(df, chunk, with_stats)
+                            for chunk in stats.chunks(list(enumerate(df.schema)), stats.COLUMNS_PER_PASS)])
+    values = _values(df, ordered_by) if samples else stats.distinct_counts(df).withColumn(
+        "sample_values", F.lit(None).cast("array<string>"))
+    joined = flat.join(values, "name")
     dtype = (F.when(F.col("plain").isNotNull(), F.col("plain"))
              .when(F.col("n") == 0, "text").when(F.col("date_like"), "datetime")
              .when(F.col("distinct_count") <= CATEGORICAL_RATIO * F.col("n"), "categorical")
              .otherwise("text"))
+    extra = ["type", "n", "mean", "std", "min", "max", "skew",
+             (F.col("std") / (F.abs("mean") + F.lit(1e-9))).alias("spread")] if with_stats else []
     return joined.select("name", dtype.alias("dtype"), F.col("position").cast("int"), "null_count",
-                         "distinct_count", "min_value", "max_value", "sample_values")
+                         "distinct_count", "min_value", "max_value", "sample_values", *extra)
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Profiles of many tables, with a leading ``table`` column."""
-    return reduce(DataFrame.unionByName, [
+    return stats.union_all([
         profile(df).select(F.lit(name).alias("table"), "*") for name, df in tables.items()])
 
 
@@ -160,7 +177,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 F.max("count").alias("freq")))
     out = base.join(quartiles, "name", "left")
     if tops:
-        out = out.join(reduce(DataFrame.unionByName, tops), "name", "left")
+        out = out.join(stats.union_all(tops), "name", "left")
     else:
         out = out.selectExpr("*", "cast(null as bigint) `unique`", "cast(null as string) top",
                              "cast(null as bigint) freq")

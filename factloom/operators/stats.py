@@ -15,6 +15,9 @@ from ..session import cut_lineage
 from . import ordered
 
 SMALL_QUANTILE_ROWS = 1_000_000
+# Spark compiles aggregates of up to 100 buffer fields; wider ones fall back to slow code.
+COLUMNS_PER_PASS = 6
+PAIRS_PER_PASS = 50
 
 
 def is_numeric(field: T.StructField) -> bool:
@@ -33,6 +36,14 @@ def col(name: str) -> Column:
     return F.col(q(name))
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Union by name as a balanced tree: the planner walks a shallow plan."""
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i]
+                 for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is 'missing' everywhere in this library."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -48,32 +59,39 @@ def adjusted_skewness(value: Column) -> Column:
         F.skewness(value) * F.sqrt(n * (n - 1)) / F.greatest(n - 2, F.lit(1.0))))
 
 
+def chunks(items: list, size: int) -> list[list]:
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
 def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column from one aggregate without a wide shuffle: position,
-    type, n, nulls, mean, std, min, max, spread, skew. Text columns carry only
-    counts and text min/max."""
-    aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
-    for i, f in enumerate(df.schema):
-        c = col(f.name)
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"),
-                 F.max(c).cast("string").alias(f"hi{i}")]
-        if is_numeric(f):
-            d = c.cast("double")
-            aggs += [F.avg(d).alias(f"avg{i}"), F.stddev_samp(d).alias(f"std{i}"),
-                     F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"),
-                     adjusted_skewness(d).alias(f"skew{i}")]
-            nums = [F.col(f"{k}{i}") for k in ("avg", "std", "min", "max", "skew")]
-        else:
-            nums = [F.lit(None).cast("double")] * 5
-        structs.append(F.struct(
-            F.lit(f.name).alias("name"), F.lit(i).alias("position"),
-            F.lit(f.dataType.simpleString()).alias("type"), F.col("_rows").alias("rows"),
-            F.col(f"n{i}").alias("n"), (F.col("_rows") - F.col(f"n{i}")).alias("nulls"),
-            *[v.alias(k) for k, v in zip(("mean", "std", "min", "max", "skew"), nums)],
-            F.col(f"lo{i}").alias("min_text"), F.col(f"hi{i}").alias("max_text")))
-    wide = df.agg(*aggs)
-    return (wide.select(F.inline(F.array(*structs)))
-            .withColumn("spread", F.col("std") / (F.abs("mean") + F.lit(1e-9))))
+    """One row per column without a wide shuffle: position, type, n, nulls, mean, std,
+    min, max, spread, skew. Text columns carry only counts and text min/max.
+
+    Six columns share an aggregate, which keeps its buffers within what Spark compiles;
+    on Parquet every such branch reads just its own columns."""
+    parts = []
+    for chunk in chunks(list(enumerate(df.schema)), COLUMNS_PER_PASS):
+        aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
+        for i, f in chunk:
+            c = col(f.name)
+            aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"),
+                     F.max(c).cast("string").alias(f"hi{i}")]
+            if is_numeric(f):
+                d = c.cast("double")
+                aggs += [F.avg(d).alias(f"avg{i}"), F.stddev_samp(d).alias(f"std{i}"),
+                         F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"),
+                         adjusted_skewness(d).alias(f"skew{i}")]
+                nums = [F.col(f"{k}{i}") for k in ("avg", "std", "min", "max", "skew")]
+            else:
+                nums = [F.lit(None).cast("double")] * 5
+            structs.append(F.struct(
+                F.lit(f.name).alias("name"), F.lit(i).alias("position"),
+                F.lit(f.dataType.simpleString()).alias("type"), F.col("_rows").alias("rows"),
+                F.col(f"n{i}").alias("n"), (F.col("_rows") - F.col(f"n{i}")).alias("nulls"),
+                *[v.alias(k) for k, v in zip(("mean", "std", "min", "max", "skew"), nums)],
+                F.col(f"lo{i}").alias("min_text"), F.col(f"hi{i}").alias("max_text")))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+    return union_all(parts).withColumn("spread", F.col("std") / (F.abs("mean") + F.lit(1e-9)))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, fused: bool = False) -> DataFrame:
@@ -93,7 +111,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, fused: bool
     parts = [df.select(col(c).alias("v")).where(F.col("v").isNotNull()).distinct()
              .agg(F.count(F.lit(1)).alias("distinct_count"))
              .select(F.lit(c).alias("name"), "distinct_count") for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def _kth_value(df: DataFrame, value: Column, k: int, n: int, small: int) -> float:
@@ -173,13 +191,38 @@ def pearson_expr(a: Column, b: Column) -> Column:
 
 
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for every pair a<b in column order; one aggregate for all."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[pearson_expr(col(a).cast("double"), col(b).cast("double")).alias(f"r{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"),
-                 F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    """(pair, a, b, r) for every pair a<b in column order.
+
+    A first narrow pass finds means, ranges and gaps. Pairs of columns without gaps then
+    need one sum each, of products of centred values; the other sums are shared by
+    column. Pairs with gaps are judged on the rows where both are present.
+    """
+    value = [col(c).cast("double") for c in columns]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[a for i, v in enumerate(value) for a in (
+        F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), (F.min(v) < F.max(v)).alias(f"v{i}"))]).first()
+    rows = seen["rows"]
+    full = [seen[f"n{i}"] == rows and rows > 0 for i in range(len(columns))]
+    centred = [v - F.lit(seen[f"m{i}"]) if full[i] else v for i, v in enumerate(value)]
+    pairs = [(n, i, j) for n, (i, j) in enumerate(combinations(range(len(columns)), 2))]
+    parts = []
+    for complete, size in ((True, PAIRS_PER_PASS), (False, PAIRS_PER_PASS // 10)):
+        chosen = [p for p in pairs if (full[p[1]] and full[p[2]]) == complete]
+        for chunk in chunks(chosen, size):
+            if complete:
+                used = sorted({i for _, *ij in chunk for i in ij})
+                wide = df.agg(*[a for i in used for a in (F.sum(centred[i]).alias(f"s{i}"), F.sum(centred[i] * centred[i]).alias(f"q{i}"))],
+                              *[F.sum(centred[i] * centred[j]).alias(f"p{n}") for n, i, j in chunk])
+                var = lambda i: F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / rows
+                r = {n: F.when(F.lit(bool(seen[f"v{i}"] and seen[f"v{j}"])), F.try_divide(
+                    F.col(f"p{n}") - F.col(f"s{i}") * F.col(f"s{j}") / rows, F.sqrt(var(i)) * F.sqrt(var(j)))) for n, i, j in chunk}
+                r = {n: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), e)) for n, e in r.items()}
+            else:
+                wide = df.agg(*[pearson_expr(value[i], value[j]).alias(f"r{n}") for n, i, j in chunk])
+                r = {n: F.col(f"r{n}") for n, _, _ in chunk}
+            parts.append(wide.select(F.inline(F.array(*[
+                F.struct(F.lit(n).alias("pair"), F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), r[n].alias("r"))
+                for n, i, j in chunk]))))
+    return union_all(parts)
 
 
 def _contingency(df: DataFrame, a: str, b: str) -> tuple[DataFrame, int, int]:
@@ -272,7 +315,7 @@ def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pe
         half = pearson_pairs(df, numeric).select("a", "b", "r")
     elif method in ("spearman", "kendall"):
         one = spearman_pair if method == "spearman" else kendall_pair
-        half = reduce(DataFrame.unionByName, [
+        half = union_all([
             one(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
             for a, b in combinations(numeric, 2)])
     else:

@@ -37,6 +37,8 @@ def local_session(cpus: int | str = 8, memory: str = "16g", app: str = "factloom
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
+        # Small test files: let every core read one.
+        .config("spark.sql.files.openCostInBytes", "262144")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

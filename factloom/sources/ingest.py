@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,32 +117,35 @@ def ingest_tables(spark: SparkSession, files: list[tuple[str, str]], target: str
             f"These files form {len(clusters)} distinct tables; the limit is {max_tables}. Files with matching "
             "columns are combined automatically — this upload has too many different schemas.")
     names = table_names(display[c.files[0]] for c in clusters)
-    tables, log_rows, all_clean = [], [], True
-    for i, (cluster, name) in enumerate(zip(clusters, names)):
-        raw = stack_tables(spark, cluster, headers)
+
+    def build(i: int, cluster: Cluster, name: str):
         folder = "data" if len(clusters) == 1 else f"table__{i}__{name}"
         staged, final = f"{target}/_staged/{folder}.parquet", f"{target}/{folder}.parquet"
         # The text is parsed once; typing, rates and cleaning then read Parquet columns.
-        raw.write.parquet(staged)
+        stack_tables(spark, cluster, headers).write.parquet(staged)
         cells = spark.read.parquet(staged)
         bad = cells.where(F.col(csv.BAD_RECORD).isNotNull()).count()
         typed = csv.infer_types(cells.drop(csv.BAD_RECORD))
-        if bad:
-            log_rows.append((name, "bad_records", [], bad))
+        log_rows, ok = ([(name, "bad_records", [], bad)] if bad else []), True
         try:
             rows, cols, profiled, changes = clean.clean_into(typed, final)
             log_rows += [(name, r["code"], r["columns"], r["n"]) for r in changes.collect()]
         except Exception:  # cleaning is best effort: the raw table stays usable
             log.warning("cleaning of %s failed; the raw table is kept", name, exc_info=True)
-            all_clean, final = False, f"{target}/{folder}_raw.parquet"
+            ok, final = False, f"{target}/{folder}_raw.parquet"
             typed.write.parquet(final)
             kept = spark.read.parquet(final)
             rows, cols, profiled = kept.count(), len(kept.columns), profile.profile(kept)
         first = display[cluster.files[0]]
         filename = first if len(cluster.files) == 1 else f"{first} +{len(cluster.files) - 1} more"
-        tables.append(Table(name, filename, final, rows, cols, profiled))
-    changes = spark.createDataFrame(log_rows, "table string, code string, columns array<string>, n bigint")
-    return tables, changes, all_clean
+        return Table(name, filename, final, rows, cols, profiled), log_rows, ok
+
+    # Tables do not depend on each other; small ones fill the gaps large ones leave.
+    with ThreadPoolExecutor(4) as pool:
+        built = list(pool.map(build, range(len(clusters)), clusters, names))
+    changes = spark.createDataFrame([r for _, rows, _ in built for r in rows],
+                                    "table string, code string, columns array<string>, n bigint")
+    return [t for t, _, _ in built], changes, all(ok for _, _, ok in built)
 
 
 def dataset_summary(spark: SparkSession, tables: list[Table], files: int) -> DataFrame:
