@@ -186,8 +186,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 def pearson_expr(a: Column, b: Column) -> Column:
     """Pairwise-complete r; null when either side is constant."""
     spread = (F.stddev_samp(F.when(b.isNotNull(), a)) * F.stddev_samp(F.when(a.isNotNull(), b)))
-    r = F.try_divide(F.covar_samp(a, b), spread)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return clipped(F.try_divide(F.covar_samp(a, b), spread))
+
+
+def clipped(r: Column) -> Column:
+    """Keep rounding from leaving [-1, 1]; ``least`` and ``greatest`` alone would turn a
+    missing r into 1."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,7 +220,7 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
                 var = lambda i: F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / rows
                 r = {n: F.when(F.lit(bool(seen[f"v{i}"] and seen[f"v{j}"])), F.try_divide(
                     F.col(f"p{n}") - F.col(f"s{i}") * F.col(f"s{j}") / rows, F.sqrt(var(i)) * F.sqrt(var(j)))) for n, i, j in chunk}
-                r = {n: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), e)) for n, e in r.items()}
+                r = {n: clipped(e) for n, e in r.items()}
             else:
                 wide = df.agg(*[pearson_expr(value[i], value[j]).alias(f"r{n}") for n, i, j in chunk])
                 r = {n: F.col(f"r{n}") for n, _, _ in chunk}
