@@ -431,14 +431,14 @@ _FINDINGS = f"""(select g as seq, 'f' || g as id, (['{"', '".join(_KINDS)}'])[g
 
 def raw_findings(t):
     g = F.col("o_custkey") % 40 * 3 + F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    total = t.orders.agg(F.count("*").alias("total"), F.lit(1).alias("k"))
-    per = t.orders.groupBy(g.alias("g"), "o_orderstatus").agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
+    per = t.orders.groupBy(g.alias("g"), "o_orderstatus").agg(F.count("*").alias("n"))
+    total = t.orders.agg(F.count("*")).scalar()
     gs = F.col("g").cast("string")
-    return per.join(F.broadcast(total), "k").select(
+    return per.select(
         F.col("g").alias("seq"), F.concat(F.lit("f"), gs).alias("id"),
         F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("g") % 8 + 1).cast("int")).alias("kind"),
         F.concat(F.lit("Group "), gs, F.lit(" of "), "o_orderstatus", F.lit(" holds "), F.col("n").cast("string"), F.lit(" orders, none missing")).alias("text"),
-        F.round(0.3 + 40.0 * F.col("n") / F.col("total"), 4).alias("importance"),
+        F.round(0.3 + 40.0 * F.col("n") / total, 4).alias("importance"),
         F.array(F.col("o_orderstatus"), F.concat(F.lit("c"), (F.col("g") % 5).cast("string"))).alias("columns"),
         F.when(F.col("g") % 3 > 0, F.concat(F.lit("c"), (F.col("g") % 25).cast("string"))).alias("chart_id"))
 

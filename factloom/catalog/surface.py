@@ -190,11 +190,10 @@ select o_orderpriority, count(distinct o_custkey) as customers, count(distinct o
 from orders group by o_orderpriority""")
 def sql_distinct_agg(t):
     o = t.orders
-    pairs = o.select("o_orderpriority", "o_orderstatus").distinct().agg(
-        F.count("*").alias("combinations"), F.lit(1).alias("k"))
-    per = o.groupBy("o_orderpriority").agg(
-        F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderstatus").alias("statuses"))
-    return per.withColumn("k", F.lit(1)).join(pairs, "k").drop("k")
+    pairs = o.select("o_orderpriority", "o_orderstatus").distinct().agg(F.count("*"))
+    return o.groupBy("o_orderpriority").agg(
+        F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderstatus").alias("statuses")
+    ).withColumn("combinations", pairs.scalar())
 
 
 _CUSTOMER_NATION = "customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
@@ -321,9 +320,9 @@ def sql_subquery(t):
     o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     rich = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
     own = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("own_avg"))
-    overall = o.agg(F.avg("o_totalprice").alias("all_avg"), F.lit(1).alias("k"))
-    return (o.join(rich, "o_custkey", "left_semi").join(own, "o_custkey").withColumn("k", F.lit(1))
-            .join(overall, "k").where("o_totalprice > 1.5 * own_avg and o_totalprice > all_avg")
+    overall = o.agg(F.avg("o_totalprice")).scalar()
+    return (o.join(rich, "o_custkey", "left_semi").join(own, "o_custkey")
+            .where((F.col("o_totalprice") > 1.5 * F.col("own_avg")) & (F.col("o_totalprice") > overall))
             .select("o_orderkey", "o_totalprice"))
 
 

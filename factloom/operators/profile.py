@@ -175,14 +175,12 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 F.lit(f.name).alias("name"), F.count(F.lit(1)).alias("unique"),
                 F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("top"),
                 F.max("count").alias("freq")))
-    out = base.join(quartiles, "name", "left")
-    if tops:
-        out = out.join(stats.union_all(tops), "name", "left")
-    else:
-        out = out.selectExpr("*", "cast(null as bigint) `unique`", "cast(null as string) top",
-                             "cast(null as bigint) freq")
-    return out.select(F.col("name").alias("column"), "count", "unique", "top", "freq", "mean", "std",
-                      "min", "p25", "p50", "p75", "max", "position")
+    # The three parts share no column but the name: stack them and keep what is there.
+    parts = base.unionByName(quartiles, allowMissingColumns=True)
+    parts = (parts.unionByName(stats.union_all(tops), allowMissingColumns=True) if tops else
+             parts.selectExpr("*", "cast(null as bigint) `unique`", "cast(null as string) top", "cast(null as bigint) freq"))
+    shown = ["count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max", "position"]
+    return parts.groupBy(F.col("name").alias("column")).agg(*[F.max(c).alias(c) for c in shown])
 
 
 def value_counts(df: DataFrame, column: str, limit: int = 20) -> DataFrame:

@@ -298,10 +298,8 @@ def kendall_pair(df: DataFrame, a: str, b: str,
     def ties(side):
         t = F.sum("w").cast("double")
         return cells.groupBy(side).agg((t * (t - 1) / 2).alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("t"))
-    ta, tb = ties("code").withColumnRenamed("t", "ta"), ties("b").withColumnRenamed("t", "tb")
-    one = score.select(F.lit(1).alias("k"), "s").join(ta.select(F.lit(1).alias("k"), "ta"), "k").join(
-        tb.select(F.lit(1).alias("k"), "tb"), "k")
-    return one.select(F.try_divide(F.col("s"), F.sqrt(F.lit(pairs) - F.col("ta")) * F.sqrt(F.lit(pairs) - F.col("tb"))).alias("r"))
+    ta, tb = ties("code").scalar(), ties("b").scalar()
+    return score.select(F.try_divide(F.col("s"), F.sqrt(F.lit(pairs) - ta) * F.sqrt(F.lit(pairs) - tb)).alias("r"))
 
 
 def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pearson",
