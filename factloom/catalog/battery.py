@@ -520,12 +520,45 @@ def default_recs(t):
     return findings.default_recommendations(ranked(t)).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("analyze")
+def _analysis_sql():
+    """The findings the goal below must lead to, in probe order. Only the segment
+    spreads depend on the data; the other weights are fixed by kind."""
+    dims, focus = ["c_mktsegment", "o_orderpriority", "r_name"], 0.45
+    rows, seq = [], 0
+
+    def add(kind, weight, cols):
+        nonlocal seq
+        seq += 1
+        rows.append(f"select {seq} as seq, '{kind}' as kind, {weight} as importance, '{'|'.join(cols)}' as columns")
+
+    add("overview", 0.25, [])
+    add("quality", 0.3, [])
+    add("entity", 1.05 + focus, ["c_name", "c_acctbal"])
+    add("entity", 0.9 + focus, ["c_name", "c_acctbal"])
+    add("segment", 0.95 + focus, ["c_mktsegment", "c_acctbal", "o_totalprice"])
+    for measure, agg in (("c_acctbal", "avg"), ("o_totalprice", "sum")):
+        for d in dims:
+            spread = (f"(select (max(v) - min(v)) / (abs(avg(v)) + 1e-9) from (select {agg}({measure}) as v from {VIEW} group by {d}))")
+            add("segment", f"0.45 + least({spread}, 1.0) * 0.4 + {focus}", [d, measure])
+    add("segment", 0.72 + focus, ["c_mktsegment", "o_orderpriority", "c_acctbal"])
+    add("cohort", 0.78 + focus, ["c_acctbal", "o_totalprice"])
+    add("crosstab", 0.5 + focus, ["c_mktsegment", "o_orderpriority"])
+    add("category", 0.3 + focus, ["c_mktsegment"])
+    add("category", 0.3, ["o_orderpriority"])
+    add("category", 0.3, ["r_name"])
+    add("distribution", 0.32 + focus, ["c_acctbal"])
+    add("distribution", 0.32 + focus, ["o_totalprice"])
+    add("trend", 0.7 + focus, ["o_orderdate", "c_acctbal"])
+    return ("select row_number() over (order by importance desc, seq) as rank, kind, round(importance, 4) as importance, columns from ("
+            + " union all ".join(rows) + ") qualify rank <= 18")
+
+
+@query("analyze", _analysis_sql())
 def analyze(t):
     """The whole battery over the assembled view."""
     goal = "Compare totalprice against acctbal by mktsegment"
     out = analysis.analyze(view(t), goal, Spec(entity_column="c_name", segment_dimensions=["c_mktsegment", "o_orderpriority", "r_name"]))
-    return out.findings.select("rank", "id", "kind", "text", F.round("importance", 4).alias("importance"), "chart_id")
+    return out.findings.select("rank", "kind", F.round("importance", 4).alias("importance"), F.array_join("columns", "|").alias("columns"))
 
 
 # -- signals ---------------------------------------------------------------------------
@@ -574,10 +607,30 @@ def signal_skews(t):
     return signals.skew_signals(df, ["value", "cubed"]).select(F.get("columns", F.lit(0)).alias("name"), F.round("score", 4).alias("score"))
 
 
-@query("signal_digest")
+def _digest_sql():
+    """Every pair, split and column of three tables, with the same thresholds."""
+    tables = {"lines": (LINES, ["l_quantity", "l_extendedprice", "l_discount", "tax", "revenue", "expected_revenue"], ["l_returnflag", "l_linestatus"], "l_shipdate"),
+              "boosted": (_BOOSTED, ["amount", "swing"], ["event_type", "tier"], None),
+              "orders": ("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], "o_orderdate")}
+    out = []
+    for name, (sql, nums, cats, time) in tables.items():
+        pairs = [f"select '{a}|{b}' as columns, abs(corr({a}, {b})) as score from {sql}" for i, a in enumerate(nums) for b in nums[i + 1:]]
+        out.append(f"select * from (select '{name}' as \"table\", 'correlation' as kind, columns, score from ({' union all '.join(pairs)}) where score >= 0.4 order by score desc limit 4)")
+        splits = [f"""select '{n}|{c}' as columns, case when min(m) > 0 then case when max(m) / min(m) >= 1.5 then max(m) / min(m) end
+          else case when (max(m) - min(m)) / (select stddev_samp({n}) from {sql}) >= 1.0 then (max(m) - min(m)) / (select stddev_samp({n}) from {sql}) end end as score
+          from (select avg({n}) as m from {sql} group by {c})""" for c in cats for n in nums]
+        out.append(f"select * from (select '{name}', 'contrast', columns, score from ({' union all '.join(splits)}) where score is not null order by score desc limit 4)")
+        if time:
+            out.append(f"select '{name}', 'time', '{time}', 1.0")
+        skews = [f"select '{n}' as columns, abs(skewness({n})) as score from {sql}" for n in nums]
+        out.append(f"select * from (select '{name}', 'skew', columns, score from ({' union all '.join(skews)}) where score >= 2.0 order by score desc limit 4)")
+    return 'select "table", kind, columns, round(score, 4) as score from (' + " union all ".join(out) + ")"
+
+
+@query("signal_digest", _digest_sql())
 def signal_digest(t):
     return signals.signal_digest({"lines": lines(t), "boosted": boosted(t), "orders": t.orders}).select(
-        "table", "kind", F.round("score", 4).alias("score"), "text")
+        "table", "kind", F.array_join("columns", "|").alias("columns"), F.round("score", 4).alias("score"))
 
 
 # -- chart data ---------------------------------------------------------------------------

@@ -387,28 +387,28 @@ def balance_batch(t):
 
 
 @query("trend_stream", """
-select strftime(cast(ts as date), '%Y-%m-%d') as day, round(avg(value), 4) as mean, count(value) as n from events group by 1""")
+select strftime(cast(ts as date), '%Y-%m-%d') as day, round(avg(value), 8) as mean, count(value) as n from events group by 1""")
 def trend_stream(t):
     stream = batches.table_stream(t.spark, t.sf_dir, "events")
     out = batches.latest(batches.collected(t.spark, trends.trend_stream(stream, "ts", "value"), "trend", "update"), ["start", "end"])
-    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.round("mean", 4).alias("mean"), "n")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.round("mean", 8).alias("mean"), "n")
 
 
 @query("trend_stream_sliding", """
 with d as (select generate_series as start from generate_series(timestamp '2023-12-31 12:00:00', timestamp '2024-02-05', interval 12 hour))
-select strftime(start, '%Y-%m-%d %H') as start, event_type, round(avg(value), 4) as mean, count(value) as n
+select strftime(start, '%Y-%m-%d %H') as start, event_type, round(avg(value), 8) as mean, count(value) as n
 from d join events on ts >= start and ts < start + interval 1 day group by 1, 2""")
 def trend_stream_sliding(t):
     stream = batches.table_stream(t.spark, t.sf_dir, "events")
     s = trends.trend_stream(stream, "ts", "value", "1 day", "12 hours", keys=["event_type"])
     out = batches.latest(batches.collected(t.spark, s, "sliding", "update"), ["start", "end", "event_type"])
-    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", F.round("mean", 4).alias("mean"), "n")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", F.round("mean", 8).alias("mean"), "n")
 
 
 @query("trend_stream_sessions", """
 with g as (select *, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
   s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(value) as n, round(avg(value), 4) as mean from s group by user_id, session""")
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(value) as n, round(avg(value), 8) as mean from s group by user_id, session""")
 def trend_stream_sessions(t):
     stream = batches.table_stream(t.spark, t.sf_dir, "events")
     s = trends.session_stream(stream, "ts", "value", ["user_id"], "6 hours", late="40 days")
@@ -416,4 +416,4 @@ def trend_stream_sessions(t):
     out = batches.collected(t.spark, s, "sessions", "complete")
     last = out.agg(F.max("batch_id")).first()[0]
     return out.where(F.col("batch_id") == last).select(
-        "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 4).alias("mean"))
+        "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 8).alias("mean"))

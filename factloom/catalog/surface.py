@@ -280,11 +280,18 @@ def sql_frames(t):
 
 @query("rolling_agg", """
 select event_id, round(avg(value) over (partition by user_id order by ts, event_id
-       rows between 6 preceding and current row), 4) as rolling
+       rows between 6 preceding and current row), 8) as rolling
 from events""")
 def rolling_agg(t):
     return joins.rolling_agg(t.events, ["user_id"], ["ts", "event_id"], 7, F.avg("value"), "rolling").select(
-        "event_id", F.round("rolling", 4).alias("rolling"))
+        "event_id", F.round("rolling", 8).alias("rolling"))
+
+
+@query("rolling_span", """
+select event_id, count(*) over (partition by user_id order by cast(epoch(ts) as bigint) range between 21600 preceding and current row) as recent
+from events""")
+def rolling_span(t):
+    return joins.rolling_span(t.events, ["user_id"], "ts", 21600, F.count("*"), "recent").select("event_id", "recent")
 
 
 _A = "select o_custkey % 50 as k from orders where o_orderpriority = '1-URGENT'"

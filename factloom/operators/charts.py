@@ -28,6 +28,9 @@ DRAWN_AS = {
 # end of fixed values
 
 
+MAX_SERIES = 1000
+
+
 @dataclass
 class Series:
     key: str
@@ -83,9 +86,12 @@ def chart_agg(df: DataFrame, keys: list[str], measures: list[str], aggregate: st
 
 
 def series_values(df: DataFrame, series: str) -> list:
-    """Distinct series values: each becomes a column, so the list is small by nature."""
-    rows = df.where(col(series).isNotNull()).select(col(series)).distinct().orderBy(col(series)).collect()
-    return [r[0] for r in rows]
+    """Distinct series values. Each becomes a column, so a series with too many of them
+    is refused, not cut."""
+    found = df.where(col(series).isNotNull()).select(col(series)).distinct().limit(MAX_SERIES + 1).collect()
+    if len(found) > MAX_SERIES:
+        raise QueryError(f"'{series}' has more than {MAX_SERIES} values; too many for chart series.")
+    return sorted(r[0] for r in found)
 
 
 def pivot_series(df: DataFrame, x: str, series: str, y: str, values: list | None = None) -> DataFrame:

@@ -52,10 +52,15 @@ def rolling_agg(df: DataFrame, keys: list[str], order: list[str], n: int, agg: C
 
 
 def rolling_span(df: DataFrame, keys: list[str], at: str, seconds: int, agg: Column,
-                 name: str) -> DataFrame:
-    """``agg`` over the rows of each key in the last ``seconds``."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_seconds(at)).rangeBetween(-seconds, 0)
-    return df.withColumn(name, agg.over(w))
+                 name: str, spans_per_block: int = 16) -> DataFrame:
+    """``agg`` over the rows of each key in the last ``seconds``. Time is cut into blocks
+    of several spans; rows at the end of a block are also shown to the next one."""
+    second, block = F.unix_seconds(F.col(at)), F.lit(seconds * spans_per_block)
+    own, last = F.floor(second / block), F.floor((second + seconds) / block)
+    shown = df.select("*", F.posexplode(F.when(last > own, F.array(own, last)).otherwise(F.array(own)))
+                      .alias("_copy", "_block"))
+    w = Window.partitionBy(*keys, "_block").orderBy(second).rangeBetween(-seconds, 0)
+    return shown.withColumn(name, agg.over(w)).where("_copy = 0").select(*df.columns, name)
 
 
 def is_unique(df: DataFrame, keys: list[str]) -> bool:

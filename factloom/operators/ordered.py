@@ -93,10 +93,13 @@ def _merge(item: Running, carried: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], items: list[Running],
-            rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
+            rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None,
+            bounds: list[float] | None = None) -> DataFrame:
     """``df`` plus one running value per item. Keys must not be null; ``order[0]``
-    is a number, date or timestamp and ``order`` as a whole is unique per key."""
-    bounds = range_bounds(df, order[0], rows_per_range, at_most)
+    is a number, date or timestamp and ``order`` as a whole is unique per key. ``bounds``
+    reuses the ranges of an earlier call over the same order."""
+    if bounds is None:
+        bounds = range_bounds(df, order[0], rows_per_range, at_most)
     sort = [F.col(c).asc_nulls_first() for c in order]
     if not bounds:
         window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*sort)

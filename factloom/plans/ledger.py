@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import ROWS_PER_RANGE, Running, running
+from ..operators.ordered import ROWS_PER_RANGE, Running, range_bounds, running
 
 # Prices and terms.
 BASE_COST = {"quick": 5, "standard": 10, "deep": 20}
@@ -93,9 +93,10 @@ def clamped_removal(ledger: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     max(b + x, 0) applied step by step equals the plain running sum minus its lowest
     value so far (if below zero), so no step-by-step state is needed.
     """
-    summed = running(ledger, ["user_id"], ["ts", "id"], [Running("_sum", "sum", F.col("amount"))], rows_per_range)
+    bounds = range_bounds(ledger, "ts", rows_per_range)
+    summed = running(ledger, ["user_id"], ["ts", "id"], [Running("_sum", "sum", F.col("amount"))], bounds=bounds)
     low = running(summed, ["user_id"], ["ts", "id"], [
-        Running("_low", "min", F.col("_sum")), Running("_low_before", "min", F.col("_sum"), inclusive=False)], rows_per_range)
+        Running("_low", "min", F.col("_sum")), Running("_low_before", "min", F.col("_sum"), inclusive=False)], bounds=bounds)
     floor = lambda c: F.least(F.lit(0).cast("bigint"), F.coalesce(c, F.lit(0).cast("bigint")))
     before = F.col("_sum") - F.col("amount") - floor(F.col("_low_before"))
     return low.select(*ledger.columns, (F.col("_sum") - floor(F.col("_low"))).alias("available"),
