@@ -377,7 +377,7 @@ _STEPS = f"""(with recursive m as (select *, row_number() over (partition by use
 
 @query("balance_stream", f"select * from {_STEPS}")
 def balance_stream(t):
-    m = moves(batches.table_stream(t.spark, t.sf_dir, "events"))
+    m = moves(batches.table_stream(t.spark, t.sf_dir, "events", 1 << 30))
     return batches.collected(t.spark, balance_streams.balance_stream(m), "balances").drop("batch_id")
 
 

@@ -39,24 +39,35 @@ def is_date_like(n: Column, digits: Column, parsed: Column) -> Column:
     return (n > 0) & (digits >= 0.9 * n) & (parsed >= 0.9 * n)
 
 
+def _smallest(df: DataFrame, c: Column, n: int = SAMPLES_PER_COLUMN) -> DataFrame:
+    """The ``n`` smallest distinct values by repeated minimum: for long texts, whose
+    distinct values are never shuffled as such."""
+    found = [df.agg(F.min(c)).scalar()]
+    for _ in range(n - 1):
+        found.append(df.where(c > found[-1]).agg(F.min(c)).scalar())
+    return df.sparkSession.range(1).select(F.array_compact(F.array(*found)).alias("s"))
+
+
 def _values(df: DataFrame, ordered_by: str | None) -> DataFrame:
     """Distinct values, samples and counts per column: (name, distinct_count,
     sample_values). The count and the samples share one exchange per column."""
+    long = stats.long_text_columns(df)
     parts = []
     for f in df.schema:
         c = col(f.name)
+        value = lambda x: x["v"]
         if ordered_by:
             base = (df.select(c.alias("v"), col(ordered_by).alias("at")).where(F.col("v").isNotNull())
                     .groupBy("v").agg(F.min("at").alias("at")))
-            order = [F.col("at"), F.col("v")]
+            listed = base.orderBy("at", "v").limit(SAMPLES_PER_COLUMN).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s"))
+        elif f.name in long:
+            base = df.select(stats.distinct_key(c, True).alias("v")).where(F.col("v").isNotNull()).distinct()
+            listed, value = _smallest(df, c), lambda x: x
         else:
             base = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct()
-            order = [F.col("v")]
+            listed = base.orderBy("v").limit(SAMPLES_PER_COLUMN).agg(F.sort_array(F.collect_list(F.struct("v"))).alias("s"))
         count = base.agg(F.count(F.lit(1)).alias("distinct_count"))
-        first = base.orderBy(*order).limit(SAMPLES_PER_COLUMN)
-        keys = [c for c in ("at",) if ordered_by] + ["v"]
-        sample = first.agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("s")).select(
-            F.transform("s", lambda x: F.substring(x["v"].cast("string"), 1, 255)).alias("sample_values"))
+        sample = listed.select(F.transform("s", lambda x: F.substring(value(x).cast("string"), 1, 255)).alias("sample_values"))
         parts.append(count.select(F.lit(f.name).alias("name"), "distinct_count",
                                   F.lit(None).cast("array<string>").alias("sample_values"))
                      .unionByName(sample.select(F.lit(f.name).alias("name"),

@@ -18,6 +18,7 @@ SMALL_QUANTILE_ROWS = 1_000_000
 # Spark compiles aggregates of up to 100 buffer fields; wider ones fall back to slow code.
 COLUMNS_PER_PASS = 6
 PAIRS_PER_PASS = 50
+LONG_TEXT = 128
 
 
 def is_numeric(field: T.StructField) -> bool:
@@ -94,7 +95,24 @@ def column_stats(df: DataFrame) -> DataFrame:
     return union_all(parts).withColumn("spread", F.col("std") / (F.abs("mean") + F.lit(1e-9)))
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None, fused: bool = False) -> DataFrame:
+def long_text_columns(df: DataFrame, rows: int = 200) -> set[str]:
+    """Text columns whose cells look long, judged by a few rows. This picks a cheaper
+    way to the same result, never the result."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return set()
+    seen = df.select(*[F.length(col(c)).alias(f"l{i}") for i, c in enumerate(texts)]).limit(rows).agg(
+        *[F.avg(f"l{i}") for i in range(len(texts))]).first()
+    return {c for c, n in zip(texts, seen) if (n or 0) > LONG_TEXT}
+
+
+def distinct_key(c: Column, long: bool) -> Column:
+    """What to shuffle to tell values apart: long texts travel as their SHA-256 digest."""
+    return F.sha2(c, 256) if long else c
+
+
+def distinct_counts(df: DataFrame, columns: list[str] | None = None, fused: bool = False,
+                    long: set[str] | None = None) -> DataFrame:
     """Exact distinct non-null count per column as (name, distinct_count).
 
     Default: one narrow ``distinct`` per column, united. On Parquet or a cached
@@ -103,50 +121,69 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, fused: bool
     row per column: better when the input is an expensive plan that is not stored.
     """
     columns = columns or df.columns
+    long = long_text_columns(df.select(*[col(c) for c in columns])) if long is None else long
+    keys = {c: distinct_key(col(c), c in long) for c in columns}
     if fused:
-        wide = df.agg(*[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)])
+        wide = df.agg(*[F.count_distinct(keys[c]).alias(f"d{i}") for i, c in enumerate(columns)])
         return wide.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("name"), F.col(f"d{i}").alias("distinct_count"))
             for i, c in enumerate(columns)])))
-    parts = [df.select(col(c).alias("v")).where(F.col("v").isNotNull()).distinct()
-             .agg(F.count(F.lit(1)).alias("distinct_count"))
-             .select(F.lit(c).alias("name"), "distinct_count") for c in columns]
-    return union_all(parts)
-
-
-def _kth_value(df: DataFrame, value: Column, k: int, n: int, small: int) -> float:
-    """Exact k-th smallest (0-based) of ``n`` values by narrowing a bracket.
-
-    A bounded sketch proposes the bracket, an exact count confirms it; each round
-    keeps about 1/2500 of the rows, so two or three scans settle any size. The
-    last step ranks at most ``small`` values.
-    """
-    lo = hi = None
-    below, inside = 0, n
-    while inside > small:
-        seen = df if lo is None else df.where((value >= lo) & (value <= hi))
-        at = (k - below) / max(inside - 1, 1)
-        probs = [max(0.0, at - 2e-4), min(1.0, at + 2e-4)]
-        a, b = seen.agg(F.percentile_approx(value, probs, 10_000).alias("p")).first()["p"]
-        under, upto = df.agg(F.count_if(value < a), F.count_if(value <= b)).first()
-        if not under <= k < upto:
-            # The sketch missed the rank: keep the side that holds it.
-            if k < under:
-                a, b, under, upto = lo, a, below, under + df.where(value == a).count()
-                if a is None:
-                    a = df.agg(F.min(value)).first()[0]
-            else:
-                a, b, under, upto = b, hi, df.where(value < b).count(), below + inside
-                if b is None:
-                    b = df.agg(F.max(value)).first()[0]
-        if a == b:
-            return float(a)
-        if (a, b) == (lo, hi):
+    return union_all([df.select(keys[c].alias("v")).where(F.col("v").isNotNull()).distinct()
+                      .agg(F.count(F.lit(1)).alias("distinct_count"))
+                      .select(F.lit(c).alias("name"), "distinct_count") for c in columns])
+
+
+class _Target:
+    """Search for the k-th smallest value (0-based) of one column: it lies in [lo, hi],
+    which holds ``inside`` values with ``below`` smaller ones before them."""
+
+    def __init__(self, column: str, k: int, lo: float, hi: float, n: int) -> None:
+        self.column, self.k, self.lo, self.hi, self.below, self.inside = column, k, lo, hi, 0, n
+        self.value: float | None = lo if lo == hi else None
+        self.stuck = False
+
+    def probes(self) -> list[float]:
+        at = (self.k - self.below) / max(self.inside - 1, 1)
+        return [max(0.0, at - 2e-4), min(1.0, at + 2e-4)]
+
+    def narrow(self, a, b, under_a, upto_a, under_b, upto_b) -> None:
+        before = (self.lo, self.hi)
+        if under_a <= self.k < upto_a:
+            self.value = a
+        elif under_b <= self.k < upto_b:
+            self.value = b
+        elif self.k < under_a:  # the sketch missed on this side
+            self.hi, self.inside = a, upto_a - self.below
+        elif self.k >= upto_b:
+            self.lo, self.below, self.inside = b, under_b, self.below + self.inside - under_b
+        else:
+            self.lo, self.hi, self.below, self.inside = a, b, under_a, upto_b - under_a
+        self.stuck = self.value is None and (self.lo, self.hi) == before
+
+
+def _kth_values(df: DataFrame, targets: list[_Target], small: int) -> None:
+    """Settle all targets together. Per round a bounded sketch proposes a bracket for
+    each and exact counts confirm it; about 1 row in 2500 stays, so two or three rounds
+    of two scans do for any size. What is left is ranked with ``value_ranks``."""
+    value = lambda t: col(t.column).cast("double")
+    within = lambda t: F.when((value(t) >= t.lo) & (value(t) <= t.hi), value(t))
+    while True:
+        todo = [t for t in targets if t.value is None and not t.stuck and t.inside > small]
+        if not todo:
             break
-        lo, hi, below, inside = a, b, under, upto - under
-    seen = df if lo is None else df.where((value >= lo) & (value <= hi))
-    ranked = ordered.value_ranks(seen.select(value.alias("value")), "value")
-    return float(ranked.where(F.col("before") <= k - below).agg(F.max("value")).first()[0])
+        for chunk in chunks(todo, 12):
+            found = df.agg(*[F.percentile_approx(within(t), t.probes(), 10_000).alias(f"p{i}") for i, t in enumerate(chunk)]).first()
+            counts = df.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, t in enumerate(chunk) for j, test in enumerate(
+                [value(t) < found[i][0], value(t) <= found[i][0], value(t) < found[i][1], value(t) <= found[i][1]])]).first()
+            for i, t in enumerate(chunk):
+                t.narrow(found[i][0], found[i][1], *counts[4 * i:4 * i + 4])
+    rest = [t for t in targets if t.value is None]
+    if rest:
+        ranked = [ordered.value_ranks(df.select(within(t).alias("value")), "value", at_most=t.inside)
+                  .where(F.col("before") <= t.k - t.below).agg(F.max("value").alias("v")).select(F.lit(i).alias("i"), "v")
+                  for i, t in enumerate(rest)]
+        for r in union_all(ranked).collect():
+            rest[r["i"]].value = r["v"]
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -154,33 +191,38 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     """Linear-interpolated quantiles of every column, exact at any size. Spark's
     ``percentile`` keeps one value map per column in a single task, so it is used
     only up to ``small`` values."""
-    counts = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[i] for i, c in enumerate(columns)}
+    seen = df.agg(*[a for i, c in enumerate(columns) for a in (
+        F.count(col(c)).alias(f"n{i}"), F.min(col(c).cast("double")).alias(f"lo{i}"), F.max(col(c).cast("double")).alias(f"hi{i}"))]).first()
+    sizes = {c: seen[f"n{i}"] for i, c in enumerate(columns)}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if not sizes[c]}
     few = [c for c in columns if 0 < sizes[c] <= small]
     if few:
         row = df.agg(*[F.percentile(col(c).cast("double"), F.array(*[F.lit(p) for p in probs]))
                        .alias(f"p{i}") for i, c in enumerate(few)]).first()
         out.update({c: list(row[i]) for i, c in enumerate(few)})
-    for c in columns:
-        if sizes[c] <= small:
-            continue
-        n, value = sizes[c], col(c).cast("double")
-        picked = df.select(value.alias("v")).where(F.col("v").isNotNull())
-        ranks: dict[int, float] = {}
+    targets: dict[tuple[str, int], _Target] = {}
+    for i, c in enumerate(columns):
+        if sizes[c] > small:
+            for p in probs:
+                for k in _around(p, sizes[c])[:2]:
+                    targets.setdefault((c, k), _Target(c, k, seen[f"lo{i}"], seen[f"hi{i}"], sizes[c]))
+    _kth_values(df, list(targets.values()), small)
+    for c in {c for c, _ in targets}:
+        out[c] = []
         for p in probs:
-            at = p * (n - 1)
-            for k in {int(at), min(int(at) + (at > int(at)), n - 1)}:
-                if k not in ranks:
-                    ranks[k] = _kth_value(picked, F.col("v"), k, n, small)
-        def at_prob(p):
-            at = p * (n - 1)
-            low, high = int(at), min(int(at) + (at > int(at)), n - 1)
-            return ranks[low] + (at - low) * (ranks[high] - ranks[low])
-        out[c] = [at_prob(p) for p in probs]
+            low, high, share = _around(p, sizes[c])
+            a, b = targets[c, low].value, targets[c, high].value
+            out[c].append(a + share * (b - a))
     return out
 
 
+def _around(p: float, n: int) -> tuple[int, int, float]:
+    """Ranks on both sides of quantile ``p`` and the share of the way to the upper one."""
+    at = p * (n - 1)
+    low = int(at)
+    return low, min(low + (at > low), n - 1), at - low
+
+
 # -- correlation ------------------------------------------------------------
 
 def pearson_expr(a: Column, b: Column) -> Column:

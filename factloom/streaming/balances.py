@@ -42,7 +42,8 @@ class _Balance(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         available, held = self.balance.get() if self.balance.exists() else (0, 0)
-        # One user's share of one micro-batch; the trigger bounds it.
+        # One user's share of one micro-batch: give the source a maxBytesPerTrigger of about
+        # a gigabyte. Backlogs go through ``balance_batch``, which holds no user in memory.
         out, available, held = _apply(pd.concat(list(rows)), key[0], int(available), int(held))
         self.balance.update((available, held))
         yield out

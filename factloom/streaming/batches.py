@@ -32,11 +32,12 @@ def latest(results: DataFrame, keys: list[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str, bytes_per_batch: int = 64 << 30) -> DataFrame:
     """A given table as a file stream; zone-less times become TIMESTAMP, as watermarks
-    need them."""
+    need them. ``bytes_per_batch`` bounds a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option(
+        "maxBytesPerTrigger", bytes_per_batch).parquet(sf_dir)
     typed = read_table(spark, sf_dir, name).schema
     return raw.select(*[F.col(f.name).cast(f.dataType) for f in typed])
 

@@ -35,6 +35,17 @@ def test_quantiles_with_a_hot_value(spark):
     assert stats.exact_quantiles(df, ["v"], [0.05, 0.5, 0.95], small=10)["v"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("small", [3, 50])
+def test_quantiles_of_skewed_columns(spark, small):
+    rnd = random.Random(2)
+    rows = [(float(2 ** rnd.randint(-40, 90)), float(rnd.choice([0, 0, 0, 1])), rnd.random()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "e double, z double, u double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = stats.exact_quantiles(df, ["e", "z", "u"], probs, small=small)
+    for c in got:
+        assert got[c] == pytest.approx(list(df.toPandas()[c].quantile(probs)), rel=1e-12, abs=1e-12)
+
+
 def test_pearson_matches_pandas_with_and_without_gaps(numbers):
     want = numbers.toPandas().corr()
     for r in stats.pearson_pairs(numbers, ["a", "b", "c", "k"]).collect():
@@ -105,6 +116,20 @@ def test_profile_statistics_come_along(numbers):
     assert got["c"]["null_count"] == int(pdf["c"].isna().sum())
 
 
+def test_long_texts_are_counted_by_digest(spark):
+    rows = [("x" * 300 + str(i % 40), "s") for i in range(200)] + [(None, "s"), ("x" * 300 + "1", None)]
+    df = spark.createDataFrame(rows, "body string, short string")
+    assert stats.long_text_columns(df) == {"body"}
+    got = {r["name"]: r for r in profile.profile(df).collect()}
+    assert got["body"]["distinct_count"] == 40 and got["body"]["null_count"] == 1
+    assert got["body"]["sample_values"] == [v[:255] for v in sorted({r[0] for r in rows if r[0]})[:5]]
+    assert "sha2" in distinct_plan(df)
+
+
+def distinct_plan(df):
+    return stats.distinct_counts(df, ["body"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fused_distinct_counts_agree(numbers, as_rows):
     assert as_rows(stats.distinct_counts(numbers)) == as_rows(stats.distinct_counts(numbers, fused=True))
 
