@@ -415,7 +415,7 @@ def _idea_sql():
 
 @query("idea_table", _idea_sql())
 def idea_table(t):
-    profiles = profile.profile_tables({n: getattr(t, n) for n in _IDEA_TABLES})
+    profiles = profile.profile_tables({n: getattr(t, n) for n in _IDEA_TABLES}, samples=False)
     return columns.idea_table(profiles).select("table", "position", "title")
 
 

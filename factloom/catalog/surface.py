@@ -288,7 +288,7 @@ def rolling_agg(t):
 
 
 @query("rolling_span", """
-select event_id, count(*) over (partition by user_id order by cast(epoch(ts) as bigint) range between 21600 preceding and current row) as recent
+select event_id, count(*) over (partition by user_id order by ts range between interval 6 hour preceding and current row) as recent
 from events""")
 def rolling_span(t):
     return joins.rolling_span(t.events, ["user_id"], "ts", 21600, F.count("*"), "recent").select("event_id", "recent")

@@ -43,7 +43,7 @@ def profile_orders(t):
        f"(select case when count(distinct {c}) <= 0.5 * count({c}) then 'categorical' else 'text' end from documents)") +
        " as dtype"))
 def semantic_dtype(t):
-    return profile.profile(t.documents).select("name", "dtype")
+    return profile.profile(t.documents, samples=False).select("name", "dtype")
 
 
 @query("sample_values", "select 'event_type' as name, string_agg(v, '|' order by seen) as samples from "
@@ -103,7 +103,7 @@ select 'text', 'benchmark|conversations|documents',
        greatest((select count(distinct text) from documents), (select count(distinct text) from benchmark),
                 (select count(distinct text) from conversations))""")
 def shared_columns(t):
-    profiles = profile.profile_tables({n: getattr(t, n) for n in ("documents", "labels", "benchmark", "conversations")})
+    profiles = profile.profile_tables({n: getattr(t, n) for n in ("documents", "labels", "benchmark", "conversations")}, samples=False)
     found = profile.shared_columns(profiles)
     most = profiles.groupBy("name").agg(F.max("distinct_count").alias("most_values"))
     return found.join(most, "name").select("name", F.array_join("tables", "|").alias("tables"), "most_values")
@@ -113,7 +113,7 @@ def shared_columns(t):
 select distinct 'o_orderstatus' as name, o_orderstatus as value from orders union all
 select distinct 'o_orderpriority', o_orderpriority from orders""")
 def dimension_values(t):
-    return profile.dimension_values(t.orders, profile.profile(t.orders))
+    return profile.dimension_values(t.orders, profile.profile(t.orders, samples=False))
 
 
 _DESCRIBE = ["c_custkey", "c_nationkey", "c_acctbal"]

@@ -55,11 +55,12 @@ def rolling_span(df: DataFrame, keys: list[str], at: str, seconds: int, agg: Col
                  name: str, spans_per_block: int = 16) -> DataFrame:
     """``agg`` over the rows of each key in the last ``seconds``. Time is cut into blocks
     of several spans; rows at the end of a block are also shown to the next one."""
-    second, block = F.unix_seconds(F.col(at)), F.lit(seconds * spans_per_block)
-    own, last = F.floor(second / block), F.floor((second + seconds) / block)
+    reach = seconds * 1_000_000
+    moment, block = F.unix_micros(F.col(at)), F.lit(reach * spans_per_block)
+    own, last = F.floor(moment / block), F.floor((moment + reach) / block)
     shown = df.select("*", F.posexplode(F.when(last > own, F.array(own, last)).otherwise(F.array(own)))
                       .alias("_copy", "_block"))
-    w = Window.partitionBy(*keys, "_block").orderBy(second).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(*keys, "_block").orderBy(moment).rangeBetween(-reach, 0)
     return shown.withColumn(name, agg.over(w)).where("_copy = 0").select(*df.columns, name)
 
 

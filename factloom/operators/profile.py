@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,10 +134,11 @@ def profile(df: DataFrame, ordered_by: str | None = None, with_stats: bool = Fal
                          "distinct_count", "min_value", "max_value", "sample_values", *extra)
 
 
-def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], samples: bool = True) -> DataFrame:
     """Profiles of many tables, with a leading ``table`` column."""
-    return stats.union_all([
-        profile(df).select(F.lit(name).alias("table"), "*") for name, df in tables.items()])
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda df: profile(df, samples=samples), tables.values()))
+    return stats.union_all([df.select(F.lit(name).alias("table"), "*") for name, df in zip(tables, found)])
 
 
 def shared_columns(profiles: DataFrame) -> DataFrame:
