@@ -261,8 +261,10 @@ def apply_pandas(t):
 @query("apply_pandas_grouped", """
 select o_custkey, max(o_totalprice) - min(o_totalprice) as span from orders group by 1""")
 def apply_pandas_grouped(t):
-    def span(frame):
+    """Lowest and highest price per customer and batch, merged by Spark."""
+    def ends(frame):
         price = frame["o_totalprice"]
-        return pd.DataFrame({"o_custkey": [frame["o_custkey"].iloc[0]], "span": [price.max() - price.min()]})
+        return pd.DataFrame({"o_custkey": [frame["o_custkey"].iloc[0]], "lo": [price.min()], "hi": [price.max()]})
 
-    return udf.apply_pandas(t.orders.select("o_custkey", "o_totalprice"), span, "o_custkey bigint, span double", by=["o_custkey"])
+    return udf.apply_pandas_merged(t.orders.select("o_custkey", "o_totalprice"), ends, "o_custkey bigint, lo double, hi double",
+                                   ["o_custkey"], [(F.max("hi") - F.min("lo")).alias("span")])

@@ -3,10 +3,9 @@ with the DataFrame API (and through the guard where the guard is the feature).""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import joins, sqlguard
+from ..operators import joins, ordered, sqlguard
 from .registry import query
 
 
@@ -240,12 +239,10 @@ select o_orderkey, row_number() over w as rn, rank() over (partition by o_custke
        round(percent_rank() over w, 4) as pr
 from orders window w as (partition by o_custkey order by o_totalprice, o_orderkey)""")
 def sql_rank_windows(t):
-    w = W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-    p = W.partitionBy("o_custkey").orderBy("o_orderpriority")
-    return t.orders.select(
-        "o_orderkey", F.row_number().over(w).cast("bigint").alias("rn"),
-        F.rank().over(p).cast("bigint").alias("rk"), F.dense_rank().over(p).cast("bigint").alias("drk"),
-        F.ntile(3).over(w).cast("bigint").alias("tile"), F.round(F.percent_rank().over(w), 4).alias("pr"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    ranked = ordered.row_ranks(o, ["o_custkey"], ["o_totalprice", "o_orderkey"], tiles=3)
+    labels = ordered.label_ranks(ranked, ["o_custkey"], "o_orderpriority")
+    return labels.select("o_orderkey", "rn", "rk", "drk", "tile", F.round("pr", 4).alias("pr"))
 
 
 @query("sql_lag_lead", """
@@ -255,11 +252,12 @@ select o_orderkey, lag(o_totalprice) over w as previous, lead(o_totalprice) over
          rows between unbounded preceding and unbounded following) as last_price
 from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
 def sql_lag_lead(t):
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return t.orders.select(
-        "o_orderkey", F.lag("o_totalprice").over(w).alias("previous"), F.lead("o_totalprice").over(w).alias("next"),
-        F.first("o_totalprice").over(w).alias("first_price"), F.last("o_totalprice").over(whole).alias("last_price"))
+    keys, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    near = ordered.framed(o, keys, order, 1, 1, {
+        "previous": lambda w: F.lag("o_totalprice").over(w), "next": lambda w: F.lead("o_totalprice").over(w)})
+    whole = ordered.ends(near, keys, order, {"first_price": "o_totalprice"}, {"last_price": "o_totalprice"})
+    return whole.select("o_orderkey", "previous", "next", "first_price", "last_price")
 
 
 @query("sql_frames", """
@@ -271,11 +269,12 @@ select o_orderkey,
                       rows between 1 following and 3 following) as max_next3
 from orders""")
 def sql_frames(t):
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    year = W.partitionBy("o_custkey").orderBy(F.unix_seconds("o_orderdate")).rangeBetween(-31536000, 0)
-    return t.orders.select(
-        "o_orderkey", F.count("*").over(w.rowsBetween(-2, 0)).alias("last3"),
-        F.count("*").over(year).alias("past_year"), F.max("o_totalprice").over(w.rowsBetween(1, 3)).alias("max_next3"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    rows = ordered.framed(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], 2, 3, {
+        "last3": lambda w: F.count("*").over(w.rowsBetween(-2, 0)),
+        "max_next3": lambda w: F.max("o_totalprice").over(w.rowsBetween(1, 3))})
+    year = joins.rolling_span(rows, ["o_custkey"], "o_orderdate", 31536000, F.count("*"), "past_year")
+    return year.select("o_orderkey", "last3", "past_year", "max_next3")
 
 
 @query("rolling_agg", """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import QueryError
-from .ordered import ROWS_PER_RANGE, Running, numbered, running
+from .ordered import ROWS_PER_RANGE, Running, framed, running
 from .sqlguard import drop_duplicate_names
 from .stats import col
 
@@ -38,17 +38,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], value:
 
 def rolling_agg(df: DataFrame, keys: list[str], order: list[str], n: int, agg: Column,
                 name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``agg`` over the last ``n`` rows of each key. Rows are numbered per key and cut
-    into blocks; the last n-1 rows of a block are also shown to the next one, so a
-    busy key is spread over many tasks."""
-    block = max(rows_per_range, n)
-    rn = numbered(df, keys, order, "_rn", rows_per_range).withColumn("_rn", F.col("_rn") - 1)
-    own = F.floor(F.col("_rn") / block)
-    spill = F.col("_rn") % block > block - n
-    shown = rn.select("*", F.posexplode(
-        F.when(spill, F.array(own, own + 1)).otherwise(F.array(own))).alias("_copy", "_block"))
-    w = Window.partitionBy(*keys, "_block").orderBy("_rn").rowsBetween(-(n - 1), 0)
-    return shown.withColumn(name, agg.over(w)).where("_copy = 0").select(*df.columns, name)
+    """``agg`` over the last ``n`` rows of each key."""
+    return framed(df, keys, order, n - 1, 0, {name: lambda w: agg.over(w.rowsBetween(-(n - 1), 0))}, rows_per_range)
 
 
 def rolling_span(df: DataFrame, keys: list[str], at: str, seconds: int, agg: Column,

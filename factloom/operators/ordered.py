@@ -11,6 +11,7 @@ pre-aggregated row per (key, range).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -142,3 +143,51 @@ def value_ranks(df: DataFrame, column: str, weight: Column | None = None,
     return running(counts, [], ["value"], [
         Running("_upto", "sum", F.col("n")), Running("dense", "sum", F.lit(1).cast("bigint")),
     ], rows_per_range, at_most).select("value", "n", (F.col("_upto") - F.col("n")).alias("before"), "dense")
+
+
+def framed(df: DataFrame, keys: list[str], order: list[str], before: int, after: int,
+           columns: dict[str, Callable], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Window columns that look at most ``before`` rows back and ``after`` rows ahead of
+    each row of its key (lag, lead, ROWS frames). ``columns`` maps a name to a function
+    of the window. Rows are numbered per key and cut into blocks; the rows at the edges
+    of a block are also shown to its neighbours, so a busy key is spread over many tasks."""
+    block = max(rows_per_range, before + after + 1)
+    rn = numbered(df, keys, order, "_rn", rows_per_range).withColumn("_rn", F.col("_rn") - 1)
+    own, at = F.floor(F.col("_rn") / block), F.col("_rn") % block
+    shown = rn.select("*", F.posexplode(F.array_compact(F.array(
+        own, F.when(at >= block - before, own + 1), F.when((at < after) & (own > 0), own - 1)))).alias("_copy", "_block"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_rn")
+    done = shown.withColumns({name: make(w) for name, make in columns.items()})
+    return done.where("_copy = 0").select(*df.columns, *columns)
+
+
+def row_ranks(df: DataFrame, keys: list[str], order: list[str], tiles: int,
+              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds rn, tile and pr: row_number, ntile(tiles) and percent_rank of a unique order,
+    all from the running count and the size of the key."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rn = numbered(df, keys, order, "rn", rows_per_range).join(sizes, keys)
+    small, extra = F.floor(F.col("_n") / tiles), F.col("_n") % tiles
+    head = extra * (small + 1)  # the first tiles hold one row more
+    tile = F.when(F.col("rn") <= head, F.ceil(F.col("rn") / (small + 1))).otherwise(
+        extra + F.ceil((F.col("rn") - head) / F.greatest(small, F.lit(1))))
+    pr = F.when(F.col("_n") > 1, (F.col("rn") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    return rn.select(*df.columns, "rn", tile.cast("bigint").alias("tile"), pr.alias("pr"))
+
+
+def label_ranks(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Adds rk and drk: rank and dense_rank by a label with few values per key. Rows are
+    counted per label first, so the window sees labels, not rows."""
+    per = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(label)
+    smaller = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = per.select(*keys, label, (smaller + 1).alias("rk"), F.row_number().over(w).cast("bigint").alias("drk"))
+    return df.join(ranks, [*keys, label])
+
+
+def ends(df: DataFrame, keys: list[str], order: list[str], first: dict[str, str], last: dict[str, str]) -> DataFrame:
+    """Adds the first and last value of columns per key: {new name: column}."""
+    at = F.struct(*[F.col(c) for c in order])
+    per = df.groupBy(*keys).agg(*[F.min_by(c, at).alias(n) for n, c in first.items()],
+                                *[F.max_by(c, at).alias(n) for n, c in last.items()])
+    return df.join(per, keys)

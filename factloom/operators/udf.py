@@ -5,20 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..model import SQL_MAX_ROWS
+from ..model import SQL_MAX_ROWS, QueryError
 from .sqlguard import SqlResult, limited
 
+MAX_GROUP_ROWS = 1_000_000
 
-def apply_pandas(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                 by: list[str] | None = None) -> DataFrame:
-    """``fn`` on Arrow batches of rows, or on each whole group when ``by`` is given. A
-    group must then fit one task, which only the caller can know: use it for keys whose
-    groups are small."""
-    if by:
-        return df.groupBy(*by).applyInPandas(fn, schema)
+PandasFunction = Callable[[pd.DataFrame], pd.DataFrame]
 
+
+def apply_pandas(df: DataFrame, fn: PandasFunction, schema: str) -> DataFrame:
+    """``fn`` on Arrow batches of rows, for work that looks at one row at a time."""
     def batches(frames):
         for frame in frames:
             yield fn(frame)
@@ -26,7 +25,29 @@ def apply_pandas(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sche
     return df.mapInPandas(batches, schema)
 
 
-def run_user_function(df: DataFrame, fn, schema: str, by: list[str] | None = None,
-                      max_rows: int = SQL_MAX_ROWS) -> SqlResult:
+def apply_pandas_merged(df: DataFrame, fn: PandasFunction, schema: str, by: list[str],
+                        merge: list[Column]) -> DataFrame:
+    """Grouped work on groups of any size: ``fn`` sums up the rows that a key has in one
+    Arrow batch, and ``merge`` combines those partial rows. Raw rows are not shuffled."""
+    def batches(frames):
+        for frame in frames:
+            parts = [fn(rows) for _, rows in frame.groupby(by, sort=False, dropna=False)]
+            if parts:
+                yield pd.concat(parts)
+
+    return df.mapInPandas(batches, schema).groupBy(*by).agg(*merge)
+
+
+def apply_pandas_whole(df: DataFrame, fn: PandasFunction, schema: str, by: list[str],
+                       max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """``fn`` on each whole group. A group must fit one task, so the sizes are checked
+    first; larger groups need ``apply_pandas_merged``."""
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > max_rows:
+        raise QueryError(f"A group has {largest:,} rows; the limit is {max_rows:,}. Use apply_pandas_merged.")
+    return df.groupBy(*by).applyInPandas(fn, schema)
+
+
+def run_user_function(df: DataFrame, fn: PandasFunction, schema: str, max_rows: int = SQL_MAX_ROWS) -> SqlResult:
     """As ``apply_pandas``, with the first ``max_rows`` records brought back."""
-    return limited(apply_pandas(df, fn, schema, by), max_rows)
+    return limited(apply_pandas(df, fn, schema), max_rows)

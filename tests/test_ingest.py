@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.model import QueryError
 from factloom.operators import udf
 from factloom.session import scratch_dir
 from factloom.sources import archives, csv, ingest
@@ -180,5 +181,10 @@ def test_user_function(spark):
     df = spark.createDataFrame([("A", 10, 5), ("A", 20, 5), ("B", 5, 1)], "team string, pts long, reb long")
     out = udf.run_user_function(df, lambda f: f.assign(total=f["pts"] + f["reb"]), "team string, pts long, reb long, total long", max_rows=2)
     assert out.row_count == 2 and out.truncated and out.columns[-1] == "total"
-    means = udf.apply_pandas(df, lambda f: pd.DataFrame({"team": [f["team"].iloc[0]], "m": [f["pts"].mean()]}), "team string, m double", by=["team"])
-    assert {r["team"]: r["m"] for r in means.collect()} == {"A": 15.0, "B": 5.0}
+    mean = lambda f: pd.DataFrame({"team": [f["team"].iloc[0]], "m": [f["pts"].mean()]})
+    assert {r["team"]: r["m"] for r in udf.apply_pandas_whole(df, mean, "team string, m double", ["team"]).collect()} == {"A": 15.0, "B": 5.0}
+    with pytest.raises(QueryError):
+        udf.apply_pandas_whole(df, mean, "team string, m double", ["team"], max_rows=1)
+    part = lambda f: pd.DataFrame({"team": [f["team"].iloc[0]], "s": [f["pts"].sum()], "n": [len(f)]})
+    merged = udf.apply_pandas_merged(df.repartition(3), part, "team string, s long, n long", ["team"], [(F.sum("s") / F.sum("n")).alias("m")])
+    assert {r["team"]: r["m"] for r in merged.collect()} == {"A": 15.0, "B": 5.0}

@@ -83,6 +83,33 @@ def test_rolling_blocks_equal_one_window(hot):
     assert len(merged) == 600 and (merged["r"] == merged["want"]).all()
 
 
+@pytest.mark.parametrize("size", [10_000, 11])
+def test_frames_across_blocks(hot, size):
+    got = ordered.framed(hot, ["user"], ["at", "id"], 1, 2, {
+        "prev": lambda w: F.lag("x").over(w), "next2": lambda w: F.lead("x", 2).over(w)}, rows_per_range=size).toPandas()
+    pdf = hot.toPandas().sort_values(["user", "at", "id"])
+    pdf["p"], pdf["n"] = pdf.groupby("user")["x"].shift(1), pdf.groupby("user")["x"].shift(-2)
+    m = got.merge(pdf[["id", "p", "n"]], on="id")
+    assert len(m) == 600 and m["prev"].equals(m["p"]) and m["next2"].equals(m["n"])
+
+
+@pytest.mark.parametrize("tiles", [1, 3, 7])
+def test_row_ranks_equal_window_functions(hot, tiles):
+    from pyspark.sql import Window
+    w = Window.partitionBy("user").orderBy("at", "id")
+    want = hot.select("id", F.row_number().over(w).alias("rn"), F.ntile(tiles).over(w).alias("tile"), F.percent_rank().over(w).alias("pr")).toPandas()
+    m = ordered.row_ranks(hot, ["user"], ["at", "id"], tiles, rows_per_range=30).toPandas().merge(want, on="id")
+    assert len(m) == 600 and (m["rn_x"] == m["rn_y"]).all() and (m["tile_x"] == m["tile_y"]).all() and (m["pr_x"] - m["pr_y"]).abs().max() < 1e-12
+
+
+def test_span_blocks_equal_one_window(spark, hot):
+    timed = hot.withColumn("ts", F.timestamp_micros(F.col("at") * 1_000_000))
+    got = joins.rolling_span(timed, ["user"], "ts", 60, F.sum("x"), "r", spans_per_block=2).toPandas()
+    pdf = hot.toPandas()
+    want = {r.id: pdf[(pdf["user"] == r.user) & (pdf["at"] <= r.at) & (pdf["at"] >= r.at - 60)]["x"].sum() for r in pdf.itertuples()}
+    assert {r.id: r.r for r in got.itertuples()} == want
+
+
 def test_range_join_brute_force(spark):
     base = pd.Timestamp("2024-01-01")
     pts = [(i, base + pd.Timedelta(minutes=i * 37)) for i in range(200)]
