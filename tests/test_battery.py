@@ -77,6 +77,21 @@ def test_ids_are_not_measures(football):
     assert "row_id" not in b.numeric and "goals_conceded" in b.numeric
 
 
+def test_nested_columns_are_left_out(spark):
+    df = spark.createDataFrame([([float(i), 1.0], i % 3, i * 1.5) for i in range(40)], "vec array<double>, label long, score double")
+    out = analysis.analyze(df)
+    assert out.skipped == [] and not any("vec" in r["columns"] for r in out.findings.collect())
+
+
+def test_empty_and_tiny_tables(spark):
+    empty = spark.createDataFrame([], "a double, b string")
+    out = analysis.analyze(empty)
+    assert out.skipped == [] and {r["kind"] for r in out.findings.collect()} <= {"overview", "quality"}
+    one = spark.createDataFrame([(1.0, "x"), (None, None)], "a double, b string")
+    assert analysis.analyze(one).skipped == []
+    assert signals.table_signals(empty).count() == 0
+
+
 def test_cohorts_skip_tied_edges(spark):
     df = spark.createDataFrame([(0.0, 1.0)] * 60 + [(float(i), 2.0) for i in range(1, 20)], "m double, o double")
     assert probes.cohort_means(df, "m", ["o"]) is None
