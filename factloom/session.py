@@ -22,11 +22,27 @@ RUNTIME_CONF = {
 }
 
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PARTITIONS_PER_CORE = 8
+MAX_PARTITIONS = 40_000
+
+
+def initial_partitions(cores: int, configured: int) -> int:
+    """Shuffle partitions to start from. Adaptive execution merges small ones but never
+    splits, so the start must suit the largest shuffle the cluster can run."""
+    return max(configured, min(MAX_PARTITIONS, cores * PARTITIONS_PER_CORE))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options every operator relies on; cluster sizing is left alone."""
+    """Set the runtime options every operator relies on. On a cluster shuffles start with
+    a number of partitions that grows with it, unless the session names one."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    local = spark.sparkContext.master.startswith("local")
+    if not local and spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        start = initial_partitions(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.conf.set(INITIAL_PARTITIONS, str(start))
     return spark
 
 
