@@ -45,6 +45,11 @@ def rounded(df, *names, digits=4):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def big(df, *names):
+    """Ranks as BIGINT, as the oracle has them."""
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
 @query("assemble_tables", f"""
 select r_name, c_mktsegment, count(*) as n, round(avg(o_totalprice), 4) as avg_price from {VIEW} group by 1, 2""")
 def assemble_tables(t):
@@ -128,7 +133,7 @@ def performance_gap(t):
 select l_returnflag as key, round(avg(revenue - expected_revenue), 4) as gap,
   row_number() over (order by avg(revenue - expected_revenue) desc, l_returnflag) as rank, count(*) over () as groups from {LINES} group by 1""")
 def gap_by_segment(t):
-    return rounded(probes.gap_by_segment(lines(t), "l_returnflag", "revenue", "expected_revenue"), "gap")
+    return big(rounded(probes.gap_by_segment(lines(t), "l_returnflag", "revenue", "expected_revenue"), "gap"), "rank")
 
 
 @query("correlations", f"""
@@ -222,8 +227,8 @@ def _segment_sql(d, top=15):
 @query("segments", "\nunion all\n".join(_segment_sql(d) for d in _DIMS))
 def segments(t):
     facts = probes.group_facts(view(t), [(d,) for d in _DIMS], ["o_totalprice"])
-    return rounded(probes.segments(facts, _DIMS, "o_totalprice", "mean"), "value", "spread").select(
-        "dimension", "key", "value", "rank", "groups", "spread")
+    return big(rounded(probes.segments(facts, _DIMS, "o_totalprice", "mean"), "value", "spread").select(
+        "dimension", "key", "value", "rank", "groups", "spread"), "rank")
 
 
 @query("segments_total", f"""
@@ -231,7 +236,7 @@ select l_returnflag as key, round(sum(l_quantity), 2) as value, row_number() ove
 from {LINES} group by 1""")
 def segments_total(t):
     facts = probes.group_facts(lines(t), [("l_returnflag",)], ["l_quantity"])
-    return rounded(probes.segments(facts, ["l_returnflag"], "l_quantity", "sum"), "value", digits=2).select("key", "value", "rank")
+    return big(rounded(probes.segments(facts, ["l_returnflag"], "l_quantity", "sum"), "value", digits=2).select("key", "value", "rank"), "rank")
 
 
 @query("two_way_segments", f"""
@@ -248,7 +253,7 @@ select '{d}' as dimension, key, round(a, 4) as a, round(b, 4) as b, rank, groups
   count(*) over () as groups from {VIEW} group by 1) where rank <= 15""" for d in ("c_mktsegment", "n_name")))
 def measures_across_dims(t):
     facts = probes.group_facts(joined(t), [("c_mktsegment",), ("n_name",)], ["o_totalprice", "c_acctbal"])
-    return rounded(probes.measures_across(facts, ["c_mktsegment", "n_name"], "o_totalprice", "c_acctbal"), "a", "b", "ratio")
+    return big(rounded(probes.measures_across(facts, ["c_mktsegment", "n_name"], "o_totalprice", "c_acctbal"), "a", "b", "ratio"), "rank")
 
 
 @query("crosstabs", f'select o_orderpriority as k1, o_orderstatus as k2, count(*) as "count" from {VIEW} group by 1, 2')
@@ -263,7 +268,7 @@ select * from (select '{d}' as dimension, {d} as value, count(*) as "count", row
   where rank <= 12""" for d in ("p_brand", "p_type")))
 def categories(t):
     facts = probes.group_facts(t.part, [("p_brand",), ("p_type",)])
-    return rounded(probes.categories(facts, ["p_brand", "p_type"]), "share")
+    return big(rounded(probes.categories(facts, ["p_brand", "p_type"]), "share"), "rank")
 
 
 # -- rows in scope ----------------------------------------------------------------
@@ -455,7 +460,7 @@ def ranked(t):
 
 @query("rank_findings", f"select rank, id, kind, round(importance, 4) as importance, chart_id from {_RANKED}")
 def rank_findings(t):
-    return rounded(ranked(t), "importance").select("rank", "id", "kind", "importance", "chart_id")
+    return big(rounded(ranked(t), "importance").select("rank", "id", "kind", "importance", "chart_id"), "rank")
 
 
 @query("section_plan", f"""
@@ -463,8 +468,8 @@ with s as (select case kind {' '.join(f"when '{k}' then {i}" for i, (_, ks) in e
 select row_number() over (order by section) as position, ([{', '.join("'" + x + "'" for x, _ in findings.SECTIONS)}])[section + 1] as title,
   string_agg(id, ',' order by rank) as finding_ids, coalesce(string_agg(chart_id, ',' order by rank), '') as chart_ids from s group by section order by section limit 4""")
 def section_plan(t):
-    return findings.section_plan(ranked(t)).select("position", "title", F.array_join("finding_ids", ",").alias("finding_ids"),
-                                                   F.array_join("chart_ids", ",").alias("chart_ids"))
+    return big(findings.section_plan(ranked(t)).select("position", "title", F.array_join("finding_ids", ",").alias("finding_ids"),
+                                                   F.array_join("chart_ids", ",").alias("chart_ids")), "position")
 
 
 _PLAN = f"""(select position, case when position = 3 then '  ' else ' Part ' || position || ' ' end as title, ids from (
@@ -497,8 +502,8 @@ def finding_lookup(t):
     k = F.col("o_orderkey")
     name = lambda n: F.concat(F.lit("f"), (k % n).cast("string"))
     requests = t.orders.select(k.alias("request"), F.array(name(120), name(7), F.lit("f999")).alias("ids"))
-    return findings.finding_lookup(requests, raw_findings(t)).groupBy("id", "position").agg(
-        F.count("*").alias("asked"), F.max("importance").alias("importance"))
+    return big(findings.finding_lookup(requests, raw_findings(t)).groupBy("id", "position").agg(
+        F.count("*").alias("asked"), F.max("importance").alias("importance")), "position")
 
 
 @query("top_chart", f"select arg_min(chart_id, rank) as chart_id from {_RANKED} where chart_id is not null")
@@ -558,7 +563,7 @@ def analyze(t):
     """The whole battery over the assembled view."""
     goal = "Compare totalprice against acctbal by mktsegment"
     out = analysis.analyze(view(t), goal, Spec(entity_column="c_name", segment_dimensions=["c_mktsegment", "o_orderpriority", "r_name"]))
-    return out.findings.select("rank", "kind", F.round("importance", 4).alias("importance"), F.array_join("columns", "|").alias("columns"))
+    return big(out.findings.select("rank", "kind", F.round("importance", 4).alias("importance"), F.array_join("columns", "|").alias("columns")), "rank")
 
 
 # -- signals ---------------------------------------------------------------------------

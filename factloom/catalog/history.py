@@ -264,7 +264,7 @@ def dashboard_kpis(t):
 @query("affordability", f"""
 with b as (select user_id, cast(sum(amount) as bigint) as available from {_MOVES} group by 1),
   q as (select user_id, dataset_id, count(*) * 2500 as row_count from {REPORTS} group by 1, 2)
-select q.user_id, q.dataset_id, case when row_count >= 50000 then 15 else 10 end as cost, coalesce(available, 0) as available,
+select q.user_id, q.dataset_id, cast(case when row_count >= 50000 then 15 else 10 end as bigint) as cost, coalesce(available, 0) as available,
   coalesce(available, 0) >= case when row_count >= 50000 then 15 else 10 end as affordable from q left join b on b.user_id = q.user_id""")
 def affordability(t):
     quotes = reports(t).groupBy("user_id", "dataset_id").agg((F.count("*") * 2500).alias("row_count"))

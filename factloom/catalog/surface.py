@@ -373,7 +373,7 @@ def sql_scalar_dates(t):
 
 @query("sql_scalar_math", """
 select c_custkey, round(c_acctbal, 1) as r1, abs(c_acctbal) as magnitude, ceil(c_acctbal) as up,
-       floor(c_acctbal) as down, sign(c_acctbal) as s, round(sqrt(abs(c_acctbal)), 4) as root,
+       floor(c_acctbal) as down, cast(sign(c_acctbal) as int) as s, round(sqrt(abs(c_acctbal)), 4) as root,
        c_custkey % 7 as m, greatest(c_acctbal, 0) as clamped, round(ln(abs(c_acctbal) + 1), 4) as logged
 from customer""")
 def sql_scalar_math(t):
