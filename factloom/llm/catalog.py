@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from .common import table
+from .disclosure import personal_data, span_digests
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .pieces import encode_pieces, piece_digests
 from .quality import line_quality
+from .reply_trees import as_chain, conversation_digests, format_branches
+from .splitters import shard_by_bytes
 from .tiling import decontaminate
+from .toxicity import toxicity
+from .warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +61,36 @@ def op7(spark, sf_dir):
 @query("op8_sentencepiece")
 def op8(spark, sf_dir):
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), piece_model()))
+
+
+@query("op5_reply_trees")
+def op5(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return conversation_digests(format_branches(as_chain(rows.union(extra))))
+
+
+@query("op6_sampled_splitters")
+def op6(spark, sf_dir):
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op9_warc_segments")
+def op9(spark, sf_dir):
+    path = scratch_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    out = read_warc(spark, path)
+    # A record that cannot be read is a fault of the writer, not a row.
+    sound = F.assert_true(F.col("problem").isNull(), F.concat(F.lit("unreadable record: "), F.col("problem")))
+    return out.withColumn("sound", sound).where("sound is null").drop("problem", "sound")
+
+
+@query("op2_weak_toxicity")
+def op2(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_disclosure")
+def op10(spark, sf_dir):
+    return span_digests(personal_data(table(spark, sf_dir, "documents")))

@@ -23,7 +23,8 @@ class NearDup:
     with probability (1 - 0.85**6)**32 = 3e-7. The odd sketch has ``bits`` bits; pairs whose
     estimate is under ``sift`` are dropped, about six standard deviations below 0.85.
     A bucket of up to ``bucket`` documents may compare its unlinked members directly;
-    a larger one is subdivided by further bands, so nothing is left out."""
+    a larger one is subdivided by further bands. Two sets at the threshold that meet in
+    large buckets only share no second band with probability 5e-6."""
 
     words: int = 5
     percent: int = 85
@@ -31,7 +32,7 @@ class NearDup:
     rows: int = 6
     bits: int = 512
     sift: float = 0.65
-    bucket: int = 64
+    bucket: int = 128
 
     @property
     def samples(self) -> int:
@@ -128,22 +129,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
 
 
 def _levels(keys: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """Links of all buckets of ``keys`` (key, node) that matter for the components.
+    """Links of all buckets of ``keys`` (key, at, node), at being the number of the last band, that matter for the components.
 
     1. Each bucket compares its members with its smallest member only.
     2. Buckets whose members now share a component are done.
     3. In the others, members of different components are compared: directly in small
-       buckets, after a subdivision by the members' other bands in large ones. Two texts
+       buckets, after a subdivision by the members' later bands in large ones. Two texts
        over the threshold share most bands, so they meet again in a subdivision.
     """
     links = None
+    numbered = bands.select("node", F.posexplode("bands").alias("later", "band"))
     for level in range(p.bands):
         heads = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
         star = keys.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
         new = cut_lineage(confirmed(sifted(star, sketches, p), sets, p), "links")
-        links = new if links is None else links.union(new)
+        links = new if links is None else cut_lineage(links.union(new), "links")
         labels = components(links)
-        labelled = keys.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        labelled = keys.join(labels, "node", "left").select("key", "at", "node", F.coalesce("root", "node").alias("root"))
         labelled = cut_lineage(labelled, "labelled")
         mixed_buckets = labelled.groupBy("key").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
@@ -159,9 +161,9 @@ def _levels(keys: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFr
         large = open_keys.where(F.col("m") > p.bucket)
         if large.isEmpty():
             break
-        # A key of the next level covers the bucket and one more band.
-        keys = large.select("key", "node").join(bands, "node").select(
-            "node", F.explode("bands").alias("band"), "key").select(F.xxhash64("key", "band").alias("key"), "node").distinct()
+        # A key of the next level covers the bucket and one later band.
+        keys = large.select("key", "at", "node").join(numbered, "node").where("later > at").select(
+            F.xxhash64("key", "band").alias("key"), F.col("later").alias("at"), "node")
         keys = cut_lineage(keys, f"keys{level}")
     return links
 
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = owners.where("doc_id = node").select("doc_id", "k1", "k2").distinct()
     features = usable.join(heads, ["doc_id", "k1", "k2"], "left_semi").select(
         F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch").distinct()
-    exploded = features.select("node", F.explode("bands").alias("key"))
+    exploded = features.select("node", F.posexplode("bands").alias("at", "key"))
     shared = exploded.groupBy("key").count().where("count > 1").select("key")
     keys = cut_lineage(exploded.join(shared, "key"), "keys")
     members = cut_lineage(keys.select("node").distinct(), "members")
