@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
+from . import oracles
 from .common import table
 from .disclosure import personal_data, span_digests
 from .line_dedup import dedup_lines
@@ -38,17 +39,17 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", oracles.LINE_DEDUP)
 def op1(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
-@query("op3_minhash_near_dedup")
+@query("op3_minhash_near_dedup", oracles.NEAR_DEDUP)
 def op3(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracles.QUALITY)
 def op4(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
 
@@ -63,7 +64,7 @@ def op8(spark, sf_dir):
     return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), piece_model()))
 
 
-@query("op5_reply_trees")
+@query("op5_reply_trees", oracles.CHAT)
 def op5(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -71,12 +72,12 @@ def op5(spark, sf_dir):
     return conversation_digests(format_branches(as_chain(rows.union(extra))))
 
 
-@query("op6_sampled_splitters")
+@query("op6_sampled_splitters", oracles.SHARDS)
 def op6(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-@query("op9_warc_segments")
+@query("op9_warc_segments", oracles.WARC)
 def op9(spark, sf_dir):
     path = scratch_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -91,6 +92,6 @@ def op2(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_disclosure")
+@query("op10_disclosure", oracles.PII)
 def op10(spark, sf_dir):
     return span_digests(personal_data(table(spark, sf_dir, "documents")))
