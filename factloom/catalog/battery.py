@@ -668,24 +668,46 @@ def pivot_series(t):
     return charts.pivot_series(counts(t), "o_orderpriority", "o_orderstatus", "n")
 
 
-def _register_series(name):
-    @query(name, _WIDE)
+def _tall(chart):
+    """A chart with series as rows: x, series, value, and how the series is drawn."""
+    drawn = F.array(*[F.struct(F.lit(e["key"]).alias("series"), F.col(e["key"]).alias("value"), F.lit(e["mark"]).alias("mark"),
+                               F.lit(e["axis"]).alias("axis"), F.lit(e["stack"]).alias("stack"), F.lit(e["render"]).alias("render")) for e in chart.encoding()])
+    return chart.data.select(F.col(chart.xKey).alias("x"), F.inline(drawn))
+
+
+def _tall_sql(mark, stack, render, pairs):
+    stack = f"'{stack}'" if stack else "cast(null as varchar)"
+    return f"""select x, series, n as value, '{mark}' as mark, 'left' as axis, {stack} as stack, '{render}' as render from ({pairs})"""
+
+
+def _register_series(name, mark, stack, render):
+    pairs = f"""select p.x, s.series, n from (select distinct o_orderpriority as x from orders) p cross join (select distinct o_orderstatus as series from orders) s
+      left join {_COUNTS} c on c.o_orderpriority = p.x and c.o_orderstatus = s.series"""
+
+    @query(name, _tall_sql(mark, stack, render, pairs))
     def build(t):
-        return charts.build_chart(name, counts(t), "o_orderpriority", "n", series="o_orderstatus").data
+        return _tall(charts.build_chart(name, counts(t), "o_orderpriority", "n", series="o_orderstatus"))
+
 
+for _row in (("grouped_bar", "bar", None, "cartesian"), ("stacked_bar", "bar", "stack", "cartesian"), ("multi_line", "line", None, "cartesian"),
+             ("stacked_area", "area", "stack", "cartesian"), ("radar", "radar", None, "radar")):
+    _register_series(*_row)
 
-for _name in ("grouped_bar", "stacked_bar", "multi_line", "stacked_area", "radar"):
-    _register_series(_name)
 
+def _register_single(name, mark, render, aggregate, sql):
+    """Each chart type with an aggregate of its own."""
+    made = f"select o_orderpriority as x, 'o_totalprice' as series, {sql} as n from orders group by 1"
 
-def _register_single(name):
-    @query(name, "select o_orderpriority, count(o_totalprice) as o_totalprice from orders group by 1")
+    @query(name, _tall_sql(mark, None, render, made))
     def build(t):
-        return charts.build_chart(name, t.orders, "o_orderpriority", "o_totalprice", aggregate="count").data
+        out = _tall(charts.build_chart(name, t.orders, "o_orderpriority", "o_totalprice", aggregate=aggregate))
+        return out.withColumn("value", F.round("value", 2)) if aggregate in ("sum", "mean", "median") else out
 
 
-for _name in ("bar", "line", "area", "pie", "donut"):
-    _register_single(_name)
+for _row in (("bar", "bar", "cartesian", "count", "count(o_totalprice)"), ("line", "line", "cartesian", "mean", "round(avg(o_totalprice), 2)"),
+             ("area", "area", "cartesian", "max", "max(o_totalprice)"), ("pie", "pie", "pie", "sum", "round(sum(o_totalprice), 2)"),
+             ("donut", "pie", "pie", "min", "min(o_totalprice)")):
+    _register_single(*_row)
 
 
 @query("dual_axis", """
@@ -701,7 +723,9 @@ def scatter(t):
     return charts.build_chart("scatter", df, "o_totalprice", "o_orderkey", series="o_orderstatus").data
 
 
-@query("scatter_sample")
+@query("scatter_sample", """
+select l_quantity, l_extendedprice, l_orderkey from lineitem
+order by md5('0|' || printf('%.6f', l_quantity) || '|' || printf('%.6f', l_extendedprice) || '|' || l_orderkey), l_quantity, l_extendedprice, l_orderkey limit 2000""")
 def scatter_sample(t):
     """A sampling operator: its own limit of 2000 points is the feature."""
     return charts.point_sample(t.lineitem, ["l_quantity", "l_extendedprice", "l_orderkey"], ["l_quantity", "l_extendedprice"])
@@ -739,7 +763,9 @@ def x_type(t):
 
 
 @query("chart_from_sql", """
-select o_orderpriority, max(o_totalprice) as dearest from orders group by 1""")
+select l_returnflag, l_linestatus as series, round(sum(l_quantity), 2) as value from lineitem where l_discount > 0.01 group by all""")
 def chart_from_sql(t):
-    return charts.chart_from_sql(t.orders, "SELECT o_orderpriority, MAX(o_totalprice) AS dearest FROM data GROUP BY 1",
-                                 "bar", "o_orderpriority", "dearest").data
+    """The statement keeps single rows, and the chart sums all of them."""
+    made = charts.chart_from_sql(t.lineitem, "SELECT l_returnflag, l_linestatus, l_quantity FROM data WHERE l_discount > 0.01",
+                                 "stacked_bar", "l_returnflag", "l_quantity", series="l_linestatus", aggregate="sum")
+    return _tall(made).where("value is not null").select(F.col("x").alias("l_returnflag"), "series", F.round("value", 2).alias("value"))

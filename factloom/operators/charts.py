@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import CHART_TYPES
-from ..model import CHART_MAX_ROWS, HISTOGRAM_BINS, SCATTER_SAMPLE, QueryError
+from ..model import HISTOGRAM_BINS, SCATTER_SAMPLE, QueryError
 from .sqlguard import query_tables
 from .stats import col, is_numeric, nan_to_null
 
@@ -28,9 +28,6 @@ DRAWN_AS = {
 # end of fixed values
 
 
-MAX_SERIES = 1000
-
-
 @dataclass
 class Series:
     key: str
@@ -57,18 +54,26 @@ class Chart:
     yLabel: str | None = None
     labelKey: str | None = None
 
-    def to_dict(self) -> dict:
+    def to_dict(self, max_points: int | None = None) -> dict:
+        """Encoding and points, in the order the data has. All points unless the caller sets
+        ``max_points``; ``truncated`` tells whether some were left out."""
         out = {k: v for k, v in self.__dict__.items() if k not in ("data", "series")}
-        rows = self.data.limit(CHART_MAX_ROWS).collect()
+        data = self.data
+        rows = (data if max_points is None else data.limit(max_points + 1)).collect()
+        kept = rows if max_points is None else rows[:max_points]
         return {**out, "series": [asdict(s) for s in self.series],
-                "data": [r.asDict(recursive=True) for r in rows]}
+                "data": [r.asDict(recursive=True) for r in kept], "truncated": len(kept) < len(rows)}
+
+    def encoding(self) -> list[dict]:
+        """How each series is drawn: key, mark, axis, stack, and the container."""
+        return [{"key": s.key, "mark": s.chartType, "axis": s.yAxis, "stack": s.stackId, "render": self.render} for s in self.series]
 
 
 def normal_aggregate(name: str | None) -> str | None:
     if not name:
         return None
     if name.lower() not in AGGREGATES:
-        raise QueryError(f"Unsupported aggregate '{name}'. Use one of {sorted(set(AGGREGATES.values()))}.")
+        raise QueryError(f"No aggregate is called '{name}'; known are {', '.join(sorted(set(AGGREGATES.values())))}.")
     return AGGREGATES[name.lower()]
 
 
@@ -85,12 +90,13 @@ def chart_agg(df: DataFrame, keys: list[str], measures: list[str], aggregate: st
     return df.groupBy(*[col(k) for k in keys]).agg(*[aggregate_expr(name, col(m)).alias(m) for m in measures])
 
 
-def series_values(df: DataFrame, series: str) -> list:
-    """Distinct series values. Each becomes a column, so a series with too many of them
-    is refused, not cut."""
-    found = df.where(col(series).isNotNull()).select(col(series)).distinct().limit(MAX_SERIES + 1).collect()
-    if len(found) > MAX_SERIES:
-        raise QueryError(f"'{series}' has more than {MAX_SERIES} values; too many for chart series.")
+def series_values(df: DataFrame, series: str, max_series: int | None = None) -> list:
+    """Distinct series values, each of which becomes a column. A caller who can draw only so
+    many sets ``max_series``; more are then refused, never cut."""
+    distinct = df.where(col(series).isNotNull()).select(col(series)).distinct()
+    found = (distinct if max_series is None else distinct.limit(max_series + 1)).collect()
+    if max_series is not None and len(found) > max_series:
+        raise QueryError(f"'{series}' takes more than {max_series} values.")
     return sorted(r[0] for r in found)
 
 
@@ -133,12 +139,12 @@ def histogram(df: DataFrame, column: str, known: tuple[float, float, int] | None
     spark, field_ = df.sparkSession, df.schema[column]
     if not is_numeric(field_):
         if not isinstance(field_.dataType, T.StringType):
-            raise QueryError(f"Histogram needs a numeric column, not '{column}'.")
+            raise QueryError(f"'{column}' holds no numbers to bin.")
         df = df.select(col(column).try_cast("double").alias(column))
     df = nan_to_null(df.select(col(column)))
     found = known or bin_count(df, column)
     if found is None:
-        raise QueryError(f"Histogram needs a numeric column, but '{column}' has no numeric values.")
+        raise QueryError(f"No value of '{column}' is a number, so there is nothing to bin.")
     edges = bin_edges(*found)
     bins = len(edges) - 1
     c = col(column).cast("double")
@@ -155,12 +161,18 @@ def histogram(df: DataFrame, column: str, known: tuple[float, float, int] | None
 def point_sample(df: DataFrame, columns: list[str], required: list[str], n: int = SCATTER_SAMPLE,
                  seed: int = 0) -> DataFrame:
     """At most ``n`` rows in an order given by a hash of the row: the same rows on any
-    partitioning, found as a distributed top-n."""
+    partitioning, found as a distributed top-n. The hash is an MD5 of the row's text."""
     rows = df.select(*[col(c) for c in dict.fromkeys(columns)]).dropna(subset=required)
-    order = F.xxhash64(F.lit(seed), *[col(c) for c in rows.columns])
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(as_text(rows, c), F.lit("")) for c in rows.columns]))
     return rows.orderBy(order, *[col(c) for c in rows.columns]).limit(n)
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column as text that other engines write alike: fractions with six digits."""
+    fraction = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.format_string("%.6f", col(name).cast("double")) if fraction else col(name).cast("string")
+
+
 def x_type(df: DataFrame, column: str) -> str:
     """number, time or category; text counts as time when 90% of it is ISO dates."""
     field_ = df.schema[column]
@@ -188,14 +200,14 @@ def build_chart(chart_type: str, df: DataFrame, x: str, y: str | None = None, y2
     """Encoding and rows for one chart, or QueryError when the request cannot be drawn.
     ``x_kind`` and ``bins`` spare the jobs that would find them out."""
     if chart_type not in DRAWN_AS:
-        raise QueryError(f"Unknown chart_type '{chart_type}'. Choose one of {CHART_TYPES}.")
+        raise QueryError(f"'{chart_type}' is no chart type; there are {', '.join(CHART_TYPES)}.")
     render, mark, stacked = DRAWN_AS[chart_type]
     if chart_type == "histogram":
         data = histogram(df, x, bins).orderBy("position").select("bin", "count")
         return Chart("histogram", render, title, data, "bin", "category", [Series("count", "Count", "bar")],
                      xLabel=x_label or x, yLabel="Count")
     if not y:
-        raise QueryError(f"{chart_type} charts require a `y` field.")
+        raise QueryError(f"A {chart_type} chart has to be told which column is y.")
     if aggregate and normal_aggregate(aggregate) and chart_type != "scatter":
         df = chart_agg(df, [x] + ([series] if series else []), [m for m in (y, y2) if m], aggregate)
     labels = dict(xLabel=x_label or x, yLabel=y_label or y)
@@ -221,12 +233,12 @@ def build_chart(chart_type: str, df: DataFrame, x: str, y: str | None = None, y2
 
 
 def chart_from_sql(df: DataFrame, sql: str, chart_type: str, x: str, y: str | None = None, **kw) -> Chart:
-    """SELECT over ``data`` -> at most 5000 rows -> chart."""
-    rows = query_tables({"data": df}, sql).limit(CHART_MAX_ROWS)
-    named = [c for c in (x, y, kw.get("y2"), kw.get("series")) if c]
-    missing = [c for c in named if c not in rows.columns]
-    if missing:
-        raise QueryError(f"Column(s) not in the query result: {missing}. Available: {rows.columns}")
-    if not rows.take(1):
-        raise QueryError("The query returned no rows to plot.")
+    """A chart of the whole result of a SELECT over ``data``. Nothing is cut before an
+    aggregate; ``Chart.to_dict`` can limit the points that are drawn."""
+    rows = query_tables({"data": df}, sql)
+    absent = sorted({c for c in (x, y, kw.get("y2"), kw.get("series")) if c} - set(rows.columns))
+    if absent:
+        raise QueryError(f"The result has {', '.join(rows.columns)}, but the chart asks for {', '.join(absent)}.")
+    if rows.isEmpty():
+        raise QueryError("There is nothing to draw: the result is empty.")
     return build_chart(chart_type, rows, x, y, **kw)

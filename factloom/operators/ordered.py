@@ -36,13 +36,24 @@ class Running:
 def numeric_key(df: DataFrame, column: str) -> Column:
     """A DOUBLE that never decreases when ``column`` increases."""
     kind = df.schema[column].dataType.typeName()
-    if kind == "timestamp":
-        return F.unix_micros(F.col(column)).cast("double")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
     if kind == "date":
         return F.unix_date(F.col(column)).cast("double")
     return F.col(column).cast("double")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where null equals null, so that rows with a null key
+    meet what was computed for them. Still a hash or merge join."""
+    if not keys:
+        return left.crossJoin(right)  # the right side is one row
+    names = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    same = [left[f"`{k}`"].eqNullSafe(renamed[n]) for k, n in names.items()]
+    return left.join(renamed, same, how).drop(*names.values())
+
+
 def range_bounds(df: DataFrame, column: str, rows_per_range: int = ROWS_PER_RANGE,
                  at_most: int | None = None) -> list[float]:
     """At most MAX_RANGES-1 cut points; a value that fills several ranges is cut
@@ -96,7 +107,7 @@ def _merge(item: Running, carried: Column, local: Column) -> Column:
 def running(df: DataFrame, keys: list[str], order: list[str], items: list[Running],
             rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None,
             bounds: list[float] | None = None) -> DataFrame:
-    """``df`` plus one running value per item. Keys must not be null; ``order[0]``
+    """``df`` plus one running value per item. Null keys are a key; ``order[0]``
     is a number, date or timestamp and ``order`` as a whole is unique per key. ``bounds``
     reuses the ranges of an earlier call over the same order."""
     if bounds is None:
@@ -121,7 +132,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], items: list[Runnin
     carry = per_range.select(*keys, "_range", *[
         (F.last(f"_t{n}", ignorenulls=True) if i.kind == "last" else getattr(F, i.kind)(f"_t{n}"))
         .over(before).alias(f"_c{n}") for n, i in enumerate(items)])
-    joined = ranged.join(carry, [*keys, "_range"], "left")
+    joined = join_keys(ranged, carry, [*keys, "_range"], "left")
     local = Window.partitionBy(*keys, "_range").orderBy(*sort)
     done = joined.withColumns({
         i.name: _merge(i, F.col(f"_c{n}"), _local(i, local)) for n, i in enumerate(items)})
@@ -166,7 +177,7 @@ def row_ranks(df: DataFrame, keys: list[str], order: list[str], tiles: int,
     """Adds rn, tile and pr: row_number, ntile(tiles) and percent_rank of a unique order,
     all from the running count and the size of the key."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rn = numbered(df, keys, order, "rn", rows_per_range).join(sizes, keys)
+    rn = join_keys(numbered(df, keys, order, "rn", rows_per_range), sizes, keys)
     small, extra = F.floor(F.col("_n") / tiles), F.col("_n") % tiles
     head = extra * (small + 1)  # the first tiles hold one row more
     tile = F.when(F.col("rn") <= head, F.ceil(F.col("rn") / (small + 1))).otherwise(
@@ -179,10 +190,10 @@ def label_ranks(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Adds rk and drk: rank and dense_rank by a label with few values per key. Rows are
     counted per label first, so the window sees labels, not rows."""
     per = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(label)
+    w = Window.partitionBy(*keys).orderBy(F.col(label).asc_nulls_last())
     smaller = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = per.select(*keys, label, (smaller + 1).alias("rk"), F.row_number().over(w).cast("bigint").alias("drk"))
-    return df.join(ranks, [*keys, label])
+    return join_keys(df, ranks, [*keys, label])
 
 
 def ends(df: DataFrame, keys: list[str], order: list[str], first: dict[str, str], last: dict[str, str]) -> DataFrame:
@@ -190,4 +201,4 @@ def ends(df: DataFrame, keys: list[str], order: list[str], first: dict[str, str]
     at = F.struct(*[F.col(c) for c in order])
     per = df.groupBy(*keys).agg(*[F.min_by(c, at).alias(n) for n, c in first.items()],
                                 *[F.max_by(c, at).alias(n) for n, c in last.items()])
-    return df.join(per, keys)
+    return join_keys(df, per, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.ordered import ROWS_PER_RANGE, Running, numbered, running
+from ..operators.ordered import ROWS_PER_RANGE, Running, join_keys, numbered, running
 
 RECENT_TURNS = 12
 SAME_REPORT = ["user_id", "dataset_id", "goal"]
@@ -36,7 +36,7 @@ def report_versions(reports: DataFrame, rows_per_range: int = ROWS_PER_RANGE) ->
     live = reports.where(~F.col("archived"))
     groups = live.groupBy(*SAME_REPORT).agg(F.count(F.lit(1)).alias("versions"),
                                             F.max_by("id", F.struct("created_at", "id")).alias("newest_id"))
-    return numbered(live, SAME_REPORT, ["created_at", "id"], "version", rows_per_range).join(groups, SAME_REPORT)
+    return join_keys(numbered(live, SAME_REPORT, ["created_at", "id"], "version", rows_per_range), groups, SAME_REPORT)
 
 
 def content_stats(reports: DataFrame, content: str = "content") -> DataFrame:
