@@ -18,24 +18,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     minimum before the shuffle, so no task holds the links of a hot node. Null ends are
     left out.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = cut_lineage(edges, "edges")
-    labels = None
+    edges = cut_lineage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    steps = []
     while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        step = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"))
-        step = cut_lineage(step.select("node", F.least("node", "low").alias("next")), "step")
-        if labels is None:
-            labels = step.select("node", F.col("next").alias("root"))
-        else:
-            moved = step.select(F.col("node").alias("root"), "next")
-            labels = labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        labels = cut_lineage(labels, "labels")
-        left = step.select(F.col("node").alias("u"), F.col("next").alias("nu"))
-        right = step.select(F.col("node").alias("v"), F.col("next").alias("nv"))
+        both = edges.union(edges.select("v", "u"))
+        step = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("next"))
+        steps.append(cut_lineage(step, "step"))
+        left = steps[-1].withColumnRenamed("next", "nu")
+        right = steps[-1].select(F.col("u").alias("v"), F.col("next").alias("nv"))
         edges = edges.join(left, "u").join(right, "v").select(
             F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).where("u <> v").distinct()
         edges = cut_lineage(edges, "edges")
-    if labels is None:
+    if not steps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return labels
+    labels = steps[0].select(F.col("u").alias("node"), F.col("next").alias("root"))
+    for step in steps[1:]:
+        moved = step.select(F.col("u").alias("root"), "next")
+        labels = labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return cut_lineage(labels, "labels")

@@ -22,9 +22,11 @@ class NearDup:
     """``bands`` * ``rows`` MinHash samples. Two sets at the threshold of 0.85 share no band
     with probability (1 - 0.85**6)**32 = 3e-7. The odd sketch has ``bits`` bits; pairs whose
     estimate is under ``sift`` are dropped, about six standard deviations below 0.85.
-    A bucket of up to ``bucket`` documents may compare its unlinked members directly;
-    a larger one is subdivided by further bands. Two sets at the threshold that meet in
-    large buckets only share no second band with probability 5e-6."""
+    In each bucket all members are compared with one hub, in up to ``hubs`` rounds. Where
+    at most ``rest`` members are then outside the bucket's largest component, these are
+    compared with all members; a bucket with more of them is subdivided by further bands.
+    Two sets at the threshold that meet in such buckets only share no second band with
+    probability 5e-6."""
 
     words: int = 5
     percent: int = 85
@@ -32,7 +34,8 @@ class NearDup:
     rows: int = 6
     bits: int = 512
     sift: float = 0.65
-    bucket: int = 128
+    hubs: int = 3
+    rest: int = 64
 
     @property
     def samples(self) -> int:
@@ -128,44 +131,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").where(100 * both >= p.percent * either).select("a", "b")
 
 
-def _levels(keys: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """Links of all buckets of ``keys`` (key, at, node), at being the number of the last band, that matter for the components.
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after the links (a, b): only roots that a link joins change."""
+    a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    joined = components(links.join(a, "a").join(b, "b").where("ra <> rb").select("ra", "rb"), "ra", "rb")
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return cut_lineage(labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
 
-    1. Each bucket compares its members with its smallest member only.
-    2. Buckets whose members now share a component are done.
-    3. In the others, members of different components are compared: directly in small
-       buckets, after a subdivision by the members' later bands in large ones. Two texts
-       over the threshold share most bands, so they meet again in a subdivision.
+
+def open_buckets(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, at, node, order, root, main, rest): the members of buckets of ``keys`` with several
+    components. ``main`` is the component most members are in, ``rest`` counts the others."""
+    placed = keys.join(labels, "node")
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sized = parts.groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    return cut_lineage(placed.join(sized, "key"), "open")
+
+
+def grouped(keys: DataFrame, labels: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """``labels`` (node, root) after all links between members of the buckets of ``keys``
+    (key, at, node, order) that matter for the components; at is the number of the key's last band.
+
+    1. Each bucket compares its members with one hub, the member that most others share
+       bands with, then with other hubs while that joins components.
+    2. Buckets within one component are done.
+    3. Two members of different components cannot both be in the bucket's main component, so
+       the few others are compared with all members. This is linear in the bucket.
+    4. Buckets with many others are subdivided by their members' later bands. Two texts over
+       the threshold share most bands, so they meet again in a subdivision.
     """
-    links = None
     numbered = bands.select("node", F.posexplode("bands").alias("later", "band"))
-    for level in range(p.bands):
-        heads = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
-        star = keys.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        new = cut_lineage(confirmed(sifted(star, sketches, p), sets, p), "links")
-        links = new if links is None else cut_lineage(links.union(new), "links")
-        labels = components(links)
-        labelled = keys.join(labels, "node", "left").select("key", "at", "node", F.coalesce("root", "node").alias("root"))
-        labelled = cut_lineage(labelled, "labelled")
-        mixed_buckets = labelled.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high")
-        open_keys = cut_lineage(labelled.join(mixed_buckets.select("key", "m"), "key"), "open")
-        if open_keys.isEmpty():
-            break
-        small = open_keys.where(F.col("m") <= p.bucket).join(sketches.select("node", "n"), "node")
-        left = small.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        right = small.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (
-            100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-        links = links.union(cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links"))
-        large = open_keys.where(F.col("m") > p.bucket)
-        if large.isEmpty():
+    for _ in range(p.bands):
+        members = open_buckets(keys, labels)
+        for turn in range(p.hubs):
+            order = F.col("order") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            hubs = members.groupBy("key").agg(F.min_by("node", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
+            pairs = members.select("key", "node", "root").join(hubs, "key").where("root <> hub_root").select(
+                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            links = cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links")
+            if links.isEmpty():
+                break
+            labels = merged(labels, links)
+            members = open_buckets(keys, labels)
+            if members.where(F.col("rest") > p.rest).isEmpty():
+                break
+        few = members.where(F.col("rest") <= p.rest)
+        if not few.isEmpty():
+            sizes = sketches.select("node", "n")
+            near = few.join(sizes, "node")
+            others = near.where("root <> main").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
+            pairs = near.select("key", "node", "root", "n").join(others, "key").where(
+                (F.col("root") != F.col("other_root")) & (100 * F.least("n", "other_n") >= p.percent * F.greatest("n", "other_n")))
+            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            links = cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links")
+            labels = labels if links.isEmpty() else merged(labels, links)
+        many = members.where(F.col("rest") > p.rest)
+        if many.isEmpty():
             break
         # A key of the next level covers the bucket and one later band.
-        keys = large.select("key", "at", "node").join(numbered, "node").where("later > at").select(
-            F.xxhash64("key", "band").alias("key"), F.col("later").alias("at"), "node")
-        keys = cut_lineage(keys, f"keys{level}")
-    return links
+        finer = many.select("key", "at", "node", "order").join(numbered, "node").where("later > at").select(
+            F.xxhash64("key", "band").alias("key"), F.col("later").alias("at"), "node", "order")
+        shared = finer.groupBy("key").count().where("count > 1").select("key")
+        keys = cut_lineage(finer.join(shared, "key"), "keys")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearDup = NearDup()) -> DataFrame:
@@ -192,20 +221,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     features = usable.join(heads, ["doc_id", "k1", "k2"], "left_semi").select(
         F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch").distinct()
     exploded = features.select("node", F.posexplode("bands").alias("at", "key"))
-    shared = exploded.groupBy("key").count().where("count > 1").select("key")
-    keys = cut_lineage(exploded.join(shared, "key"), "keys")
-    members = cut_lineage(keys.select("node").distinct(), "members")
-    known = cut_lineage(features.join(members, "node"), "features")
+    shared = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = cut_lineage(exploded.join(shared, "key"), "keys")
+    # The more members a node shares buckets with, the sooner it is a hub; ties by a hash.
+    members = met.groupBy("node").agg(F.sum("m").alias("met")).select(
+        "node", (-F.col("met") * 4096 + F.pmod(F.xxhash64("node"), F.lit(4096))).alias("order"))
+    members = cut_lineage(members, "members")
+    keys = cut_lineage(met.select("key", "at", "node").join(members, "node"), "keys")
+    known = cut_lineage(features.join(members.select("node"), "node"), "features")
     texts = base.join(members.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["node", "h"]).drop("h")
     sets = cut_lineage(shingle_sets(texts, p.words), "sets")
-    links = _levels(keys, known.select("node", "bands"), known.select("node", "n", "sketch"), sets, p)
+    labels = grouped(keys, members.select("node", F.col("node").alias("root")), known.select("node", "bands"),
+                     known.select("node", "n", "sketch"), sets, p)
     # One doc_id may own several texts: its nodes belong together.
-    own = owners.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     several = owners.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
-    links = links.union(several.select(F.col("x").alias("a"), F.col("y").alias("b"))).union(
-        own.join(several.select(F.col("doc_id").alias("b")), "b").select("a", "b"))
-    labels = components(links)
+    if not several.isEmpty():
+        own = owners.join(several.select("doc_id"), "doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+        every = owners.select("node").distinct().union(owners.select("doc_id")).distinct()
+        labels = every.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        labels = merged(labels, own)
     placed = owners.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
     alone = made.where("doc_id is null or n_shingles = 0").select(

@@ -70,7 +70,7 @@ def test_large_buckets_lose_no_link(spark):
         rows.append((k, " ".join([f"t{j}" for j in range(60)] + [f"own{k}-{j}" for j in range(40)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {k: 0 if k < 40 else k for k, _ in rows}
-    for p in (NearDup(), NearDup(bucket=2)):
+    for p in (NearDup(), NearDup(hubs=1, rest=1)):
         assert {r.doc_id: r.component_id for r in near_duplicates(df, params=p).collect()} == want
 
 
