@@ -388,7 +388,7 @@ select case when (select count(distinct c_name) from customer) >= 5 then 'c_name
 def entity_column(t):
     facts = analysis.column_facts(t.customer)
     n = facts[0].n
-    return t.spark.createDataFrame([(columns.entity_column(facts, n, set()), n)], "entity string, rows bigint")
+    return t.spark.createDataFrame([(columns.entity_column(t.spark, facts, n, set()), n)], "entity string, rows bigint")
 
 
 @query("rank_measure", """
@@ -409,13 +409,18 @@ _SHAPE = {"orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatu
 
 
 def _idea_sql():
-    rows = []
-    for name, (n, c) in _SHAPE.items():
-        titles = [f"Which {c[0]} segments drive {n[0]}?"] + ([f"What drives {n[0]}?"] if len(n) > 2 else []) + [
-            f"Profiling the extremes of {n[0]}", f"Interaction of {c[0]} and {c[1]}", f"{n[0]} vs {n[1]}, split by {c[0]}",
-            "Data quality & coverage audit"]
-        rows += [f"select '{name}' as \"table\", {i + 1} as position, '{x}' as title" for i, x in enumerate(titles[:5])]
-    return " union all ".join(rows)
+    """Which ideas fit is decided from the tables' own columns, as DuckDB sees them."""
+    numeric = "data_type in ('BIGINT', 'INTEGER', 'DOUBLE')"
+    return f"""
+with c as (select table_name as "table", column_name as name, {numeric} as num, column_index as i from duckdb_columns()
+  where table_name in ({", ".join(f"'{n}'" for n in _IDEA_TABLES)}) and internal = false),
+  k as (select "table", list(name order by i) filter (num) as n, list(name order by i) filter (not num) as c from c group by 1),
+  s as (select "table", unnest([
+    {{'at': 0, 'fits': len(n) >= 1 and len(c) >= 1, 'title': n[1] || ' by ' || c[1]}}, {{'at': 1, 'fits': len(n) >= 3, 'title': 'What goes along with ' || n[1]}},
+    {{'at': 2, 'fits': len(n) >= 1, 'title': 'Both ends of ' || n[1]}}, {{'at': 3, 'fits': len(c) >= 2, 'title': c[1] || ' and ' || c[2] || ' together'}},
+    {{'at': 4, 'fits': len(n) >= 2 and len(c) >= 1, 'title': n[1] || ' and ' || n[2] || ' within each ' || c[1]}}, {{'at': 5, 'fits': true, 'title': 'Gaps and odd values'}}]) as x from k)
+select "table", position, title from (select "table", row_number() over (partition by "table" order by x.at)::integer as position, x.title as title from s where x.fits)
+where position <= 5"""
 
 
 @query("idea_table", _idea_sql())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import udf
-from ..session import scratch_dir
+from ..session import cut_lineage, scratch_dir
 from ..sources import archives, csv, ingest
 from .registry import query
 
@@ -91,10 +91,11 @@ def dataset_summary(t):
 
 
 @query("expand_archives", """
-select 'data/' || o_orderstatus || '.csv' as member, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1""")
+select 'data/' || o_orderstatus || '.csv' as member, cast(null as varchar) as error, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1
+union all select null, 'not a valid ZIP archive', count(*), sum(n_nationkey)::bigint from nation""")
 def expand_archives(t):
     """Orders are packed into ZIPs (one per batch of rows, with junk members), then
-    expanded and read."""
+    expanded and read; refused archives are counted with the rest."""
     def pack(batches):
         for batch in batches:
             buffer = io.BytesIO()
@@ -106,9 +107,11 @@ def expand_archives(t):
             yield pd.DataFrame({"path": [f"batch-{batch['o_orderkey'].iloc[0]}.zip"], "content": [buffer.getvalue()]})
 
     zips = t.orders.select("o_orderkey", "o_orderstatus").mapInPandas(pack, "path string, content binary")
-    members = archives.expand(zips).where("error is null")
-    rows = members.select("member", F.explode(F.slice(archives.member_lines(F.col("content")), 2, 2**31 - 1)).alias("line"))
-    return rows.groupBy("member").agg(F.count("*").alias("n"), F.sum(F.col("line").cast("bigint")).alias("keys"))
+    broken = t.nation.select(F.concat(F.lit("broken-"), F.col("n_nationkey").cast("string")).alias("path"), F.encode("n_name", "UTF-8").alias("content"))
+    members = archives.expand(cut_lineage(zips, "zips").union(broken))
+    rows = members.where("error is null").select("member", "error", F.explode(F.slice(archives.member_lines(F.col("content")), 2, 2**31 - 1)).alias("line"))
+    refused = members.where("error is not null").select("member", "error", F.substring_index("archive", "-", -1).alias("line"))
+    return rows.union(refused).groupBy("member", "error").agg(F.count("*").alias("n"), F.sum(F.col("line").cast("bigint")).alias("keys"))
 
 
 _PATHS = "(select doc_id, source || '/' || lang || ' Data ' || (doc_id % 50) || '!.csv' as path from documents)"

@@ -27,13 +27,16 @@ def sql_group_order(t):
 
 
 @query("run_sql", """
-select o_orderstatus, count(*) as n, max(o_totalprice) as dearest from orders
-group by o_orderstatus order by n desc, o_orderstatus limit 1000""")
+with a as (select o_orderstatus, o_orderpriority, count(*) as n, max(o_totalprice) as dearest from orders group by all order by n desc, o_orderstatus, o_orderpriority limit 7)
+select *, true as truncated from a""")
 def run_sql(t):
-    """The guarded text form; the row cap is the operator's own feature."""
-    return sqlguard.query_tables({"data": t.orders}, """
-        SELECT o_orderstatus, COUNT(*) AS n, MAX(o_totalprice) AS dearest FROM data
-        GROUP BY o_orderstatus ORDER BY n DESC, o_orderstatus;""").limit(1000)
+    """The guarded text form; the row cap is the operator's own feature, and so is the flag
+    that tells of more rows."""
+    out = sqlguard.run_sql(t.orders, """
+        SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, MAX(o_totalprice) AS dearest FROM data
+        GROUP BY ALL ORDER BY n DESC, o_orderstatus, o_orderpriority;""", max_rows=7)
+    return t.spark.createDataFrame([(*r.values(), out.truncated) for r in out.rows],
+                                   "o_orderstatus string, o_orderpriority string, n bigint, dearest double, truncated boolean")
 
 
 @query("query_tables", """
@@ -50,18 +53,17 @@ def query_tables(t):
 
 _STATEMENTS_SQL = """
 select event_type, verb, accepted, count(*) as n from (
-  select event_type, verb, verb in ('SELECT', 'WITH') as accepted from (
-    select event_type, case event_id % 5 when 0 then 'SELECT' when 1 then 'DROP' when 2 then 'WITH'
-      when 3 then 'CREATE' else 'PRAGMA' end as verb from events) a) b
+  select event_type, verb, verb in ('SELECT', 'WITH', 'SELECT ''copy; drop'' AS y, x.* FROM') as accepted from (
+    select event_type, case event_id % 6 when 0 then 'SELECT' when 1 then 'DROP' when 2 then 'WITH'
+      when 3 then 'CREATE' when 4 then 'SELECT ''copy; drop'' AS y, x.* FROM' else 'PRAGMA' end as verb from events) a) b
 group by event_type, verb, accepted"""
 
 
 @query("validate_select", _STATEMENTS_SQL)
 def validate_select(t):
     """The guard over a column of statements, as used on a log of questions."""
-    verb = (F.when(F.col("event_id") % 5 == 0, "SELECT").when(F.col("event_id") % 5 == 1, "DROP")
-            .when(F.col("event_id") % 5 == 2, "WITH").when(F.col("event_id") % 5 == 3, "CREATE")
-            .otherwise("PRAGMA"))
+    verbs = ["SELECT", "DROP", "WITH", "CREATE", "SELECT 'copy; drop' AS y, x.* FROM", "PRAGMA"]
+    verb = F.element_at(F.array(*[F.lit(v) for v in verbs]), (F.col("event_id") % 6 + 1).cast("int"))
     logged = t.events.select("event_type", verb.alias("verb")).withColumn(
         "statement", F.concat("verb", F.lit(" x AS (SELECT 1 AS a) SELECT a FROM x")))
     return (logged.withColumn("accepted", sqlguard.is_read_only(F.col("statement")))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import QueryError
+from ..session import cut_lineage
 from .ordered import ROWS_PER_RANGE, Running, framed, running
 from .sqlguard import drop_duplicate_names
 from .stats import col
 
+log = logging.getLogger(__name__)
+
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, starts: str, ends: str,
                bucket_seconds: int) -> DataFrame:
@@ -122,16 +128,17 @@ def largest_table(catalog: DataFrame) -> DataFrame:
 
 
 def assembled_or_largest(tables: dict[str, DataFrame], build) -> tuple[DataFrame, str]:
-    """``build()`` if it works and has rows, else the largest table."""
+    """``build()`` written once if it works on all rows and has some, else the largest table. A
+    view that breaks at run time breaks while it is written, so any failure falls back."""
     try:
-        view = build()
-        if view.take(1):
-            return view, f"This report combines the tables ({', '.join(tables)}) into a single view."
-    except QueryError:
-        pass
+        view = cut_lineage(build(), "assembled")
+        if not view.isEmpty():
+            return view, f"Joined from {', '.join(tables)}."
+    except (QueryError, PySparkException) as failed:
+        log.warning("the tables could not be joined: %s", failed)
     sizes = {n: df.count() for n, df in tables.items()}
     name = max(sizes, key=sizes.get)
-    return tables[name], f"This report analyzes the '{name}' table (one of {len(tables)} in the dataset)."
+    return tables[name], f"Only {name} is used, the largest of {len(tables)} tables."
 
 
 def leader_split(df: DataFrame, leaders: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -147,12 +147,13 @@ def shared_columns(profiles: DataFrame) -> DataFrame:
             .where(F.size("tables") >= 2))
 
 
-def dimension_values(df: DataFrame, profiles: DataFrame, max_dims: int = 8,
+def dimension_values(df: DataFrame, profiles: DataFrame, max_dims: int | None = None,
                      max_values: int = 20) -> DataFrame:
-    """All values of the first low-cardinality dimensions, as (name, value)."""
+    """All values of the low-cardinality dimensions, as (name, value); of the first ``max_dims``
+    if the caller wants no more."""
     picked = (profiles.where(F.col("dtype").isin("categorical", "boolean")
                              & F.col("distinct_count").between(1, max_values))
-              .orderBy("position").limit(max_dims).select("name").collect())
+              .orderBy("position").select("name").collect())[:max_dims]
     if not picked:
         return df.sparkSession.createDataFrame([], "name string, value string")
     names = [r["name"] for r in picked]

@@ -1,94 +1,110 @@
-"""CSV members of ZIP archives."""
+"""CSV members of ZIP archives: a listing of all members first, rules over the listing as
+DataFrame expressions, then only what the rules keep is unpacked."""
 
 from __future__ import annotations
 
-import io
 import zipfile
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import MAX_ARCHIVE_BYTES, MAX_CSV_FILES
+LISTED = "archive string, ordinal int, raw string, packed boolean, declared bigint, readable boolean"
+UNPACKED = "archive string, ordinal int, size bigint, content binary, broken string"
 
-MEMBERS = "archive string, ordinal int, member string, size bigint, content binary, error string"
-
-# Messages shown to the user.
-NOT_A_ZIP = "This file isn't a valid ZIP archive."
-ENCRYPTED = "Password-protected ZIPs aren't supported."
-NO_CSV = "No CSV files found inside the ZIP."
-TOO_MANY = "ZIP contains {n} CSV files; the limit is {cap}. Combine or drop some and try again."
-TOO_BIG = "ZIP contents exceed the {mb} MB limit once extracted."
+# Why an archive is refused.
+UNREADABLE = "not a valid ZIP archive"
+LOCKED = "encrypted members"
+WITHOUT_CSV = "No CSV member"
+OVER_COUNT = "more CSV members than allowed"
+OVER_BYTES = "more bytes than allowed"
 # end of fixed values
+LOCK_BIT = 1
 
 
-def clean_member_name(raw: str) -> str:
-    """A relative display name: no drive, no root, no '..'."""
-    parts = raw.replace("\\", "/").split("/")
-    return "/".join(p for p in parts if p not in ("", ".", "..") and ":" not in p)
-
-
-def is_wanted(name: str) -> bool:
-    hidden = any(p.startswith(".") or p == "__MACOSX" for p in name.split("/"))
-    return bool(name) and not hidden and name.lower().endswith(".csv")
-
-
-class _Refused(Exception):
-    pass
-
-
-def _members(data: bytes, max_bytes: int, max_files: int):
-    """(name, content) of each CSV. The declared sizes are checked before anything is
-    unpacked, the real ones while unpacking, so a bomb cannot fill the task."""
-    too_big = TOO_BIG.format(mb=max_bytes // (1024 * 1024))
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as exc:
-        raise _Refused(NOT_A_ZIP) from exc
-    with archive:
-        wanted = [(clean_member_name(i.filename), i) for i in archive.infolist() if not i.is_dir()]
-        wanted = [(n, i) for n, i in wanted if is_wanted(n)]
-        if any(i.flag_bits & 0x1 for _, i in wanted):
-            raise _Refused(ENCRYPTED)
-        if sum(i.file_size for _, i in wanted) > max_bytes:
-            raise _Refused(too_big)
-        if not wanted:
-            raise _Refused(NO_CSV)
-        if len(wanted) > max_files:
-            raise _Refused(TOO_MANY.format(n=len(wanted), cap=max_files))
-        left, out = max_bytes, []
-        for name, info in wanted:
-            try:
-                with archive.open(info) as handle:
-                    content = handle.read(left + 1)
-            except RuntimeError as exc:
-                raise _Refused(ENCRYPTED) from exc
-            except (zipfile.BadZipFile, EOFError, OSError) as exc:
-                raise _Refused(NOT_A_ZIP) from exc
-            if len(content) > left:
-                raise _Refused(too_big)
-            left -= len(content)
-            out.append((name, content))
-        return out
-
-
-def expand(archives: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES, max_files: int = MAX_CSV_FILES) -> DataFrame:
-    """(path, content) rows -> one row per CSV member, or one row with an error.
-    An archive is refused as a whole; each is unpacked in the task that read it."""
-    columns = ["archive", "ordinal", "member", "size", "content", "error"]
-
-    def unpack(batches):
+def listing(archives: DataFrame) -> DataFrame:
+    """One row per member of (path, content), from the directory at the end of each
+    archive; an archive that has none is one row that is not readable."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as box:
+                        entries = [e for e in box.infolist() if not e.is_dir()]
+                    rows += [(path, k, e.filename, bool(e.flag_bits & LOCK_BIT), e.file_size, True) for k, e in enumerate(entries)]
+                    if not entries:
+                        rows.append((path, None, None, False, 0, True))
+                except zipfile.BadZipFile:
+                    rows.append((path, None, None, False, 0, False))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                             names=["archive", "ordinal", "raw", "packed", "declared", "readable"])
+
+    return archives.select("path", "content").mapInArrow(run, LISTED)
+
+
+def member_name(raw: Column) -> Column:
+    """A name below the folder it is unpacked in: no drive letters, roots or steps upward."""
+    steps = F.split(F.translate(raw, "\\", "/"), "/")
+    return F.array_join(F.filter(steps, lambda s: ~s.isin("", ".", "..") & ~s.contains(":")), "/")
+
+
+def is_data(name: Column) -> Column:
+    """A CSV file that is neither hidden nor a system's by-product."""
+    return name.rlike(r"(?i)\.csv$") & ~name.rlike(r"(^|/)(\.|__MACOSX(/|$))")
+
+
+def verdicts(members: DataFrame, max_bytes: int | None, max_files: int | None) -> DataFrame:
+    """(archive, wanted, error): per archive the ordinals to unpack, or why it is refused."""
+    wanted = F.coalesce(F.col("wanted"), F.lit(False))
+    per = members.withColumn("wanted", is_data(member_name(F.col("raw")))).groupBy("archive").agg(
+        F.min("readable").alias("readable"), F.count_if(wanted).alias("files"), F.count_if(wanted & F.col("packed")).alias("locked"),
+        F.coalesce(F.sum(F.when(wanted, F.col("declared"))), F.lit(0)).alias("bytes"), F.collect_list(F.when(wanted, F.col("ordinal"))).alias("wanted"))
+    rules = [(~F.col("readable"), UNREADABLE), (F.col("locked") > 0, LOCKED), (F.col("files") == 0, WITHOUT_CSV)]
+    if max_files is not None:
+        rules.append((F.col("files") > max_files, f"{OVER_COUNT} (limit {max_files})"))
+    if max_bytes is not None:
+        rules.append((F.col("bytes") > max_bytes, f"{OVER_BYTES} (limit {max_bytes})"))
+    return per.select("archive", "wanted", F.coalesce(*[F.when(when, F.lit(error)) for when, error in rules]).alias("error"))
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """The wanted members of (path, content, wanted). A member is read up to the size its
+    directory states, so what comes out is what the rules have seen. An archive with a
+    damaged member gives one row that says so."""
+    def run(batches):
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):
+            for path, data, wanted in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("wanted").to_pylist()):
                 try:
-                    rows = [(path, i, name, len(content), content, None)
-                            for i, (name, content) in enumerate(_members(bytes(data), max_bytes, max_files))]
-                except _Refused as exc:
-                    rows = [(path, None, None, None, None, str(exc))]
-                frame = pd.DataFrame(rows, columns=columns)
-                yield frame.astype({"ordinal": "Int32", "size": "Int64"})
-
-    return archives.select("path", "content").mapInPandas(unpack, MEMBERS)
+                    with zipfile.ZipFile(pa.BufferReader(data.as_buffer())) as box:
+                        entries = [e for e in box.infolist() if not e.is_dir()]
+                        rows = [(path, k, entries[k].file_size, box.read(entries[k]), None) for k in sorted(wanted)]
+                except (zipfile.BadZipFile, EOFError, OSError, RuntimeError, NotImplementedError) as wrong:
+                    rows = [(path, None, None, None, str(wrong))]
+                kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                                 names=["archive", "ordinal", "size", "content", "broken"])
+
+    return archives.select("path", "content", "wanted").mapInArrow(run, UNPACKED)
+
+
+def expand(archives: DataFrame, max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
+    """(path, content) rows -> (archive, ordinal, member, size, content, error): one row per
+    CSV member, or one row with an error for an archive that is refused as a whole. There
+    is no limit unless the caller sets one. Archives are split over tasks; one is read by
+    one task, as its compression allows no other way. ``path`` must name an archive."""
+    members = listing(archives)
+    judged = verdicts(members, max_bytes, max_files)
+    good = judged.where("error is null").select(F.col("archive").alias("path"), "wanted")
+    parts = unpacked(archives.join(good, "path"))
+    names = members.where("ordinal is not null").select("archive", "ordinal", member_name(F.col("raw")).alias("member"))
+    place = F.row_number().over(Window.partitionBy("archive").orderBy("ordinal")) - 1
+    read = parts.where("broken is null").join(names, ["archive", "ordinal"]).select(
+        "archive", place.cast("int").alias("ordinal"), "member", "size", "content", F.lit(None).cast("string").alias("error"))
+    broken = parts.where("broken is not null").select("archive", F.lit(UNREADABLE).alias("error"))
+    refused = judged.where("error is not null").select("archive", "error").union(broken)
+    return read.unionByName(refused, allowMissingColumns=True)
 
 
 def expand_archives(spark: SparkSession, pattern: str, **limits) -> DataFrame:

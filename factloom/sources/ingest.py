@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MAX_TABLES, STACK_OVERLAP
+from ..model import STACK_OVERLAP
 from ..operators import clean, ordered, profile
 from ..operators.stats import col
 from . import csv
@@ -56,12 +56,18 @@ def base_name_expr(path: Column) -> Column:
 
 
 def named(files: DataFrame, path: str, order: str) -> DataFrame:
-    """Adds ``table_name`` to a list of files: the k-th file of a base name gets _k.
-    For lists in which no base name itself looks like another one's numbered form."""
+    """Adds ``table_name`` to a list of files: the k-th file of a base name gets _k. Where that
+    is the base name of another file, numbers of that base name come after a second "_",
+    so no two files share a name."""
     based = files.withColumn("_base", base_name_expr(col(path)))
     counted = ordered.numbered(based, ["_base"], [order], "_k")
-    name = F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", F.col("_k").cast("string")))
-    return counted.withColumn("table_name", name).drop("_base", "_k")
+    number = F.when(F.col("_k") > 1, F.col("_k").cast("string"))
+    plain = F.concat_ws("_", "_base", number)
+    bases = based.select(F.col("_base").alias("_taken")).distinct()
+    met = counted.withColumn("_plain", plain).join(bases, (F.col("_plain") == F.col("_taken")) & (F.col("_k") > 1), "left")
+    clash = met.groupBy("_base").agg(F.count("_taken").alias("_clashes"))
+    safe = F.when((F.col("_clashes") > 0) & (F.col("_k") > 1), F.concat(F.col("_base"), F.lit("__"), number)).otherwise(F.col("_plain"))
+    return ordered.join_keys(met, clash, ["_base"]).withColumn("table_name", safe).drop("_base", "_k", "_plain", "_taken", "_clashes")
 
 
 # -- clustering --------------------------------------------------------------------
@@ -106,16 +112,14 @@ class Table:
 
 
 def ingest_tables(spark: SparkSession, files: list[tuple[str, str]], target: str,
-                  max_tables: int = MAX_TABLES) -> tuple[list[Table], DataFrame, bool]:
+                  max_tables: int | None = None) -> tuple[list[Table], DataFrame, bool]:
     """(display name, path) pairs to cleaned Parquet tables under ``target``. Returns
     the tables, the change log and whether every table could be cleaned."""
     display = {path: name for name, path in files}
     headers = csv.read_headers(spark, [p for _, p in files])
     clusters = cluster_by_schema(headers)
-    if len(clusters) > max_tables:
-        raise TooManyTables(
-            f"These files form {len(clusters)} distinct tables; the limit is {max_tables}. Files with matching "
-            "columns are combined automatically — this upload has too many different schemas.")
+    if max_tables is not None and len(clusters) > max_tables:
+        raise TooManyTables(f"The files have {len(clusters)} different sets of columns, and {max_tables} tables are allowed.")
     names = table_names(display[c.files[0]] for c in clusters)
 
     def build(i: int, cluster: Cluster, name: str):

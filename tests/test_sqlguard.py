@@ -55,11 +55,24 @@ def test_join_using_is_allowed_and_views_go_away(spark, data):
     got = sqlguard.query_tables({"a": data, "b": other}, "SELECT map('k', region) AS m FROM a JOIN b USING (student)")
     assert got.count() == 2
     assert not spark.catalog.tableExists("a")
-    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
     with pytest.raises(QueryError):
         sqlguard.query_tables({"a": data}, "SELECT nope FROM a")
 
 
+def test_only_the_given_tables_are_seen(spark, data):
+    spark.range(3).createOrReplaceTempView("elsewhere")
+    for sql in ("SELECT * FROM elsewhere", "SELECT * FROM a WHERE pct IN (SELECT id FROM elsewhere)",
+                "WITH x AS (SELECT * FROM elsewhere) SELECT * FROM x", "SELECT 1 FROM a UNION ALL SELECT id FROM elsewhere"):
+        with pytest.raises(QueryError):
+            sqlguard.query_tables({"a": data}, sql)
+    spark.catalog.dropTempView("elsewhere")
+    assert sqlguard.query_tables({"a": data}, "WITH x AS (SELECT * FROM a) SELECT * FROM x").count() == 3
+
+
+def test_words_in_literals_do_no_harm(data):
+    assert sqlguard.run_sql(data, "SELECT 'copy; drop' AS `set`, 1 AS b -- create\nFROM data LIMIT 1;").rows == [{"set": "copy; drop", "b": 1}]
+
+
 def test_a_view_of_the_caller_survives(spark, data):
     spark.range(3).createOrReplaceTempView("data")
     sqlguard.run_sql(data, "SELECT COUNT(*) AS n FROM data")
