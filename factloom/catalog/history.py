@@ -320,28 +320,36 @@ def signup_segments(t):
 # -- streams -----------------------------------------------------------------------------
 
 @query("ingest_stream", """
-select event_type, count(*) as n, count(value) as valued, strftime(max(ts), '%Y-%m-%d') as last_day from (
-  select event_type, ts, nullif(value, 0) as value from events) group by 1""")
+select event_type, count(*) as n, count(value) as valued, strftime(max(ts), '%Y-%m-%d') as last_day, sum(length('say "hi", ' || event_id || chr(10) || 'again'))::bigint as said from (
+  select event_id, event_type, ts, nullif(value, 0) as value from events) group by 1""")
 def ingest_stream(t):
+    """Files with two orders of columns, quotes, line breaks and an extra column."""
     landing, target = scratch_dir(t.spark, "landing"), scratch_dir(t.spark, "ingested")
     df = t.events.select("event_id", F.concat(F.lit(" "), "event_type", F.lit("  ")).alias("event_type"),
                          F.coalesce(F.concat(F.lit("$"), F.nullif("value", F.lit(0.0)).cast("string")), F.lit("N/A")).alias("value"),
-                         F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("ts"))
-    df.write.option("header", True).csv(landing)
+                         F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("ts"),
+                         F.concat(F.lit('say "hi", '), F.col("event_id").cast("string"), F.lit("\nagain")).alias("said"), F.lit(1).alias("more"))
+    for k, order in enumerate((["event_id", "event_type", "value", "ts", "said"], ["said", "ts", "more", "event_id", "value", "event_type"])):
+        df.where(F.col("event_id") % 2 == k).select(*order).write.option("header", True).option("escape", '"').csv(f"{landing}/{k}")
     ingest.ingest_stream(t.spark, landing, target, f"{target}/checkpoint",
-                         {"event_id": "number", "event_type": "text", "value": "number", "ts": "timestamp"})
+                         {"event_id": "number", "event_type": "text", "value": "number", "ts": "timestamp", "said": "text"}, files_per_batch=3)
     return t.spark.read.parquet(f"{target}/data").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.count("value").alias("valued"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
+        F.count("*").alias("n"), F.count("value").alias("valued"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"),
+        F.sum(F.length("said")).alias("said"))
 
 
 @query("profile_stream", "\nunion all\n".join(f"""
 select '{c}' as name, count(*) as "rows", count(*) - count({c}) as nulls, cast(min({c}) as double) as min, cast(max({c}) as double) as max, round(avg({c}), 4) as mean,
-  round(stddev_samp({c}), 4) as std from events""" for c in ("user_id", "value")))
+  round(stddev_samp({c}), 4) as std, cast(cast(min({c}) as bigint) as varchar) as min_text, cast(cast(max({c}) as bigint) as varchar) as max_text from {v}"""
+    for c, v in (("user_id", "events"), ("far", "(select 1000000000 + event_id % 7 as far from events)"))))
 def profile_stream(t):
-    stream = batches.table_stream(t.spark, t.sf_dir, "events").select("user_id", "value")
-    root = scratch_dir(t.spark, "profile")
+    """Several batches of files, one column far from zero."""
+    landing, root = scratch_dir(t.spark, "batches"), scratch_dir(t.spark, "profile")
+    rows = t.events.select("user_id", (1000000000 + F.col("event_id") % 7).alias("far"))
+    rows.repartition(6).write.parquet(landing)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     out = ingest.profile_stream(stream, f"{root}/state", f"{root}/checkpoint")
-    return rounded(out, "mean", "std").select("name", "rows", "nulls", "min", "max", "mean", "std")
+    return rounded(out, "mean", "std").select("name", "rows", "nulls", "min", "max", "mean", "std", "min_text", "max_text")
 
 
 def _twice(stream):
@@ -357,11 +365,13 @@ def dedupe_events(t):
 
 
 @query("idempotent_grants", f"""
-select user_id, count(distinct idempotency_key) as grants from {LEDGER} where idempotency_key is not null group by 1""")
+select user_id, count(distinct idempotency_key) + 2 * count(*) filter (where id % 5 = 0) as grants from (
+  select user_id, id, case when id % 5 > 0 then idempotency_key end as idempotency_key from {LEDGER} where idempotency_key is not null) group by 1""")
 def idempotent_grants(t):
+    """Every grant comes twice; a fifth have no key, so both of them count."""
     m = moves(batches.table_stream(t.spark, t.sf_dir, "events"))
     key = F.concat_ws(":", F.col("user_id").cast("string"), "entry_type", F.date_format("ts", "yyyy-MM-dd"))
-    grants = m.where("entry_type in ('signup_bonus', 'purchase')").withColumn("idempotency_key", key)
+    grants = m.where("entry_type in ('signup_bonus', 'purchase')").withColumn("idempotency_key", F.when(F.col("id") % 5 > 0, key))
     out = batches.collected(t.spark, trends.idempotent_grants(_twice(grants)), "grants")
     return out.groupBy("user_id").agg(F.count("*").alias("grants"))
 

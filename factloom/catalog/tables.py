@@ -116,7 +116,9 @@ def dimension_values(t):
     return profile.dimension_values(t.orders, profile.profile(t.orders, samples=False))
 
 
-_DESCRIBE = ["c_custkey", "c_nationkey", "c_acctbal"]
+_DESCRIBE = ["o_orderkey", "o_custkey", "o_totalprice"]
+_NO_MOMENTS = ", ".join(f"cast(null as varchar) as {c}" for c in profile.MOMENTS)
+_QUARTER = {"p25_at": 0.25, "p50_at": 0.5, "p75_at": 0.75}
 
 
 @query("describe", union_sql(_DESCRIBE, lambda i, c:
@@ -124,21 +126,28 @@ _DESCRIBE = ["c_custkey", "c_nationkey", "c_acctbal"]
        f"cast(null as varchar) as top, cast(null as bigint) as freq, round(avg({c}), 4) as mean, "
        f"round(stddev_samp({c}), 4) as std, cast(min({c}) as double) as min, "
        f"round(quantile_cont({c}, 0.25), 4) as p25, round(quantile_cont({c}, 0.5), 4) as p50, "
-       f"round(quantile_cont({c}, 0.75), 4) as p75, cast(max({c}) as double) as max from customer") +
-       """ union all select 'c_mktsegment', count(c_mktsegment), count(distinct c_mktsegment),
-       (select c_mktsegment from customer group by 1 order by count(*) desc, 1 limit 1),
-       (select count(*) from customer group by c_mktsegment order by 1 desc limit 1),
-       null, null, null, null, null, null, null from customer""")
+       f"round(quantile_cont({c}, 0.75), 4) as p75, cast(max({c}) as double) as max, {_NO_MOMENTS} from orders") +
+       f""" union all select 'o_orderpriority', count(o_orderpriority), count(distinct o_orderpriority),
+       (select o_orderpriority from orders group by 1 order by count(*) desc, 1 limit 1),
+       (select count(*) from orders group by o_orderpriority order by 1 desc limit 1),
+       null, null, null, null, null, null, null, {_NO_MOMENTS} from orders
+       union all select 'o_orderdate', count(o_orderdate), null, null, null, null, null, null, null, null, null, null,
+       strftime(make_timestamp(round(avg(epoch_us(o_orderdate)))::bigint), '%Y-%m-%d %H:%M:%S'), strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S'),
+       {", ".join(f"strftime(make_timestamp(round(quantile_cont(epoch_us(o_orderdate)::double, {q}))::bigint), '%Y-%m-%d %H:%M:%S')" for q in _QUARTER.values())},
+       strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') from orders""")
 def describe(t):
-    out = profile.describe(t.customer, [*_DESCRIBE, "c_mktsegment"]).drop("position")
+    out = profile.describe(t.orders, [*_DESCRIBE, "o_orderpriority", "o_orderdate"]).drop("position")
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
 @query("exact_quantiles", union_sql(["l_quantity", "l_extendedprice", "l_discount"], lambda i, c:
        f"select '{c}' as name, round(quantile_cont({c}, 0.1), 4) as p10, round(quantile_cont({c}, 0.5), 4) as p50, "
-       f"round(quantile_cont({c}, 0.99), 4) as p99 from lineitem"))
+       f"round(quantile_cont({c}, 0.99), 4) as p99 from lineitem where {c} <> 0.05"))
 def exact_quantiles(t):
-    got = stats.exact_quantiles(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], [0.1, 0.5, 0.99])
+    """Values of 0.05 stand as NaN in the table: missing."""
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    df = t.lineitem.select(*[F.when(F.col(c) == 0.05, float("nan")).otherwise(F.col(c)).alias(c) for c in names])
+    got = stats.exact_quantiles(df, names, [0.1, 0.5, 0.99])
     rows = [(c, *[round(v, 4) for v in vs]) for c, vs in got.items()]
     return t.spark.createDataFrame(rows, "name string, p10 double, p50 double, p99 double")
 
@@ -378,12 +387,17 @@ def looks_like_datetime(t):
         F.col(f"n{i}").alias("n")) for i, c in enumerate(df.columns)])))
 
 
-@query("coerce_datetime", """
-select strftime(date_trunc('month', o_orderdate), '%Y-%m') as month, count(*) as n from orders group by 1""")
+_LAYOUTS = {"us": "M/d/yyyy H:mm", "half_day": "M/d/yyyy h:mm a", "day_first": "dd/MM/yyyy", "dashes": "dd-MM-yyyy HH:mm", "dots": "d.M.yyyy", "compact": "yyyyMMdd",
+            "short": "d-MMM-yyyy", "long": "MMMM d, yyyy", "mail": "EEE, dd MMM yyyy HH:mm:ss 'GMT'"}
+
+
+@query("coerce_datetime", " union all ".join(f"""
+select '{k}' as layout, strftime(date_trunc('month', o_orderdate), '%Y-%m') as month, count(*) as n from orders group by all""" for k in _LAYOUTS))
 def coerce_datetime(t):
-    raw = t.orders.select("o_orderkey", F.date_format("o_orderdate", "M/d/yyyy H:mm").alias("day"))
+    raw = t.orders.select("o_orderkey", *[F.date_format("o_orderdate", v).alias(k) for k, v in _LAYOUTS.items()])
     fixed, _, _ = clean.plan_changes(raw)
-    return fixed.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    tall = fixed.select(F.inline(F.array(*[F.struct(F.lit(k).alias("layout"), F.col(k).alias("day")) for k in _LAYOUTS])))
+    return tall.groupBy("layout", F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("merge_case", f"""

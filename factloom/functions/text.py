@@ -22,17 +22,25 @@ CHART_TYPES = [
 _DIGITS = r"(?:,*\d[\d,]*(?:\.[\d,]*)?|,*\.,*\d[\d,]*)(?:[eE][+-]?\d+)?"
 _MONEY = rf"^\s*[{CURRENCY}]*\s*[+-]?{_DIGITS}\s*%*\s*$"
 # Shape that every date layout below shares; one test rules out ordinary text.
-_MAYBE_TIME = r"^\d{1,4}[-/ ]|^[A-Za-z]{3} \d"
+_MAYBE_TIME = r"^\d{1,4}[-/. ]|^\d{8}$|^[A-Za-z]{3,9},? \d"
 _LONGEST_TIME = 40
 _ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
-# pattern of the text -> Spark datetime pattern, month before day
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
+_HALF_DAY = r" \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$"
+# pattern of the text -> Spark datetime pattern
 _OTHER_TIMES = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "M/d/yyyy[ H:mm[:ss]]"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}(:\d{2})?)?$", "yyyy/M/d[ H:mm[:ss]]"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", "M-d-yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, "yyyy/M/d[ H:mm[:ss]]"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, "d.M.yyyy[ H:mm[:ss]]"),
+    (r"^(19|20)\d{6}$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}" + _CLOCK, "d MMM yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}" + _CLOCK, "d-MMM-yyyy[ H:mm[:ss]]"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}" + _CLOCK, "MMM d, yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}" + _CLOCK, "d MMMM yyyy[ H:mm[:ss]]"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}" + _CLOCK, "MMMM d, yyyy[ H:mm[:ss]]"),
 ]
+_RFC_TIME = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} (GMT|UTC|Z)$"
+# Numbers only, whose order of day and month the text does not tell.
+_OPEN_TIMES = [(sep, rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}") for sep in "/-"]
 
 
 def norm_text(c: Column) -> Column:
@@ -54,13 +62,28 @@ def to_number(c: Column) -> Column:
     return F.when(c.rlike(_MONEY), F.translate(c, f"{CURRENCY}%, \t", "").try_cast("double"))
 
 
-def to_timestamp(c: Column) -> Column:
-    """Dates in a fixed set of layouts; a bare year is not a date."""
+def day_is_first(c: Column) -> Column:
+    """Aggregate: some value of the column can only be read with the day first, and none
+    only with the month first. The whole column is then read that way."""
+    numbers = r"^(\d{1,2})[-/](\d{1,2})[-/]\d{4}\b"
+    a, b = (F.regexp_extract(c, numbers, k).try_cast("int") for k in (1, 2))
+    return (F.count_if(a > 12) > 0) & (F.count_if(b > 12) == 0)
+
+
+def to_timestamp(c: Column, day_first: bool | Column = False) -> Column:
+    """Dates in a fixed set of layouts; a bare year is not a date. ``day_first`` tells how to
+    read 1/2/2024 and 1-2-2024."""
+    day_first = F.lit(day_first) if isinstance(day_first, bool) else day_first
     short = F.when((F.length(c) <= _LONGEST_TIME) & c.rlike(_MAYBE_TIME), c)
     out = F.when(short.rlike(_ISO_TIME), short.try_cast("timestamp"))
+    for sep, shape in _OPEN_TIMES:
+        for tail, clock, text in ((_CLOCK, "[ H:mm[:ss]]", c), (_HALF_DAY, " h:mm[:ss] a", F.upper(F.regexp_replace(c, r"(?i)(\d)([ap]m)$", "$1 $2")))):
+            month, day = (F.try_to_timestamp(text, F.lit(p + f"{sep}yyyy{clock}")) for p in (f"M{sep}d", f"d{sep}M"))
+            out = out.when(short.rlike(shape + tail), F.when(day_first, day).otherwise(month))
     for shape, pattern in _OTHER_TIMES:
         out = out.when(short.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
-    return out
+    rfc = F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}, | (GMT|UTC|Z)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    return out.when(short.rlike(_RFC_TIME), rfc)
 
 
 def has_digit(c: Column) -> Column:

@@ -58,17 +58,19 @@ def _rates(df: DataFrame, fields: list) -> DataFrame:
     normal = df.select(*[(text.norm_text(col(f.name)) if i in texts else col(f.name)).alias(f"c{i}") for i, f in fields])
     cells = normal.select("*", *[text.null_tokens(F.col(f"c{i}")).alias(f"v{i}") for i in texts])
     parsed = cells.select("*", *[p for i in texts for p in (
-        text.to_number(F.col(f"v{i}")).alias(f"x{i}"), text.to_timestamp(F.col(f"v{i}")).alias(f"t{i}"))])
+        text.to_number(F.col(f"v{i}")).alias(f"x{i}"), text.to_timestamp(F.col(f"v{i}")).alias(f"t{i}"),
+        text.to_timestamp(F.col(f"v{i}"), True).alias(f"d{i}"))])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in fields:
         c = F.col(f"c{i}")
         if i in texts:
-            v, number, moment = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"t{i}")
+            v, number, moment, by_day = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"t{i}"), F.col(f"d{i}")
+            first = text.day_is_first(v)
             aggs += [(F.count(c) - F.count(v)).alias(f"tok{i}"), F.count(v).alias(f"n{i}"),
                      F.count(number).alias(f"num{i}"), F.count_if(text.has_digit(v)).alias(f"dig{i}"),
-                     F.count(moment).alias(f"ts{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
+                     F.when(first, F.count(by_day)).otherwise(F.count(moment)).alias(f"ts{i}"), first.alias(f"day{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
                      (F.min(number) == F.max(number)).alias(f"onum{i}"),
-                     (F.min(moment) == F.max(moment)).alias(f"ots{i}")]
+                     F.when(first, F.min(by_day) == F.max(by_day)).otherwise(F.min(moment) == F.max(moment)).alias(f"ots{i}")]
         else:
             one = F.lit(False) if isinstance(f.dataType, nested) else F.min(c) == F.max(c)
             aggs += [F.count(c).alias(f"n{i}"), one.alias(f"one{i}")]
@@ -159,7 +161,7 @@ def plan_changes(df: DataFrame):
         if f.name in numbers:
             c = text.to_number(c)
         elif f.name in moments:
-            c = text.to_timestamp(c)
+            c = text.to_timestamp(c, bool(s[f"day{ready.columns.index(f.name)}"]))
         elif f.name in merged:
             pairs = [F.lit(x) for kv in merged[f.name].items() for x in kv]
             c = F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)

@@ -34,7 +34,7 @@ def date_rates(c: Column, i: int) -> list[Column]:
     """Aggregates that decide whether a text column holds dates; judged on every
     row, since a first-fifty sample is not defined on a cluster."""
     return [F.count_if(text.has_digit(c)).alias(f"dig{i}"),
-            F.count(text.to_timestamp(c)).alias(f"ts{i}")]
+            F.when(text.day_is_first(c), F.count(text.to_timestamp(c, True))).otherwise(F.count(text.to_timestamp(c))).alias(f"ts{i}")]
 
 
 def is_date_like(n: Column, digits: Column, parsed: Column) -> Column:
@@ -168,12 +168,27 @@ def dimension_values(df: DataFrame, profiles: DataFrame, max_dims: int | None =
             .select("name", "value"))
 
 
+MOMENTS = ["mean_at", "min_at", "p25_at", "p50_at", "p75_at", "max_at"]
+
+
+def _moments(df: DataFrame, names: list[str]) -> DataFrame:
+    """(name, …_at): range, mean and quartiles of time columns, by their microseconds."""
+    micros = df.select(*[F.unix_micros(col(c).cast("timestamp")).cast("double").alias(c) for c in names])
+    ends = micros.agg(*[a for i, c in enumerate(names) for a in (
+        F.avg(col(c)).alias(f"a{i}"), F.min(col(c)).alias(f"b{i}"), F.max(col(c)).alias(f"c{i}"))]).first()
+    quartiles = stats.exact_quantiles(micros, names, [0.25, 0.5, 0.75])
+    rows = [(c, ends[f"a{i}"], ends[f"b{i}"], *quartiles[c], ends[f"c{i}"]) for i, c in enumerate(names)]
+    known = df.sparkSession.createDataFrame(rows, "name string, " + ", ".join(f"{c} double" for c in MOMENTS))
+    return known.select("name", *[F.date_format(F.timestamp_micros(F.round(c).cast("long")), "yyyy-MM-dd HH:mm:ss").alias(c) for c in MOMENTS])
+
+
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, unique, top, freq, mean, std, min, quartiles and max per column."""
+    """count, unique, top, freq, mean, std, min, quartiles and max per column. Date and time
+    columns have the last five as text in columns that end in ``_at``."""
     if columns:
         missing = [c for c in columns if c not in df.columns]
         if missing:
-            raise QueryError(f"Unknown column(s): {missing}")
+            raise QueryError(f"The table lacks {', '.join(missing)}.")
         df = df.select(*[col(c) for c in columns])
     df = stats.nan_to_null(df)
     base = stats.column_stats(df).select("name", "position", F.col("n").alias("count"),
@@ -190,11 +205,16 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 F.lit(f.name).alias("name"), F.count(F.lit(1)).alias("unique"),
                 F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("top"),
                 F.max("count").alias("freq")))
+    moments = [f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
+    if moments:
+        base = base.unionByName(_moments(df, moments), allowMissingColumns=True)
+    else:
+        base = base.selectExpr("*", *[f"cast(null as string) {c}" for c in MOMENTS])
     # The three parts share no column but the name: stack them and keep what is there.
     parts = base.unionByName(quartiles, allowMissingColumns=True)
     parts = (parts.unionByName(stats.union_all(tops), allowMissingColumns=True) if tops else
              parts.selectExpr("*", "cast(null as bigint) `unique`", "cast(null as string) top", "cast(null as bigint) freq"))
-    shown = ["count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max", "position"]
+    shown = ["count", "unique", "top", "freq", "mean", "std", "min", "p25", "p50", "p75", "max", *MOMENTS, "position"]
     return parts.groupBy(F.col("name").alias("column")).agg(*[F.max(c).alias(c) for c in shown])
 
 

@@ -190,7 +190,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     small: int = SMALL_QUANTILE_ROWS) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of every column, exact at any size. Spark's
     ``percentile`` keeps one value map per column in a single task, so it is used
-    only up to ``small`` values."""
+    only up to ``small`` values. NaN counts as missing."""
+    df = nan_to_null(df.select(*[col(c) for c in columns]))
     seen = df.agg(*[a for i, c in enumerate(columns) for a in (
         F.count(col(c)).alias(f"n{i}"), F.min(col(c).cast("double")).alias(f"lo{i}"), F.max(col(c).cast("double")).alias(f"hi{i}"))]).first()
     sizes = {c: seen[f"n{i}"] for i, c in enumerate(columns)}
@@ -352,10 +353,11 @@ def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pe
     if columns:
         missing = [c for c in columns if c not in numeric]
         if missing:
-            raise QueryError(f"Column(s) not numeric or not found: {missing}")
+            raise QueryError(f"No numeric column of the table: {', '.join(missing)}.")
         numeric = list(columns)
     if len(numeric) < 2:
-        raise QueryError("Need at least two numeric columns to correlate")
+        raise QueryError("A correlation takes two numeric columns.")
+    df = nan_to_null(df.select(*[col(c) for c in numeric]))
     if method == "pearson":
         half = pearson_pairs(df, numeric).select("a", "b", "r")
     elif method in ("spearman", "kendall"):
@@ -364,7 +366,7 @@ def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pe
             one(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
             for a, b in combinations(numeric, 2)])
     else:
-        raise QueryError(f"Unknown correlation method '{method}'")
+        raise QueryError(f"'{method}' is no way to correlate.")
     diagonal = df.agg(*[F.when(F.min(col(c)) < F.max(col(c)), F.lit(1.0)).alias(f"d{i}")
                         for i, c in enumerate(numeric)]).select(F.inline(F.array(*[
                             F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.col(f"d{i}").alias("r"))

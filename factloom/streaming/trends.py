@@ -30,6 +30,8 @@ def dedupe_events(events: DataFrame, at: str, key: str = "event_id", late: str =
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def idempotent_grants(grants: DataFrame, at: str = "ts", key: str = "idempotency_key", late: str = "2 days") -> DataFrame:
-    """A second grant with the same key is dropped."""
-    return dedupe_events(grants.where(F.col(key).isNotNull()), at, key, late)
+def idempotent_grants(grants: DataFrame, key: str = "idempotency_key") -> DataFrame:
+    """A second grant with the same key is dropped, however late it or the first one comes; a
+    grant without a key is always kept. Keys are remembered for good, spread over the
+    state store by key, as a credit must never be given twice."""
+    return grants.where(F.col(key).isNotNull()).dropDuplicates([key]).union(grants.where(F.col(key).isNull()))
