@@ -38,15 +38,15 @@ def _place(doc: Column, line: Column) -> Column:
 
 
 def _halves(words: Column, n: Column) -> Column:
-    """Keys of the first and second half, for its own length and for one word less. Two
-    lines one edit apart share at least one of them, as the edit spares a half."""
+    """Keys of the first and second half, for its own length and for one word less, which is
+    three different keys. Two lines one edit apart share one, as the edit spares a half."""
     def pair(size: Column) -> list[Column]:
         head = F.floor(size / 2).cast("int")
         tail = (size - head).cast("int")
-        return [F.xxhash64(F.lit("head"), size, F.concat_ws(" ", F.slice(words, F.lit(1), head))),
-                F.xxhash64(F.lit("tail"), size, F.concat_ws(" ", F.slice(words, n - tail + 1, tail)))]
+        return [F.xxhash64(F.lit("head"), F.concat_ws(" ", F.slice(words, F.lit(1), head))),
+                F.xxhash64(F.lit("tail"), F.concat_ws(" ", F.slice(words, n - tail + 1, tail)))]
 
-    return F.array(*pair(n), *pair(n - 1))
+    return F.array_distinct(F.array(*pair(n), *pair(n - 1)))
 
 
 def occurrences(docs: DataFrame, p: LineDedup) -> DataFrame:
