@@ -6,6 +6,7 @@ from __future__ import annotations
 import heapq
 import re
 from itertools import chain
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from .common import list_column, pick, slices
 
 SPACE = "▁"
-SEGMENTS = 300_000
+SEGMENTS = 400_000
+#: Up to so many characters the agenda is a list, beyond it a heap. The pieces are the same.
+SHORT = 40
 #: Longer segments are not remembered.
 REMEMBERED = 48
 
@@ -28,10 +31,12 @@ class Mismatch(RuntimeError):
 class PieceEncoder:
     """Ids of a text under a merge-type model with byte fallback and no text normalization.
 
-    No piece has a space mark after another character, and none joins a line feed with
-    something else (checked on loading), so a text can be cut at these places, and each
-    segment is encoded alone and remembered. Every segment is compared with the library
-    when it is first seen in a process.
+    Characters that stand together in no piece are never joined, so a text can be cut between
+    them, and each segment is encoded alone and remembered. Texts are cut before space
+    marks, around line feeds, and between letters or digits and other characters. Whether
+    the vocabulary allows this is found on loading; texts with a pair of characters that
+    a piece does join are cut at spaces only, or not at all. Every segment is compared
+    with the library when it is first seen in a process.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,12 +52,42 @@ class PieceEncoder:
             raise ValueError("the model has no byte fallback")
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         feed = any("\n" in p and len(p) > 1 for p in self.ids)
-        self.cut = re.compile("(?s).+" if inner or feed else f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+        coarse = "(?s).+" if inner or feed else f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+"
+        self.coarse = re.compile(coarse)
+        self.fine = re.compile(f"{SPACE}*[^\\W_]+|{SPACE}*(?:[^\\w{SPACE}\n]|_)+|{SPACE}+|\n")
+        mixed = {a + b for p in map(str.lstrip, self.ids, [SPACE] * len(self.ids)) for a, b in zip(p, p[1:]) if a.isalnum() != b.isalnum()}
+        self.mixed = re.compile("(?s)." if inner or feed else "|".join(map(re.escape, sorted(mixed))) or "(?!)")
         self.known: dict[str, tuple[int, ...]] = {}
 
     def segment_ids(self, text: str) -> tuple[int, ...]:
         """Take the best-scored adjacent pair that is a piece, the leftmost on a tie, join
         it, offer its new neighbours, until the agenda is empty."""
+        ids, fallback = self.ids, self.bytes
+        out: list[int] = []
+        for s in self.short_agenda(text) if len(text) <= SHORT else self.long_agenda(text):
+            if s in ids:
+                out.append(ids[s])
+            else:
+                out += [fallback[b] for b in s.encode()]
+        return tuple(out)
+
+    def short_agenda(self, text: str) -> list[str]:
+        """The agenda as a list of the scores of all adjacent pairs: for a few symbols a search
+        through it is quicker than a heap."""
+        symbols, get, never = list(text), self.score.get, -inf
+        agenda = [get(text[k:k + 2], never) for k in range(len(text) - 1)]
+        while agenda and (best := max(agenda)) > never:
+            k = agenda.index(best)
+            symbols[k] += symbols.pop(k + 1)
+            del agenda[k]
+            if k < len(agenda):
+                agenda[k] = get(symbols[k] + symbols[k + 1], never)
+            if k:
+                agenda[k - 1] = get(symbols[k - 1] + symbols[k], never)
+        return symbols
+
+    def long_agenda(self, text: str) -> list[str]:
+        """The agenda as a heap; a pair with a joined side is skipped when its turn comes."""
         score = self.score
         symbols: list[str | None] = list(text)
         n = len(symbols)
@@ -72,9 +107,7 @@ class PieceEncoder:
             k = before[left]
             if k >= 0 and (p := symbols[k] + piece) in score:
                 heapq.heappush(agenda, (-score[p], k, left, p))
-        ids, fallback = self.ids, self.bytes
-        return tuple(chain.from_iterable(
-            (ids[s],) if s in ids else [fallback[b] for b in s.encode()] for s in symbols if s is not None))
+        return [s for s in symbols if s is not None]
 
     def _check(self, segments: list[str]) -> None:
         """Compare with the library. It puts a space mark before a text, so a segment that has
@@ -91,7 +124,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text; texts and segments are compared with the library as the class
         says, the first text as a whole."""
-        cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [(self.coarse if self.mixed.search(t) else self.fine).findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > SEGMENTS:
             self.known.clear()
         new = {s for segments in cut for s in segments if s not in self.known}
