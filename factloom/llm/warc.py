@@ -4,6 +4,7 @@ segments of each record."""
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from dataclasses import dataclass
@@ -13,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import slices
 
-CRLF = b"\r\n"
+CRLF, GZIP = b"\r\n", b"\x1f\x8b"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,7 +118,7 @@ def revisit_records(pages: DataFrame, a: Archive) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive: Archive = Archive()) -> None:
-    """Write one record per row of ``pages`` to WARC files in the folder ``path``.
+    """Write one record per row of ``pages`` to gzipped WARC files in the folder ``path``.
 
     The payload is the html in UTF-8, null as empty. Of equal payloads the row with the
     largest page_id is a response, the others are revisits that refer to it; null page_ids
@@ -133,7 +135,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     revisits = revisit_records(again.select("page_id", "url", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")), archive)
     # A record ends with two line ends, which the text writer appends to each row as it is.
     responses.union(revisits).select(F.col("record").cast("string").alias("value")).write.option(
-        "lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive.records).text(path)
+        "lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive.records).option("compression", "gzip").text(path)
 
 
 def records_in(content: bytes):
@@ -164,7 +166,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for f, block in records_in(content.as_py()):
+                raw = content.as_py()
+                for f, block in records_in(gzip.decompress(raw) if raw[:2] == GZIP else raw):
                     name, number = bare(f["warc-record-id"]), f.get("warc-segment-number")
                     rows.append((name, f["warc-type"], bare(f.get("warc-segment-origin-id")) or name, int(number or 1),
                                  int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None if number else len(block),
@@ -182,9 +185,12 @@ NAMES = ["record_id", "kind", "origin", "segment", "total", "page_id", "refers_t
 KINDS = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
 
-def reassembled(records: DataFrame) -> DataFrame:
+WHOLE = ["origin", "page_id", "payload", "payload_bytes", "payload_digest", "problem"]
+
+
+def reassembled(records: DataFrame, payloads: bool = True) -> DataFrame:
     """(origin, page_id, payload, payload_bytes, payload_digest, problem): the responses among
-    ``records``, put together from their segments. ``problem`` names what is wrong with a
+    ``records``, put together from their segments; the payload itself only if ``payloads``. ``problem`` names what is wrong with a
     record: a missing or repeated segment, a wrong total length, bad framing, a wrong digest."""
     parts = records.where(F.col("kind").isin("response", "continuation")).groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.max("digest").alias("digest"),
@@ -204,18 +210,25 @@ def reassembled(records: DataFrame) -> DataFrame:
             raise ValueError(f"digest {made}, stated {digest}")
         return payload, made
 
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+
     def run(batches):
         for batch in batches:
+            rows, held = [], 0
             for row in batch.to_pylist():
                 payload, made, problem = None, None, None
                 try:
                     payload, made = joined(row["parts"], row["total"], row["digest"])
                 except ValueError as wrong:
                     problem = str(wrong)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], k) for x, k in ((row["origin"], pa.string()), (row["page_id"], pa.int64()), (payload, pa.binary()),
-                     (None if payload is None else len(payload), pa.int64()), (made, pa.string()), (problem, pa.string()))],
-                    names=["origin", "page_id", "payload", "payload_bytes", "payload_digest", "problem"])
+                size = None if payload is None else len(payload)
+                rows.append((row["origin"], row["page_id"], payload if payloads else None, size, made, problem))
+                held += size or 0
+                if held > 8 << 20 and payloads:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=WHOLE)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=WHOLE)
 
     return parts.mapInArrow(run, "origin string, page_id long, payload binary, payload_bytes long, payload_digest string, problem string")
 
@@ -225,7 +238,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     record_type, refers_to, problem. A revisit has the length of the response it refers to;
     ``problem`` tells why a payload could not be read, or that the response is missing."""
     records = read_records(spark, path)
-    whole = reassembled(records).drop("payload")
+    # Both branches below read it, so it is put together once.
+    whole = cut_lineage(reassembled(records, payloads=False).drop("payload"), "reassembled")
     revisits = records.where("kind = 'revisit'").select("page_id", "refers_to", "digest")
     target = whole.select(F.col("origin").alias("refers_to"), F.col("page_id").alias("target"), "payload_bytes",
                           F.coalesce("problem", F.lit("")).alias("problem"))
