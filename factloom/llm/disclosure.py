@@ -126,8 +126,8 @@ def disclosing(pairs: DataFrame, texts: DataFrame, total: int, p: Disclosure) ->
     suspects = cut_lineage(together.join(shown, ["entity", "term"]), "suspects")
     names = suspects.select("term").distinct()
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    asked = small_side(names, p.broadcast_terms)
-    n_term = words.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted before the join: a task passes on each of its words once.
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(small_side(names, p.broadcast_terms), "term")
     n_entity = pairs.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     content = -F.log2(F.col("n_entity") / total)
     share = 1 + F.log2(F.col("n_both") / F.col("n_term")) / content
