@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import slices
+from .common import slices, small_side
 
 CRLF, GZIP = b"\r\n", b"\x1f\x8b"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -26,11 +26,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class Archive:
     """A block over ``segment`` bytes is cut into continuation records; bodies are sent in
-    chunks of ``chunk`` bytes; a file has ``records`` records at most."""
+    chunks of ``chunk`` bytes; a file has ``records`` records at most. A list of at most
+    ``broadcast_rows`` repeated payloads is sent to all executors, a longer one is shuffled."""
 
     segment: int = 1024
     chunk: int = 700
     records: int = 20_000
+    broadcast_rows: int = 200_000
     date: str = "2024-01-01T00:00:00Z"
 
 
@@ -127,12 +129,16 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     """
     base = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("payload"))
     base = base.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    known = verdicts(base.drop("payload"))
-    chosen = known.where("head").select("digest", F.col("page_id").alias("p"), F.col("url").alias("u"))
-    full = base.join(chosen, "digest").where(F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")))
-    responses = response_records(full.dropDuplicates(["digest"]), archive)
-    again = known.withColumn("times", F.col("copies") - F.col("head").cast("long")).where("times > 0")
-    revisits = revisit_records(again.select("page_id", "url", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")), archive)
+    known = cut_lineage(verdicts(base.drop("payload")), "verdicts")
+    # Only payloads that occur again have to be chosen from; the others never move.
+    again = known.groupBy("digest").agg(F.sum("copies").alias("rows"), F.max(F.when(F.col("head"), F.struct("page_id", "url"))).alias("top"))
+    again = small_side(cut_lineage(again.where("rows > 1").select("digest", "top"), "again"), archive.broadcast_rows)
+    own = F.struct("page_id", "url")
+    chosen = base.join(again, "digest").where(own.eqNullSafe(F.col("top"))).drop("top").dropDuplicates(["digest"])
+    alone = base.join(again.select("digest"), "digest", "left_anti")
+    responses = response_records(alone.select(*base.columns).union(chosen.select(*base.columns)), archive)
+    more = known.withColumn("times", F.col("copies") - F.col("head").cast("long")).where("times > 0")
+    revisits = revisit_records(more.select("page_id", "url", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")), archive)
     # A record ends with two line ends, which the text writer appends to each row as it is.
     responses.union(revisits).select(F.col("record").cast("string").alias("value")).write.option(
         "lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive.records).option("compression", "gzip").text(path)
