@@ -30,7 +30,8 @@ LEXICONS = [INSULTS, CONTEMPT, SLURS]
 PATTERNS = [re.compile(p) for p in (
     r"(?i)\b(?:you|u|du|tu|vous|usted)\s+(?:are|bist|es|êtes|eres)\s+(?:an?|ein|une?|una?)\b",
     r"(?i)\b[a-z]+\*{2,}[a-z]*\b", r"\b[A-Z]{5,}\b(?:\W+[A-Z]{4,}\b){2}", r"[!?]{3,}")]
-MINED = 6
+#: Mined lexicons: word starts or whole words, lift from and below, and how many voters share them.
+MINED = [(False, 40.0, float("inf"), 3), (False, 0.0, 40.0, 1), (True, 25.0, float("inf"), 2), (True, 0.0, 25.0, 1)]
 
 
 @dataclass(frozen=True)
@@ -81,14 +82,14 @@ class Voters:
 
     def __init__(self, mined: list[tuple[str, float, float]], p: Weak) -> None:
         self.of: dict[str, int] = {w: 1 << k for k, words in enumerate(LEXICONS) for w in words}
-        telling = [f for f, lift, _ in mined if lift >= p.lift][:p.lexicon]
-        starts = [f for f in telling if f.endswith("-")]
-        words = [f for f in telling if not f.endswith("-")]
-        base = len(LEXICONS)
-        for at, part in ((base, words), (base + MINED // 2, starts)):
+        telling = [(f, lift) for f, lift, _ in mined if lift >= p.lift][:p.lexicon]
+        at = len(LEXICONS)
+        for starts, low, high, voters in MINED:
+            part = [f for f, lift in telling if f.endswith("-") == starts and low <= lift < high]
             for rank, f in enumerate(part):
-                self.of[f] = self.of.get(f, 0) | 1 << (at + rank % (MINED // 2))
-        self.base = base + MINED
+                self.of[f] = self.of.get(f, 0) | 1 << (at + rank % voters)
+            at += voters
+        self.base = at
         self.count = self.base + len(PATTERNS)
 
     def pattern(self, found: set[str], text: str) -> int:
