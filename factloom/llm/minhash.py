@@ -22,11 +22,10 @@ class NearDup:
     """``bands`` * ``rows`` MinHash samples. Two sets at the threshold of 0.85 share no band
     with probability (1 - 0.85**6)**32 = 3e-7. The odd sketch has ``bits`` bits; pairs whose
     estimate is under ``sift`` are dropped, about six standard deviations below 0.85.
-    In each bucket all members are compared with one hub, in up to ``hubs`` rounds. Where
-    at most ``rest`` members are then outside the bucket's largest component, these are
-    compared with all members; a bucket with more of them is subdivided by further bands.
-    Two sets at the threshold that meet in such buckets only share no second band with
-    probability 5e-6."""
+    In each bucket all members are compared with one hub, in up to ``hubs`` rounds. Members
+    that are then outside the bucket's largest component are compared with all members
+    where that is at most ``direct`` comparisons, and elsewhere with those that share enough
+    of their differences from the hub, which loses no link."""
 
     words: int = 5
     percent: int = 85
@@ -35,7 +34,7 @@ class NearDup:
     bits: int = 512
     sift: float = 0.65
     hubs: int = 3
-    rest: int = 64
+    direct: int = 1024
 
     @property
     def samples(self) -> int:
@@ -141,60 +140,89 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_buckets(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, at, node, order, root, main, rest): the members of buckets of ``keys`` with several
-    components. ``main`` is the component most members are in, ``rest`` counts the others."""
+    """(key, node, order, root, main, work): the members of buckets of ``keys`` with several
+    components. ``main`` is the component most members are in; ``work`` is the number of the
+    others times the number of members."""
     placed = keys.join(labels, "node")
     parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sized = parts.groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-    return cut_lineage(placed.join(sized, "key"), "open")
+    sized = parts.groupBy("key").agg(F.max_by("root", "n").alias("main"), (F.sum("n") * (F.sum("n") - F.max("n"))).alias("work"))
+    return cut_lineage(placed.join(sized.where("work > 0"), "key"), "open")
 
 
-def grouped(keys: DataFrame, labels: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+def direct_pairs(members: DataFrame, sizes: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b): the members outside their bucket's main component with all other members of
+    other components that are of a fitting size."""
+    near = members.join(sizes, "node")
+    others = near.where("root <> main").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
+    fit = (F.col("root") != F.col("other_root")) & (100 * F.least("n", "other_n") >= p.percent * F.greatest("n", "other_n"))
+    return near.join(others, "key").where(fit).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def differing_pairs(members: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """As ``direct_pairs``, but only pairs that share a telling difference from their hub.
+
+    Let x lack A and add B to the hub's set of size h, and y likewise. With t the threshold
+    over one plus the threshold, J(x, y) is at the threshold only if x and y share at least
+    c(x) + c(y) - (1 - 2t) h of their differences, where c = (1 - t) |A| + t |B|. So, with
+    differences in one order, rarest first, the first |A| + |B| - need + 1 of x and of y have
+    one in common (prefix filter). ``need`` takes the smallest c that a partner can have.
+    """
+    t = p.percent / (100 + p.percent)
+    hubs = members.groupBy("key").agg(F.min_by("node", "order").alias("hub"))
+    grouped = members.join(hubs, "key").groupBy("hub", "node", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("outside"))
+    own = sets.select("node", F.col("shingles").alias("x"))
+    base = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h"))
+    lacks, adds = F.array_except("h", "x"), F.array_except("x", "h")
+    made = grouped.join(own, "node").join(base, "hub").select(
+        "hub", "node", "root", "outside", F.concat(lacks, adds).alias("tokens"),
+        ((1 - t) * F.size(lacks) + t * F.size(adds)).alias("c"), ((1 - 2 * t) * F.size("h")).alias("spare"))
+    made = cut_lineage(made, "differences")
+    # The smallest c of all members, and of those outside the main component.
+    least = made.groupBy("hub").agg(F.min("c").alias("c_any"), F.min(F.when(F.col("outside") == 1, F.col("c"))).alias("c_out"))
+    counts = made.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("times"))
+    ranked = made.select("hub", "node", F.explode("tokens").alias("token")).join(counts, ["hub", "token"]).groupBy("hub", "node").agg(
+        F.array_sort(F.collect_list(F.struct("times", "token"))).alias("ranked"))
+    full = made.drop("tokens").join(ranked, ["hub", "node"]).join(least, "hub")
+
+    def prefix(partner: str):
+        need = F.greatest(F.ceil(F.col("c") + F.col(partner) - F.col("spare") - 1e-6), F.lit(1)).cast("int")
+        return F.explode(F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - need + 1, F.lit(0)))).alias("t")
+
+    left = full.where("outside = 1").select("hub", F.col("node").alias("x"), F.col("root").alias("rx"), prefix("c_any")).select(
+        "hub", "x", "rx", F.col("t.token").alias("token"))
+    right = full.where("c_out is not null").select("hub", F.col("node").alias("y"), F.col("root").alias("ry"), prefix("c_out")).select(
+        "hub", "y", "ry", F.col("t.token").alias("token"))
+    return left.join(right, ["hub", "token"]).where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def grouped(keys: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """``labels`` (node, root) after all links between members of the buckets of ``keys``
-    (key, at, node, order) that matter for the components; at is the number of the key's last band.
+    (key, node, order) that matter for the components.
 
     1. Each bucket compares its members with one hub, the member that most others share
        bands with, then with other hubs while that joins components.
     2. Buckets within one component are done.
-    3. Two members of different components cannot both be in the bucket's main component, so
-       the few others are compared with all members. This is linear in the bucket.
-    4. Buckets with many others are subdivided by their members' later bands. Two texts over
-       the threshold share most bands, so they meet again in a subdivision.
+    3. Two members of different components cannot both be in the bucket's main component.
+       The others are compared with all members in small buckets, and in large ones with
+       the members that share enough of their differences from the hub.
     """
-    numbered = bands.select("node", F.posexplode("bands").alias("later", "band"))
-    for _ in range(p.bands):
-        members = open_buckets(keys, labels)
-        for turn in range(p.hubs):
-            order = F.col("order") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            hubs = members.groupBy("key").agg(F.min_by("node", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
-            pairs = members.select("key", "node", "root").join(hubs, "key").where("root <> hub_root").select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            links = cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links")
-            if links.isEmpty():
-                break
-            labels = merged(labels, links)
-            members = open_buckets(keys, labels)
-            if members.where(F.col("rest") > p.rest).isEmpty():
-                break
-        few = members.where(F.col("rest") <= p.rest)
-        if not few.isEmpty():
-            sizes = sketches.select("node", "n")
-            near = few.join(sizes, "node")
-            others = near.where("root <> main").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
-            pairs = near.select("key", "node", "root", "n").join(others, "key").where(
-                (F.col("root") != F.col("other_root")) & (100 * F.least("n", "other_n") >= p.percent * F.greatest("n", "other_n")))
-            pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-            links = cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links")
-            labels = labels if links.isEmpty() else merged(labels, links)
-        many = members.where(F.col("rest") > p.rest)
-        if many.isEmpty():
+    members = open_buckets(keys, labels)
+    for turn in range(p.hubs):
+        order = F.col("order") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        hubs = members.groupBy("key").agg(F.min_by("node", order).alias("hub"), F.min_by("root", order).alias("hub_root"))
+        pairs = members.select("key", "node", "root").join(hubs, "key").where("root <> hub_root").select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        links = cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links")
+        if links.isEmpty():
             break
-        # A key of the next level covers the bucket and one later band.
-        finer = many.select("key", "at", "node", "order").join(numbered, "node").where("later > at").select(
-            F.xxhash64("key", "band").alias("key"), F.col("later").alias("at"), "node", "order")
-        shared = finer.groupBy("key").count().where("count > 1").select("key")
-        keys = cut_lineage(finer.join(shared, "key"), "keys")
-    return labels
+        labels = merged(labels, links)
+        members = open_buckets(keys, labels)
+    light, heavy = members.where(F.col("work") <= p.direct), members.where(F.col("work") > p.direct)
+    pairs = direct_pairs(light, sketches.select("node", "n"), p)
+    if not heavy.isEmpty():
+        pairs = pairs.union(differing_pairs(heavy, sets, p)).distinct()
+    links = cut_lineage(confirmed(sifted(pairs, sketches, p), sets, p), "links")
+    return labels if links.isEmpty() else merged(labels, links)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearDup = NearDup()) -> DataFrame:
@@ -220,20 +248,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = owners.where("doc_id = node").select("doc_id", "k1", "k2").distinct()
     features = usable.join(heads, ["doc_id", "k1", "k2"], "left_semi").select(
         F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch").distinct()
-    exploded = features.select("node", F.posexplode("bands").alias("at", "key"))
+    exploded = features.select("node", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = cut_lineage(exploded.join(shared, "key"), "keys")
     # The more members a node shares buckets with, the sooner it is a hub; ties by a hash.
     members = met.groupBy("node").agg(F.sum("m").alias("met")).select(
         "node", (-F.col("met") * 4096 + F.pmod(F.xxhash64("node"), F.lit(4096))).alias("order"))
     members = cut_lineage(members, "members")
-    keys = cut_lineage(met.select("key", "at", "node").join(members, "node"), "keys")
-    known = cut_lineage(features.join(members.select("node"), "node"), "features")
+    keys = cut_lineage(met.select("key", "node").join(members, "node"), "keys")
+    known = cut_lineage(features.join(members.select("node"), "node").select("node", "n", "sketch"), "features")
     texts = base.join(members.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["node", "h"]).drop("h")
     sets = cut_lineage(shingle_sets(texts, p.words), "sets")
-    labels = grouped(keys, members.select("node", F.col("node").alias("root")), known.select("node", "bands"),
-                     known.select("node", "n", "sketch"), sets, p)
+    labels = grouped(keys, members.select("node", F.col("node").alias("root")), known, sets, p)
     # One doc_id may own several texts: its nodes belong together.
     several = owners.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y")
     if not several.isEmpty():

@@ -59,8 +59,8 @@ def test_near_duplicates_of_odd_rows(spark, docs):
 
 
 def test_large_buckets_lose_no_link(spark):
-    """A cluster of near copies, and templates that share much but not enough."""
-    base = [f"b{k}" for k in range(120)]
+    """A cluster of near copies, templates that share much but not enough, and a chain."""
+    base = [f"b{k}" for k in range(160)]
     rows = []
     for k in range(40):
         words = list(base)
@@ -69,8 +69,19 @@ def test_large_buckets_lose_no_link(spark):
     for k in range(40, 80):
         rows.append((k, " ".join([f"t{j}" for j in range(60)] + [f"own{k}-{j}" for j in range(40)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {k: 0 if k < 40 else k for k, _ in rows}
-    for p in (NearDup(), NearDup(hubs=1, rest=1)):
+    for k in range(80, 100):  # far from the base, but each near its neighbour
+        words = list(base)
+        words[k - 80:k - 50] = [f"chain{j}" for j in range(k - 80, k - 50)]
+        rows.append((k, " ".join(words)))
+    sets = {k: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    want = {k: k for k in sets}
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert len(set(want.values())) == 42
+    for p in (NearDup(), NearDup(hubs=1, direct=0)):
         assert {r.doc_id: r.component_id for r in near_duplicates(df, params=p).collect()} == want
 
 
