@@ -119,3 +119,23 @@ def test_range_join_brute_force(spark):
     got = {(r["p"], r["s"]) for r in joins.range_join(pdf, sdf, "at", "lo", "hi", 3600).collect()}
     want = {(p, s) for (p, at), (s, lo, hi) in itertools.product(pts, spans) if lo <= at < hi}
     assert got == want
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = [(1, "a", "x", 1.0), (2, "a", None, 2.0), (3, None, "x", 3.0), (4, None, "y", 4.0), (5, None, None, 5.0)]
+    df = spark.createDataFrame(rows, "id long, k string, label string, v double")
+    for per in (2_000_000, 2):
+        got = {r["id"]: (r["rn"], r["tile"], r["pr"]) for r in ordered.row_ranks(df, ["k"], ["v", "id"], 2, per).collect()}
+        assert got == {1: (1, 1, 0.0), 2: (2, 2, 1.0), 3: (1, 1, 0.0), 4: (2, 1, 0.5), 5: (3, 2, 1.0)}
+        total = ordered.running(df, ["k"], ["v", "id"], [ordered.Running("t", "sum", F.col("v"))], per)
+        assert {r["id"]: r["t"] for r in total.collect()} == {1: 1.0, 2: 3.0, 3: 3.0, 4: 7.0, 5: 12.0}
+    labels = {r["id"]: (r["rk"], r["drk"]) for r in ordered.label_ranks(df, ["k"], "label").collect()}
+    assert labels == {1: (1, 1), 2: (2, 2), 3: (1, 1), 4: (2, 2), 5: (3, 3)}
+    ends = {r["id"]: (r["first"], r["last"]) for r in ordered.ends(df, ["k"], ["v", "id"], {"first": "v"}, {"last": "v"}).collect()}
+    assert ends == {1: (1.0, 2.0), 2: (1.0, 2.0), 3: (3.0, 5.0), 4: (3.0, 5.0), 5: (3.0, 5.0)}
+
+
+def test_zoneless_order_columns(spark):
+    df = spark.sql("select k, cast(t as timestamp_ntz) t from values ('a', '2024-01-02'), ('a', '2024-01-01') v(k, t)")
+    got = ordered.running(df, ["k"], ["t"], [ordered.Running("n", "sum", F.lit(1))], rows_per_range=1).orderBy("t").collect()
+    assert [r["n"] for r in got] == [1, 2]
