@@ -3,11 +3,14 @@ themselves are one projection followed by one de-duplication."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..session import cut_lineage
 from .profile import profile
 from .stats import COLUMNS_PER_PASS, chunks, col, nan_to_null, union_all
 
@@ -47,8 +50,10 @@ def _first_pass(df: DataFrame) -> dict:
     """Token hits, parse rates and ranges of every column. Each cell is normalised once
     and parsed once; a few columns share an aggregate, so that Spark compiles it."""
     out: dict = {}
-    for chunk in chunks(list(enumerate(df.schema)), COLUMNS_PER_PASS):
-        out.update(_rates(df, chunk).first().asDict())
+    # The passes do not depend on each other, so the cluster runs them side by side.
+    with ThreadPoolExecutor(4) as pool:
+        for found in pool.map(lambda chunk: _rates(df, chunk).first().asDict(), chunks(list(enumerate(df.schema)), COLUMNS_PER_PASS)):
+            out.update(found)
     return out
 
 
@@ -170,11 +175,11 @@ def plan_changes(df: DataFrame):
 
 
 def clean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cleaned table and the change log (code, columns, n). Lazy but for the two
-    deciding passes; counting duplicates costs one more run of the plan."""
+    """Cleaned table and the change log (code, columns, n). The table is written once, so
+    its duplicates are found once, and counted from what was written."""
     spark = df.sparkSession
     fixed, changes, rows = plan_changes(df)
-    out = fixed.dropDuplicates()
+    out = cut_lineage(fixed.dropDuplicates(), "clean")
     removed = rows - out.count()
     if removed:
         changes.append(("drop_dup_rows", [], removed))

@@ -50,7 +50,7 @@ def _smallest(df: DataFrame, c: Column, n: int = SAMPLES_PER_COLUMN) -> DataFram
     return df.sparkSession.range(1).select(F.array_compact(F.array(*found)).alias("s"))
 
 
-def _values(df: DataFrame, ordered_by: str | None) -> DataFrame:
+def _values(df: DataFrame, ordered_by: str | None, width: int | None = None) -> DataFrame:
     """Distinct values, samples and counts per column: (name, distinct_count,
     sample_values). The count and the samples share one exchange per column."""
     long = stats.long_text_columns(df)
@@ -69,7 +69,8 @@ def _values(df: DataFrame, ordered_by: str | None) -> DataFrame:
             base = df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct()
             listed = base.orderBy("v").limit(SAMPLES_PER_COLUMN).agg(F.sort_array(F.collect_list(F.struct("v"))).alias("s"))
         count = base.agg(F.count(F.lit(1)).alias("distinct_count"))
-        sample = listed.select(F.transform("s", lambda x: F.substring(value(x).cast("string"), 1, 255)).alias("sample_values"))
+        shown = (lambda v: v) if width is None else (lambda v: F.substring(v, 1, width))
+        sample = listed.select(F.transform("s", lambda x: shown(value(x).cast("string"))).alias("sample_values"))
         parts.append(count.select(F.lit(f.name).alias("name"), "distinct_count",
                                   F.lit(None).cast("array<string>").alias("sample_values"))
                      .unionByName(sample.select(F.lit(f.name).alias("name"),
@@ -109,19 +110,19 @@ def _flat(df: DataFrame, fields: list, with_stats: bool) -> DataFrame:
             F.lit(f.name).alias("name"), F.lit(i).alias("position"), F.lit(kind).alias("plain"),
             date_like.alias("date_like"), F.col(f"n{i}").alias("n"),
             (F.col("rows") - F.col(f"n{i}")).alias("null_count"),
-            F.substring(lo, 1, 255).alias("min_value"), F.substring(hi, 1, 255).alias("max_value")))
+            lo.alias("min_value"), hi.alias("max_value")))
     return staged.agg(*aggs).select(F.inline(F.array(*shape)))
 
 
 def profile(df: DataFrame, ordered_by: str | None = None, with_stats: bool = False,
-            samples: bool = True) -> DataFrame:
+            samples: bool = True, width: int | None = None) -> DataFrame:
     """One row per column. Samples are the five smallest distinct values, or the
-    first five by ``ordered_by``. ``with_stats`` adds type, n, mean, std, min, max, skew
+    first five by ``ordered_by``, whole unless ``width`` limits their characters. ``with_stats`` adds type, n, mean, std, min, max, skew
     and spread from the same pass; without ``samples`` that column is null."""
     df = stats.nan_to_null(df)
     flat = stats.union_all([_flat(df, chunk, with_stats)
                             for chunk in stats.chunks(list(enumerate(df.schema)), stats.COLUMNS_PER_PASS)])
-    values = _values(df, ordered_by) if samples else stats.distinct_counts(df).withColumn(
+    values = _values(df, ordered_by, width) if samples else stats.distinct_counts(df).withColumn(
         "sample_values", F.lit(None).cast("array<string>"))
     joined = flat.join(values, "name")
     dtype = (F.when(F.col("plain").isNotNull(), F.col("plain"))

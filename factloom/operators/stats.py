@@ -3,6 +3,7 @@ and the three correlation methods."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
@@ -362,9 +363,10 @@ def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pe
         half = pearson_pairs(df, numeric).select("a", "b", "r")
     elif method in ("spearman", "kendall"):
         one = spearman_pair if method == "spearman" else kendall_pair
-        half = union_all([
-            one(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
-            for a, b in combinations(numeric, 2)])
+        # Pairs are independent; each stores its distinct cells while others are ranked.
+        with ThreadPoolExecutor(4) as pool:
+            half = union_all(list(pool.map(
+                lambda p: one(df, *p).select(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), "r"), combinations(numeric, 2))))
     else:
         raise QueryError(f"'{method}' is no way to correlate.")
     diagonal = df.agg(*[F.when(F.min(col(c)) < F.max(col(c)), F.lit(1.0)).alias(f"d{i}")
