@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -85,7 +85,7 @@ def list_column(parts: list[np.ndarray], kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind or pa.int64()))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``limit`` bytes of text, so that a batch of very
     long texts never holds all its results at once. A piece has one row at least."""
     for batch in batches:

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from .common import list_column, pick, slices
 
 SPACE = "▁"
-SEGMENTS = 400_000
+SEGMENTS = 250_000
 #: Up to so many characters the agenda is a list, beyond it a heap. The pieces are the same.
 SHORT = 40
 #: Longer segments are not remembered.
-REMEMBERED = 48
+REMEMBERED = 32
 
 
 class Mismatch(RuntimeError):
