@@ -19,7 +19,7 @@ from .components import components
 
 @dataclass(frozen=True)
 class NearDup:
-    """``bands`` * ``rows`` MinHash samples. Two sets at the threshold of 0.85 share no band
+    """``bands`` * ``rows`` MinHash samples. Two sets at the default threshold of 0.85 share no band
     with probability (1 - 0.85**6)**32 = 3e-7. The odd sketch has ``bits`` bits; pairs whose
     estimate is under ``sift`` are dropped, about six standard deviations below 0.85.
     In each bucket all members are compared with one hub, in up to ``hubs`` rounds. Members

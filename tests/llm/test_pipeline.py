@@ -26,3 +26,19 @@ def test_stages_take_odd_rows(spark, sf_dir):
         for _, stage in cp.STAGES[:-1]:
             docs = stage(spark, docs, sf_dir)
         assert cp.encoding(spark, docs, sf_dir).count() <= 3
+
+
+def test_near_dedup_links_from_080(spark, sf_dir):
+    rows = []
+    for g in range(40):  # of 100 shingles two changed words spoil ten: 90 / 110, three fifteen: 85 / 115
+        words = [f"g{g}w{k}" for k in range(104)]
+        two, three = list(words), list(words)
+        for k in (30, 60):
+            two[k] += "x"
+        for k in (20, 50, 80):
+            three[k] += "y"
+        rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(two)), (1000 + g, " ".join(f"t{w}" for w in three))]
+        rows += [(2000 + g, " ".join(f"t{w}" for w in words))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_dedup(spark, docs, sf_dir).collect()}
+    assert kept == {3 * g for g in range(40)} | {k for g in range(40) for k in (1000 + g, 2000 + g)}  # 0.818 goes, 0.739 stays
