@@ -10,7 +10,7 @@ from factloom.llm.common import small_side, table
 from factloom.llm.line_dedup import dedup_lines
 from factloom.llm.minhash import NearDup, near_duplicates
 from factloom.llm.pieces import encode_pieces
-from factloom.llm.quality import line_quality
+from factloom.llm.quality import clean_documents
 from factloom.llm.tiling import decontaminate
 from factloom.session import cut_lineage
 
@@ -30,8 +30,9 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines of their own."""
-    return without(docs, line_quality(docs).where("not kept"))
+    """Documents that pass the base rules and are not depleted of lines of their own, without
+    the lines that too many documents of their source hold."""
+    return clean_documents(docs, keep=("lang", "source")).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import WordHashes, list_column, pick, signed, slices, window_hashes
+from .common import WordHashes, list_column, signed, slices, small_side, window_hashes
 
 BLANKS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -22,11 +23,13 @@ WINDOW = 5
 class LineRules:
     """A line is above the limit of its host when more than ``share`` of the host's distinct
     documents, and more than ``min_docs`` of them, hold it. A document is depleted when
-    less than ``keep_share`` of its words are outside such lines."""
+    less than ``keep_share`` of its words are outside such lines. ``broadcast_rows``: a list of at
+    most so many texts to change is sent to all executors, a longer one is shuffled."""
 
     share: float = 0.01
     min_docs: int = 20
     keep_share: float = 0.2
+    broadcast_rows: int = 500_000
 
 
 def repeat_words(hashes: np.ndarray, size: int = WINDOW) -> int:
@@ -48,6 +51,16 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(line.lower().split()))
 
 
+def text_key(raw: bytes) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(raw)
+    return digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+
+
+def key_columns(keys: list[tuple[int, int]]) -> list[pa.Array]:
+    both = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """Counts of (doc_id, host, text), with the hashes and word counts of its distinct
     normalised lines and 128 bits that name the text."""
@@ -70,15 +83,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
                 blank = len(raw) - len(raw.translate(None, BLANKS))
                 counts.append((len(words), len(text or "") - blank, len(raw) - len(raw.translate(None, SYMBOLS)), repeats,
                                repeat_words(cache.array(words))))
-                digest = xxhash.xxh3_128_intdigest(raw)
-                keys.append((digest >> 64, digest & 0xFFFFFFFFFFFFFFFF))
+                keys.append(text_key(raw))
                 hashes.append(signed(np.fromiter(lines.keys(), np.uint64, len(lines))))
                 sizes.append(np.fromiter(lines.values(), np.int64, len(lines)))
             table = np.array(counts, np.int64).reshape(-1, 5)
-            key = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("host"), *[pa.array(table[:, k]) for k in range(5)],
-                 pa.array(key[:, 0]), pa.array(key[:, 1]), list_column(hashes), list_column(sizes)],
+                 *key_columns(keys), list_column(hashes), list_column(sizes)],
                 names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "k1", "k2",
                        "lines", "line_words"])
 
@@ -95,6 +106,32 @@ def frequent_lines(lines: DataFrame, sizes: DataFrame, rules: LineRules) -> Data
     return freq.where(F.col("docs") > rules.min_docs).join(sizes, "host").where(above).select("host", "line", "holder")
 
 
+def host_name(host: str):
+    return F.coalesce(F.concat(F.lit("h:"), F.col(f"`{host}`").cast("string")), F.lit("-")).alias("host")
+
+
+def found_lines(docs: DataFrame, doc_id: str, host: str, text: str, rules: LineRules) -> tuple[DataFrame, DataFrame]:
+    """``base_counts`` of the rows, and (host, k1, k2, line, words) of the frequent lines of
+    each text that does not keep them."""
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), host_name(host))
+    made = cut_lineage(base_counts(base), "counts")
+    lines = made.select("host", "k1", "k2", "doc_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
+        "host", "k1", "k2", "doc_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    sizes = made.groupBy("host", "k1", "k2").agg(F.count("*").alias("rows")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    frequent = cut_lineage(frequent_lines(lines, sizes, rules), "frequent")
+    texts = lines.groupBy("host", "k1", "k2", "line", "words").agg(F.min("doc_id").alias("doc_id"))
+    return made, texts.join(frequent, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("holder"))).select(
+        "host", "k1", "k2", "line", "words")
+
+
+def verdict(rules: LineRules):
+    """(base_failed, boilerplate_words, kept) of n_words, n_repeat_words and lost."""
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    lost_words = F.coalesce("lost", F.lit(0).cast("long"))
+    kept = ~failed & (F.col("n_words") - lost_words >= rules.keep_share * F.col("n_words"))
+    return failed.alias("base_failed"), lost_words.alias("boilerplate_words"), kept.alias("kept")
+
+
 def line_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text",
                  rules: LineRules = LineRules()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -110,19 +147,61 @@ def line_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     Rows with a null doc_id count, but never keep a frequent line. Repeated rows count once.
     Other columns are ignored. An empty table gives an empty result.
     """
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
-                       F.coalesce(F.concat(F.lit("h:"), F.col(f"`{host}`").cast("string")), F.lit("-")).alias("host"))
-    made = cut_lineage(base_counts(base), "counts")
-    lines = made.select("host", "k1", "k2", "doc_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
-        "host", "k1", "k2", "doc_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    sizes = made.groupBy("host", "k1", "k2").agg(F.count("*").alias("rows")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    frequent = cut_lineage(frequent_lines(lines, sizes, rules), "frequent")
-    texts = lines.groupBy("host", "k1", "k2", "line", "words").agg(F.min("doc_id").alias("doc_id"))
-    lost = texts.join(frequent, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy(
-        "host", "k1", "k2").agg(F.sum("words").alias("lost"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    lost_words = F.coalesce("lost", F.lit(0).cast("long"))
+    made, hit = found_lines(docs, doc_id, host, text, rules)
+    lost = hit.groupBy("host", "k1", "k2").agg(F.sum("words").alias("lost"))
     return made.drop("lines", "line_words").join(lost, ["host", "k1", "k2"], "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        lost_words.alias("boilerplate_words"),
-        (~failed & (F.col("n_words") - lost_words >= rules.keep_share * F.col("n_words"))).alias("kept"))
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *verdict(rules))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with k1 and k2 of their text."""
+    def run(batches):
+        for batch in slices(batches, "text"):
+            keys = [text_key((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *key_columns(keys)], names=[*batch.schema.names, "k1", "k2"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("k1", LongType()), StructField("k2", LongType())]))
+
+
+def cut_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, removed, rest) of (doc_id, text, gone, rest): the text without the lines
+    whose hashes are in ``gone``, and the numbers of these lines."""
+    def run(batches):
+        for batch in slices(batches, "text"):
+            texts, removed = [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+                if gone:
+                    gone = {h & 0xFFFFFFFFFFFFFFFF for h in gone}
+                    lines = text.split("\n")
+                    out = [k for k, line in enumerate(lines) if line_hash(line.encode()) in gone]
+                    drop = set(out)
+                    text = "\n".join(line for k, line in enumerate(lines) if k not in drop)
+                else:
+                    out = []
+                texts.append(text)
+                removed.append(out)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.int32())), batch.column("rest")],
+                names=["doc_id", "text", "removed", "rest"])
+
+    kinds = rows.schema
+    return rows.select("doc_id", "text", "gone", "rest").mapInArrow(run, StructType(
+        [kinds["doc_id"], kinds["text"], StructField("removed", ArrayType(IntegerType())), kinds["rest"]]))
+
+
+def clean_documents(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text",
+                    rules: LineRules = LineRules(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs`` that ``line_quality`` keeps, each judged by its own host and text,
+    also where a doc_id is null or repeated: doc_id, text, removed and the columns named in
+    ``keep``. ``text`` is without the lines above the limit of the host, except where the text
+    is one that keeps them; ``removed`` has the numbers of the lines taken out, from 0."""
+    made, hit = found_lines(docs, doc_id, host, text, rules)
+    lost = hit.groupBy("host", "k1", "k2").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("gone"))
+    counts = made.select("host", "k1", "k2", "n_words", "n_repeat_words").distinct()
+    judged = counts.join(lost, ["host", "k1", "k2"], "left").select("host", "k1", "k2", "gone", verdict(rules)[2])
+    changed = cut_lineage(judged.where("not kept or gone is not null"), "changed")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), host_name(host),
+                       F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("rest"))
+    stay = keyed(rows).join(small_side(changed, rules.broadcast_rows), ["host", "k1", "k2"], "left").where(
+        F.coalesce("kept", F.lit(True)))
+    return cut_lines(stay).select("doc_id", "text", "removed", *[F.col("rest")[c].alias(c) for c in keep])

@@ -42,3 +42,14 @@ def test_near_dedup_links_from_080(spark, sf_dir):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in cp.near_dedup(spark, docs, sf_dir).collect()}
     assert kept == {3 * g for g in range(40)} | {k for g in range(40) for k in (1000 + g, 2000 + g)}  # 0.818 goes, 0.739 stays
+
+
+def test_quality_takes_frequent_lines_out(spark, sf_dir):
+    own = " ".join(f"w{k}" for k in range(12))
+    rows = [(k, f"Home\n{own} number {k}\n  READ   more", "s") for k in range(30)]
+    rows += [(100, rows[0][1], "s"), (101, f"Home\n{own} elsewhere", "t"), (102, "Home\nfew words", "s"), (None, f"{own} here\nhome\n", "s"), (None, None, "s")]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.quality(spark, docs, sf_dir)
+    assert not got.where("n_chars <> char_length(text)").count()
+    want = [(0, rows[0][1]), (100, rows[0][1]), (101, rows[31][1]), (None, f"{own} here\n")] + [(k, f"{own} number {k}") for k in range(1, 30)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
