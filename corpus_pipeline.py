@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.catalog import piece_model
 from factloom.llm.common import small_side, table
-from factloom.llm.line_dedup import dedup_lines
+from factloom.llm.line_dedup import LineDedup, dedup_lines
 from factloom.llm.minhash import NearDup, near_duplicates
 from factloom.llm.pieces import encode_pieces
 from factloom.llm.quality import clean_documents
@@ -21,6 +21,10 @@ BROADCAST_IDS = 500_000
 #: 0.80 with probability (1 - 0.8**6)**48 = 5e-7; the sift is again far below the threshold.
 NEAR = NearDup(percent=80, bands=48, sift=0.55)
 
+#: The line-dedup stage compares every line that has a word, where op1 starts at 4 words, and
+#: looks for neighbours from 4 words on, where op1 starts at 10.
+LINES = LineDedup(min_words=1, near_words=4)
+
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``rejected``. Rows that share a doc_id,
@@ -36,9 +40,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines. A document of which only repeated lines were left has
+    """Texts without repeated lines, of any length, and without lines of 4 words or more that
+    are one word edit from an earlier one. A document of which only repeated lines were left has
     no text of its own and goes."""
-    out = dedup_lines(docs, keep=("lang", "source"))
+    out = dedup_lines(docs, params=LINES, keep=("lang", "source"))
     emptied = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn(
         "n_chars", F.char_length("text").cast("long")).select(*COLUMNS)

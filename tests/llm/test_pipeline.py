@@ -53,3 +53,12 @@ def test_quality_takes_frequent_lines_out(spark, sf_dir):
     assert not got.where("n_chars <> char_length(text)").count()
     want = [(0, rows[0][1]), (100, rows[0][1]), (101, rows[31][1]), (None, f"{own} here\n")] + [(k, f"{own} number {k}") for k in range(1, 30)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_line_dedup_of_short_lines(spark, sf_dir):
+    rows = [(1, "Read more\nalpha beta gamma delta\nMenu\nred blue"), (2, "own words of two\nread  MORE\nalpha beta other delta\nmenu\n\nred green"),
+            (3, "own\nalpha beta delta")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, sf_dir).collect()}
+    two = "own words of two\n\nred green"
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (two, len(two)), 3: (rows[2][1], len(rows[2][1]))}  # under 4 words only equal lines go
