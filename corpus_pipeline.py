@@ -10,13 +10,15 @@ from factloom.llm.common import small_side, table
 from factloom.llm.line_dedup import LineDedup, dedup_lines
 from factloom.llm.minhash import NearDup, near_duplicates
 from factloom.llm.pieces import encode_pieces
-from factloom.llm.quality import clean_documents
+from factloom.llm.quality import LineRules, clean_documents
 from factloom.llm.tiling import decontaminate
 from factloom.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A list of at most so many rejected ids is sent to all executors; a longer one is shuffled.
 BROADCAST_IDS = 500_000
+#: A line in more than 1,000 distinct texts of a source is frequent, however large the source is.
+RULES = LineRules(many=1000)
 #: The near-dedup stage links at a similarity of 0.80, op3 at 0.85. 48 bands of 6 miss a pair at
 #: 0.80 with probability (1 - 0.8**6)**48 = 5e-7; the sift is again far below the threshold.
 NEAR = NearDup(percent=80, bands=48, sift=0.55)
@@ -36,7 +38,8 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted of lines of their own, without
     the lines that too many documents of their source hold."""
-    return clean_documents(docs, keep=("lang", "source")).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return clean_documents(docs, rules=RULES, keep=("lang", "source")).withColumn(
+        "n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,13 +22,15 @@ WINDOW = 5
 @dataclass(frozen=True)
 class LineRules:
     """A line is above the limit of its host when more than ``share`` of the host's distinct
-    documents, and more than ``min_docs`` of them, hold it. A document is depleted when
+    documents, and more than ``min_docs`` of them, hold it, or, where ``many`` is set, more than
+    ``many`` of them, however large the host is. A document is depleted when
     less than ``keep_share`` of its words are outside such lines. ``broadcast_rows``: a list of at
     most so many texts to change is sent to all executors, a longer one is shuffled."""
 
     share: float = 0.01
     min_docs: int = 20
     keep_share: float = 0.2
+    many: int | None = None
     broadcast_rows: int = 500_000
 
 
@@ -102,7 +104,10 @@ def frequent_lines(lines: DataFrame, sizes: DataFrame, rules: LineRules) -> Data
     count once. ``holder`` is the smallest doc_id that has the line."""
     once = lines.groupBy("host", "line", "k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     freq = once.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("holder"))
-    above = (F.col("docs") > rules.min_docs) & (F.col("docs") > rules.share * F.col("host_docs"))
+    above = F.col("docs") > rules.share * F.col("host_docs")
+    if rules.many is not None:
+        above |= F.col("docs") > rules.many
+    # min_docs holds for either limit.
     return freq.where(F.col("docs") > rules.min_docs).join(sizes, "host").where(above).select("host", "line", "holder")
 
 

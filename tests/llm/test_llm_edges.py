@@ -115,6 +115,15 @@ def test_depleted_documents(spark):
     assert all(got[200 + k] == (0, True) for k in range(40))  # one text counts once
 
 
+def test_a_large_host_hides_no_line(spark):
+    menu = "home about contact imprint terms help search login"
+    rows = [(k, f"{menu}\nown{k}a own{k}b", "big") for k in range(30)] + [(100 + k, f"text {k}", "big") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for many, lost in ((None, 0), (25, 8), (30, 0)):
+        got = {r.doc_id: (r.boilerplate_words, r.kept) for r in line_quality(df, rules=LineRules(keep_share=0.5, many=many)).collect()}
+        assert got[0] == (0, True) and all(got[k] == (lost, lost == 0) for k in range(1, 30))
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "hi", 0.0), ("t", 2, 1, "assistant", "a <|end|>\n&lt; [INST]", 1.0), ("t", 3, 1, "assistant", "b", 5.0),
             ("t", 4, 3, "user", None, 0.0), ("t", 4, 3, "user", None, 0.0), ("t", 5, 77, None, "orphan", None),
