@@ -11,7 +11,7 @@ from factloom.llm.line_dedup import LineDedup, dedup_lines
 from factloom.llm.minhash import NearDup, near_duplicates
 from factloom.llm.pieces import encode_pieces
 from factloom.llm.quality import LineRules, clean_documents
-from factloom.llm.tiling import decontaminate
+from factloom.llm.tiling import leaked_texts, with_key
 from factloom.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,11 +28,23 @@ NEAR = NearDup(percent=80, bands=48, sift=0.55)
 LINES = LineDedup(min_words=1, near_words=4)
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``rejected``. Rows that share a doc_id,
-    also the null one, go together."""
-    ids = cut_lineage(rejected.select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.select(*COLUMNS).join(small_side(ids, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def without(docs: DataFrame, rejected: DataFrame, *keys: str) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``rejected``; nulls match nothing."""
+    gone = cut_lineage(rejected.select(*keys).distinct(), "rejected")
+    return docs.join(small_side(gone, BROADCAST_IDS), list(keys), "left_anti").select(*COLUMNS)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number that sorts like doc_id and tells its texts apart: doc_id
+    itself unless some doc_id has several texts. Null stays null."""
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y")
+    if several.isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    keyed = with_key(docs.select(*COLUMNS))
+    names = keyed.where("doc_id is not null").select("doc_id", "k1", "k2").distinct().orderBy("doc_id", "k1", "k2")
+    names = cut_lineage(names.withColumn("row", F.monotonically_increasing_id()), "numbers")
+    return keyed.join(names, ["doc_id", "k1", "k2"], "left").select(*COLUMNS, "row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +66,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates: five-word
-    shingle sets with a Jaccard similarity of 0.80 or more."""
-    return without(docs, near_duplicates(docs, params=NEAR).where("not kept"))
+    shingle sets with a Jaccard similarity of 0.80 or more. Different texts of one doc_id
+    are documents of their own; rows with a null doc_id stay."""
+    rows = numbered(docs)
+    return without(rows, near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), params=NEAR).where("not kept")
+                   .select(F.col("doc_id").alias("row")), "row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
-    return without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that cover no benchmark item, each judged by its own text."""
+    return without(with_key(docs), leaked_texts(docs, table(spark, sf_dir, "benchmark")), "k1", "k2")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, p: Leaks) -> tuple[DataFrame
     return made.drop("seeds"), cut_lineage(found, "leaks")
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits of their text, k1 and k2."""
+    return docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, params: Leaks = Leaks()) -> DataFrame:
+    """(k1, k2) of the texts that ``decontaminate`` finds contaminated."""
+    _, found = leaked_items(with_key(pick(docs, doc_id="doc_id", text="text")), pick(benchmark, item_id="item_id", text="text"), params)
+    return found.select("k1", "k2").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", params: Leaks = Leaks()) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_id, coverage, tiles.
@@ -211,8 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     and repeated rows are treated alike. Other columns are ignored. An empty table gives an
     empty result, an empty benchmark leaves every document clean.
     """
-    keyed = pick(docs, doc_id=doc_id, text=text).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
-    rows, found = leaked_items(keyed, pick(benchmark, item_id=item_id, text=item_text), params)
+    rows, found = leaked_items(with_key(pick(docs, doc_id=doc_id, text=text)), pick(benchmark, item_id=item_id, text=item_text), params)
     share = F.col("covered") / F.col("n_tokens")
     best = found.groupBy("k1", "k2").agg(
         F.count_distinct(F.coalesce("item_id", F.lit(-1))).alias("n_items"),

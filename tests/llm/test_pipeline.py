@@ -62,3 +62,15 @@ def test_line_dedup_of_short_lines(spark, sf_dir):
     got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, sf_dir).collect()}
     two = "own words of two\n\nred green"
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (two, len(two)), 3: (rows[2][1], len(rows[2][1]))}  # under 4 words only equal lines go
+
+
+def test_each_text_has_its_own_verdict(spark, sf_dir):
+    def clean(name):
+        return " ".join(f"{name}{k}" for k in range(40))
+
+    leak = max((r.text for r in cp.table(spark, sf_dir, "benchmark").collect()), key=len)
+    rows = [(None, clean("a")), (None, leak), (None, "short"), (7, clean("b")), (7, leak), (7, "short"), (3, clean("c")), (9, clean("c")), (9, clean("d"))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage, gone in ((cp.quality, {2, 5}), (cp.near_dedup, {7}), (cp.decontamination, {1, 4})):
+        got = sorted(((r.doc_id, r.text) for r in stage(spark, docs, sf_dir).collect()), key=str)
+        assert got == sorted((r for k, r in enumerate(rows) if k not in gone), key=str), stage
