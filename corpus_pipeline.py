@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.catalog import piece_model
-from factloom.llm.common import small_side, table
+from factloom.llm.common import small_side, table, with_key
 from factloom.llm.line_dedup import LineDedup, dedup_lines
 from factloom.llm.minhash import NearDup, near_duplicates
 from factloom.llm.pieces import encode_pieces
 from factloom.llm.quality import LineRules, clean_documents
-from factloom.llm.tiling import leaked_texts, with_key
+from factloom.llm.tiling import leaked_texts
 from factloom.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

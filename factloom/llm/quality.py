@@ -9,10 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import WordHashes, list_column, signed, slices, small_side, window_hashes
+from .common import WordHashes, list_column, signed, slices, small_side, window_hashes, with_key
 
 BLANKS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -53,23 +53,13 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(line.lower().split()))
 
 
-def text_key(raw: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest(raw)
-    return digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
-
-
-def key_columns(keys: list[tuple[int, int]]) -> list[pa.Array]:
-    both = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
-
-
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Counts of (doc_id, host, text), with the hashes and word counts of its distinct
-    normalised lines and 128 bits that name the text."""
+    """Counts of (doc_id, host, text, k1, k2), with the hashes and word counts of its distinct
+    normalised lines."""
     def run(batches):
         cache = WordHashes()
         for batch in slices(batches, "text"):
-            counts, keys, hashes, sizes = [], [], [], []
+            counts, hashes, sizes = [], [], []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
                 words = raw.split()
@@ -85,13 +75,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
                 blank = len(raw) - len(raw.translate(None, BLANKS))
                 counts.append((len(words), len(text or "") - blank, len(raw) - len(raw.translate(None, SYMBOLS)), repeats,
                                repeat_words(cache.array(words))))
-                keys.append(text_key(raw))
                 hashes.append(signed(np.fromiter(lines.keys(), np.uint64, len(lines))))
                 sizes.append(np.fromiter(lines.values(), np.int64, len(lines)))
             table = np.array(counts, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("host"), *[pa.array(table[:, k]) for k in range(5)],
-                 *key_columns(keys), list_column(hashes), list_column(sizes)],
+                 batch.column("k1"), batch.column("k2"), list_column(hashes), list_column(sizes)],
                 names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "k1", "k2",
                        "lines", "line_words"])
 
@@ -118,8 +107,8 @@ def host_name(host: str):
 def found_lines(docs: DataFrame, doc_id: str, host: str, text: str, rules: LineRules) -> tuple[DataFrame, DataFrame]:
     """``base_counts`` of the rows, and (host, k1, k2, line, words) of the frequent lines of
     each text that does not keep them."""
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), host_name(host))
-    made = cut_lineage(base_counts(base), "counts")
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), host_name(host))
+    made = cut_lineage(base_counts(with_key(base)), "counts")
     lines = made.select("host", "k1", "k2", "doc_id", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
         "host", "k1", "k2", "doc_id", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     sizes = made.groupBy("host", "k1", "k2").agg(F.count("*").alias("rows")).groupBy("host").agg(F.count("*").alias("host_docs"))
@@ -158,16 +147,6 @@ def line_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *verdict(rules))
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """``rows`` with k1 and k2 of their text."""
-    def run(batches):
-        for batch in slices(batches, "text"):
-            keys = [text_key((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *key_columns(keys)], names=[*batch.schema.names, "k1", "k2"])
-
-    return rows.mapInArrow(run, StructType([*rows.schema, StructField("k1", LongType()), StructField("k2", LongType())]))
-
-
 def cut_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, text, removed, rest) of (doc_id, text, gone, rest): the text without the lines
     whose hashes are in ``gone``, and the numbers of these lines."""
@@ -205,8 +184,8 @@ def clean_documents(docs: DataFrame, doc_id: str = "doc_id", host: str = "source
     counts = made.select("host", "k1", "k2", "n_words", "n_repeat_words").distinct()
     judged = counts.join(lost, ["host", "k1", "k2"], "left").select("host", "k1", "k2", "gone", verdict(rules)[2])
     changed = cut_lineage(judged.where("not kept or gone is not null"), "changed")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), host_name(host),
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), host_name(host),
                        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("rest"))
-    stay = keyed(rows).join(small_side(changed, rules.broadcast_rows), ["host", "k1", "k2"], "left").where(
+    stay = with_key(rows).join(small_side(changed, rules.broadcast_rows), ["host", "k1", "k2"], "left").where(
         F.coalesce("kept", F.lit(True)))
     return cut_lines(stay).select("doc_id", "text", "removed", *[F.col("rest")[c].alias(c) for c in keep])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WordHashes, list_column, pick, signed, slices, small_side, window_hashes
+from .common import WordHashes, list_column, pick, signed, slices, small_side, window_hashes, with_key
 
 TOKEN = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -197,11 +197,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, p: Leaks) -> tuple[DataFrame
     return made.drop("seeds"), cut_lineage(found, "leaks")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with 128 bits of their text, k1 and k2."""
-    return docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
-
-
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, params: Leaks = Leaks()) -> DataFrame:
     """(k1, k2) of the texts that ``decontaminate`` finds contaminated."""
     _, found = leaked_items(with_key(pick(docs, doc_id="doc_id", text="text")), pick(benchmark, item_id="item_id", text="text"), params)
