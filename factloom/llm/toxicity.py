@@ -33,6 +33,8 @@ PATTERNS = [re.compile(p) for p in (
     r"(?i)[a-z]\*{2,}", r"[A-Z]{5,}\b(?:\W+[A-Z]{4,}\b){2}", r"[!?]{3}")]
 #: Mined lexicons: word starts or whole words, lift from and below, and how many voters share them.
 MINED = [(False, 40.0, float("inf"), 3), (False, 0.0, 40.0, 1), (True, 25.0, float("inf"), 2), (True, 0.0, 25.0, 1)]
+#: Log-odds of a toxic row (one in ten) where no row is left to learn from.
+PRIOR = -2.2
 
 
 @dataclass(frozen=True)
@@ -260,7 +262,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     Null and empty texts get the score of a text without words. A null doc_id is not held
     out and not labelled. Labels that repeat a doc_id count as toxic if one of them is; null
-    labels are ignored. Without labels only the seed voters work. Other columns are
+    labels are ignored. Without labels only the seed voters work. Where
+    no row is left to learn from, all rows get the same score, under 0.5. Other columns are
     ignored. An empty table gives an empty result.
     """
     p = params
@@ -295,7 +298,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     rows = np.repeat(np.arange(len(sizes)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     target = np.array([posterior.get(x, 0.0) for x in sample["pattern"].to_pylist()])
     if not len(sizes):
-        return scored(base, {}, 0.0, 0.0, 1.0, 0.0).limit(0).select(
+        # Nothing to learn from: every row gets a score well under the threshold.
+        return scored(base, {}, 0.0, PRIOR, 1.0, 0.0).select(
             "doc_id", held_out.alias("held_out"), "score", F.lit(0).alias("predicted"))
     w = fit_linear(rows, columns, len(sizes), len(vocabulary), target, sizes)
     z = np.bincount(rows, weights=w[columns], minlength=len(sizes)) + w[-2] * sizes + w[-1]

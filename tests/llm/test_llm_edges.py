@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ def test_empty_table(spark, docs, op):
     assert OPS[op](spark, docs.limit(0)).count() == 0
 
 
+def test_toxicity_without_rows_to_train_on(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0][:4]
+    docs = spark.createDataFrame([(k, SAY) for k in ids], "doc_id long, text string")
+    out = toxicity(docs, labels).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(map(str, ids))
+    assert all(r.predicted == 0 and 0 < r.score < 0.5 and r.held_out for r in out)
+
+
 def test_near_duplicates_of_odd_rows(spark, docs):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     n = len(SAY.split()) - 4
