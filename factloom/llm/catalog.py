@@ -11,12 +11,14 @@ from ..session import scratch_dir
 from . import oracles
 from .common import table
 from .disclosure import personal_data, span_digests
+from .licenses import licence_scan
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .pieces import encode_pieces, piece_digests
 from .quality import line_quality
 from .reply_trees import as_chain, conversation_digests, format_branches
 from .splitters import shard_by_bytes
+from .survival import filter_audit
 from .tiling import decontaminate
 from .toxicity import toxicity
 from .warc import read_warc, write_warc
@@ -95,3 +97,13 @@ def op2(spark, sf_dir):
 @query("op10_disclosure", oracles.PII)
 def op10(spark, sf_dir):
     return span_digests(personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op11_license_rules", oracles.LICENCES)
+def op11(spark, sf_dir):
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_survival_words", oracles.AUDIT)
+def op13(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .disclosure import KINDS
+from .license_rules import LEVELS, PHRASES, RULES, worded
+from .licenses import NO_WORD, PHRASE_SCORE
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -193,3 +195,72 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN made USING (rid)
 """
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RULES = ",\n".join(
+    [f"({r.number}, {quoted(r.keyword)}, {r.level}, {quoted(r.label)}, {quoted(f' (?:{r.pattern}) ')})" for r in RULES]
+    + [f"({-1 - k}, {quoted(worded(p))}, 0, {quoted(label)}, {quoted(f' {worded(p)} ')})" for k, (p, label) in enumerate(PHRASES.items())])
+
+LICENCES = f"""
+WITH rules(number, keyword, level, label, pattern) AS (VALUES {_RULES}),
+d AS (
+  SELECT doc_id, r, CASE WHEN b = '' THEN '' ELSE ' ' || b || ' ' END AS t FROM (
+    SELECT doc_id, row_number() OVER () AS r, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NO_WORD}', '  ', 'g')) AS b
+    FROM documents)),
+sized AS (SELECT doc_id, r, t, (length(t) - length(replace(t, ' ', ''))) // 2 AS n_words FROM d),
+hits AS (
+  SELECT r, number, level, label,
+         list_transform(string_split_regex(t, pattern), lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS gaps,
+         list_transform(regexp_extract_all(t, pattern), lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS sizes
+  FROM sized JOIN rules ON contains(t, keyword) WHERE regexp_matches(t, pattern)),
+each AS (SELECT r, number, level, label, gaps, sizes, unnest(range(1, len(sizes) + 1)) AS k FROM hits),
+placed AS (
+  SELECT r, number, level, label, list_sum(gaps[1:k]) + coalesce(list_sum(sizes[1:k - 1]), 0) AS a,
+         list_sum(gaps[1:k]) + list_sum(sizes[1:k]) AS b FROM each),
+kept AS (
+  SELECT * FROM placed p WHERE level = 0 OR NOT EXISTS (
+    SELECT 1 FROM placed q WHERE q.r = p.r AND q.level >= p.level AND q.a <= p.a AND q.b >= p.b
+      AND ((q.a, q.b) <> (p.a, p.b) OR q.level > p.level OR q.number < p.number))),
+per_row AS (
+  SELECT r, count(*) FILTER (level = 0) AS n_base, min(a) FILTER (level = 0) AS first_word, max(a) FILTER (level = 0) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (level = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         max(CASE level {' '.join(f'WHEN {k} THEN {c!r}::DOUBLE' for k, c in {**LEVELS, 0: PHRASE_SCORE}.items())} END) AS score,
+         string_agg(DISTINCT number::VARCHAR, ',' ORDER BY lpad(number::VARCHAR, 4, '0')) FILTER (level > 0) AS rules
+  FROM kept GROUP BY r)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score, coalesce(rules, '') AS rules
+FROM sized LEFT JOIN per_row USING (r)
+"""
+
+AUDIT = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS ws FROM documents),
+f AS (
+  SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS failed FROM w),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+g AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(o) < 5 AND NOT contains(o, x)),
+steps AS (
+  SELECT o, step, 1 << (ascii(o[step]) - 65) AS own, list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65)))::INT AS gone
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5)),
+counted AS (
+  SELECT part, o, step, own, sum(CASE WHEN failed & (gone | own) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN failed & gone = 0 AND failed & own > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN failed & gone > 0 AND failed & own > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN failed & gone = 0 AND failed & own > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN failed & gone = 0 AND failed & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, steps GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
