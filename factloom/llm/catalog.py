@@ -17,6 +17,7 @@ from .minhash import near_duplicates
 from .pieces import encode_pieces, piece_digests
 from .quality import line_quality
 from .reply_trees import as_chain, conversation_digests, format_branches
+from .search import search
 from .splitters import shard_by_bytes
 from .survival import filter_audit
 from .tiling import decontaminate
@@ -104,6 +105,11 @@ def op11(spark, sf_dir):
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+@query("op12_block_max_search", oracles.SEARCH)
+def op12(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_survival_words", oracles.AUDIT)
 def op13(spark, sf_dir):
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

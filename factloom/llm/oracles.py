@@ -264,3 +264,24 @@ SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed
        (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM counted
 """
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+SEARCH = f"""
+WITH t AS (
+  SELECT doc_id, r, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)),
+tf AS (SELECT doc_id, r, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+tot AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM len),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+scored AS (
+  SELECT item_id, r, doc_id,
+         sum(times * floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * df + 1)))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM qt JOIN df USING (term) JOIN tf USING (term) JOIN len USING (r), tot GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
