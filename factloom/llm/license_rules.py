@@ -360,8 +360,6 @@ _SIGNATURES = r"""
 2 non-commercial: for noncommercial (?:use|purposes)(?: only)?
 [personal use only]
 2 personal-use: (?:free )?for personal use only
-[licensed under]
-1 unknown-license: licensed under(?: the)?(?: terms of)?(?: the| a| an)? [^ ]+ (?:[^ ]+ ){0,3}licen[sc]e
 [license agreement]
 2 eula: end user license agreement
 1 agreement: license agreement

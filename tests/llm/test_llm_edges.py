@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.llm.catalog import piece_model
 from factloom.llm.components import components
 from factloom.llm.disclosure import Disclosure, personal_data, sanitised, span_digests
+from factloom.llm.licenses import licence_scan
 from factloom.llm.line_dedup import LineDedup, dedup_lines
 from factloom.llm.minhash import NearDup, near_duplicates
 from factloom.llm.pieces import encode_pieces
@@ -37,6 +38,7 @@ OPS = {
     "shards": lambda s, d: shard_by_bytes(d), "pieces": lambda s, d: encode_pieces(d, piece_model()),
     "leaks": lambda s, d: decontaminate(d, s.createDataFrame([(1, SAY), (None, None), (2, "")], "item_id long, text string")),
     "pii": lambda s, d: span_digests(personal_data(d)),
+    "licences": lambda s, d: licence_scan(d),
     "toxic": lambda s, d: toxicity(d, s.createDataFrame([(1, 1), (4, None), (None, 1), (6, 0), (6, 0)], "doc_id long, toxic int")),
 }
 
@@ -78,11 +80,11 @@ def test_large_buckets_lose_no_link(spark):
         rows.append((k, " ".join(words)))
     for k in range(40, 80):
         rows.append((k, " ".join([f"t{j}" for j in range(60)] + [f"own{k}-{j}" for j in range(40)])))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
     for k in range(80, 100):  # far from the base, but each near its neighbour
         words = list(base)
         words[k - 80:k - 50] = [f"chain{j}" for j in range(k - 80, k - 50)]
         rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {k: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
     want = {k: k for k in sets}
     for a in sets:
