@@ -163,36 +163,49 @@ def differing_pairs(members: DataFrame, sets: DataFrame, p: NearDup) -> DataFram
 
     Let x lack A and add B to the hub's set of size h, and y likewise. With t the threshold
     over one plus the threshold, J(x, y) is at the threshold only if x and y share at least
-    c(x) + c(y) - (1 - 2t) h of their differences, where c = (1 - t) |A| + t |B|. So, with
+    need = c(x) + c(y) - (1 - 2t) h of their differences, where c = (1 - t) |A| + t |B|. So, with
     differences in one order, rarest first, the first |A| + |B| - need + 1 of x and of y have
-    one in common (prefix filter). ``need`` takes the smallest c that a partner can have.
+    one in common (prefix filter), and from the first such one on enough are left in both
+    (position filter). Members are laid out by layers of c, powers of two, and a member has
+    a prefix for each layer a partner can be in, so one close copy widens no other prefix. The hub
+    itself has been compared with all of them.
     """
     t = p.percent / (100 + p.percent)
     hubs = members.groupBy("key").agg(F.min_by("node", "order").alias("hub"))
-    grouped = members.join(hubs, "key").groupBy("hub", "node", "root").agg(F.max((F.col("root") != F.col("main")).cast("int")).alias("outside"))
+    grouped = members.join(hubs, "key").where("node <> hub").groupBy("hub", "node", "root").agg(
+        F.max((F.col("root") != F.col("main")).cast("int")).alias("outside"))
     own = sets.select("node", F.col("shingles").alias("x"))
     base = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("h"))
     lacks, adds = F.array_except("h", "x"), F.array_except("x", "h")
     made = grouped.join(own, "node").join(base, "hub").select(
         "hub", "node", "root", "outside", F.concat(lacks, adds).alias("tokens"),
         ((1 - t) * F.size(lacks) + t * F.size(adds)).alias("c"), ((1 - 2 * t) * F.size("h")).alias("spare"))
-    made = cut_lineage(made, "differences")
-    # The smallest c of all members, and of those outside the main component.
-    least = made.groupBy("hub").agg(F.min("c").alias("c_any"), F.min(F.when(F.col("outside") == 1, F.col("c"))).alias("c_out"))
+    layer = F.when(F.col("c") < 2, 0).otherwise(F.floor(F.log2("c"))).cast("int")
+    made = cut_lineage(made.withColumn("layer", layer), "differences")
+    layers = made.groupBy("hub").agg(F.collect_set("layer").alias("any"), F.collect_set(F.when(F.col("outside") == 1, F.col("layer"))).alias("out"))
     counts = made.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("times"))
+    # A difference that one member has alone is shared with nobody, but takes its place in the prefix.
     ranked = made.select("hub", "node", F.explode("tokens").alias("token")).join(counts, ["hub", "token"]).groupBy("hub", "node").agg(
         F.array_sort(F.collect_list(F.struct("times", "token"))).alias("ranked"))
-    full = made.drop("tokens").join(ranked, ["hub", "node"]).join(least, "hub")
-
-    def prefix(partner: str):
-        need = F.greatest(F.ceil(F.col("c") + F.col(partner) - F.col("spare") - 1e-6), F.lit(1)).cast("int")
-        return F.explode(F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - need + 1, F.lit(0)))).alias("t")
-
-    left = full.where("outside = 1").select("hub", F.col("node").alias("x"), F.col("root").alias("rx"), prefix("c_any")).select(
-        "hub", "x", "rx", F.col("t.token").alias("token"))
-    right = full.where("c_out is not null").select("hub", F.col("node").alias("y"), F.col("root").alias("ry"), prefix("c_out")).select(
-        "hub", "y", "ry", F.col("t.token").alias("token"))
-    return left.join(right, ["hub", "token"]).where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    full = cut_lineage(made.drop("tokens").join(ranked, ["hub", "node"]).join(layers, "hub"), "ranked")
+
+    def prefixes(rows: DataFrame, partners: str, mine: str, theirs: str) -> DataFrame:
+        """(hub, token, layer of x, layer of y, node, root, c, size, place) of the prefixes."""
+        least = F.when(F.col("partner") == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("partner")))
+        need = F.greatest(F.ceil(F.col("c") + least - F.col("spare") - 1e-6), F.lit(1)).cast("int")
+        cut = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - need + 1, F.lit(0)))
+        each = rows.select("*", F.explode(partners).alias("partner")).select(
+            "hub", "node", "root", "c", "spare", "layer", "partner", F.size("ranked").alias("size"), F.posexplode(cut).alias("place", "t"))
+        return each.where("t.times > 1").select(
+            "hub", F.col("t.token").alias("token"), F.col("layer").alias(mine), F.col("partner").alias(theirs), "node", "root", "c", "spare", "size", "place")
+
+    left = prefixes(full.where("outside = 1"), "any", "lx", "ly")
+    right = prefixes(full.where(F.size("out") > 0), "out", "ly", "lx").select(
+        "hub", "token", "lx", "ly", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "c", "size", "place")])
+    need = F.col("c") + F.col("c_y") - F.col("spare") - 1e-6
+    able = (1 + F.least(F.col("size") - F.col("place"), F.col("size_y") - F.col("place_y")) - 1 >= need) & (F.col("root") != F.col("root_y"))
+    return left.join(right, ["hub", "token", "lx", "ly"]).where(able).select(
+        F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
 
 
 def grouped(keys: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
