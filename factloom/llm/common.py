@@ -10,7 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_CACHE = 200_000
+#: About 15 MB.
+WORD_CACHE = 100_000
+BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -28,6 +31,15 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of about ``BATCH_BYTES``, whatever the length of the texts. The
+    option is the session's, as Spark reads it when the plan runs."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_OPTION) != f"{BATCH_BYTES}b":
+        conf.set(BATCH_OPTION, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint where at most ``rows`` rows were counted. A longer side is left to
     a shuffle join."""
@@ -90,9 +102,10 @@ def list_column(parts: list[np.ndarray], kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind or pa.int64()))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``limit`` bytes of text, so that a batch of very
-    long texts never holds all its results at once. A piece has one row at least."""
+    long texts never holds all its results at once. A piece has one row at least. At the end the
+    memory that Arrow keeps for reuse goes back to the system, as the worker process lives on."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(column), dtype=float)))
@@ -102,3 +115,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             stop = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()

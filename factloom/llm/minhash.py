@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WordHashes, ascii_words, list_column, mixed, pick, signed, slices, weights, window_hashes
+from .common import WordHashes, ascii_words, in_batches, list_column, mixed, pick, signed, slices, weights, window_hashes
 from .components import components
 
 
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, p: NearDup) -> DataFrame:
                  pa.array(counts, pa.int64()), list_column(bands), list_column(sketches)],
                 names=["doc_id", "k1", "k2", "n_shingles", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch array<long>")
+    return in_batches(docs, run, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -108,7 +108,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets.append(signed(np.unique(window_hashes(cache.array(tokens), words))))
             yield pa.RecordBatch.from_arrays([batch.column("node"), list_column(sets)], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return in_batches(docs, run, "node long, shingles array<long>")
 
 
 def sifted(pairs: DataFrame, sketches: DataFrame, p: NearDup) -> DataFrame:

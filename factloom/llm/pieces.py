@@ -14,10 +14,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column, pick, slices
+from .common import in_batches, list_column, pick, slices
 
 SPACE = "▁"
-SEGMENTS = 250_000
+#: Segments are remembered in two generations of up to so many, so about 30 MB at most.
+SEGMENTS = 64_000
 #: Up to so many characters the agenda is a list, beyond it a heap. The pieces are the same.
 SHORT = 40
 #: Longer segments are not remembered.
@@ -58,6 +59,7 @@ class PieceEncoder:
         mixed = {a + b for p in map(str.lstrip, self.ids, [SPACE] * len(self.ids)) for a, b in zip(p, p[1:]) if a.isalnum() != b.isalnum()}
         self.mixed = re.compile("(?s)." if inner or feed else "|".join(map(re.escape, sorted(mixed))) or "(?!)")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def segment_ids(self, text: str) -> tuple[int, ...]:
         """Take the best-scored adjacent pair that is a piece, the leftmost on a tie, join
@@ -126,13 +128,16 @@ class PieceEncoder:
         says, the first text as a whole."""
         cut = [(self.coarse if self.mixed.search(t) else self.fine).findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > SEGMENTS:
-            self.known.clear()
-        new = {s for segments in cut for s in segments if s not in self.known}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {s for segments in cut for s in segments if s not in known}
+        again = {s for s in new if s in older}
+        known.update((s, older[s]) for s in again)
+        new -= again
         for s in new:
-            self.known[s] = self.segment_ids(s)
+            known[s] = self.segment_ids(s)
         if new:
             self._check(list(new))
-        known = self.known
         out = [list(chain.from_iterable([known[s] for s in segments])) for segments in cut]
         for s in new:
             if len(s) > REMEMBERED:
@@ -153,14 +158,15 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
     """
     def run(batches):
         encoder = PieceEncoder(model_path)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             decoded = encoder.model.decode(ids, num_threads=1) if ids else []
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), list_column([np.array(x, np.int32) for x in ids], pa.int32()), pa.array(decoded, pa.string())],
                 names=["doc_id", "ids", "decoded"])
+            ids = decoded = None
 
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return in_batches(pick(docs, doc_id=doc_id, text=text), run, "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(encoded: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import WordHashes, list_column, signed, slices, small_side, window_hashes, with_key
+from .common import WordHashes, in_batches, list_column, signed, slices, small_side, window_hashes, with_key
 
 BLANKS = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -84,7 +84,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "k1", "k2",
                        "lines", "line_words"])
 
-    return docs.mapInArrow(run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    return in_batches(docs, run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                 "n_repeat_words long, k1 long, k2 long, lines array<long>, line_words array<long>")
 
 
@@ -169,7 +169,7 @@ def cut_lines(rows: DataFrame) -> DataFrame:
                 names=["doc_id", "text", "removed", "rest"])
 
     kinds = rows.schema
-    return rows.select("doc_id", "text", "gone", "rest").mapInArrow(run, StructType(
+    return in_batches(rows.select("doc_id", "text", "gone", "rest"), run, StructType(
         [kinds["doc_id"], kinds["text"], StructField("removed", ArrayType(IntegerType())), kinds["rest"]]))
 
 

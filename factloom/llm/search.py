@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import pick, slices
+from .common import in_batches, pick, slices
 
 #: ASCII letters are lowered; ASCII characters that are no letter or digit part terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -160,7 +160,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
             yield from shard.rows(number, p.block)
 
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return cut_lineage(rows.mapInArrow(run, POSTINGS), "index")
+    return cut_lineage(in_batches(rows, run, POSTINGS), "index")
 
 
 class Postings:
@@ -277,7 +277,7 @@ def item_terms(items: DataFrame) -> DataFrame:
                 [batch.column("item_id").take(pa.array(at)), pa.array([t.decode() for c in found for t in c], pa.string()),
                  pa.array([n for c in found for n in c.values()], pa.int64())], names=["item_id", "term", "times"])
 
-    return items.mapInArrow(run, "item_id long, term string, times long").groupBy("item_id", "term").agg(F.sum("times").alias("times"))
+    return in_batches(items, run, "item_id long, term string, times long").groupBy("item_id", "term").agg(F.sum("times").alias("times"))
 
 
 def query_blocks(weighted: DataFrame, most: int) -> Iterator[dict[int | None, list[tuple[str, int]]]]:

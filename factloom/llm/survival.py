@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import pick, slices, with_key
+from .common import in_batches, pick, slices, with_key
 
 FILTERS = "ABCDE"
 SUBSETS = 1 << len(FILTERS)
@@ -41,7 +41,7 @@ def text_failures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "part", "k1", "k2", "failed"])
 
     rows = docs.select("doc_id", "part", "k1", "k2", F.col("text").cast("binary").alias("raw"), F.char_length("text").alias("chars"))
-    return rows.mapInArrow(run, "doc_id long, part string, k1 long, k2 long, failed int")
+    return in_batches(rows, run, "doc_id long, part string, k1 long, k2 long, failed int")
 
 
 def positional_popcount(words: np.ndarray) -> np.ndarray:
@@ -94,8 +94,7 @@ def counted_words(rows: DataFrame) -> DataFrame:
         if sums:
             yield from passed()
 
-    return rows.select("part", "failed", "good", "toxic").mapInArrow(
-        run, "part string, subset int, survivors long, good long, toxic long")
+    return in_batches(rows.select("part", "failed", "good", "toxic"), run, "part string, subset int, survivors long, good long, toxic long")
 
 
 def labelled(labels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WordHashes, list_column, pick, signed, slices, small_side, window_hashes, with_key
+from .common import WordHashes, in_batches, list_column, pick, signed, slices, small_side, window_hashes, with_key
 
 TOKEN = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def seed_table(items: DataFrame, p: Leaks) -> DataFrame:
                 [batch.column("item_id"), list_column(seeds), pa.array(needed, pa.int64())],
                 names=["item_id", "seeds", "needed"])
 
-    return items.mapInArrow(run, "item_id long, seeds array<long>, needed long").select(
+    return in_batches(items, run, "item_id long, seeds array<long>, needed long").select(
         "item_id", F.explode("seeds").alias("seed"), "needed")
 
 
@@ -146,7 +146,7 @@ def document_seeds(docs: DataFrame, least: int, wanted) -> DataFrame:
                 [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), list_column(out)],
                 names=["doc_id", "k1", "k2", "seeds"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, seeds array<long>")
+    return in_batches(docs, run, "doc_id long, k1 long, k2 long, seeds array<long>")
 
 
 def tiled(pairs: DataFrame, least: int) -> DataFrame:
@@ -170,7 +170,7 @@ def tiled(pairs: DataFrame, least: int) -> DataFrame:
                  pa.array(sizes, pa.int64()), pa.array(spans, kind)],
                 names=["k1", "k2", "item_id", "covered", "n_tokens", "tiles"])
 
-    return pairs.mapInArrow(run, "k1 long, k2 long, item_id long, covered long, n_tokens long, "
+    return in_batches(pairs, run, "k1 long, k2 long, item_id long, covered long, n_tokens long, "
                                  "tiles array<struct<item_start:int,doc_start:int,length:int>>")
 
 
