@@ -69,6 +69,73 @@ def test_only_the_given_tables_are_seen(spark, data):
     assert sqlguard.query_tables({"a": data}, "WITH x AS (SELECT * FROM a) SELECT * FROM x").count() == 3
 
 
+SLY = [
+    "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM IDENTIFIER('sec' || 'ret')",
+    "SELECT b.* FROM (WITH secret AS (SELECT 1 AS one) SELECT * FROM secret) a CROSS JOIN secret b",
+    "WITH x AS (WITH secret AS (SELECT 1 AS one) SELECT * FROM secret) SELECT * FROM x, secret",
+    "SELECT (SELECT max(id) FROM secret) AS m FROM a", "SELECT * FROM a WHERE EXISTS (SELECT 1 FROM IDENTIFIER('secret'))",
+    "SELECT * FROM a, LATERAL (SELECT id FROM secret)", "SELECT * FROM global_temp.shared", "SELECT * FROM kept_table",
+    "SELECT * FROM spark_catalog.default.kept_table", "SELECT * FROM range(3)", "SELECT * FROM a JOIN range(3) r",
+    "SELECT twice(present) FROM a", "SELECT * FROM `secret`", "TABLE secret", "SELECT * FROM a UNION ALL TABLE secret",
+]
+
+
+@pytest.fixture
+def secrets(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(3).createOrReplaceGlobalTempView("shared")
+    spark.udf.register("twice", lambda x: 2 * x, "long")
+    spark.sql(f"CREATE TABLE kept_table USING parquet LOCATION '{tmp_path}/kept' AS SELECT 1 AS id")
+    yield
+    spark.sql("DROP TABLE kept_table")
+    spark.catalog.dropTempView("secret")
+    spark.catalog.dropGlobalTempView("shared")
+
+
+@pytest.mark.parametrize("sql", SLY)
+def test_nothing_else_can_be_read(data, secrets, sql):
+    with pytest.raises(QueryError):
+        sqlguard.query_tables({"a": data}, sql)
+
+
+@pytest.mark.parametrize("sql, n", [
+    ("SELECT * FROM IDENTIFIER('a')", 3), ("SELECT * FROM (VALUES (1), (2)) v", 2), ("SELECT 1 AS one", 1),
+    ("WITH a AS (SELECT 1 AS one) SELECT * FROM a", 1), ("SELECT s FROM a LATERAL VIEW explode(array(1, 2)) x AS s", 6),
+    ("SELECT * FROM a x JOIN a y ON x.student = y.student", 5), ("SELECT * FROM a WHERE pct >= (SELECT max(pct) FROM a)", 1),
+    ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT n FROM r", 4)])
+def test_what_the_statement_itself_says_can_be_read(data, sql, n):
+    assert sqlguard.query_tables({"a": data}, sql).count() == n
+
+
+def test_a_view_behind_a_given_table_can_be_read(spark, data):
+    data.createOrReplaceTempView("inner_view")
+    given = spark.table("inner_view").where("pct > 80")
+    spark.catalog.dropTempView("inner_view")
+    assert sqlguard.query_tables({"a": given}, "SELECT count(*) AS n FROM a").first().n == 2
+
+
+def test_options_and_results_belong_to_the_caller(spark, data):
+    out = sqlguard.query_tables({"a": data}, "SELECT student, pct FROM a")
+    assert out.sparkSession is spark
+    assert out.join(data, "student").where(out["pct"] > 80).count() == 4
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    try:
+        assert sqlguard.query_tables({"a": data}, "SELECT PCT FROM A").count() == 3
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "true")
+    with pytest.raises(QueryError):
+        sqlguard.query_tables({"a": data}, "SELECT PCT FROM a")
+
+
+def test_callers_side_by_side(spark, data):
+    """The same name means each caller's own table."""
+    from concurrent.futures import ThreadPoolExecutor
+    sizes = list(range(1, 13))
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda n: sqlguard.query_tables({"a": spark.range(n)}, "SELECT count(*) AS n FROM a").first().n, sizes))
+    assert got == sizes and not spark.catalog.tableExists("a")
+
+
 def test_words_in_literals_do_no_harm(data):
     assert sqlguard.run_sql(data, "SELECT 'copy; drop' AS `set`, 1 AS b -- create\nFROM data LIMIT 1;").rows == [{"set": "copy; drop", "b": 1}]
 

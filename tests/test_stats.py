@@ -122,7 +122,7 @@ def test_long_texts_are_counted_by_digest(spark):
     assert stats.long_text_columns(df) == {"body"}
     got = {r["name"]: r for r in profile.profile(df).collect()}
     assert got["body"]["distinct_count"] == 40 and got["body"]["null_count"] == 1
-    assert got["body"]["sample_values"] == [v[:255] for v in sorted({r[0] for r in rows if r[0]})[:5]]
+    assert got["body"]["sample_values"] == sorted({r[0] for r in rows if r[0]})[:5]
     assert "sha2" in distinct_plan(df)
 
 
