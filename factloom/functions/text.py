@@ -41,11 +41,18 @@ _OTHER_TIMES = [
 _RFC_TIME = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} (GMT|UTC|Z)$"
 # Numbers only, whose order of day and month the text does not tell.
 _OPEN_TIMES = [(sep, rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}") for sep in "/-"]
+_ANY_TIME = "|".join([_ISO_TIME, *[shape + tail for _, shape in _OPEN_TIMES for tail in (_CLOCK, _HALF_DAY)],
+                      *[shape for shape, _ in _OTHER_TIMES], _RFC_TIME])
+# A first or second number that no month can be.
+_ABOVE_12 = r"(?:1[3-9]|[2-9]\d)"
+_DAY_LEADS, _DAY_FOLLOWS = rf"^{_ABOVE_12}[-/]\d{{1,2}}[-/]\d{{4}}\b", rf"^\d{{1,2}}[-/]{_ABOVE_12}[-/]\d{{4}}\b"
+# White space as Unicode has it, and the four separators below it.
+_BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def norm_text(c: Column) -> Column:
     """Runs of any white space (Unicode too) become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(c, _BLANKS, " "))
 
 
 def is_null_token(c: Column) -> Column:
@@ -65,25 +72,32 @@ def to_number(c: Column) -> Column:
 def day_is_first(c: Column) -> Column:
     """Aggregate: some value of the column can only be read with the day first, and none
     only with the month first. The whole column is then read that way."""
-    numbers = r"^(\d{1,2})[-/](\d{1,2})[-/]\d{4}\b"
-    a, b = (F.regexp_extract(c, numbers, k).try_cast("int") for k in (1, 2))
-    return (F.count_if(a > 12) > 0) & (F.count_if(b > 12) == 0)
+    return (F.count_if(c.rlike(_DAY_LEADS)) > 0) & (F.count_if(c.rlike(_DAY_FOLLOWS)) == 0)
+
+
+def _maybe_time(c: Column) -> Column:
+    return (F.length(c) <= _LONGEST_TIME) & c.rlike(_MAYBE_TIME)
+
+
+def has_time_shape(c: Column) -> Column:
+    """Whether the cell is laid out like one of the dates ``to_timestamp`` reads. The numbers in it may
+    still be no date; a cell without the shape never is."""
+    return F.when(_maybe_time(c), c.rlike(_ANY_TIME))
 
 
 def to_timestamp(c: Column, day_first: bool | Column = False) -> Column:
     """Dates in a fixed set of layouts; a bare year is not a date. ``day_first`` tells how to
     read 1/2/2024 and 1-2-2024."""
-    day_first = F.lit(day_first) if isinstance(day_first, bool) else day_first
-    short = F.when((F.length(c) <= _LONGEST_TIME) & c.rlike(_MAYBE_TIME), c)
-    out = F.when(short.rlike(_ISO_TIME), short.try_cast("timestamp"))
+    out = F.when(c.rlike(_ISO_TIME), c.try_cast("timestamp"))
     for sep, shape in _OPEN_TIMES:
         for tail, clock, text in ((_CLOCK, "[ H:mm[:ss]]", c), (_HALF_DAY, " h:mm[:ss] a", F.upper(F.regexp_replace(c, r"(?i)(\d)([ap]m)$", "$1 $2")))):
             month, day = (F.try_to_timestamp(text, F.lit(p + f"{sep}yyyy{clock}")) for p in (f"M{sep}d", f"d{sep}M"))
-            out = out.when(short.rlike(shape + tail), F.when(day_first, day).otherwise(month))
+            read = (day if day_first else month) if isinstance(day_first, bool) else F.when(day_first, day).otherwise(month)
+            out = out.when(c.rlike(shape + tail), read)
     for shape, pattern in _OTHER_TIMES:
-        out = out.when(short.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
+        out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
     rfc = F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}, | (GMT|UTC|Z)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
-    return out.when(short.rlike(_RFC_TIME), rfc)
+    return F.when(_maybe_time(c), out.when(c.rlike(_RFC_TIME), rfc))
 
 
 def has_digit(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Safe, explainable cleaning. Two aggregate passes decide everything; the fixes
+"""Safe, explainable cleaning. A few aggregate passes decide everything; the fixes
 themselves are one projection followed by one de-duplication."""
 
 from __future__ import annotations
@@ -46,42 +46,62 @@ def normalised_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: text.null_tokens(text.norm_text(col(c))) for c in names})
 
 
-def _first_pass(df: DataFrame) -> dict:
-    """Token hits, parse rates and ranges of every column. Each cell is normalised once
-    and parsed once; a few columns share an aggregate, so that Spark compiles it."""
+def _side_by_side(df: DataFrame, fields: list, aggregate) -> dict:
+    """``aggregate(df, some fields)`` for a few fields at a time, so that Spark compiles it. The
+    passes do not depend on each other, so the cluster runs them side by side."""
     out: dict = {}
-    # The passes do not depend on each other, so the cluster runs them side by side.
     with ThreadPoolExecutor(4) as pool:
-        for found in pool.map(lambda chunk: _rates(df, chunk).first().asDict(), chunks(list(enumerate(df.schema)), COLUMNS_PER_PASS)):
+        for found in pool.map(lambda chunk: aggregate(df, chunk).first().asDict(), chunks(fields, COLUMNS_PER_PASS)):
             out.update(found)
     return out
 
 
 def _rates(df: DataFrame, fields: list) -> DataFrame:
+    """Token hits, number rates, date shapes and ranges. No date is parsed here: shapes are enough to
+    rule most columns out, and tell whether days come first in the others."""
     texts = {i for i, f in fields if isinstance(f.dataType, T.StringType)}
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
     normal = df.select(*[(text.norm_text(col(f.name)) if i in texts else col(f.name)).alias(f"c{i}") for i, f in fields])
     cells = normal.select("*", *[text.null_tokens(F.col(f"c{i}")).alias(f"v{i}") for i in texts])
-    parsed = cells.select("*", *[p for i in texts for p in (
-        text.to_number(F.col(f"v{i}")).alias(f"x{i}"), text.to_timestamp(F.col(f"v{i}")).alias(f"t{i}"),
-        text.to_timestamp(F.col(f"v{i}"), True).alias(f"d{i}"))])
+    parsed = cells.select("*", *[text.to_number(F.col(f"v{i}")).alias(f"x{i}") for i in texts])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in fields:
         c = F.col(f"c{i}")
         if i in texts:
-            v, number, moment, by_day = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"t{i}"), F.col(f"d{i}")
-            first = text.day_is_first(v)
-            aggs += [(F.count(c) - F.count(v)).alias(f"tok{i}"), F.count(v).alias(f"n{i}"),
-                     F.count(number).alias(f"num{i}"), F.count_if(text.has_digit(v)).alias(f"dig{i}"),
-                     F.when(first, F.count(by_day)).otherwise(F.count(moment)).alias(f"ts{i}"), first.alias(f"day{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
-                     (F.min(number) == F.max(number)).alias(f"onum{i}"),
-                     F.when(first, F.min(by_day) == F.max(by_day)).otherwise(F.min(moment) == F.max(moment)).alias(f"ots{i}")]
+            v, number = F.col(f"v{i}"), F.col(f"x{i}")
+            aggs += [(F.count(c) - F.count(v)).alias(f"tok{i}"), F.count(v).alias(f"n{i}"), F.count(number).alias(f"num{i}"),
+                     F.count_if(text.has_digit(v)).alias(f"dig{i}"), F.count_if(text.has_time_shape(v)).alias(f"like{i}"),
+                     text.day_is_first(v).alias(f"day{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
+                     (F.min(number) == F.max(number)).alias(f"onum{i}")]
         else:
             one = F.lit(False) if isinstance(f.dataType, nested) else F.min(c) == F.max(c)
             aggs += [F.count(c).alias(f"n{i}"), one.alias(f"one{i}")]
     return parsed.agg(*aggs)
 
 
+def _times(days: dict[int, bool]):
+    """Aggregates over the likely date columns, each read the way its own values ask for."""
+    def aggregate(df: DataFrame, fields: list) -> DataFrame:
+        cells = df.select(*[text.null_tokens(text.norm_text(col(f.name))).alias(f"v{i}") for i, f in fields])
+        moments = cells.select(*[text.to_timestamp(F.col(f"v{i}"), days[i]).alias(f"t{i}") for i, _ in fields])
+        return moments.agg(*[a for i, _ in fields for a in (
+            F.count(f"t{i}").alias(f"ts{i}"), (F.min(f"t{i}") == F.max(f"t{i}")).alias(f"ots{i}"))])
+    return aggregate
+
+
+def _findings(df: DataFrame) -> dict:
+    """What the fixes are decided by. Dates are parsed only in columns whose cells look like
+    dates to at least nine tenths."""
+    fields = list(enumerate(df.schema))
+    s = _side_by_side(df, fields, _rates)
+    texts = [(i, f) for i, f in fields if isinstance(f.dataType, T.StringType)]
+    likely = [(i, f) for i, f in texts if s[f"n{i}"] and min(s[f"dig{i}"], s[f"like{i}"]) >= 0.9 * s[f"n{i}"]]
+    s.update({f"ts{i}": 0 for i, _ in texts})
+    if likely:
+        s.update(_side_by_side(df, likely, _times({i: bool(s[f"day{i}"]) for i, _ in likely})))
+    return s
+
+
 def few_labels(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns that may have at most CASE_MAX_LABELS values, by a sketch of fixed size."""
     if not columns:
@@ -108,7 +128,7 @@ def case_map(labels: DataFrame) -> DataFrame:
 def plan_changes(df: DataFrame):
     """Decide the fixes for a table. Returns (cleaned columns, changes so far)."""
     df, renamed = trim_headers(nan_to_null(df))
-    s = _first_pass(df)
+    s = _findings(df)
     rows, changes = s["rows"], []
     if renamed:
         changes.append(("trim_headers", renamed, len(renamed)))
@@ -191,8 +211,10 @@ def change_log(spark: SparkSession, changes: list[tuple]) -> DataFrame:
 
 
 def audit(df: DataFrame) -> DataFrame:
-    """What cleaning would change; no rows when the table is clean."""
-    return clean(df)[1]
+    """What cleaning would change; no rows when the table is clean. Nothing is written."""
+    fixed, changes, rows = plan_changes(df)
+    kept = fixed.dropDuplicates().count()
+    return change_log(df.sparkSession, changes + ([("drop_dup_rows", [], rows - kept)] if rows > kept else []))
 
 
 def clean_into(df: DataFrame, target: str):
