@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import csv as pycsv
+import io
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +26,7 @@ FALSE_CELLS = ["False", "FALSE", "false"]
 # end of fixed values
 
 BAD_RECORD = "_bad_record"
-_INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?\d{1,19}\s*$"
 _DECIMAL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Infinity)\s*$"
 
 
@@ -45,25 +49,128 @@ def unique_header(cells: list[str]) -> list[str]:
 
 
 def read_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Column names per file, from a one-row read of each (files are few, bounded by
-    the upload limit; their data stays where it is)."""
+    """Column names per file, from its first lines: one, or as many as the quotes of the header
+    span (files are few, bounded by the upload limit; their data stays where it is)."""
     def one(path):
-        line = spark.read.text(path).first()
-        text = (line[0] if line else "").lstrip("\ufeff")
-        return path, unique_header(next(pycsv.reader([text]), []))
+        lines, wanted = [], 1
+        while True:
+            lines = [r[0] for r in spark.read.text(path).head(wanted)]
+            ends = np.cumsum([line.count('"') for line in lines]) % 2
+            whole = next((k for k, inside in enumerate(ends) if not inside), None)
+            if whole is not None or len(lines) < wanted:
+                break
+            wanted *= 4
+        text = "\n".join(lines[:len(lines) if whole is None else whole + 1]).lstrip("\ufeff")
+        return path, unique_header(next(pycsv.reader(io.StringIO(text, newline="")), []))
 
     with ThreadPoolExecutor(8) as pool:
         return dict(pool.map(one, paths))
 
 
-def files_with_quoted_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files in which a quoted cell spans lines: some line holds an odd number of
-    quotes. Only those must be read unsplit."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
-    odd = lines.where("quotes % 2 = 1").select("path").distinct().collect()
-    return {r["path"] for r in odd}
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(value, path, split) of all lines; ``split`` is where the part of the file begins that a
+    task reads. A task passes on the lines of a part in their order."""
+    return spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+
+
+def quoted_splits(lines: DataFrame) -> dict[str, list[int]]:
+    """The files in which a quoted cell spans lines (some line holds an odd number of quotes), and
+    their parts that begin inside quotes. One part of a file gives one row, and the number of
+    quotes before it tells; only the beginnings found reach the driver, 8 bytes for a whole
+    part of ``spark.sql.files.maxPartitionBytes``."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    parts = lines.groupBy("path", "split").agg(F.sum(quotes).alias("quotes"), F.max(quotes % 2).alias("odd"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
+    found = parts.select("path", "odd", F.when(inside, F.col("split")).alias("split")).groupBy("path").agg(
+        F.max("odd").alias("odd"), F.collect_list("split").alias("splits")).where("odd = 1")
+    return {r.path: r.splits for r in found.toLocalIterator()}
+
+
+class _Assembly:
+    """The records of one part of a file, from its lines in order. What begins before the part
+    or does not end in it is passed on as a fragment."""
+
+    def __init__(self, path: str, split: int, inside: bool) -> None:
+        self.path, self.split = path, split
+        self.inside, self.open = inside, []
+        self.kind = "tail" if inside else "head"
+        self.header = split == 0
+        self.rows: list[tuple] = []
+
+    def add(self, lines: pa.Array) -> None:
+        odd = np.asarray(pc.count_substring(lines, '"')) % 2
+        after = (np.cumsum(odd) + self.inside) % 2 == 1
+        before = np.concatenate([[self.inside], after[:-1]])
+        alone = ~(before | after)
+        if self.header and len(lines) and alone[0]:
+            alone[0], self.header = False, False  # the header is no record
+        for k in np.flatnonzero(before | after).tolist():
+            self.open.append(lines[k].as_py())
+            if not after[k]:
+                self._close("whole" if self.kind == "head" else "tail")
+        self.rows += [("whole", x) for x in lines.filter(pa.array(alone)).to_pylist() if x.strip()]
+        if len(lines):
+            self.inside = bool(after[-1])
+
+    def _close(self, kind: str) -> None:
+        if not self.header:
+            self.rows.append((kind, "\n".join(self.open)))
+        elif kind != "whole":
+            self.rows.append(("header", ""))
+        self.open, self.kind, self.header = [], "head", False
+
+    def end(self) -> None:
+        if self.open:
+            self._close("head" if self.kind == "head" else "middle")
+
+
+def quoted_records(lines: DataFrame, starts: dict[str, list[int]]) -> DataFrame:
+    """(path, record) of the data records of files with quoted line breaks, each with its line
+    breaks. Every task reads its own part of a file, from the state of the quotes at its
+    beginning; only the two fragments at the edges of a part are shuffled."""
+    sent = lines.sparkSession.sparkContext.broadcast({path: frozenset(splits) for path, splits in starts.items()})
+
+    def run(batches):
+        now = None
+
+        def passed(rows, path, split):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([path] * len(rows), pa.string()), pa.array([split] * len(rows), pa.int64()),
+                 pa.array([k for k, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())],
+                names=["path", "split", "kind", "record"])
+
+        for batch in batches:
+            path, split, value = (batch.column(c) for c in ("path", "split", "value"))
+            at, names = np.asarray(split), path.dictionary_encode()
+            code = np.asarray(names.indices)
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(code) != 0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                if low == high:
+                    continue
+                key = names.dictionary[int(code[low])].as_py(), int(at[low])
+                if now is None or (now.path, now.split) != key:
+                    if now is not None:
+                        now.end()
+                        yield passed(now.rows, now.path, now.split)
+                    now = _Assembly(*key, key[1] in sent.value.get(key[0], ()))
+                now.add(value.slice(low, high - low))
+                yield passed(now.rows, now.path, now.split)
+                now.rows = []
+        if now is not None:
+            now.end()
+            yield passed(now.rows, now.path, now.split)
+
+    found = lines.mapInArrow(run, "path string, split long, kind string, record string")
+    # A record that several parts hold has one head, then pieces of later parts up to its tail.
+    place = F.when(F.col("kind").isin("tail", "middle"), 0).otherwise(1)
+    upto = Window.partitionBy("path").orderBy("split", place)
+    pieces = found.where("kind <> 'whole'").withColumn("number", F.count(F.when(F.col("kind").isin("head", "header"), 1)).over(upto))
+    joined = pieces.groupBy("path", "number").agg(
+        F.array_sort(F.collect_list(F.struct("split", place.alias("place"), "kind", "record"))).alias("x")).where(F.col("x")[0]["kind"] != "header")
+    return found.where("kind = 'whole'").select("path", "record").unionByName(
+        joined.select("path", F.array_join(F.transform("x", lambda p: p["record"]), "\n").alias("record")))
 
 
 def _bare(path: str) -> str:
@@ -75,19 +182,25 @@ def read_csv(spark: SparkSession, paths: list[str], headers: dict[str, list[str]
     """All cells as text, missing-value tokens as null, union of the files' columns.
     Rows that do not fit the header are kept, with the raw line in ``_bad_record``."""
     headers = headers or read_headers(spark, paths)
-    broken = {_bare(p) for p in files_with_quoted_breaks(spark, paths)}
+    lines = _lines(spark, paths)
+    starts = {_bare(p): (p, splits) for p, splits in quoted_splits(lines).items()}
     groups: dict[tuple, list[str]] = {}
     for p in paths:
-        groups.setdefault((tuple(headers[p]), _bare(p) in broken), []).append(p)
+        groups.setdefault((tuple(headers[p]), _bare(p) in starts), []).append(p)
     parts = []
-    for (header, multiline), members in groups.items():
+    for (header, quoted), members in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_RECORD]])
-        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD)
-              .option("escape", '"').option("multiLine", multiline).csv(members))
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD, "escape": '"'}
+        if quoted:
+            own = dict(starts[_bare(p)] for p in members)
+            rows = quoted_records(_lines(spark, members), own)
+            df = rows.select(F.from_csv("record", schema.toDDL(), options).alias("r"), F.col("path").alias("_path")).select("r.*", "_path")
+            source = F.col("_path")
+        else:
+            df = spark.read.schema(schema).options(header=True, enforceSchema=True, **options).csv(members)
+            source = F.col("_metadata.file_path")
         cells = [F.when(~col(c).isin(MISSING_CELLS), col(c)).alias(c) for c in header]
-        extra = [F.col("_metadata.file_path").alias("_file")] if with_file else []
-        parts.append(df.select(*cells, BAD_RECORD, *extra))
+        parts.append(df.select(*cells, BAD_RECORD, *([source.alias("_file")] if with_file else [])))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     tail = [BAD_RECORD] + (["_file"] if with_file else [])
     return out.select(*[col(c) for c in out.columns if c not in tail], *tail)
@@ -102,7 +215,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(texts):
         v = col(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(_INTEGER)).alias(f"i{i}"),
+        whole = v.rlike(_INTEGER) & F.trim(v).try_cast("bigint").isNotNull()
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(whole).alias(f"i{i}"),
                  F.count_if(v.rlike(_DECIMAL)).alias(f"d{i}"), F.count_if(v.isin(TRUE_CELLS + FALSE_CELLS)).alias(f"b{i}")]
     s = df.agg(*aggs).first()
     casts = {}

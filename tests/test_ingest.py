@@ -197,3 +197,59 @@ def test_user_function(spark):
     part = lambda f: pd.DataFrame({"team": [f["team"].iloc[0]], "s": [f["pts"].sum()], "n": [len(f)]})
     merged = udf.apply_pandas_merged(df.repartition(3), part, "team string, s long, n long", ["team"], [(F.sum("s") / F.sum("n")).alias("m")])
     assert {r["team"]: r["m"] for r in merged.collect()} == {"A": 15.0, "B": 5.0}
+
+
+def quoted_file(path, rows, header=("id", 'said "so"\nand so', "note"), end="\n", quote=1):
+    import csv as plain
+    with open(path, "w", newline="") as out:
+        writer = plain.writer(out, lineterminator=end, quoting=quote)
+        writer.writerow(header)
+        writer.writerows(rows)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quoted_line_breaks_are_read_in_parts(spark, tmp_path, seed, end):
+    """A file with line breaks in its header and cells is cut anywhere and read by many tasks."""
+    import random
+    rng = random.Random(seed)
+    cell = lambda: "".join(rng.choice(["a", "b\n", '"', ",", " ", "é", "\n\n", "x" * rng.randrange(60)]) for _ in range(rng.randrange(1, 12)))
+    rows = [(f"{k}", cell() + ".", "n" + cell() if k % 3 else "plain") for k in range(400)]
+    rows[200] = ("200", "line\n" * 900 + ".", "over several parts")
+    quoted_file(tmp_path / "q.csv", rows, end=end)
+    quoted_file(tmp_path / "r.csv", [(f"{k + 1000}", "one line", "z") for k in range(50)], end=end)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        paths = [str(tmp_path / "q.csv"), str(tmp_path / "r.csv")]
+        heads = csv.read_headers(spark, paths)
+        assert list(heads.values()) == [["id", 'said "so"\nand so', "note"]] * 2
+        out = csv.read_csv(spark, paths, with_file=True)
+        lines = csv._lines(spark, paths)
+        assert lines.rdd.getNumPartitions() > 10 and len(csv.quoted_splits(lines)) == 2
+        got = {r[0]: tuple(r) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {r[0]: r for r in [*rows, *[(f"{k + 1000}", "one line", "z") for k in range(50)]]}
+    assert set(got) == set(want)
+    for key, row in want.items():
+        assert got[key][:3] == row and got[key][3] is None and got[key][4].endswith(".csv")
+
+
+def test_parts_agree_with_unsplit_reading(spark, tmp_path):
+    """Rows that do not fit and odd cells come out as from Spark's own multi-line reader."""
+    text = 'a,b\n1,"x\ny"\n2\n3,4,5\n\n"6","q ""r"""\n7,\n"8\n",""\n 9 , z \nNA,"last\none"'
+    (tmp_path / "odd.csv").write_text(text)
+    got = csv.read_csv(spark, [str(tmp_path / "odd.csv")]).collect()
+    plain = (spark.read.schema("a string, b string, _bad_record string").option("header", True).option("enforceSchema", True).option("escape", '"')
+             .option("columnNameOfCorruptRecord", "_bad_record").option("multiLine", True).csv(str(tmp_path / "odd.csv")).collect())
+    missing = lambda x: None if x in csv.MISSING_CELLS else x
+    assert sorted((r[0], r[1], r[2] is not None) for r in got if r[0]) == sorted((missing(r[0]), missing(r[1]), r[2] is not None) for r in plain if missing(r[0]))
+    assert len(got) == len(plain)
+
+
+def test_whole_numbers_of_nineteen_digits_stay_whole(spark):
+    df = spark.createDataFrame([("9223372036854775807", "9223372036854775808"), ("-9223372036854775808", "1")], "a string, b string")
+    out = csv.infer_types(df)
+    assert dict(out.dtypes) == {"a": "bigint", "b": "double"}
+    assert [r.a for r in out.orderBy("a").collect()] == [-9223372036854775808, 9223372036854775807]
