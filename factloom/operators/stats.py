@@ -3,7 +3,6 @@ and the three correlation methods."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
@@ -274,47 +273,91 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return union_all(parts)
 
 
-def _contingency(df: DataFrame, a: str, b: str) -> tuple[DataFrame, int, int]:
-    """Distinct complete pairs with their counts, stored once because ranks read them
-    several times. Returns (cells, number of cells, number of rows)."""
-    cells = cut_lineage(df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
-            .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "pairs")
-    size, n = cells.agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
-    return cells, size, n
-
-
-def spearman_pair(df: DataFrame, a: str, b: str,
-                  rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
-    """Rank correlation over the rows where both sides are present. Equal pairs are
-    counted first; ranks come from distinct values, never from a one-task sort."""
-    cells, size, n = _contingency(df, a, b)
+def _contingencies(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, int]:
+    """(pair, a, b, w): the distinct complete values of all pairs of columns with their counts, from
+    one scan, and the number of these cells. Stored once, as ranks read them several times."""
+    shown = F.array(*[F.struct(F.lit(n).alias("pair"), col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
+                      for n, (a, b) in enumerate(pairs)])
+    cells = cut_lineage(df.select(F.inline(shown)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+                        .groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("w")), "pairs")
+    return cells, cells.count()
+
+
+def _mid_ranks(cells: DataFrame, key: str, value: str, weight: Column, rows_per_range: int, at_most: int) -> DataFrame:
+    """(key, value, rank, dense) of every distinct value of every ``key``: ``rank`` is the mean rank of its
+    rows, ``dense`` counts the values up to it. No key is ranked in one task."""
+    counts = cells.groupBy(key, value).agg(F.sum(weight).cast("bigint").alias("_n"))
+    return ordered.running(counts, [key], [value], [
+        ordered.Running("_upto", "sum", F.col("_n")), ordered.Running("dense", "sum", F.lit(1).cast("bigint"))], rows_per_range, at_most).select(
+        key, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"), "dense")
+
+
+def ranked_columns(df: DataFrame, columns: list[str], rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
+    """``columns`` with each value replaced by its mean rank. All columns are ranked together, as one
+    table of (column, value) cells; two shuffles of the cells do for any number of columns."""
+    staged = cut_lineage(df.select(F.monotonically_increasing_id().alias("_id"), *[
+        col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "columns")
+    cells = staged.select("_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(columns))])))
+    ranks = cut_lineage(_mid_ranks(cells, "c", "v", F.lit(1), rows_per_range, None), "ranks")
+    placed = cells.join(ranks, ["c", "v"]).groupBy("_id").agg(*[
+        F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
+    return placed.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def spearman_cells(df: DataFrame, pairs: list[tuple[str, str]], rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
+    """(pair, r): rank correlations over the rows where both sides are present, all pairs at
+    once. Equal pairs of values are counted first, and ranks come from distinct values."""
+    cells, size = _contingencies(df, pairs)
     for side in ("a", "b"):
-        ranks = ordered.value_ranks(cells.select(side, "w"), side, F.col("w"), rows_per_range, size).select(
-            F.col("value").alias(side), (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{side}"))
-        cells = cells.join(ranks, side)
+        ranks = _mid_ranks(cells, "pair", side, F.col("w"), rows_per_range, size)
+        cells = cells.join(ranks.select("pair", side, F.col("rank").alias(f"r{side}")), ["pair", side])
     # The mean rank is known, (n+1)/2, so the moments are centred up front.
-    mid = F.lit((n + 1) / 2.0)
-    x, y, w = F.col("ra") - mid, F.col("rb") - mid, F.col("w")
-    return cells.agg(F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y)))
-                     .alias("r"))
+    mid = cells.groupBy("pair").agg(((F.sum("w") + 1) / 2).alias("mid"))
+    x, y, w = F.col("ra") - F.col("mid"), F.col("rb") - F.col("mid"), F.col("w")
+    return cells.join(mid, "pair").groupBy("pair").agg(
+        F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))).alias("r"))
+
+
+def spearman_pairs(df: DataFrame, columns: list[str], rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
+    """(a, b, r) for all pairs of columns. Columns without gaps have one rank for a row, whatever
+    they are paired with: those are stored once and correlated in shared passes. The
+    other pairs are ranked over their own complete rows, also together."""
+    seen = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in columns]).first()
+    full = [c for c, n in zip(columns, seen[1:]) if n == seen[0]]
+    both = lambda a, b: len(full) > 1 and a in full and b in full
+    gaps = [p for p in combinations(columns, 2) if not both(*p)]
+    parts = []
+    if len(full) > 1:
+        ranked = cut_lineage(ranked_columns(df, full, rows_per_range), "ranked")
+        parts.append(pearson_pairs(ranked, full).select("a", "b", "r"))
+    if gaps:
+        parts.append(_named_pairs(spearman_cells(df, gaps, rows_per_range), gaps))
+    return union_all(parts)
+
 
+def _named_pairs(found: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(a, b, r) of (pair, r); pairs without a complete row have none."""
+    names = found.sparkSession.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return names.join(found, "pair", "left").select("a", "b", "r")
 
-def kendall_pair(df: DataFrame, a: str, b: str,
-                 rows_per_range: int = ordered.ROWS_PER_RANGE, digit_bits: int = 3) -> DataFrame:
-    """Kendall tau-b without comparing pairs of rows.
+
+def kendall_cells(df: DataFrame, pairs: list[tuple[str, str]], rows_per_range: int = ordered.ROWS_PER_RANGE,
+                  digit_bits: int = 3) -> DataFrame:
+    """(pair, r): Kendall's tau-b of all pairs at once, without comparing pairs of rows.
 
     Values of ``a`` get dense ranks, read as digits in base 8. Two values first
     differ at exactly one digit, so the concordant pairs are the sum over digit
     positions of: within rows sharing the higher digits, in ``b`` order, how much
     weight came earlier with a smaller digit. That is a running total per digit.
     """
-    cells, size, n = _contingency(df, a, b)
-    ranks = ordered.value_ranks(cells.select("a", "w"), "a", F.col("w"), rows_per_range, size)
-    cells = cells.join(ranks.select(F.col("value").alias("a"), (F.col("dense") - 1).alias("code")), "a")
-    cells = cells.select("b", "w", "code")
+    cells, size = _contingencies(df, pairs)
+    ranks = _mid_ranks(cells, "pair", "a", F.col("w"), rows_per_range, size)
+    cells = cut_lineage(cells.join(ranks.select("pair", "a", (F.col("dense") - 1).alias("code")), ["pair", "a"]).select(
+        "pair", "b", "w", "code"), "codes")
     base = 1 << digit_bits
     levels = max(1, -(-(cells.agg(F.max("code")).first()[0] or 0).bit_length() // digit_bits))
+    bounds = ordered.range_bounds(cells, "b", rows_per_range, size)
     parts = []
     for level in range(levels):
         shift = level * digit_bits
@@ -322,11 +365,11 @@ def kendall_pair(df: DataFrame, a: str, b: str,
         digit = F.shiftright("code", shift).bitwiseAND(base - 1)
         # Peers in b must not count, so sum per (group, b, digit) and use totals
         # of strictly smaller b.
-        per = (cells.groupBy(group.alias("g"), "b").agg(
-            *[F.sum(F.when(digit == d, F.col("w")).otherwise(0)).alias(f"w{d}") for d in range(base)]))
-        run = ordered.running(per, ["g"], ["b"], [
+        per = cells.groupBy("pair", group.alias("g"), "b").agg(
+            *[F.sum(F.when(digit == d, F.col("w")).otherwise(0)).alias(f"w{d}") for d in range(base)])
+        run = ordered.running(per, ["pair", "g"], ["b"], [
             ordered.Running(f"s{d}", "sum", F.col(f"w{d}"), inclusive=False) for d in range(base)],
-            rows_per_range, size)
+            rows_per_range, size, bounds)
         agree, differ = F.lit(0.0), F.lit(0.0)
         for d in range(base):
             less = [F.coalesce(F.col(f"s{e}"), F.lit(0)) for e in range(d)]
@@ -336,14 +379,22 @@ def kendall_pair(df: DataFrame, a: str, b: str,
                 agree = agree + here * reduce(lambda p, s: p + s, less).cast("double")
             if more:
                 differ = differ + here * reduce(lambda p, s: p + s, more).cast("double")
-        parts.append(run.agg(F.sum(agree - differ).alias("s")))
-    score = reduce(DataFrame.union, parts).agg(F.sum("s").alias("s"))
-    pairs = float(n) * (n - 1) / 2
+        parts.append(run.groupBy("pair").agg(F.sum(agree - differ).alias("s")))
+    score = union_all(parts).groupBy("pair").agg(F.sum("s").alias("s"))
+
     def ties(side):
         t = F.sum("w").cast("double")
-        return cells.groupBy(side).agg((t * (t - 1) / 2).alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("t"))
-    ta, tb = ties("code").scalar(), ties("b").scalar()
-    return score.select(F.try_divide(F.col("s"), F.sqrt(F.lit(pairs) - ta) * F.sqrt(F.lit(pairs) - tb)).alias("r"))
+        return cells.groupBy("pair", side).agg((t * (t - 1) / 2).alias("t")).groupBy("pair").agg(F.sum("t").alias(f"t_{side}"))
+
+    n = F.sum("w").cast("double")
+    joined = score.join(cells.groupBy("pair").agg((n * (n - 1) / 2).alias("all")), "pair").join(ties("code"), "pair").join(ties("b"), "pair")
+    return joined.select("pair", F.try_divide(F.col("s"), F.sqrt(F.col("all") - F.col("t_code")) * F.sqrt(F.col("all") - F.col("t_b"))).alias("r"))
+
+
+def kendall_pairs(df: DataFrame, columns: list[str], rows_per_range: int = ordered.ROWS_PER_RANGE, digit_bits: int = 3) -> DataFrame:
+    """(a, b, r) for all pairs of columns."""
+    pairs = list(combinations(columns, 2))
+    return _named_pairs(kendall_cells(df, pairs, rows_per_range, digit_bits), pairs)
 
 
 def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pearson",
@@ -362,11 +413,7 @@ def correlate(df: DataFrame, columns: list[str] | None = None, method: str = "pe
     if method == "pearson":
         half = pearson_pairs(df, numeric).select("a", "b", "r")
     elif method in ("spearman", "kendall"):
-        one = spearman_pair if method == "spearman" else kendall_pair
-        # Pairs are independent; each stores its distinct cells while others are ranked.
-        with ThreadPoolExecutor(4) as pool:
-            half = union_all(list(pool.map(
-                lambda p: one(df, *p).select(F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), "r"), combinations(numeric, 2))))
+        half = (spearman_pairs if method == "spearman" else kendall_pairs)(df, numeric)
     else:
         raise QueryError(f"'{method}' is no way to correlate.")
     diagonal = df.agg(*[F.when(F.min(col(c)) < F.max(col(c)), F.lit(1.0)).alias(f"d{i}")

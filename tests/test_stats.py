@@ -53,13 +53,52 @@ def test_pearson_matches_pandas_with_and_without_gaps(numbers):
         assert (r["r"] is None and math.isnan(w)) or r["r"] == pytest.approx(w, abs=1e-12)
 
 
-def test_spearman_with_gaps_and_ties(numbers):
+@pytest.mark.parametrize("size", [10_000, 30])
+def test_spearman_with_gaps_and_ties(numbers, size):
     pdf = numbers.toPandas()
-    for a, b in (("a", "c"), ("b", "c"), ("a", "b")):
+    columns = ["a", "b", "c", "k"]
+    got = {(r.a, r.b): r.r for r in stats.spearman_pairs(numbers, columns, size).collect()}
+    alone = {(r.pair): r.r for r in stats.spearman_cells(numbers, list(itertools.combinations(columns, 2)), size).collect()}
+    assert list(got) and len(got) == 6
+    for n, (a, b) in enumerate(itertools.combinations(columns, 2)):
         d = pdf[[a, b]].dropna()
         want = d[a].rank().corr(d[b].rank())
-        for size in (10_000, 30):
-            assert stats.spearman_pair(numbers, a, b, size).first()["r"] == pytest.approx(want, abs=1e-12)
+        for r in (got[a, b], alone.get(n)):
+            assert r is None and math.isnan(want) or r == pytest.approx(want, abs=1e-12)
+
+
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_jobs_do_not_grow_with_the_pairs(spark, method):
+    """One value in a third of the rows, and twenty columns in as many jobs as four."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 50, (300, 20)).astype(float)
+    values[:100] = 7.0
+    df = spark.createDataFrame(pd.DataFrame(values, columns=[f"c{i}" for i in range(20)])).repartition(4)
+    few = jobs_of(spark, f"{method}-4", lambda: stats.correlate(df, [f"c{i}" for i in range(4)], method).collect())
+    found = []
+    many = jobs_of(spark, f"{method}-20", lambda: found.extend(stats.correlate(df, method=method, digits=9).collect()))
+    assert many <= few + 4
+    frame = pd.DataFrame(values, columns=df.columns)
+    assert len(found) == 400
+    for r in found if method == "spearman" else [r for r in found if r.a == "c3" and r.b in ("c3", "c9", "c19")]:
+        want = frame[r.a].rank().corr(frame[r.b].rank()) if method == "spearman" else brute_tau(frame[r.a], frame[r.b])
+        assert r.r == pytest.approx(want, abs=1e-8)
+
+
+def test_rank_correlation_without_complete_rows(spark):
+    df = spark.createDataFrame([(1.0, None, 1.0), (None, 2.0, 5.0), (float("nan"), 3.0, 2.0)], "x double, y double, z double")
+    for method in ("spearman", "kendall"):
+        got = {(r.a, r.b): r.r for r in stats.correlate(df, method=method).collect()}
+        assert got["x", "y"] is None and got["y", "x"] is None and got["y", "z"] == -1.0 and len(got) == 9
 
 
 def brute_tau(xs, ys):
@@ -76,7 +115,7 @@ def test_kendall_brute_force(numbers):
     d = numbers.toPandas()[["b", "c"]].dropna()
     want = brute_tau(list(d["b"]), list(d["c"]))
     for size, bits in ((10_000, 3), (25, 2)):
-        got = stats.kendall_pair(numbers, "b", "c", size, bits).first()["r"]
+        got = stats.kendall_pairs(numbers, ["b", "c"], size, bits).first()["r"]
         assert got == pytest.approx(want, abs=1e-12)
 
 
