@@ -657,6 +657,15 @@ def chart_agg(t):
         for n, a in wanted.items()])
 
 
+@query("chart_median", """
+select l_returnflag, median(l_extendedprice) as l_extendedprice, median(l_quantity) as l_quantity,
+  median(nullif(l_discount, 0.05)) as discount from lineitem group by 1""")
+def chart_median(t):
+    """Medians of groups of which one holds half of all rows: found by brackets and shared counts."""
+    df = t.lineitem.select("l_returnflag", "l_extendedprice", "l_quantity", F.nullif("l_discount", F.lit(0.05)).alias("discount"))
+    return stats.grouped_medians(df, ["l_returnflag"], ["l_extendedprice", "l_quantity", "discount"], small=5_000)
+
+
 _COUNTS = "(select o_orderpriority, o_orderstatus, count(*) as n from orders group by 1, 2)"
 
 

@@ -161,14 +161,29 @@ with ship as (select l_orderkey, l_linenumber, l_shipdate from lineitem),
 select promo_id, count(*) as shipped from promo join ship on l_shipdate >= starts and l_shipdate < ends
 group by promo_id""")
 def sql_range_join(t):
-    """Lines shipped inside two-day windows; the windows meet the points on day
-    buckets, so the join has an equi key."""
+    """Lines shipped inside two-day windows, counted by position: no line meets a window."""
     promo = t.orders.where("o_totalprice > 340000").select(
         F.col("o_orderkey").alias("promo_id"), F.col("o_orderdate").alias("starts"),
         (F.col("o_orderdate") + F.expr("interval 2 days")).alias("ends"))
-    ship = t.lineitem.select("l_shipdate")
-    return (joins.range_join(ship, promo, "l_shipdate", "starts", "ends", bucket_seconds=86400)
-            .groupBy("promo_id").agg(F.count("*").alias("shipped")))
+    return joins.range_counts(t.lineitem.select("l_shipdate"), promo, "l_shipdate", "starts", "ends", "shipped").where("shipped > 0").select("promo_id", "shipped")
+
+
+_LONG_SPANS = """(select n_nationkey as span_id, timestamp '1992-01-01' + to_days((n_nationkey * 60)::int) as starts,
+  timestamp '1992-01-01' + to_days((n_nationkey * 60 + (n_nationkey % 5) * 400)::int) + to_hours(6) as ends from nation)"""
+
+
+@query("sql_range_join_pairs", f"""
+select span_id, count(*) as met, min(e.o_orderkey) as lowest, cast(sum(cast(e.o_totalprice as decimal(18,2))) as double) as total
+from {_LONG_SPANS} s join orders e on e.o_orderdate >= s.starts and e.o_orderdate < s.ends group by span_id""")
+def sql_range_join_pairs(t):
+    """Orders inside spans of six hours to four years: each span meets them on its aligned blocks of days."""
+    key, start = F.col("n_nationkey"), F.lit("1992-01-01").cast("timestamp")
+    spans = t.nation.select(
+        key.alias("span_id"), (start + F.make_dt_interval(key.cast("int") * 60)).alias("starts"),
+        (start + F.make_dt_interval((key * 60 + key % 5 * 400).cast("int"), F.lit(6))).alias("ends"))
+    points = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    return joins.range_join(points, spans, "o_orderdate", "starts", "ends", bucket_seconds=86400).groupBy("span_id").agg(
+        F.count("*").alias("met"), F.min("o_orderkey").alias("lowest"), F.sum(dec("o_totalprice")).cast("double").alias("total"))
 
 
 @query("asof_join", """

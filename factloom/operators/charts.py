@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import CHART_TYPES
 from ..model import HISTOGRAM_BINS, SCATTER_SAMPLE, QueryError
 from .sqlguard import query_tables
-from .stats import col, is_numeric, nan_to_null
+from .stats import col, grouped_medians, is_numeric, nan_to_null
 
 # Aggregates a chart may ask for, with their synonyms; and how each
 # chart type is drawn (container, mark, stacked).
@@ -87,6 +87,8 @@ def aggregate_expr(name: str, c: Column) -> Column:
 def chart_agg(df: DataFrame, keys: list[str], measures: list[str], aggregate: str) -> DataFrame:
     """Measures per x (and series) value; missing keys form a group of their own."""
     name = normal_aggregate(aggregate)
+    if name == "median":
+        return grouped_medians(df, keys, measures)
     return df.groupBy(*[col(k) for k in keys]).agg(*[aggregate_expr(name, col(m)).alias(m) for m in measures])
 
 

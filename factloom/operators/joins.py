@@ -17,15 +17,63 @@ from .stats import col
 log = logging.getLogger(__name__)
 
 
+# A span of up to 2^40 buckets has pieces on at most this many levels.
+SPAN_LEVELS = 41
+
+
+def dyadic_pieces(first: str, last: str) -> Column:
+    """array<struct<level, piece>>: the fewest aligned blocks that cover the buckets ``first`` to
+    ``last``, block ``piece`` of level l having 2^l buckets. A level has two of them at most: one at
+    the lower end where that is odd there, and one at the upper end."""
+    def ends(level: Column) -> Column:
+        low = -F.call_function("shiftright", -F.col(first), level)
+        high = F.call_function("shiftright", F.col(last) + 1, level)
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        piece = lambda test, c: F.when(test & (low < high), F.struct(level.alias("level"), c.cast("bigint").alias("piece")))
+        return F.array(piece(odd(low), low), piece(odd(high), high - 1))
+
+    levels = F.sequence(F.lit(0), F.lit(SPAN_LEVELS - 1))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(levels, ends))))
+
+
 def range_join(points: DataFrame, spans: DataFrame, at: str, starts: str, ends: str,
                bucket_seconds: int) -> DataFrame:
-    """Rows with ``starts <= at < ends``. Each span is listed once per time bucket it
-    touches, which gives the join an equi key; a busy bucket is split by AQE."""
+    """Rows with ``starts <= at < ends``. A span of n time buckets is listed once for each of its at
+    most 2 log n aligned blocks, and a point once for each block size in use, which gives the
+    join an equi key whatever the lengths are; a busy block is split by AQE. Spans without an end
+    or that end before they start hold nothing."""
     size = F.lit(bucket_seconds)
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c)) / size)
-    listed = spans.withColumn("_bucket", F.explode(F.sequence(bucket(starts), bucket(ends))))
-    joined = points.withColumn("_bucket", bucket(at)).join(listed, "_bucket")
-    return joined.where((F.col(at) >= F.col(starts)) & (F.col(at) < F.col(ends))).drop("_bucket")
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c)) / size).cast("bigint")
+    named = spans.where(F.col(starts) < F.col(ends)).withColumns({"_first": bucket(starts), "_last": bucket(ends)})
+    listed = named.select(*spans.columns, F.inline(dyadic_pieces("_first", "_last")).alias("_level", "_piece"))
+    listed = cut_lineage(listed, "spans")
+    # At most SPAN_LEVELS numbers.
+    levels = [r[0] for r in listed.select("_level").distinct().collect()]
+    if not levels:
+        return points.join(spans.limit(0), F.lit(False))
+    each = points.withColumn("_at", bucket(at)).select(*points.columns, "_at", F.explode(F.array(*[F.lit(n) for n in levels])).alias("_level"))
+    each = each.withColumn("_piece", F.expr("shiftright(_at, _level)")).drop("_at")
+    joined = each.join(listed, ["_level", "_piece"]).drop("_level", "_piece")
+    return joined.where((F.col(at) >= F.col(starts)) & (F.col(at) < F.col(ends)))
+
+
+def range_counts(points: DataFrame, spans: DataFrame, at: str, starts: str, ends: str, name: str = "n",
+                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``spans`` with the number of points where ``starts <= at < ends``: the points before its end
+    less those before its start, from one running count. No point meets a span, so neither long
+    spans nor crowded moments matter."""
+    # Null spans count nothing; the row number tells equal spans apart.
+    numbered_spans = cut_lineage(spans.withColumn("_span", F.monotonically_increasing_id()), "spans")
+    crowd = points.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("timestamp").alias("_at")).agg(F.count(F.lit(1)).alias("_w"))
+    edges = numbered_spans.where(F.col(starts) < F.col(ends)).select("_span", F.inline(F.array(
+        F.struct(F.col(starts).cast("timestamp").alias("_at"), F.lit(-1).alias("_sign")),
+        F.struct(F.col(ends).cast("timestamp").alias("_at"), F.lit(1).alias("_sign")))))
+    lined = crowd.select("_at", "_w", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_span"), F.lit(None).cast("int").alias("_sign")).unionByName(
+        edges.select("_at", F.lit(0).cast("bigint").alias("_w"), F.lit(0).alias("_kind"), "_span", "_sign"))
+    # At one moment edges come first: a point at an end is outside, one at a start inside.
+    done = running(lined, [], ["_at", "_kind", "_span", "_sign"], [Running("_before", "sum", F.col("_w"))], rows_per_range)
+    counted = done.where("_kind = 0").groupBy("_span").agg(F.sum(F.col("_sign") * F.col("_before")).alias(name))
+    return numbered_spans.join(counted, "_span", "left").select(*spans.columns, F.coalesce(name, F.lit(0)).cast("bigint").alias(name))
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str,

@@ -18,6 +18,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 
@@ -87,6 +89,52 @@ def with_range(df: DataFrame, column: str, bounds: list[float], name: str = "_ra
     return cut.transform(keyed).drop("_range_key").withColumn(name, F.col(name).cast("int"))
 
 
+def text_key(c: Column) -> Column:
+    """A DOUBLE that never decreases when the text increases: its first six bytes as a number."""
+    return F.conv(F.hex(F.rpad(F.substring(c.cast("binary"), 1, 6), 6, F.lit(b"\x00"))), 16, 10).cast("double")
+
+
+def _further_key(df: DataFrame, column: str) -> Column:
+    return text_key(F.col(column)) if df.schema[column].dataType.typeName() == "string" else numeric_key(df, column)
+
+
+def with_finer_ranges(ranged: DataFrame, order: list[str], bounds: list[float], rows_per_range: int) -> DataFrame:
+    """Ranges that hold one value of ``order[0]`` only, cut by the following columns of the order until
+    they are of the wanted size or the columns end. Ranges then are numbers of any size that
+    still follow the order; what they mean is known within this frame only."""
+    alone = [k + 1 for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if b == math.nextafter(a, math.inf)]
+    ranged = ranged.withColumn("_range", F.col("_range").cast("double"))
+    if not alone:
+        return ranged
+    crowded = F.col("_range").isin([float(k) for k in alone])
+    width = 1.0
+    # 12 bits for the range and 14 for the steps within: two more columns are exact in a DOUBLE.
+    for column in order[1:3]:
+        if ranged.schema[column].dataType.typeName() in ("array", "map", "struct", "binary"):
+            break
+        key = F.coalesce(_further_key(ranged, column), F.lit(float("-inf")))
+        sizes = ranged.where(crowded).groupBy("_range").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * rows_per_range)
+        # At most one row for every 2 * rows_per_range rows of the table.
+        wide = {r["_range"]: min(MAX_RANGES, -(-r["n"] // rows_per_range)) for r in sizes.collect()}
+        if not wide:
+            break
+        width /= 4 * MAX_RANGES
+        parts = max(wide.values())
+        cuts = ranged.where(F.col("_range").isin(list(wide))).groupBy("_range").agg(F.percentile_approx(
+            key, [i / parts for i in range(1, parts)], max(10_000, parts * 20)).alias("q"))
+        found = {r["_range"]: sorted(set(r["q"])) for r in cuts.collect()}
+        below = F.lit(0)
+        for number, values in found.items():
+            # A cut value gets a range of its own as well: two steps for each cut.
+            steps = F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v <= key)) + F.size(
+                F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v < key))
+            below = F.when(F.col("_range") == number, steps).otherwise(below)
+        # Fewer than 2 * MAX_RANGES steps: half of the way to the next range.
+        ranged = cut_lineage(ranged.withColumn("_range", F.col("_range") + below * F.lit(width)), "ranges")
+        crowded = F.col("_range") != F.floor("_range")
+    return ranged
+
+
 def _local(item: Running, window) -> Column:
     frame = window.rowsBetween(Window.unboundedPreceding, 0 if item.inclusive else -1)
     if item.kind == "last":
@@ -108,7 +156,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], items: list[Runnin
             rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None,
             bounds: list[float] | None = None) -> DataFrame:
     """``df`` plus one running value per item. Null keys are a key; ``order[0]``
-    is a number, date or timestamp and ``order`` as a whole is unique per key. ``bounds``
+    is a number, date or timestamp and ``order`` as a whole is unique per key. Where many rows share
+    one ``order[0]``, the next two columns of the order cut them further. ``bounds``
     reuses the ranges of an earlier call over the same order."""
     if bounds is None:
         bounds = range_bounds(df, order[0], rows_per_range, at_most)
@@ -117,7 +166,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], items: list[Runnin
         window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*sort)
         return df.withColumns({i.name: _local(i, window) for i in items})
 
-    ranged = with_range(df, order[0], bounds)
+    ranged = with_finer_ranges(with_range(df, order[0], bounds), order, bounds, rows_per_range)
     # Total per (key, range): combined before the shuffle, so hot keys stay small.
     totals = []
     for n, item in enumerate(items):

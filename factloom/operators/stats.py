@@ -217,6 +217,52 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return out
 
 
+def grouped_medians(df: DataFrame, keys: list[str], measures: list[str], small: int = SMALL_QUANTILE_ROWS) -> DataFrame:
+    """Exact median of each measure per group: the keys, then the measures. Groups of up to
+    ``small`` values use Spark's ``median``, which holds a group's values in one task. For larger ones a
+    sketch gives a bracket around the middle; one scan then counts what lies below it and
+    the distinct values inside, about one row in 2500, and running counts over these find the
+    middle. Groups whose bracket missed are counted over all their values. Null keys are a group."""
+    names = [f"k{i}" for i in range(len(keys))]
+    shown = F.inline(F.array(*[F.struct(F.lit(i).alias("m"), col(c).cast("double").alias("v")) for i, c in enumerate(measures)]))
+    tall = nan_to_null(df.select(*[col(k).alias(n) for k, n in zip(keys, names)], shown))
+    by = [*names, "m"]
+    sizes = tall.groupBy(*by).agg(F.count("v").alias("n"))
+    big = cut_lineage(sizes.where(F.col("n") > small), "large-groups")
+    if big.isEmpty():
+        per = tall.groupBy(*by).agg(F.median("v").alias("mid"))
+    else:
+        marked = ordered.join_keys(tall, big, by, "left")
+        rest = marked.where("n is null").groupBy(*by).agg(F.median("v").alias("mid"))
+        rows = marked.where("n is not null and v is not null")
+        near = [0.5 - 2e-4, 0.5 + 2e-4]
+        brackets = cut_lineage(rows.groupBy(*by).agg(F.first("n").alias("n"), F.percentile_approx("v", near, 10_000).alias("at")).select(
+            *by, "n", F.col("at")[0].alias("lo"), F.col("at")[1].alias("hi")), "brackets")
+        found = _middles(tall, brackets, by)
+        missed = brackets.select(*by, "n", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+        missed = cut_lineage(ordered.join_keys(missed, found.where("a is null or b is null").select(*by), by, "left_semi"), "missed")
+        if not missed.isEmpty():
+            found = found.where("a is not null and b is not null").unionByName(_middles(tall, missed, by))
+        per = rest.unionByName(found.select(*by, (0.5 * F.col("a") + 0.5 * F.col("b")).alias("mid")))
+    wide = per.groupBy(*names).agg(*[F.max(F.when(F.col("m") == i, F.col("mid"))).alias(c) for i, c in enumerate(measures)])
+    return wide.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[col(c) for c in measures])
+
+
+def _middles(tall: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b): the two middle values of each group of ``brackets``, null where they lie outside."""
+    rows = ordered.join_keys(tall.where("v is not null"), brackets, by)
+    # What lies outside a bracket is one cell on either side, combined before the shuffle.
+    value = F.when(F.col("v") < F.col("lo"), float("-inf")).when(F.col("v") > F.col("hi"), float("inf")).otherwise(F.col("v"))
+    side = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), 1).otherwise(0)
+    cells = cut_lineage(rows.groupBy(*by, "n", side.alias("side"), value.alias("v")).agg(F.count(F.lit(1)).alias("w")), "middles")
+    upto = ordered.running(cells, by, ["v", "side"], [ordered.Running("upto", "sum", F.col("w"))])
+    def holds(k: Column) -> Column:
+        return (F.col("side") == 0) & (F.col("upto") - F.col("w") <= k) & (k < F.col("upto"))
+
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return upto.groupBy(*by).agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"))
+
+
 def _around(p: float, n: int) -> tuple[int, int, float]:
     """Ranks on both sides of quantile ``p`` and the share of the way to the upper one."""
     at = p * (n - 1)

@@ -139,3 +139,83 @@ def test_zoneless_order_columns(spark):
     df = spark.sql("select k, cast(t as timestamp_ntz) t from values ('a', '2024-01-02'), ('a', '2024-01-01') v(k, t)")
     got = ordered.running(df, ["k"], ["t"], [ordered.Running("n", "sum", F.lit(1))], rows_per_range=1).orderBy("t").collect()
     assert [r["n"] for r in got] == [1, 2]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "timestamp"])
+def test_one_instant_of_one_key_is_spread(spark, as_rows, kind):
+    """Rows of one key at one instant are cut by the next column of the order, whatever its type."""
+    rnd = random.Random(9)
+    ids = rnd.sample(range(100_000), 500)
+    df = spark.createDataFrame([(1 if i % 9 else 2, 50 if i % 5 else i % 100, n, rnd.randint(-9, 9), i if i % 7 == 0 else None)
+                                for i, n in enumerate(ids)], "user long, at long, n long, x long, mark long")
+    of = {"long": F.col("n"), "string": F.concat(F.lit("k"), F.lpad(F.col("n").cast("string"), 6, "0")), "timestamp": F.timestamp_seconds("n")}[kind]
+    df = df.withColumn("id", F.when(F.col("n") != ids[1], of)).cache()  # one id is null
+    order = ["at", "id"]
+    assert as_rows(ordered.running(df, ["user"], order, items(), rows_per_range=20)) == as_rows(
+        ordered.running(df, ["user"], order, items(), rows_per_range=10_000))
+    bounds = ordered.range_bounds(df, "at", 20)
+    finer = ordered.with_finer_ranges(ordered.with_range(df, "at", bounds), order, bounds, 20)
+    spread = finer.where("at = 50").groupBy("_range").count().agg(F.max("count"), F.count("*")).first()
+    assert spread[0] <= 60 and spread[1] > 8
+    # The ranges follow the order.
+    edges = finer.groupBy("_range").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi")).orderBy("_range").collect()
+    key = lambda r: (r[0], r[1] is not None, r[1] if r[1] is not None else 0)
+    assert all(key(a.hi) < key(b.lo) for a, b in zip(edges, edges[1:]) if a.hi[1] is not None)
+
+
+def spans_and_points(spark):
+    rnd = random.Random(4)
+    points = [(k, rnd.choice([5_000, rnd.randrange(-200_000, 300_000)])) for k in range(400)] + [(900, None)]
+    spans = [(k, a := rnd.randrange(-200_000, 300_000), a + rnd.choice([0, 1, 50, 5_000, 90_000, 400_000, -5])) for k in range(60)]
+    spans += [(100, 5_000, 5_001), (101, 4_999, 5_000), (102, None, 7), (103, 7, None), (104, -10**9, 10**9), (104, -10**9, 10**9)]
+    moment = lambda c: F.timestamp_seconds(c).alias(c)
+    p = spark.createDataFrame(points, "pid long, at long").select("pid", moment("at"))
+    s = spark.createDataFrame(spans, "sid long, lo long, hi long").select("sid", moment("lo"), moment("hi"))
+    pairs = sorted((sid, pid) for sid, lo, hi in spans for pid, at in points if None not in (lo, hi, at) and lo <= at < hi)
+    return p, s, spans, pairs
+
+
+@pytest.mark.parametrize("bucket", [1, 60, 86_400])
+def test_range_join_of_short_and_long_spans(spark, bucket):
+    p, s, _, pairs = spans_and_points(spark)
+    got = joins.range_join(p, s, "at", "lo", "hi", bucket_seconds=bucket)
+    assert sorted((r.sid, r.pid) for r in got.collect()) == pairs
+    assert joins.range_join(p, s.limit(0), "at", "lo", "hi", bucket_seconds=bucket).count() == 0
+
+
+def test_long_spans_have_few_pieces(spark):
+    df = spark.createDataFrame([(a, b) for a in range(-9, 40, 3) for b in range(a, 41)] + [(-5, 10**11)], "a long, b long")
+    for r in df.select("a", "b", joins.dyadic_pieces("a", "b").alias("x")).collect():
+        if r.b < 10**6:
+            covered = sorted(k for level, piece in r.x for k in range(piece << level, (piece + 1) << level))
+            assert covered == list(range(r.a, r.b + 1))
+        assert len(r.x) <= 2 * max(1, (r.b - r.a + 1).bit_length())
+
+
+@pytest.mark.parametrize("size", [10_000, 20])
+def test_range_counts_equal_pairs(spark, size):
+    p, s, spans, pairs = spans_and_points(spark)
+    got = joins.range_counts(p, s, "at", "lo", "hi", "n", size)
+    want = sorted((sid, sum(x == sid for x, _ in pairs) // (2 if sid == 104 else 1)) for sid, _, _ in spans)
+    assert sorted((r.sid, r.n) for r in got.collect()) == want
+    assert joins.range_counts(p.limit(0), s, "at", "lo", "hi").agg(F.sum("n")).first()[0] == 0
+
+
+@pytest.mark.parametrize("small", [10_000, 40, 0])
+def test_grouped_medians(spark, small):
+    """A group with half of all rows, a null key, ties, an even and an odd size, gaps and NaN."""
+    from factloom.operators import charts, stats
+    rnd = random.Random(6)
+    rows = [("big" if i % 2 else rnd.choice(["a", "b", None]), float(rnd.choice([rnd.randint(0, 9), rnd.random() * 100])), rnd.choice([None, float("nan"), 1.0, 2.0, -3.5]))
+            for i in range(900)] + [("one", 4.0, None), ("two", 1.0, 5.0), ("two", 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    want = pdf.groupby("g", dropna=False)[["x", "y"]].median()
+    got = {r.g: (r.x, r.y) for r in stats.grouped_medians(df, ["g"], ["x", "y"], small).collect()}
+    assert len(got) == len(want)
+    for g, row in want.iterrows():
+        a, b = got[None if pd.isna(g) else g]
+        assert a == pytest.approx(row.x, abs=1e-12) and (b is None if pd.isna(row.y) else b == pytest.approx(row.y))
+    assert charts.chart_agg(df, ["g"], ["x"], "Median").columns == ["g", "x"]
+    whole = stats.grouped_medians(df, [], ["x"], small).collect()
+    assert [r.x for r in whole] == [pytest.approx(pdf.x.median())]
