@@ -359,13 +359,14 @@ def to_number(t):
 
 
 @query("coerce_numeric", f"""
-select count(*) as n, count(number) as parsed, round(sum(number), 2) as total from (select case when event_id % 8 in (3, 4, 5)
+select count(*) as n, count(number) as parsed, round(sum(number), 2) as total from (select case when event_id % 40 = 3
   then null else try_cast(replace(rtrim(trim(ltrim(trim(raw), '$€£₹¥')), '%'), ',', '') as double) end as number
-  from {_NUMBER_TEXT} where event_id % 8 <= 2 or event_id % 40 = 3)""")
+  from (select event_id, case when event_id % 8 > 2 and event_id % 40 <> 3 then '$' || cast(event_id as varchar) else raw end as raw
+    from {_NUMBER_TEXT}))""")
 def coerce_numeric(t):
-    """About 94% of the cells parse, so the column turns numeric; the rest become null."""
+    """Over nine tenths of the cells parse, so the column turns numeric; the rest become null."""
     i = F.col("event_id")
-    raw = number_text(t).where((i % 8 <= 2) | (i % 40 == 3)).select(i, "raw")
+    raw = number_text(t).select(i, F.when((i % 8 > 2) & (i % 40 != 3), F.concat(F.lit("$"), i.cast("string"))).otherwise(F.col("raw")).alias("raw"))
     fixed, _, _ = clean.plan_changes(raw)
     return fixed.agg(F.count("*").alias("n"), F.count("raw").alias("parsed"), F.round(F.sum("raw"), 2).alias("total"))
 

@@ -229,3 +229,28 @@ def test_defaults(spark):
     assert findings.default_summary(empty).first()[0] == "Analysis of the dataset."
     assert [x["advice"] for x in findings.default_recommendations(empty).collect()] == [findings.GENERAL_ADVICE]
     assert findings.section_plan(r).collect()[0]["title"] == "Data Overview & Quality"
+
+
+def test_dimension_of_many_groups_has_no_single_task_window(spark):
+    """Leaders, totals and the peak of a dimension with very many values, without sorting it whole."""
+    n = 20_000
+    df = spark.range(n).select(F.concat(F.lit("g"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("g"), (F.col("id") % 5).cast("string").alias("h"),
+                               (F.col("id") * 7919 % n).cast("double").alias("m"), F.lit(2.0).alias("e"))
+    facts = probes.group_facts(df, [("g",), ("g", "h")], ["m", "e"])
+    top = probes.segments(facts, ["g"], "m", "avg")
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    rows = sorted(top.collect(), key=lambda r: r["rank"])
+    value = lambda k: k * 7919 % n
+    best = sorted(range(n), key=lambda k: (-value(k), k))
+    assert [r["key"] for r in rows] == [f"g{k:06d}" for k in best[:len(rows)]] and rows[0]["groups"] == n
+    assert (rows[0]["best"], rows[0]["worst"], rows[0]["worst_key"]) == (n - 1.0, 0.0, f"g{best[-1]:06d}")
+    assert rows[0]["spread"] == pytest.approx((n - 1) / ((n - 1) / 2), rel=1e-9)
+    across = sorted(probes.measures_across(facts, ["g"], "m", "e").collect(), key=lambda r: r["rank"])
+    assert [r["key"] for r in across] == [r["key"] for r in rows] and across[0]["ratio"] == pytest.approx((n - 1) / 2)
+    pairs = probes.two_way(facts, "g", "h", "m", "avg")
+    assert pairs.where("peak").select("k1").collect() == [(f"g{best[0]:06d}",)] and pairs.count() == n
+    shares = probes.categories(facts, ["g"]).collect()
+    assert all(r["k"] == n and r["share"] == pytest.approx(100 / n) and r["chart"] == "bar" for r in shares)
+    gaps = probes.gap_by_segment(df, "g", "m", "e")
+    assert gaps.count() == n and gaps.where("rank = 1").first()["key"] == f"g{best[0]:06d}"
