@@ -183,27 +183,31 @@ def differing_pairs(members: DataFrame, sets: DataFrame, p: NearDup) -> DataFram
     layer = F.when(F.col("c") < 2, 0).otherwise(F.floor(F.log2("c"))).cast("int")
     made = cut_lineage(made.withColumn("layer", layer), "differences")
     layers = made.groupBy("hub").agg(F.collect_set("layer").alias("any"), F.collect_set(F.when(F.col("outside") == 1, F.col("layer"))).alias("out"))
-    counts = made.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("times"))
-    # A difference that one member has alone is shared with nobody, but takes its place in the prefix.
-    ranked = made.select("hub", "node", F.explode("tokens").alias("token")).join(counts, ["hub", "token"]).groupBy("hub", "node").agg(
+    each = made.select("hub", "node", "root", F.explode("tokens").alias("token"))
+    # Only differences that members of several components share can join two of them. The others
+    # come first in the order and are counted, not listed.
+    shared = each.groupBy("hub", "token").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low <> high").select("hub", "token", "times")
+    ranked = each.join(shared, ["hub", "token"]).groupBy("hub", "node").agg(
         F.array_sort(F.collect_list(F.struct("times", "token"))).alias("ranked"))
-    full = cut_lineage(made.drop("tokens").join(ranked, ["hub", "node"]).join(layers, "hub"), "ranked")
+    full = cut_lineage(made.withColumn("size", F.size("tokens")).drop("tokens").join(ranked, ["hub", "node"]).join(layers, "hub"), "ranked")
 
     def prefixes(rows: DataFrame, partners: str, mine: str, theirs: str) -> DataFrame:
         """(hub, token, layer of x, layer of y, node, root, c, size, place) of the prefixes."""
         least = F.when(F.col("partner") == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("partner")))
         need = F.greatest(F.ceil(F.col("c") + least - F.col("spare") - 1e-6), F.lit(1)).cast("int")
+        first = F.col("size") - F.size("ranked")
         cut = F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - need + 1, F.lit(0)))
         each = rows.select("*", F.explode(partners).alias("partner")).select(
-            "hub", "node", "root", "c", "spare", "layer", "partner", F.size("ranked").alias("size"), F.posexplode(cut).alias("place", "t"))
-        return each.where("t.times > 1").select(
-            "hub", F.col("t.token").alias("token"), F.col("layer").alias(mine), F.col("partner").alias(theirs), "node", "root", "c", "spare", "size", "place")
+            "hub", "node", "root", "c", "spare", "layer", "partner", "size", first.alias("first"), F.posexplode(cut).alias("place", "t"))
+        return each.select(
+            "hub", F.col("t.token").alias("token"), F.col("layer").alias(mine), F.col("partner").alias(theirs), "node", "root", "c", "spare", "size", (F.col("first") + F.col("place")).alias("place"))
 
     left = prefixes(full.where("outside = 1"), "any", "lx", "ly")
     right = prefixes(full.where(F.size("out") > 0), "out", "ly", "lx").select(
         "hub", "token", "lx", "ly", *[F.col(c).alias(f"{c}_y") for c in ("node", "root", "c", "size", "place")])
     need = F.col("c") + F.col("c_y") - F.col("spare") - 1e-6
-    able = (1 + F.least(F.col("size") - F.col("place"), F.col("size_y") - F.col("place_y")) - 1 >= need) & (F.col("root") != F.col("root_y"))
+    able = (F.least(F.col("size") - F.col("place"), F.col("size_y") - F.col("place_y")) >= need) & (F.col("root") != F.col("root_y"))
     return left.join(right, ["hub", "token", "lx", "ly"]).where(able).select(
         F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
 
