@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, list_column, pick, slices
 
 SPACE = "▁"
-#: Segments are remembered in two generations of up to so many, so about 30 MB at most.
-SEGMENTS = 64_000
+#: Segments are remembered in two generations of up to so many, so about 60 MB at most.
+SEGMENTS = 125_000
 #: Up to so many characters the agenda is a list, beyond it a heap. The pieces are the same.
 SHORT = 40
 #: Longer segments are not remembered.
