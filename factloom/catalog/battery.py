@@ -68,6 +68,20 @@ def assembly_fallback(t):
     return joins.largest_table(catalog)
 
 
+@query("assembly_any_failure", """
+select 'joined' as attempt, 'Joined from orders, customer.' as note, count(*) as n from orders join customer on o_custkey = c_custkey
+union all select attempt, 'Only orders is used, the largest of 2 tables.', count(*) from orders, (values ('broken'), ('no_rows'), ('no_column')) v(attempt) group by 1""")
+def assembly_any_failure(t):
+    """A join that works, one that breaks on a row, one without rows and one that names no column: only
+    the first is used, for the others the largest table stands in."""
+    tables = {"orders": t.orders, "customer": t.customer}
+    joined = t.orders.join(t.customer, F.expr("o_custkey = c_custkey"))
+    attempts = {"joined": lambda: joined, "broken": lambda: joined.select(F.col("c_mktsegment").cast("int").alias("x")),
+                "no_rows": lambda: joined.where("o_totalprice < 0"), "no_column": lambda: joined.select("nowhere")}
+    found = [(name, *joins.assembled_or_largest(tables, build)) for name, build in attempts.items()]
+    return stats.union_all([df.agg(F.lit(name).alias("attempt"), F.lit(note).alias("note"), F.count("*").alias("n")) for name, df, note in found])
+
+
 # -- whole-table probes ---------------------------------------------------------
 
 @query("overview", f"""

@@ -261,6 +261,30 @@ def apply_pandas(t):
     return udf.apply_pandas(df, charge, "l_orderkey bigint, l_linenumber int, charge double").withColumn("charge", F.round("charge", 6))
 
 
+@query("apply_pandas_first_rows", "select least(count(*), 1000) as row_count, count(*) > 1000 as truncated, 2 as width from lineitem")
+def apply_pandas_first_rows(t):
+    """A function's rows as a caller gets them: the first thousand, and whether there were more."""
+    out = udf.run_user_function(t.lineitem.select("l_orderkey", "l_quantity"), lambda f: f.assign(l_quantity=f["l_quantity"] * 2),
+                                "l_orderkey bigint, l_quantity double", max_rows=1000)
+    return t.lineitem.agg(F.lit(out.row_count).cast("bigint").alias("row_count"), F.lit(out.truncated).alias("truncated"),
+                                      F.lit(len(out.columns)).alias("width"))
+
+
+@query("apply_pandas_series", "select l_returnflag as label, sum(l_quantity) as value from lineitem group by 1")
+def apply_pandas_series(t):
+    """A function that gives a series: quantities by return flag, per batch, merged by Spark."""
+    return udf.merged_series(t.lineitem.select("l_returnflag", "l_quantity"), lambda f: f.groupby("l_returnflag")["l_quantity"].sum())
+
+
+@query("apply_pandas_value", "select max(l_extendedprice / l_quantity) as dearest, count(*)::double as n from lineitem")
+def apply_pandas_value(t):
+    """Functions that give one number."""
+    df = t.lineitem.select("l_extendedprice", "l_quantity")
+    dearest = udf.run_user_value(df, lambda f: (f["l_extendedprice"] / f["l_quantity"]).max(), "max").value
+    n = udf.run_user_value(df, len).value
+    return t.lineitem.agg(F.lit(dearest).alias("dearest"), F.lit(n).alias("n"))
+
+
 @query("apply_pandas_grouped", """
 select o_custkey, max(o_totalprice) - min(o_totalprice) as span from orders group by 1""")
 def apply_pandas_grouped(t):

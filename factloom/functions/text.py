@@ -25,27 +25,30 @@ _MONEY = rf"^\s*[{CURRENCY}]*\s*[+-]?{_DIGITS}\s*%*\s*$"
 _MAYBE_TIME = r"^\d{1,4}[-/. ]|^\d{8}$|^[A-Za-z]{3,9},? \d"
 _LONGEST_TIME = 40
 _ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
-_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
-_HALF_DAY = r" \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$"
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+_HALF_DAY = r" \d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)? ?[AaPp][Mm]$"
 # pattern of the text -> Spark datetime pattern
 _OTHER_TIMES = [
-    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, "yyyy/M/d[ H:mm[:ss]]"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, "d.M.yyyy[ H:mm[:ss]]"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, "yyyy/M/d[ H:mm[:ss[.SSSSSS]]]"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, "d.M.yyyy[ H:mm[:ss[.SSSSSS]]]"),
     (r"^(19|20)\d{6}$", "yyyyMMdd"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}" + _CLOCK, "d MMM yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}" + _CLOCK, "d-MMM-yyyy[ H:mm[:ss]]"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}" + _CLOCK, "MMM d, yyyy[ H:mm[:ss]]"),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}" + _CLOCK, "d MMMM yyyy[ H:mm[:ss]]"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}" + _CLOCK, "MMMM d, yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}" + _CLOCK, "d MMM yyyy[ H:mm[:ss[.SSSSSS]]]"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}" + _CLOCK, "d-MMM-yyyy[ H:mm[:ss[.SSSSSS]]]"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}" + _CLOCK, "MMM d, yyyy[ H:mm[:ss[.SSSSSS]]]"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}" + _CLOCK, "d MMMM yyyy[ H:mm[:ss[.SSSSSS]]]"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}" + _CLOCK, "MMMM d, yyyy[ H:mm[:ss[.SSSSSS]]]"),
 ]
 _RFC_TIME = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} (GMT|UTC|Z)$"
 # Numbers only, whose order of day and month the text does not tell.
-_OPEN_TIMES = [(sep, rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}\d{{4}}") for sep in "/-"]
+_OPEN_TIMES = [(sep, rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}(?:\d{{2}})?\d{{2}}") for sep in "/-"]
+# A year of two digits: 69 to 99 are of the last century.
+_SHORT_YEAR = r"^(\d{1,2}[-/]\d{1,2}[-/])"
 _ANY_TIME = "|".join([_ISO_TIME, *[shape + tail for _, shape in _OPEN_TIMES for tail in (_CLOCK, _HALF_DAY)],
                       *[shape for shape, _ in _OTHER_TIMES], _RFC_TIME])
 # A first or second number that no month can be.
 _ABOVE_12 = r"(?:1[3-9]|[2-9]\d)"
-_DAY_LEADS, _DAY_FOLLOWS = rf"^{_ABOVE_12}[-/]\d{{1,2}}[-/]\d{{4}}\b", rf"^\d{{1,2}}[-/]{_ABOVE_12}[-/]\d{{4}}\b"
+_YEAR = r"(?:\d{2})?\d{2}\b"
+_DAY_LEADS, _DAY_FOLLOWS = rf"^{_ABOVE_12}[-/]\d{{1,2}}[-/]{_YEAR}", rf"^\d{{1,2}}[-/]{_ABOVE_12}[-/]{_YEAR}"
 # White space as Unicode has it, and the four separators below it.
 _BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -89,8 +92,9 @@ def to_timestamp(c: Column, day_first: bool | Column = False) -> Column:
     """Dates in a fixed set of layouts; a bare year is not a date. ``day_first`` tells how to
     read 1/2/2024 and 1-2-2024."""
     out = F.when(c.rlike(_ISO_TIME), c.try_cast("timestamp"))
+    long = F.regexp_replace(F.regexp_replace(c, _SHORT_YEAR + r"(69|[7-9]\d)(?!\d)", "$119$2"), _SHORT_YEAR + r"(\d{2})(?!\d)", "$120$2")
     for sep, shape in _OPEN_TIMES:
-        for tail, clock, text in ((_CLOCK, "[ H:mm[:ss]]", c), (_HALF_DAY, " h:mm[:ss] a", F.upper(F.regexp_replace(c, r"(?i)(\d)([ap]m)$", "$1 $2")))):
+        for tail, clock, text in ((_CLOCK, "[ H:mm[:ss[.SSSSSS]]]", long), (_HALF_DAY, " h:mm[:ss[.SSSSSS]] a", F.upper(F.regexp_replace(long, r"(?i)(\d)([ap]m)$", "$1 $2")))):
             month, day = (F.try_to_timestamp(text, F.lit(p + f"{sep}yyyy{clock}")) for p in (f"M{sep}d", f"d{sep}M"))
             read = (day if day_first else month) if isinstance(day_first, bool) else F.when(day_first, day).otherwise(month)
             out = out.when(c.rlike(shape + tail), read)

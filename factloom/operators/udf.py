@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from .sqlguard import SqlResult, limited
 
 MAX_GROUP_ROWS = 1_000_000
 
+MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
+
 PandasFunction = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -51,3 +54,41 @@ def apply_pandas_whole(df: DataFrame, fn: PandasFunction, schema: str, by: list[
 def run_user_function(df: DataFrame, fn: PandasFunction, schema: str, max_rows: int = SQL_MAX_ROWS) -> SqlResult:
     """As ``apply_pandas``, with the first ``max_rows`` records brought back."""
     return limited(apply_pandas(df, fn, schema), max_rows)
+
+
+@dataclass
+class UserValues:
+    """What a function said: kind is "series" (labels to values) or "value" (one number, or None)."""
+
+    kind: str
+    value: dict[str, float] | float | None
+    truncated: bool = False
+
+
+def merged_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], merge: str = "sum") -> DataFrame:
+    """(label, value): ``fn`` turns a batch of rows into a series, and the values that batches have
+    under one label are merged. Labels are text; a null label is kept, a null value says nothing."""
+    def batches(frames):
+        for frame in frames:
+            part = fn(frame)
+            labels = [None if pd.isna(k) else str(k) for k in part.index]
+            yield pd.DataFrame({"label": labels, "value": pd.to_numeric(part).astype("float64").to_numpy()})
+
+    if merge not in MERGES:
+        raise QueryError(f"Partial results are merged by {', '.join(MERGES)}, not by '{merge}'.")
+    parts = df.mapInPandas(batches, "label string, value double")
+    return parts.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("label").agg(MERGES[merge]("value").alias("value"))
+
+
+def run_user_series(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], merge: str = "sum", max_rows: int = SQL_MAX_ROWS) -> UserValues:
+    """A series as labels to values: the first ``max_rows`` labels in their order, and whether there were more."""
+    rows = merged_series(df, fn, merge).orderBy(F.asc_nulls_last("label")).limit(max_rows + 1).collect()
+    return UserValues("series", {r.label: r.value for r in rows[:max_rows]}, len(rows) > max_rows)
+
+
+def run_user_value(df: DataFrame, fn: Callable[[pd.DataFrame], float | None], merge: str = "sum") -> UserValues:
+    """One number: ``fn`` gives it for a batch of rows, and Spark merges those of all batches. None where
+    no batch had one."""
+    whole = merged_series(df, lambda frame: pd.Series([fn(frame)], index=["all"], dtype="float64"), merge)
+    found = whole.first()
+    return UserValues("value", found.value if found else None)

@@ -152,10 +152,14 @@ def active_packs(packs: DataFrame) -> DataFrame:
 def completed_purchases(events: DataFrame) -> DataFrame:
     """Paid provider events (event_id, ts, payload) resolved to one row per purchase.
     Several kinds of event report one payment; the earliest stands."""
-    at = lambda path: F.nullif(F.get_json_object("payload", f"$.payload.{path}"), F.lit(""))
+    entity = lambda more: f"struct<entity:struct<notes:struct<purchase_id:string>,{more}:string>>"
+    shape = f"event string, payload struct<payment_link:{entity('reference_id')},order:{entity('receipt')},payment:{entity('id')}>"
+    # Parsed once; notes that are no object leave the other fields as they are.
+    events = events.withColumn("_said", F.from_json("payload", shape))
+    at = lambda path: F.nullif(F.col(f"_said.payload.{path}"), F.lit(""))
     purchase = F.coalesce(at("payment_link.entity.notes.purchase_id"), at("payment_link.entity.reference_id"),
                           at("order.entity.notes.purchase_id"), at("order.entity.receipt"), at("payment.entity.notes.purchase_id"))
-    kind = F.get_json_object("payload", "$.event")
+    kind = F.col("_said.event")
     return (events.where(kind.isin("payment_link.paid", "order.paid", "payment.captured"))
             .withColumn("purchase_id", purchase).where("purchase_id is not null").groupBy("purchase_id")
             .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("events")))

@@ -54,7 +54,9 @@ def test_to_number(spark, raw, want):
     ("2024-03-05", "2024-03-05 00:00:00"), ("2024-03-05 10:20:30", "2024-03-05 10:20:30"), ("2024-03-05T10:20:30Z", "2024-03-05 10:20:30"),
     ("3/5/2024", "2024-03-05 00:00:00"), ("03/05/2024 7:08", "2024-03-05 07:08:00"), ("2024/3/5", "2024-03-05 00:00:00"),
     ("5 Mar 2024", "2024-03-05 00:00:00"), ("Mar 5, 2024", "2024-03-05 00:00:00"), ("2024", None), ("Jan", None), ("2024-13-45", None),
-    ("99/99/2024", None), ("12", None), ("hello", None)])
+    ("3/5/2024 10:20:30.25", "2024-03-05 10:20:30.25"), ("3/5/2024 1:20:30.5 PM", "2024-03-05 13:20:30.5"), ("2024/3/5 1:02:03.000001", "2024-03-05 01:02:03.000001"),
+    ("3/5/24", "2024-03-05 00:00:00"), ("3-5-68 7:08", "2068-03-05 07:08:00"), ("3/5/69", "1969-03-05 00:00:00"), ("12/31/99 11:59 pm", "1999-12-31 23:59:00"),
+    ("3/5/123", None), ("13/14/24", None), ("1/2/3", None), ("99/99/2024", None), ("12", None), ("hello", None)])
 def test_to_timestamp(spark, raw, want):
     got = spark.createDataFrame([(raw,)], "s string").select(text.to_timestamp(F.col("s")).cast("string")).first()[0]
     assert got == want
@@ -98,3 +100,9 @@ def test_unicode_blanks_collapse(spark):
 def test_header_clash_after_trimming(spark):
     df = spark.createDataFrame([(1, 2)], "a long, `a ` long")
     assert clean.trim_headers(df)[0].columns == ["a", "a.1"]
+
+
+def test_two_digit_years_with_the_day_first(spark):
+    df = spark.createDataFrame([(f"{d}/0{m}/24",) for d in range(10, 29) for m in (1, 2)], "d string")
+    out = clean.plan_changes(df)[0]
+    assert dict(out.dtypes)["d"] == "timestamp" and out.agg(F.max("d").cast("string")).first()[0] == "2024-02-28 00:00:00"

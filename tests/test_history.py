@@ -196,3 +196,18 @@ def test_duplicates_across_batches(spark):
     stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     out = batches.collected(spark, trends.dedupe_events(stream, "ts"), "dd")
     assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_payment_events_with_odd_payloads(spark):
+    import json
+
+    def event(kind, **parts):
+        return json.dumps({"event": kind, "payload": {k: {"entity": v} for k, v in parts.items()}})
+
+    rows = [("e1", 1, event("order.paid", order={"receipt": "p1", "notes": []}, payment={"notes": [], "id": "x"})),
+            ("e2", 2, event("payment.captured", payment={"notes": {"purchase_id": "p1"}})),
+            ("e3", 3, event("payment_link.paid", payment_link={"reference_id": "p2", "notes": {"purchase_id": ""}})),
+            ("e4", 4, event("payment.failed", payment={"notes": {"purchase_id": "p3"}})),
+            ("e5", 5, "{broken"), ("e6", 6, None), ("e7", 7, event("order.paid", order={"receipt": 77}))]
+    got = ledger.completed_purchases(spark.createDataFrame(rows, "event_id string, ts long, payload string")).collect()
+    assert sorted((r.purchase_id, r.event_id, r.events) for r in got) == [("77", "e7", 1), ("p1", "e1", 2), ("p2", "e3", 1)]
