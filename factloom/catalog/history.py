@@ -421,10 +421,13 @@ def trend_stream_sliding(t):
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", F.round("mean", 8).alias("mean"), "n")
 
 
-@query("trend_stream_sessions", """
+_SESSIONS = """
 with g as (select *, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
   s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(value) as n, round(avg(value), 8) as mean from s group by user_id, session""")
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(value) as n, round(avg(value), 8) as mean from s group by user_id, session"""
+
+
+@query("trend_stream_sessions", _SESSIONS)
 def trend_stream_sessions(t):
     stream = batches.table_stream(t.spark, t.sf_dir, "events")
     s = trends.session_stream(stream, "ts", "value", ["user_id"], "6 hours", late="40 days")
@@ -433,3 +436,52 @@ def trend_stream_sessions(t):
     last = out.agg(F.max("batch_id")).first()[0]
     return out.where(F.col("batch_id") == last).select(
         "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 8).alias("mean"))
+
+
+def _shares(t, label, shares):
+    """Goes for ``accounted``: each writes its share of rows into one folder, which is read as a stream."""
+    landing = scratch_dir(t.spark, label)
+    schema = shares[0].schema
+
+    def go(k, rows):
+        def put():
+            rows.write.parquet(f"{landing}/part={k}")
+            return t.spark.readStream.schema(schema).parquet(f"{landing}/part=*")
+        return put
+    return [go(k, rows) for k, rows in enumerate(shares)]
+
+
+@query("session_stream_append", _SESSIONS)
+def session_stream_append(t):
+    """Sessions given out once, when they are over. The last ones end by a marker far ahead in time."""
+    events = t.events.select("user_id", "ts", "value")
+    end = t.events.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(
+        F.lit(None).cast("bigint").alias("user_id"), "ts", F.lit(None).cast("double").alias("value"))
+    goes = _shares(t, "sessions", [events, end])
+    stream = lambda go: lambda: trends.session_stream(go(), "ts", "value", ["user_id"], "6 hours", late="40 days")
+    out = batches.accounted(t.spark, [stream(g) for g in goes], "append")
+    return out.rows.where("user_id is not null").select(
+        "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 8).alias("mean"))
+
+
+_CUT = "(select max(ts) - interval 1 day as cut, max(ts) - interval 2 day as mark from events)"
+
+
+@query("late_rows", f"""
+select event_type, count(*) filter (where ts >= cut or ts > mark) as kept,
+  (select count(*) from events, {_CUT} where ts <= mark) as late, (select 2 * count(*) from events, {_CUT} where ts > mark)
+  + (select count(*) from events, {_CUT} where ts <= mark) as read
+from events, {_CUT} group by 1 having kept > 0""")
+def late_rows(t):
+    """Events of the last day come first, twice each; then all older ones, of which those beyond the
+    watermark of two days are first deliveries that come too late. Every row read is kept, a repeat or late."""
+    events = t.events.select("event_id", "ts", "event_type")
+    last = t.events.agg(F.max("ts")).first()[0]
+    dated = events.withColumn("day", F.when(F.col("ts") >= F.lit(last) - F.expr("interval 1 day"), 0).when(
+        F.col("ts") > F.lit(last) - F.expr("interval 2 days"), 1).otherwise(2))
+    of = lambda *days: dated.where(F.col("day").isin(*days)).select("event_id", "ts", "event_type")
+    goes = _shares(t, "late", [_twice(of(0)), _twice(of(1)).union(of(2))])
+    stream = lambda go: lambda: trends.dedupe_events(go(), "ts")
+    out = batches.accounted(t.spark, [stream(g) for g in goes], "late")
+    return out.rows.groupBy("event_type").agg(F.count("*").alias("kept")).select(
+        "event_type", "kept", F.lit(out.late).cast("bigint").alias("late"), F.lit(out.read).cast("bigint").alias("read"))

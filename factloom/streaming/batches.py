@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,21 @@ from pyspark.sql import functions as F
 from ..session import read_table, scratch_dir
 
 
+#: Progress of so many batches is kept by a query, so that late rows can be added up at its end.
+PROGRESS_KEPT = 10_000
+PROGRESS_OPTION = "spark.sql.streaming.numRecentProgressUpdates"
+
+
+@dataclass
+class Outcome:
+    """What a run over everything that had arrived gave: the rows of its output, how many input rows it
+    read, and how many were dropped because they came later than the watermark allows."""
+
+    rows: DataFrame
+    read: int
+    late: int
+
+
 def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "append",
                   write: Callable[[DataFrame, int], None] | None = None):
     """Process everything that has arrived and stop. A batch writes its own folder, so a
@@ -20,6 +36,7 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
         else:
             batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
+    stream.sparkSession.conf.set(PROGRESS_OPTION, PROGRESS_KEPT)
     query = (stream.writeStream.foreachBatch(save).outputMode(mode)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
@@ -47,3 +64,26 @@ def collected(spark: SparkSession, stream: DataFrame, label: str, mode: str = "a
     root = scratch_dir(spark, label)
     run_available(stream, f"{root}/out", f"{root}/checkpoint", mode)
     return spark.read.parquet(f"{root}/out")
+
+
+def tallied(query) -> tuple[int, int]:
+    """(rows read, rows dropped as late) of a query that has ended. Raises when more batches ran than
+    their progress was kept for, as the sums would then be wrong."""
+    progress = query.recentProgress
+    if len(progress) >= PROGRESS_KEPT:
+        raise RuntimeError(f"progress of {PROGRESS_KEPT} batches at most is kept; run the backlog in several goes")
+    return (sum(p["numInputRows"] for p in progress),
+            sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"]))
+
+
+def accounted(spark: SparkSession, goes: list[Callable[[], DataFrame]], label: str, mode: str = "append") -> Outcome:
+    """Run a stream again and again over one checkpoint, as its input grows: each of ``goes`` puts its
+    share into the source and returns the stream. Late rows are added up over all goes; for a stateful
+    operator that sees single rows, read = kept + repeated + late."""
+    root = scratch_dir(spark, label)
+    read = late = 0
+    for stream in goes:
+        query = run_available(stream(), f"{root}/out", f"{root}/checkpoint", mode)
+        more = tallied(query)
+        read, late = read + more[0], late + more[1]
+    return Outcome(spark.read.parquet(f"{root}/out"), read, late)

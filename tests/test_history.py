@@ -211,3 +211,20 @@ def test_payment_events_with_odd_payloads(spark):
             ("e5", 5, "{broken"), ("e6", 6, None), ("e7", 7, event("order.paid", order={"receipt": 77}))]
     got = ledger.completed_purchases(spark.createDataFrame(rows, "event_id string, ts long, payload string")).collect()
     assert sorted((r.purchase_id, r.event_id, r.events) for r in got) == [("77", "e7", 1), ("p1", "e1", 2), ("p2", "e3", 1)]
+
+
+def test_late_first_deliveries_are_counted(spark):
+    """Every row read is kept, a repeat, or counted as late; late rows add up over several goes."""
+    landing = scratch_dir(spark, "late")
+    day = lambda *rows: spark.createDataFrame(list(rows), "event_id long, day long").select("event_id", F.timestamp_seconds(F.col("day") * 86_400).alias("ts"))
+    shares = [day((1, 10), (1, 10), (2, 10)), day((3, 9), (4, 1), (4, 1), (2, 10)), day((5, 2), (6, 10), (7, None))]
+
+    def go(k):
+        def stream():
+            shares[k].write.parquet(f"{landing}/part={k}")
+            return trends.dedupe_events(spark.readStream.schema(shares[k].schema).parquet(f"{landing}/part=*"), "ts")
+        return stream
+
+    out = batches.accounted(spark, [go(k) for k in range(3)], "late")
+    kept = sorted(r.event_id for r in out.rows.collect())
+    assert [k for k in kept if k != 7] == [1, 2, 3, 6] and (out.read, out.late) == (10, 3 + (7 not in kept))
