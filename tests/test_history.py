@@ -228,3 +228,26 @@ def test_late_first_deliveries_are_counted(spark):
     out = batches.accounted(spark, [go(k) for k in range(3)], "late")
     kept = sorted(r.event_id for r in out.rows.collect())
     assert [k for k in kept if k != 7] == [1, 2, 3, 6] and (out.read, out.late) == (10, 3 + (7 not in kept))
+
+
+@pytest.mark.parametrize("seed, generous", [(1, True), (2, False), (3, None)])
+def test_busy_users_are_cut_into_blocks(spark, seed, generous):
+    """A user with half of all movements: blocks that reject nothing are added, others are replayed, and
+    beyond a number of rounds folded; always as one movement after the other."""
+    rnd = random.Random(seed)
+    weights = {True: [8, 3, 2, 2], False: [1, 6, 4, 4], None: [3, 4, 2, 2]}[generous]
+    rows = []
+    for i in range(700):
+        user = 1 if i % 2 else rnd.choice([2, 3, None])
+        kind = rnd.choices(["purchase", "report_hold", "report_capture", "report_release"], weights)[0]
+        rows.append((i, user, rnd.randrange(300), kind, rnd.randrange(1, 60) * (-1 if kind == "report_hold" else 1)))
+    df = spark.createDataFrame(rows, "id long, user_id long, ts long, entry_type string, amount long")
+    want, state = {}, {}
+    for i, user, _, kind, amount in sorted(rows, key=lambda r: (r[2], r[0])):
+        ok, a, h = balances.settle(kind, amount, *state.get(user, (0, 0)))
+        state[user] = a, h
+        want[i] = (user, ok, a, h)
+    assert any(not x[1] for x in want.values())
+    for block, rounds in ((1000, 5), (200, 3), (40, 100), (40, 2)):
+        got = {r.id: (r.user_id, r.accepted, r.available, r.held) for r in balances.balance_batch(df, block, rounds).collect()}
+        assert got == want, (block, rounds)
