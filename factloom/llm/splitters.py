@@ -39,13 +39,18 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
 
 
-def draw(rows: DataFrame, count: int) -> pd.DataFrame:
+def draw(rows: DataFrame, count: int, total: int) -> pd.DataFrame:
     """``count`` keys drawn without replacement, in proportion to size: the smallest of
-    -ln(u) / size with u from a hash of the row. The count bounds what reaches the driver."""
+    -ln(u) / size with u from a hash of the row. The count bounds what reaches the driver. ``total``
+    bytes have about twice ``count`` rows under a time of 2 count / total, so only those are put in
+    order; all of them where that was too few."""
     u = (F.shiftrightunsigned(F.xxhash64("key", "doc_id", F.lit(11)), 11).cast("double") + 1) / float(1 << 53)
-    race = -F.log(u) / F.col("size")
-    return rows.select("key", "doc_id", race.alias("race")).orderBy("race").limit(count).select(
-        "key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")).toPandas().sort_values(["key", "doc_id"], ignore_index=True)
+    timed = rows.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), (-F.log(u) / F.col("size")).alias("race"))
+    first = lambda some: some.orderBy("race").limit(count).select("key", "doc_id").toPandas()
+    found = first(timed.where(F.col("race") <= 2 * count / max(total, 1)))
+    if len(found) < count:
+        found = first(timed)
+    return found.sort_values(["key", "doc_id"], ignore_index=True)
 
 
 def placed(rows: DataFrame, keys: np.ndarray, ids: np.ndarray) -> DataFrame:
@@ -85,15 +90,15 @@ def ranged(rows: DataFrame, total: int, count: int, shards: int, p: Ranges) -> t
     that were cut. A cut group is over 1 / (shards * snap) of all bytes, so there are few."""
     n = max(p.least, -(-count // p.rows))
     limit = total / shards / p.snap
-    cuts = without_cuts(splitters(draw(rows, n * p.sample), n - 1), rows, limit)
+    cuts = without_cuts(splitters(draw(rows, n * p.sample, total), n - 1), rows, limit)
     for _ in range(p.rounds):
         out = placed(rows, cuts["key"].to_numpy(), cuts["doc_id"].to_numpy())
         full = out.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(
             (F.col("bytes") > p.overfull * total / n) | (F.col("n") > p.overfull * max(p.rows, count / n)))
-        full = [r[0] for r in full.select("range").collect()]
+        full = {r[0]: r[1] for r in full.select("range", "bytes").collect()}
         if not full:
             break
-        more = draw(out.where(F.col("range").isin(full)), len(full) * p.sample * p.sample)
+        more = draw(out.where(F.col("range").isin(list(full))), len(full) * p.sample * p.sample, sum(full.values()))
         finer = pd.concat([cuts, splitters(more, len(full) * p.sample)]).drop_duplicates()
         finer = without_cuts(finer, rows, limit)
         if len(finer) == len(cuts):

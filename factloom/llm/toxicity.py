@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import pick, slices, small_side
+from .common import pick, slices, small_side, smallest
 
 WORD = re.compile(r"\w+")
 
@@ -274,7 +274,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("at", F.xxhash64("doc_id", F.lit(3)))
-    known = cut_lineage(known.orderBy("at").limit(p.labelled).select("doc_id", "toxic"), "known")
+    known = cut_lineage(smallest(known, "at", p.labelled).select("doc_id", "toxic"), "known")
     labelled = cut_lineage(base.join(small_side(known, p.labelled), "doc_id").select("doc_id", "toxic", "text"), "labelled")
     mined = mined_features(labelled.select("toxic", "text"), p)
     voters = Voters(mined, p)

@@ -215,3 +215,21 @@ def test_terms_that_disclose(spark):
     assert text[200] == "call [phone], card [card], host 10.0.0.256 and [ip]"
     spread = personal_data(df, params=Disclosure(contexts=3, broadcast_terms=0))
     assert sorted(map(str, spread.collect())) == sorted(map(str, found.collect()))
+
+
+def test_smallest_hashes_of_a_long_table(spark):
+    from factloom.llm.common import smallest
+    df = spark.range(20_000).withColumn("at", F.xxhash64("id"))
+    for count in (1, 50, 4000, 30_000):
+        want = [r.id for r in df.orderBy("at").limit(count).collect()]
+        assert [r.id for r in smallest(df, "at", count).collect()] == want
+    assert smallest(df.limit(0), "at", 5).count() == 0
+
+
+def test_draws_are_those_of_a_whole_sort(spark):
+    from factloom.llm.splitters import draw, keyed
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 40).cast("int")).alias("text"))
+    rows = keyed(docs, "doc_id", "text")
+    total = rows.agg(F.sum("size")).first()[0]
+    for count in (10, 500, 5000):
+        assert draw(rows, count, total).equals(draw(rows, count, 1)) and len(draw(rows, count, total)) == min(count, 3000)
