@@ -125,6 +125,16 @@ def test_toxicity_on_rows_it_has_not_seen(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Precision and recall on labelled rows that no label was learned from."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = llm.QUERIES["op2_weak_toxicity"](spark, sf_dir).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    both = sum(r.predicted and r.toxic for r in rows)
+    assert len(rows) > 500
+    assert both / sum(r.predicted for r in rows) > 0.9 and both / sum(r.toxic for r in rows) > 0.75
+
+
 def test_label_model_finds_accuracies_and_correlations():
     import numpy as np
 
