@@ -291,7 +291,7 @@ def apply_pandas_grouped(t):
     """Lowest and highest price per customer and batch, merged by Spark."""
     def ends(frame):
         price = frame["o_totalprice"]
-        return pd.DataFrame({"o_custkey": [frame["o_custkey"].iloc[0]], "lo": [price.min()], "hi": [price.max()]})
+        return {"o_custkey": frame["o_custkey"].iat[0], "lo": price.min(), "hi": price.max()}
 
     return udf.apply_pandas_merged(t.orders.select("o_custkey", "o_totalprice"), ends, "o_custkey bigint, lo double, hi double",
                                    ["o_custkey"], [(F.max("hi") - F.min("lo")).alias("span")])

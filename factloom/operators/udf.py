@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import SQL_MAX_ROWS, QueryError
 from .sqlguard import SqlResult, limited
+from .stats import col
 
 MAX_GROUP_ROWS = 1_000_000
 
@@ -28,17 +29,24 @@ def apply_pandas(df: DataFrame, fn: PandasFunction, schema: str) -> DataFrame:
     return df.mapInPandas(batches, schema)
 
 
-def apply_pandas_merged(df: DataFrame, fn: PandasFunction, schema: str, by: list[str],
+def apply_pandas_merged(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | dict], schema: str, by: list[str],
                         merge: list[Column]) -> DataFrame:
     """Grouped work on groups of any size: ``fn`` sums up the rows that a key has in one
-    Arrow batch, and ``merge`` combines those partial rows. Raw rows are not shuffled."""
+    Arrow batch, as a frame or as one row in a dict, and ``merge`` combines those partial rows. Rows
+    of a key are brought together first, so that ``fn`` is called for a key and not for
+    almost every row; Spark splits partitions that large keys would make too big."""
     def batches(frames):
         for frame in frames:
             parts = [fn(rows) for _, rows in frame.groupby(by, sort=False, dropna=False)]
-            if parts:
-                yield pd.concat(parts)
-
-    return df.mapInPandas(batches, schema).groupBy(*by).agg(*merge)
+            rows = [p for p in parts if isinstance(p, dict)]
+            whole = [p for p in parts if not isinstance(p, dict)]
+            if rows:
+                yield pd.DataFrame.from_records(rows)
+            if whole:
+                yield pd.concat(whole)
+
+    together = df.hint("rebalance", *[col(c) for c in by]).sortWithinPartitions(*[col(c) for c in by])
+    return together.mapInPandas(batches, schema).groupBy(*by).agg(*merge)
 
 
 def apply_pandas_whole(df: DataFrame, fn: PandasFunction, schema: str, by: list[str],

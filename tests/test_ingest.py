@@ -199,6 +199,19 @@ def test_user_function(spark):
     assert {r["team"]: r["m"] for r in merged.collect()} == {"A": 15.0, "B": 5.0}
 
 
+def test_merged_function_is_called_per_key(spark):
+    """Keys spread over all partitions: one call for a key and batch, not one for every row; a null key and
+    missing values keep their group."""
+    rows = [(None if k == 7 else k, None if k == 3 else float(v * 50 + k)) for v in range(40) for k in range(50)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(16, F.rand(1))
+    ends = lambda f: {"k": f["k"].iat[0], "lo": f["x"].min(), "hi": f["x"].max(), "calls": 1}
+    got = {r["k"]: r for r in udf.apply_pandas_merged(df, ends, "k long, lo double, hi double, calls long", ["k"], [
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("calls").alias("calls")]).collect()}
+    assert {k: (r["lo"], r["hi"]) for k, r in got.items()} == {
+        None if k == 7 else k: (None, None) if k == 3 else (float(k), 1950.0 + k) for k in range(50)}
+    assert sum(r["calls"] for r in got.values()) <= 60
+
+
 def quoted_file(path, rows, header=("id", 'said "so"\nand so', "note"), end="\n", quote=1):
     import csv as plain
     with open(path, "w", newline="") as out:
