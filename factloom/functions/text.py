@@ -43,19 +43,22 @@ _RFC_TIME = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} (GMT|UTC
 _OPEN_TIMES = [(sep, rf"^\d{{1,2}}{sep}\d{{1,2}}{sep}(?:\d{{2}})?\d{{2}}") for sep in "/-"]
 # A year of two digits: 69 to 99 are of the last century.
 _SHORT_YEAR = r"^(\d{1,2}[-/]\d{1,2}[-/])"
-_ANY_TIME = "|".join([_ISO_TIME, *[shape + tail for _, shape in _OPEN_TIMES for tail in (_CLOCK, _HALF_DAY)],
-                      *[shape for shape, _ in _OTHER_TIMES], _RFC_TIME])
+# All layouts; their places here are the numbers that ``time_layout`` gives.
+_TIME_SHAPES = [_ISO_TIME, *[shape + tail for _, shape in _OPEN_TIMES for tail in (_CLOCK, _HALF_DAY)],
+                *[shape for shape, _ in _OTHER_TIMES], _RFC_TIME]
 # A first or second number that no month can be.
 _ABOVE_12 = r"(?:1[3-9]|[2-9]\d)"
 _YEAR = r"(?:\d{2})?\d{2}\b"
 _DAY_LEADS, _DAY_FOLLOWS = rf"^{_ABOVE_12}[-/]\d{{1,2}}[-/]{_YEAR}", rf"^\d{{1,2}}[-/]{_ABOVE_12}[-/]{_YEAR}"
 # White space as Unicode has it, and the four separators below it.
 _BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# What a text has that norm_text changes: any other white space than single blanks between words.
+_UNEVEN = r"^ | $|  |[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def norm_text(c: Column) -> Column:
     """Runs of any white space (Unicode too) become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, _BLANKS, " "))
+    return F.when(c.rlike(_UNEVEN), F.trim(F.regexp_replace(c, _BLANKS, " "))).otherwise(c)
 
 
 def is_null_token(c: Column) -> Column:
@@ -82,26 +85,38 @@ def _maybe_time(c: Column) -> Column:
     return (F.length(c) <= _LONGEST_TIME) & c.rlike(_MAYBE_TIME)
 
 
-def has_time_shape(c: Column) -> Column:
-    """Whether the cell is laid out like one of the dates ``to_timestamp`` reads. The numbers in it may
-    still be no date; a cell without the shape never is."""
-    return F.when(_maybe_time(c), c.rlike(_ANY_TIME))
+def time_layout(c: Column) -> Column:
+    """Number of the layout the cell has, of those ``to_timestamp`` reads; null without one. The numbers in it
+    may still be no date; a cell without a layout never is one."""
+    out = F
+    for k, shape in enumerate(_TIME_SHAPES):
+        out = out.when(c.rlike(shape), k)
+    return F.when(_maybe_time(c), out)
 
 
-def to_timestamp(c: Column, day_first: bool | Column = False) -> Column:
+def to_timestamp(c: Column, day_first: bool | Column = False, layouts: int | None = None) -> Column:
     """Dates in a fixed set of layouts; a bare year is not a date. ``day_first`` tells how to
-    read 1/2/2024 and 1-2-2024."""
-    out = F.when(c.rlike(_ISO_TIME), c.try_cast("timestamp"))
-    long = F.regexp_replace(F.regexp_replace(c, _SHORT_YEAR + r"(69|[7-9]\d)(?!\d)", "$119$2"), _SHORT_YEAR + r"(\d{2})(?!\d)", "$120$2")
-    for sep, shape in _OPEN_TIMES:
-        for tail, clock, text in ((_CLOCK, "[ H:mm[:ss[.SSSSSS]]]", long), (_HALF_DAY, " h:mm[:ss[.SSSSSS]] a", F.upper(F.regexp_replace(long, r"(?i)(\d)([ap]m)$", "$1 $2")))):
-            month, day = (F.try_to_timestamp(text, F.lit(p + f"{sep}yyyy{clock}")) for p in (f"M{sep}d", f"d{sep}M"))
-            read = (day if day_first else month) if isinstance(day_first, bool) else F.when(day_first, day).otherwise(month)
-            out = out.when(c.rlike(shape + tail), read)
-    for shape, pattern in _OTHER_TIMES:
-        out = out.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(pattern)))
-    rfc = F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}, | (GMT|UTC|Z)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
-    return F.when(_maybe_time(c), out.when(c.rlike(_RFC_TIME), rfc))
+    read 1/2/2024 and 1-2-2024. A caller who knows which layouts occur passes their numbers
+    as bits, so that the others are not tried on every cell."""
+    def year(text):
+        full = F.regexp_replace(F.regexp_replace(text, _SHORT_YEAR + r"(69|[7-9]\d)(?!\d)", "$119$2"), _SHORT_YEAR + r"(\d{2})(?!\d)", "$120$2")
+        return F.when(text.rlike(_SHORT_YEAR + r"\d{2}(?!\d)"), full).otherwise(text)
+
+    def open_time(sep, clock, text):
+        month, day = (F.try_to_timestamp(text, F.lit(p + f"{sep}yyyy{clock}")) for p in (f"M{sep}d", f"d{sep}M"))
+        return (day if day_first else month) if isinstance(day_first, bool) else F.when(day_first, day).otherwise(month)
+
+    reads = [lambda: c.try_cast("timestamp")]
+    for sep, _ in _OPEN_TIMES:
+        reads.append(lambda sep=sep: open_time(sep, "[ H:mm[:ss[.SSSSSS]]]", year(c)))
+        reads.append(lambda sep=sep: open_time(sep, " h:mm[:ss[.SSSSSS]] a", F.upper(F.regexp_replace(year(c), r"(?i)(\d)([ap]m)$", "$1 $2"))))
+    reads += [lambda pattern=pattern: F.try_to_timestamp(c, F.lit(pattern)) for _, pattern in _OTHER_TIMES]
+    reads.append(lambda: F.try_to_timestamp(F.regexp_replace(c, r"^[A-Za-z]{3}, | (GMT|UTC|Z)$", ""), F.lit("d MMM yyyy HH:mm:ss")))
+    out = F
+    for k, (shape, read) in enumerate(zip(_TIME_SHAPES, reads, strict=True)):
+        if layouts is None or layouts >> k & 1:
+            out = out.when(c.rlike(shape), read())
+    return F.lit(None).cast("timestamp") if out is F else F.when(_maybe_time(c), out)
 
 
 def has_digit(c: Column) -> Column:

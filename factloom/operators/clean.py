@@ -43,7 +43,8 @@ def trim_headers(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def normalised_text(df: DataFrame) -> DataFrame:
     """Text cells with white space collapsed and placeholders turned into null."""
     names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: text.null_tokens(text.norm_text(col(c))) for c in names})
+    even = df.withColumns({c: text.norm_text(col(c)) for c in names})
+    return even.withColumns({c: text.null_tokens(col(c)) for c in names})
 
 
 def _side_by_side(df: DataFrame, fields: list, aggregate) -> dict:
@@ -57,20 +58,22 @@ def _side_by_side(df: DataFrame, fields: list, aggregate) -> dict:
 
 
 def _rates(df: DataFrame, fields: list) -> DataFrame:
-    """Token hits, number rates, date shapes and ranges. No date is parsed here: shapes are enough to
-    rule most columns out, and tell whether days come first in the others."""
+    """Token hits, number rates, date layouts and ranges. No date is parsed here: layouts are enough to
+    rule most columns out, and tell which are to be tried in the others and whether days come first."""
     texts = {i for i, f in fields if isinstance(f.dataType, T.StringType)}
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
     normal = df.select(*[(text.norm_text(col(f.name)) if i in texts else col(f.name)).alias(f"c{i}") for i, f in fields])
     cells = normal.select("*", *[text.null_tokens(F.col(f"c{i}")).alias(f"v{i}") for i in texts])
-    parsed = cells.select("*", *[text.to_number(F.col(f"v{i}")).alias(f"x{i}") for i in texts])
+    parsed = cells.select("*", *[x for i in texts for x in (
+        text.to_number(F.col(f"v{i}")).alias(f"x{i}"), text.time_layout(F.col(f"v{i}")).alias(f"y{i}"))])
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in fields:
         c = F.col(f"c{i}")
         if i in texts:
             v, number = F.col(f"v{i}"), F.col(f"x{i}")
             aggs += [(F.count(c) - F.count(v)).alias(f"tok{i}"), F.count(v).alias(f"n{i}"), F.count(number).alias(f"num{i}"),
-                     F.count_if(text.has_digit(v)).alias(f"dig{i}"), F.count_if(text.has_time_shape(v)).alias(f"like{i}"),
+                     F.count_if(text.has_digit(v)).alias(f"dig{i}"), F.count(f"y{i}").alias(f"like{i}"),
+                     F.bit_or(F.call_function("shiftleft", F.lit(1), F.col(f"y{i}"))).alias(f"lay{i}"),
                      text.day_is_first(v).alias(f"day{i}"), (F.min(v) == F.max(v)).alias(f"one{i}"),
                      (F.min(number) == F.max(number)).alias(f"onum{i}")]
         else:
@@ -79,11 +82,12 @@ def _rates(df: DataFrame, fields: list) -> DataFrame:
     return parsed.agg(*aggs)
 
 
-def _times(days: dict[int, bool]):
+def _times(days: dict[int, bool], layouts: dict[int, int]):
     """Aggregates over the likely date columns, each read the way its own values ask for."""
     def aggregate(df: DataFrame, fields: list) -> DataFrame:
-        cells = df.select(*[text.null_tokens(text.norm_text(col(f.name))).alias(f"v{i}") for i, f in fields])
-        moments = cells.select(*[text.to_timestamp(F.col(f"v{i}"), days[i]).alias(f"t{i}") for i, _ in fields])
+        even = df.select(*[text.norm_text(col(f.name)).alias(f"c{i}") for i, f in fields])
+        cells = even.select(*[text.null_tokens(F.col(f"c{i}")).alias(f"v{i}") for i, _ in fields])
+        moments = cells.select(*[text.to_timestamp(F.col(f"v{i}"), days[i], layouts[i]).alias(f"t{i}") for i, _ in fields])
         return moments.agg(*[a for i, _ in fields for a in (
             F.count(f"t{i}").alias(f"ts{i}"), (F.min(f"t{i}") == F.max(f"t{i}")).alias(f"ots{i}"))])
     return aggregate
@@ -98,7 +102,8 @@ def _findings(df: DataFrame) -> dict:
     likely = [(i, f) for i, f in texts if s[f"n{i}"] and min(s[f"dig{i}"], s[f"like{i}"]) >= 0.9 * s[f"n{i}"]]
     s.update({f"ts{i}": 0 for i, _ in texts})
     if likely:
-        s.update(_side_by_side(df, likely, _times({i: bool(s[f"day{i}"]) for i, _ in likely})))
+        s.update(_side_by_side(df, likely, _times(
+            {i: bool(s[f"day{i}"]) for i, _ in likely}, {i: s[f"lay{i}"] for i, _ in likely})))
     return s
 
 
@@ -186,7 +191,8 @@ def plan_changes(df: DataFrame):
         if f.name in numbers:
             c = text.to_number(c)
         elif f.name in moments:
-            c = text.to_timestamp(c, bool(s[f"day{ready.columns.index(f.name)}"]))
+            i = ready.columns.index(f.name)
+            c = text.to_timestamp(c, bool(s[f"day{i}"]), s[f"lay{i}"])
         elif f.name in merged:
             pairs = [F.lit(x) for kv in merged[f.name].items() for x in kv]
             c = F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)

@@ -106,3 +106,21 @@ def test_two_digit_years_with_the_day_first(spark):
     df = spark.createDataFrame([(f"{d}/0{m}/24",) for d in range(10, 29) for m in (1, 2)], "d string")
     out = clean.plan_changes(df)[0]
     assert dict(out.dtypes)["d"] == "timestamp" and out.agg(F.max("d").cast("string")).first()[0] == "2024-02-28 00:00:00"
+
+
+def test_only_layouts_that_occur_are_tried(spark):
+    """A column is read by the layouts its cells have, with the result that all layouts give."""
+    cells = ["2024-03-05T10:20:30Z", "3/5/2024", "3/5/24 10:20", "3/5/2024 1:02 pm", "5-3-2024", "3-5-2024 1:02 PM", "2024/3/5", "5.3.2024",
+             "20240305", "5 Mar 2024", "5-Mar-2024", "Mar 5, 2024", "5 March 2024", "March 5, 2024", "Tue, 05 Mar 2024 10:20:30 GMT",
+             "31.02.2024", "2024", "word", "", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    c = F.col("c")
+    own = [r["y"] for r in df.select(text.time_layout(c).alias("y")).collect()]
+    assert own[:15] == [0, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13] and own[15:] == [6, None, None, None, None]
+    bits = sum(1 << k for k in {k for k in own if k is not None})
+    for r, k in zip(df.select(text.to_timestamp(c).alias("a"), text.to_timestamp(c, False, bits).alias("b"), *[
+            text.to_timestamp(c, False, 1 << n).alias(f"t{n}") for n in range(14)]).collect(), own):
+        assert r["a"] == r["b"] and (k is None or r[f"t{k}"] == r["a"])
+    days = spark.range(400).selectExpr("id", "date_format(date_add(date'2024-01-01', cast(id as int)), 'dd.MM.yyyy') as day")
+    fixed, _, _ = clean.plan_changes(days)
+    assert "MMMM" not in str(fixed._jdf.queryExecution().analyzed()) and fixed.where("day = timestamp'2024-02-29'").count() == 1
