@@ -19,6 +19,8 @@ SMALL_QUANTILE_ROWS = 1_000_000
 COLUMNS_PER_PASS = 6
 PAIRS_PER_PASS = 50
 LONG_TEXT = 128
+# Values with more rows than this part of a range count as common.
+RARE_PART = 8
 
 
 def is_numeric(field: T.StructField) -> bool:
@@ -330,12 +332,24 @@ def _contingencies(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFra
 
 
 def _mid_ranks(cells: DataFrame, key: str, value: str, weight: Column, rows_per_range: int, at_most: int) -> DataFrame:
-    """(key, value, rank, dense) of every distinct value of every ``key``: ``rank`` is the mean rank of its
-    rows, ``dense`` counts the values up to it. No key is ranked in one task."""
+    """(key, value, rank, dense, n) of every distinct value of every ``key``: ``rank`` is the mean rank of its
+    ``n`` rows, ``dense`` counts the values up to it. No key is ranked in one task."""
     counts = cells.groupBy(key, value).agg(F.sum(weight).cast("bigint").alias("_n"))
     return ordered.running(counts, [key], [value], [
         ordered.Running("_upto", "sum", F.col("_n")), ordered.Running("dense", "sum", F.lit(1).cast("bigint"))], rows_per_range, at_most).select(
-        key, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"), "dense")
+        key, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"), "dense", F.col("_n").alias("n"))
+
+
+def _with_ranks(cells: DataFrame, ranks: DataFrame, key: str, value: str, column: str, name: str, rows_per_value: int) -> DataFrame:
+    """``cells`` with the ``column`` of ``ranks`` that belongs to their value. Values of more than ``rows_per_value``
+    rows are few, so theirs are sent to all tasks, and their cells are dealt by all columns; only cells
+    of other values are dealt by value. A column of few values thus does not end up in few tasks."""
+    common = ranks.where(F.col("n") > rows_per_value).select(key, value, F.col(column).alias("_common"))
+    marked = cells.join(F.broadcast(common), [key, value], "left")
+    deal = F.when(F.col("_common").isNull(), F.xxhash64(key, value)).otherwise(F.xxhash64(*cells.columns))
+    rare = ranks.where(F.col("n") <= rows_per_value).select(key, value, F.xxhash64(key, value).alias("_deal"), F.col(column).alias("_rare"))
+    return marked.withColumn("_deal", deal).join(rare, [key, value, "_deal"], "left").select(
+        *cells.columns, F.coalesce("_common", "_rare").alias(name))
 
 
 def ranked_columns(df: DataFrame, columns: list[str], rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
@@ -346,7 +360,7 @@ def ranked_columns(df: DataFrame, columns: list[str], rows_per_range: int = orde
     cells = staged.select("_id", F.inline(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(columns))])))
     ranks = cut_lineage(_mid_ranks(cells, "c", "v", F.lit(1), rows_per_range, None), "ranks")
-    placed = cells.join(ranks, ["c", "v"]).groupBy("_id").agg(*[
+    placed = _with_ranks(cells, ranks, "c", "v", "rank", "rank", rows_per_range // RARE_PART).groupBy("_id").agg(*[
         F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
     return placed.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(columns)])
 
@@ -356,12 +370,13 @@ def spearman_cells(df: DataFrame, pairs: list[tuple[str, str]], rows_per_range:
     once. Equal pairs of values are counted first, and ranks come from distinct values."""
     cells, size = _contingencies(df, pairs)
     for side in ("a", "b"):
-        ranks = _mid_ranks(cells, "pair", side, F.col("w"), rows_per_range, size)
-        cells = cells.join(ranks.select("pair", side, F.col("rank").alias(f"r{side}")), ["pair", side])
+        ranks = cut_lineage(_mid_ranks(cells, "pair", side, F.col("w"), rows_per_range, size), "ranks")
+        cells = _with_ranks(cells, ranks, "pair", side, "rank", f"r{side}", rows_per_range // RARE_PART)
     # The mean rank is known, (n+1)/2, so the moments are centred up front.
     mid = cells.groupBy("pair").agg(((F.sum("w") + 1) / 2).alias("mid"))
     x, y, w = F.col("ra") - F.col("mid"), F.col("rb") - F.col("mid"), F.col("w")
-    return cells.join(mid, "pair").groupBy("pair").agg(
+    # One row for a pair: sent to all tasks, since a shuffle by pair would put each pair's cells into one.
+    return cells.join(F.broadcast(mid), "pair").groupBy("pair").agg(
         F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x)) * F.sqrt(F.sum(w * y * y))).alias("r"))
 
 
@@ -398,9 +413,9 @@ def kendall_cells(df: DataFrame, pairs: list[tuple[str, str]], rows_per_range: i
     weight came earlier with a smaller digit. That is a running total per digit.
     """
     cells, size = _contingencies(df, pairs)
-    ranks = _mid_ranks(cells, "pair", "a", F.col("w"), rows_per_range, size)
-    cells = cut_lineage(cells.join(ranks.select("pair", "a", (F.col("dense") - 1).alias("code")), ["pair", "a"]).select(
-        "pair", "b", "w", "code"), "codes")
+    ranks = cut_lineage(_mid_ranks(cells, "pair", "a", F.col("w"), rows_per_range, size), "ranks")
+    cells = cut_lineage(_with_ranks(cells, ranks, "pair", "a", "dense", "dense", rows_per_range // RARE_PART).select(
+        "pair", "b", "w", (F.col("dense") - 1).alias("code")), "codes")
     base = 1 << digit_bits
     levels = max(1, -(-(cells.agg(F.max("code")).first()[0] or 0).bit_length() // digit_bits))
     bounds = ordered.range_bounds(cells, "b", rows_per_range, size)

@@ -197,3 +197,20 @@ def test_shared_columns(spark):
     customers = spark.createDataFrame([(10, "W")], "cust_id long, region string")
     found = profile.shared_columns(profile.profile_tables({"orders": orders, "customers": customers})).collect()
     assert [(r["name"], r["tables"]) for r in found] == [("cust_id", ["customers", "orders"])]
+
+
+def test_common_values_are_not_dealt_by_value(spark):
+    """Cells of a column with few values: each keeps its rank, and no task gets all cells of a value."""
+    cells = spark.range(4000).selectExpr("0 as pair", "cast(if(id < 3900, 1, id) as double) as a", "cast(id as double) as b", "1L as w")
+    ranks = stats._mid_ranks(cells, "pair", "a", F.col("w"), 1_000_000, 4000)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = stats._with_ranks(cells, ranks, "pair", "a", "rank", "ra", 50).withColumn("p", F.spark_partition_id()).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 4000 and (got["ra"] == got["a"].rank()).all()
+    assert got[got["a"] == 1.0].groupby("p").size().max() < 2000
