@@ -164,8 +164,8 @@ class _Target:
 
 
 def _kth_values(df: DataFrame, targets: list[_Target], small: int) -> None:
-    """Settle all targets together. Per round a bounded sketch proposes a bracket for
-    each and exact counts confirm it; about 1 row in 2500 stays, so two or three rounds
+    """Settle all targets together. Per round a bounded sketch, shared by the targets of a column that
+    lie in the same bracket, proposes a narrower one for each and exact counts confirm it; about 1 row in 2500 stays, so two or three rounds
     of two scans do for any size. What is left is ranked with ``value_ranks``."""
     value = lambda t: col(t.column).cast("double")
     within = lambda t: F.when((value(t) >= t.lo) & (value(t) <= t.hi), value(t))
@@ -173,26 +173,37 @@ def _kth_values(df: DataFrame, targets: list[_Target], small: int) -> None:
         todo = [t for t in targets if t.value is None and not t.stuck and t.inside > small]
         if not todo:
             break
-        for chunk in chunks(todo, 12):
-            found = df.agg(*[F.percentile_approx(within(t), t.probes(), 10_000).alias(f"p{i}") for i, t in enumerate(chunk)]).first()
-            counts = df.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, t in enumerate(chunk) for j, test in enumerate(
-                [value(t) < found[i][0], value(t) <= found[i][0], value(t) < found[i][1], value(t) <= found[i][1]])]).first()
-            for i, t in enumerate(chunk):
-                t.narrow(found[i][0], found[i][1], *counts[4 * i:4 * i + 4])
+        shared: dict[tuple, list[_Target]] = {}
+        for t in todo:
+            shared.setdefault((t.column, t.lo, t.hi), []).append(t)
+        for chunk in chunks(list(shared.values()), 2):
+            found = df.agg(*[F.percentile_approx(within(g[0]), [p for t in g for p in t.probes()], 10_000).alias(f"p{i}")
+                             for i, g in enumerate(chunk)]).first()
+            ends = [(t, *found[i][2 * j:2 * j + 2]) for i, g in enumerate(chunk) for j, t in enumerate(g)]
+            for part in chunks(ends, 12):
+                counts = df.agg(*[F.count_if(test).alias(f"c{i}_{j}") for i, (t, a, b) in enumerate(part) for j, test in enumerate(
+                    [value(t) < a, value(t) <= a, value(t) < b, value(t) <= b])]).first()
+                for i, (t, a, b) in enumerate(part):
+                    t.narrow(a, b, *counts[4 * i:4 * i + 4])
     rest = [t for t in targets if t.value is None]
     if rest:
-        ranked = [ordered.value_ranks(df.select(within(t).alias("value")), "value", at_most=t.inside)
-                  .where(F.col("before") <= t.k - t.below).agg(F.max("value").alias("v")).select(F.lit(i).alias("i"), "v")
-                  for i, t in enumerate(rest)]
-        for r in union_all(ranked).collect():
+        # All in one table by target, ranked per target: a union of windows without a key would be one task.
+        seen = [within(t) for t in rest]
+        held = df.where(reduce(lambda a, b: a | b, [v.isNotNull() for v in seen])).select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), v.alias("value")) for i, v in enumerate(seen)]))).where(F.col("value").isNotNull())
+        counts = held.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = ordered.running(counts, ["i"], ["value"], [ordered.Running("upto", "sum", F.col("n"))], at_most=max(t.inside for t in rest))
+        wanted = F.get(F.array(*[F.lit(t.k - t.below) for t in rest]), F.col("i"))
+        for r in upto.where(F.col("upto") - F.col("n") <= wanted).groupBy("i").agg(F.max("value").alias("v")).collect():
             rest[r["i"]].value = r["v"]
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     small: int = SMALL_QUANTILE_ROWS) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of every column, exact at any size. Spark's
-    ``percentile`` keeps one value map per column in a single task, so it is used
-    only up to ``small`` values. NaN counts as missing."""
+    ``percentile`` keeps one value map per column, of all columns in a single task, so it is used
+    only where each has at most its part of ``small`` values. NaN counts as missing."""
+    small = small // max(1, len(columns))
     df = nan_to_null(df.select(*[col(c) for c in columns]))
     seen = df.agg(*[a for i, c in enumerate(columns) for a in (
         F.count(col(c)).alias(f"n{i}"), F.min(col(c).cast("double")).alias(f"lo{i}"), F.max(col(c).cast("double")).alias(f"hi{i}"))]).first()

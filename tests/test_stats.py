@@ -199,6 +199,27 @@ def test_shared_columns(spark):
     assert [(r["name"], r["tables"]) for r in found] == [("cust_id", ["customers", "orders"])]
 
 
+def test_quantiles_of_many_columns_are_ranked_apart(spark):
+    """The values that decide the quantiles are ranked in one table by target, not in one task by a union
+    of windows without a key, and a sketch serves all targets of a column."""
+    rnd = np.random.default_rng(8)
+    pdf = pd.DataFrame({f"x{i}": rnd.normal(size=3000) if i else rnd.integers(0, 9, 3000).astype(float) for i in range(3)})
+    df = spark.createDataFrame(pdf).repartition(4).cache()
+    calls = []
+    agg = type(df).agg
+
+    def counted(self, *exprs):
+        calls.append(sum("percentile_approx" in str(e) for e in exprs))
+        return agg(self, *exprs)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "agg", counted)
+        got = stats.exact_quantiles(df, list(pdf), [0.25, 0.5, 0.75], small=900)
+    for c in pdf:
+        assert got[c] == pytest.approx(list(pdf[c].quantile([0.25, 0.5, 0.75])))
+    assert max(calls) <= 2
+
+
 def test_common_values_are_not_dealt_by_value(spark):
     """Cells of a column with few values: each keeps its rank, and no task gets all cells of a value."""
     cells = spark.range(4000).selectExpr("0 as pair", "cast(if(id < 3900, 1, id) as double) as a", "cast(id as double) as b", "1L as w")
